@@ -17,6 +17,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_packing": op2_packing}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op10_jaccard)}
 
 ORACLES: dict[str, str] = {}
