@@ -17,12 +17,18 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import removed
+
+    return removed(table(spark, sf_dir, "documents"), length=50)
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op2_packing, op4_substrings, op10_jaccard)}
 
 ORACLES: dict[str, str] = {}
