@@ -17,6 +17,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_model import classified
+
+    return classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import removed
 
@@ -29,6 +35,6 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_substrings, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_quality, op4_substrings, op10_jaccard)}
 
 ORACLES: dict[str, str] = {}
