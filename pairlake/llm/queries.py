@@ -7,10 +7,23 @@ brute force in tests/llm.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
 
+#: Weights of domains, and of languages in each; sources of a language keep their shares.
+DOMAINS, LANGUAGES = {"web": 0.5, "books": 0.3, "forum": 0.2}, {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+WEIGHTS = {(d,): w for d, w in DOMAINS.items()} | {(d, x): w for d in DOMAINS for x, w in LANGUAGES.items()}
+
+
+def levels() -> dict:
+    """Domain, language and source; a source's domain goes by the remainder of its number by 3."""
+    number = F.coalesce(F.regexp_extract("source", "([0-9]{1,9})$", 1).try_cast("int"), F.lit(0)) % 3
+    domain = F.when(number == 0, "web").when(number == 1, "books").otherwise("forum")
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -29,12 +42,48 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(table(spark, sf_dir, "documents"), length=50)
 
 
+def op5_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wordpiece import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all tokens: three domains (by source number), languages by weight, sources as they are."""
+    from .mixing import mixed
+    from .wordpiece import token_counts
+
+    docs = table(spark, sf_dir, "documents")
+    counts = token_counts(docs).select(F.col("doc_id").alias("counted"), "n_tokens")
+    docs = docs.select("doc_id", "lang", "source").join(counts, F.col("doc_id") == F.col("counted"))
+    return mixed(docs, levels(), F.col("n_tokens"), WEIGHTS, 0.5, max_epochs=2, seed=1)
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_quality, op4_substrings, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_quality, op4_substrings, op5_wordpiece, op6_mixing, op7_topk, op10_jaccard)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_topk": OP7_SQL}
