@@ -78,12 +78,24 @@ FROM s QUALIFY rank <= 10
 """
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extracted
+
+    return extracted(table(spark, sf_dir, "pages"))
+
+
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judged
+
+    return judged(table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_quality, op4_substrings, op5_wordpiece, op6_mixing, op7_topk, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_quality, op4_substrings, op5_wordpiece, op6_mixing, op7_topk, op8_html, op9_rules, op10_jaccard)}
 
 ORACLES: dict[str, str] = {"op7_topk": OP7_SQL}
