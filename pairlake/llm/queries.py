@@ -24,6 +24,12 @@ def levels() -> dict:
     return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
 
 
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import RULES, judged
+
+    return judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), RULES)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -96,6 +102,6 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_quality, op4_substrings, op5_wordpiece, op6_mixing, op7_topk, op8_html, op9_rules, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_urls, op2_packing, op3_quality, op4_substrings, op5_wordpiece, op6_mixing, op7_topk, op8_html, op9_rules, op10_jaccard)}
 
 ORACLES: dict[str, str] = {"op7_topk": OP7_SQL}
