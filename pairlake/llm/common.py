@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,7 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once for each context, as a session may be started anywhere."""
+    context = spark.sparkContext
+    if not getattr(context, "pairlake_shipped", False):
+        root = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp(prefix="pairlake-")) / "pairlake.zip"
+        with zipfile.ZipFile(path, "w") as out:
+            for f in sorted(root.rglob("*.py")):
+                out.write(f, f.relative_to(root.parent))
+        context.addPyFile(str(path))
+        context.pairlake_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,5 +44,5 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: its lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pairlake/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -97,3 +97,10 @@ def mixed(docs: DataFrame, levels: Mapping[str, Column], tokens: Column, weights
     last = near.where("before + sum > budget").withColumn("before", F.col("before") + F.sum("n").over(inside) - F.col("n"))
     last = last.where("before < budget").select("doc_id", *key, F.least("n", F.col("budget") - F.col("before")).alias("tokens_taken"))
     return whole.union(last)
+
+
+def resampled(docs: DataFrame, levels: Mapping[str, Column], tokens: Column, weights: Weights, total: int | float, max_epochs: int = 1, seed: int = 0) -> DataFrame:
+    """The rows of docs that are selected, whole, once for each epoch; rows with a null doc_id aren't."""
+    chosen = mixed(docs, levels, tokens, weights, total, max_epochs, seed).where("doc_id is not null")
+    chosen = chosen.select(F.col("doc_id").alias("pairlake_of"), "epoch").distinct()
+    return docs.join(chosen, docs["doc_id"].cast("long") == chosen["pairlake_of"]).select(*(docs[c] for c in docs.columns))

@@ -57,12 +57,9 @@ def op5_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of all tokens: three domains (by source number), languages by weight, sources as they are."""
     from .mixing import mixed
-    from .wordpiece import token_counts
+    from .wordpiece import n_tokens
 
-    docs = table(spark, sf_dir, "documents")
-    counts = token_counts(docs).select(F.col("doc_id").alias("counted"), "n_tokens")
-    docs = docs.select("doc_id", "lang", "source").join(counts, F.col("doc_id") == F.col("counted"))
-    return mixed(docs, levels(), F.col("n_tokens"), WEIGHTS, 0.5, max_epochs=2, seed=1)
+    return mixed(table(spark, sf_dir, "documents"), levels(), n_tokens("text"), WEIGHTS, 0.5, max_epochs=2, seed=1)
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START = b" "
@@ -110,6 +110,17 @@ def _counts(name: str) -> _Counts:
     return _Counts(Automaton(vocabulary(name)))
 
 
+def n_tokens(text: Column | str, tokenizer: str = "byte_bpe_50k") -> Column:
+    """The tokens of a text as a column."""
+
+    @F.pandas_udf("long")
+    def count(texts):
+        get = _counts(tokenizer).__getitem__
+        return texts.map(lambda t: sum(map(get, (t or "").encode().split()))).astype("int64")
+
+    return count(text)
+
+
 def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k") -> DataFrame:
     """doc_id, n_words, n_tokens."""
 
