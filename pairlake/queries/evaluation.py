@@ -1 +1,259 @@
-QUERIES, ORACLES = {}, {}
+"""Splits, arms, baseline forecasts, errors and inference."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import series as S
+from ..operators import evaluate as E
+from ..plans import views as V
+from .common import Registry, r6
+
+query = Registry()
+ITEM = f"WITH {V.ITEM}, v_g AS (SELECT *, dataset || ':' || regexp_extract(series_id, '^(.*?)_\\d{{4}}-\\d{{2}}-\\d{{2}}', 1) AS grp FROM v_item)"
+ERR = f"WITH {V.ERR}"
+CUT = "1998-06-01"
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.item(spark, sf_dir).withColumn("grp", E.series_group(F.col("series_id"), F.col("dataset")))
+
+
+def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.err(spark, sf_dir)
+
+
+@query(f"{ITEM} SELECT dataset, count(*) AS n FROM v_g WHERE len(history) >= 2 AND len(future) >= 1 GROUP BY 1")
+def forecast_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items(spark, sf_dir).where((F.size("history") >= 2) & (F.size("future") >= 1)).groupBy("dataset").agg(F.count("*").alias("n"))
+
+
+@query(f"{ITEM} SELECT series_id, grp FROM v_g")
+def series_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items(spark, sf_dir).select("series_id", "grp")
+
+
+@query(f"{ITEM}, h AS (SELECT *, dataset || '_' || (year(origin) % 3) AS g2 FROM v_g), s AS (SELECT *, CASE WHEN origin < DATE '{CUT}' THEN 'train' ELSE 'test' END AS split FROM h) SELECT series_id, split FROM s WHERE split = 'test' OR g2 NOT IN (SELECT g2 FROM s WHERE split = 'test' AND year(origin) = 2000) ")
+def time_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = items(spark, sf_dir).withColumn("grp", F.concat_ws("_", "dataset", (F.year("origin") % 3).cast("string")))
+    split = E.time_split(i, F.lit(CUT).cast("date"))
+    late = split.where((F.col("split") == "test") & (F.year("origin") == 2000)).select("grp").distinct()
+    kept = split.where("split = 'test'").unionByName(split.where("split = 'train'").join(late, "grp", "left_anti"))
+    return kept.select("series_id", "split")
+
+
+@query(f"{ITEM}, h AS (SELECT series_id, origin, dataset || '_' || (month(origin) % 5) AS g FROM v_g), s AS (SELECT *, CASE WHEN origin < DATE '1999-06-01' THEN 'train' ELSE 'test' END AS split FROM h) SELECT split, count(*) AS n FROM s WHERE split = 'test' OR g NOT IN (SELECT g FROM s WHERE split = 'test') GROUP BY 1")
+def time_split_purged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = items(spark, sf_dir).withColumn("grp", F.concat_ws("_", "dataset", (F.month("origin") % 5).cast("string")))
+    return E.time_split(i, F.lit("1999-06-01").cast("date"), purge=True).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query(f"{ITEM}, r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY origin) AS r, count(*) OVER (PARTITION BY dataset) AS n FROM v_g) SELECT series_id, CASE WHEN r <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM r")
+def chrono_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.chronological(items(spark, sf_dir), "dataset", "origin", 0.8).select("series_id", "split")
+
+
+@query(f"{ITEM} SELECT series_id, count(*) OVER (PARTITION BY dataset, year(origin)) >= 2 AS shuffleable FROM v_g")
+def partition_shuffleable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("dataset", F.year("origin"))
+    return items(spark, sf_dir).select("series_id", (F.count("*").over(w) >= 2).alias("shuffleable"))
+
+
+ARMS = f"""{ITEM}, s AS (SELECT *, count(*) OVER (PARTITION BY dataset) AS n, coalesce(lead(text) OVER w, first(text) OVER (PARTITION BY dataset ORDER BY series_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS other FROM v_g WINDOW w AS (PARTITION BY dataset ORDER BY series_id)),
+a AS (SELECT series_id, dataset, history, future, 'A_no_text' AS arm, '' AS arm_text FROM s WHERE n >= 2 UNION ALL SELECT series_id, dataset, history, future, 'B_flywheel_text', text FROM s WHERE n >= 2 UNION ALL SELECT series_id, dataset, history, future, 'C_shuffled_text', other FROM s WHERE n >= 2)"""
+
+
+def armed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.arms(items(spark, sf_dir), "dataset", "series_id", F.col("series_id"))
+
+
+@query(f"{ARMS} SELECT series_id, arm, arm_text FROM a")
+def make_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return armed(spark, sf_dir).select("series_id", "arm", "arm_text")
+
+
+@query(f"{ARMS}, p AS (SELECT arm, series_id, CASE WHEN series_id < 'F' THEN 'train' ELSE 'test' END AS part, dataset FROM a) SELECT arm, part, count(*) AS n, count(DISTINCT dataset) AS datasets FROM p GROUP BY ALL")
+def export_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.when(F.col("series_id") < "F", "train").otherwise("test")
+    return armed(spark, sf_dir).groupBy("arm", part.alias("part")).agg(F.count("*").alias("n"), F.countDistinct("dataset").alias("datasets"))
+
+
+@query(f"{ITEM} SELECT series_id, round(history[10] * 5, 4) AS total FROM v_g")
+def last_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items(spark, sf_dir).select("series_id", F.round(S.total(S.last_value(F.col("history"), 5)), 4).alias("total"))
+
+
+TREND = f"""{ITEM}, t AS (SELECT *, list_avg(history) AS my, list_sum(list_transform(range(10), lambda i: (i - 4.5) * (history[i + 1] - list_avg(history)))) / 82.5 AS slope FROM v_g),
+m AS (SELECT *, list_transform(range(5), lambda h: my + slope * (10 + h - 4.5)) AS fc, list_avg(list_transform(range(2, 11), lambda i: abs(history[i] - history[i - 1]))) AS step FROM t)"""
+
+
+@query(f"{TREND} SELECT series_id, round(fc[1], 4) AS first_fc, round(fc[5], 4) AS last_fc FROM m")
+def linear_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = S.linear_trend(F.col("history"), 5)
+    return items(spark, sf_dir).withColumn("fc", f).select("series_id", F.round(F.col("fc")[0], 4).alias("first_fc"), F.round(F.col("fc")[4], 4).alias("last_fc"))
+
+
+LV = "list_avg(list_transform(range(1, 6), lambda i: abs(history[10] - future[i])))"
+LT = "list_avg(list_transform(range(1, 6), lambda i: abs(fc[i] - future[i])))"
+
+
+def _mase(rows: DataFrame, **how) -> DataFrame:
+    h, f = F.col("history"), F.col("future")
+    return rows.withColumns({"last": S.mase(S.last_value(h, 5), f, h, **how), "trend": S.mase(S.linear_trend(h, 5), f, h, **how)})
+
+
+@query(f"{TREND} SELECT series_id, round({LV} / CASE WHEN step = 0 THEN 1e-6 ELSE step END, 6) AS last, round({LT} / CASE WHEN step = 0 THEN 1e-6 ELSE step END, 6) AS trend FROM m")
+def mase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mase(items(spark, sf_dir)).select("series_id", r6("last").alias("last"), r6("trend").alias("trend"))
+
+
+@query(f"{TREND} SELECT series_id, round({LV} / greatest(step, 1e-3), 6) AS last FROM m")
+def mase_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mase(items(spark, sf_dir), floor=1e-3, replace_zero=False).select("series_id", r6("last").alias("last"))
+
+
+@query(f"{TREND} SELECT dataset, round(median({LV} / step), 6) AS last, round(median({LT} / step), 6) AS trend FROM m GROUP BY 1")
+def eval_arm_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mase(items(spark, sf_dir)).groupBy("dataset").agg(r6(F.median("last")).alias("last"), r6(F.median("trend")).alias("trend"))
+
+
+@query(f"{TREND}, x AS (SELECT dataset, {LV} / step AS last, {LT} / step AS trend, kt IS NULL OR kt >= origin AS leak FROM m) SELECT dataset, count(*) AS n, count(*) FILTER (WHERE last < trend) AS last_wins FROM x WHERE NOT leak GROUP BY 1")
+def cpt_floor_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fine = items(spark, sf_dir).where(F.col("kt") < F.col("origin"))
+    return _mase(fine).groupBy("dataset").agg(F.count("*").alias("n"), F.count_if(F.col("last") < F.col("trend")).alias("last_wins"))
+
+
+@query(f"{ITEM}, c AS (SELECT dataset, list_concat(history, future) AS v, kt FROM v_g) SELECT dataset, count(*) FILTER (WHERE len(v) >= 12) AS kept, count(*) FILTER (WHERE len(v) < 12) AS skipped, round(avg(list_sum(v[-4:])) / 1e6, 6) AS held_out FROM c GROUP BY 1")
+def cpt_adapt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = items(spark, sf_dir).withColumn("v", F.concat("history", "future"))
+    return c.groupBy("dataset").agg(F.count_if(F.size("v") >= 12).alias("kept"), F.count_if(F.size("v") < 12).alias("skipped"), r6(F.avg(S.total(F.slice("v", -4, 4))) / 1e6).alias("held_out"))
+
+
+@query(f"{ITEM} SELECT dataset, count(*) FILTER (WHERE kt IS NULL OR kt >= origin - 1) AS leaked, count(*) AS total FROM v_g GROUP BY 1")
+def leak_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    late = F.col("kt").isNull() | (F.col("kt") >= F.date_sub("origin", 1))
+    return items(spark, sf_dir).groupBy("dataset").agg(F.count_if(late).alias("leaked"), F.count("*").alias("total"))
+
+
+@query(f"{ERR} SELECT domain, count(*) AS n, count(*) FILTER (WHERE err_b < err_a) AS b_over_a, count(*) FILTER (WHERE err_b < err_c) AS b_over_c FROM v_err GROUP BY 1")
+def win_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return errors(spark, sf_dir).groupBy("domain").agg(F.count("*").alias("n"), F.count_if(F.col("err_b") < F.col("err_a")).alias("b_over_a"), F.count_if(F.col("err_b") < F.col("err_c")).alias("b_over_c"))
+
+
+@query(f"{ERR} SELECT count(DISTINCT domain) AS clusters, round(median(err_a - err_b), 6) AS point FROM v_err")
+def bootstrap_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return errors(spark, sf_dir).agg(F.countDistinct("domain").alias("clusters"), r6(F.median(F.col("err_a") - F.col("err_b"))).alias("point"))
+
+
+@query()
+def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lo and hi: the 2.5 and 97.5 index percentiles of 200 resampled medians."""
+    d = errors(spark, sf_dir).select("domain", (F.col("err_a") - F.col("err_b")).alias("d"))
+    meds = E.cluster_bootstrap(d, "domain", "d", 200, 11)
+    return meds.agg(F.array_sort(F.collect_list("med")).alias("m")).select(F.col("m")[5].alias("lo"), F.col("m")[195].alias("hi"))
+
+
+@query()
+def bootstrap_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with each day a cluster of its own."""
+    d = errors(spark, sf_dir).select(F.date_format("day", "yyyy-MM-dd").alias("row"), (F.col("err_a") - F.col("err_b")).alias("d"))
+    meds = E.cluster_bootstrap(d, "row", "d", 100, 13)
+    return meds.agg(F.array_sort(F.collect_list("med")).alias("m")).select(F.col("m")[2].alias("lo"), F.col("m")[97].alias("hi"))
+
+
+@query(f"{ERR}, e AS (SELECT domain, day, avg(err_a) AS a, avg(err_b) AS b FROM v_err GROUP BY ALL) SELECT domain, round(median(a - b), 6) AS median, count(*) FILTER (WHERE b < a) AS wins FROM e GROUP BY 1")
+def seed_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = errors(spark, sf_dir).groupBy("domain", "day").agg(F.avg("err_a").alias("a"), F.avg("err_b").alias("b"))
+    return e.groupBy("domain").agg(r6(F.median(F.col("a") - F.col("b"))).alias("median"), F.count_if(F.col("b") < F.col("a")).alias("wins"))
+
+
+@query(f"{ERR}, r AS (SELECT domain, row_number() OVER (PARTITION BY domain ORDER BY err_a, series_id) AS x, row_number() OVER (PARTITION BY domain ORDER BY err_b, series_id) AS y FROM v_err) SELECT domain, round(coalesce(corr(x, y), 0), 6) AS rho FROM r GROUP BY 1")
+def spearman_noties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.spearman(errors(spark, sf_dir), "err_a", "err_b", "series_id", "domain").select("domain", r6("rho").alias("rho"))
+
+
+@query(f"{ERR}, u AS (SELECT domain, series_id, err_a - err_b AS u FROM v_err) SELECT domain, round(median(u), 6) AS median, round(avg(u), 6) AS mean, round(avg((u > 0)::INT) * 100, 4) AS helped, max_by(series_id, struct_pack(a := u, b := series_id)) AS best FROM u GROUP BY 1")
+def usefulness_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = errors(spark, sf_dir).select("domain", "series_id", (F.col("err_a") - F.col("err_b")).alias("u"))
+    return u.groupBy("domain").agg(r6(F.median("u")).alias("median"), r6(F.avg("u")).alias("mean"), F.round(F.avg((F.col("u") > 0).cast("int")) * 100, 4).alias("helped"), F.max_by("series_id", F.struct("u", "series_id")).alias("best"))
+
+
+@query(f"""{ERR}, n AS (SELECT greatest(1, count(*) // 4) AS q, count(*) AS n FROM v_err), r AS (SELECT *, row_number() OVER (ORDER BY err_a DESC, series_id) AS d, row_number() OVER (ORDER BY err_a, series_id) AS u FROM v_err)
+SELECT any_value(n) AS n, round(median(err_a - err_b) FILTER (WHERE d <= q), 6) AS hard, round(median(err_a - err_b) FILTER (WHERE u <= q), 6) AS easy, round(median(err_c - err_b), 6) AS content,
+  CASE WHEN median(err_c - err_b) > 0.001 THEN 'content' WHEN median(err_c - err_b) < -0.05 THEN 'harm' ELSE 'channel' END AS verdict FROM r, n""")
+def complementarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.complementarity(errors(spark, sf_dir)).select("n", r6("hard").alias("hard"), r6("easy").alias("easy"), r6("content").alias("content"), "verdict")
+
+
+@query(f"{ERR}, b AS (SELECT domain, CASE WHEN day(day) < 15 THEN 'early' ELSE 'late' END AS half, err_a - err_b AS g FROM v_err) SELECT coalesce(domain, 'ALL') AS domain, coalesce(half, 'ALL') AS half, round(avg(g), 6) AS gain, count(*) AS k FROM b GROUP BY GROUPING SETS ((domain), (half), ())")
+def s9_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = errors(spark, sf_dir).select("domain", F.when(F.dayofmonth("day") < 15, "early").otherwise("late").alias("half"), (F.col("err_a") - F.col("err_b")).alias("g"))
+    out = b.groupingSets([["domain"], ["half"], []], "domain", "half").agg(r6(F.avg("g")).alias("gain"), F.count("*").alias("k"))
+    return out.select(F.coalesce("domain", F.lit("ALL")).alias("domain"), F.coalesce("half", F.lit("ALL")).alias("half"), "gain", "k")
+
+
+@query(f"{ERR}, s AS (SELECT domain, sum(err_a - err_b) AS ab, sum(err_a - (err_b + err_c) / 2) AS ab2 FROM v_err GROUP BY 1) SELECT domain, round(ab2 / nullif(ab, 0) * 100, 4) AS retained, CASE WHEN ab2 / nullif(ab, 0) * 100 >= 60 THEN 'reasoning' WHEN ab2 / nullif(ab, 0) * 100 >= 25 THEN 'mixed' ELSE 'recognition' END AS verdict FROM s")
+def lookahead_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = errors(spark, sf_dir).groupBy("domain").agg(F.sum(F.col("err_a") - F.col("err_b")).alias("ab"), F.sum(F.col("err_a") - (F.col("err_b") + F.col("err_c")) / 2).alias("ab2"))
+    r = F.col("ab2") / F.nullif(F.col("ab"), F.lit(0.0)) * 100
+    return s.select("domain", F.round(r, 4).alias("retained"), F.when(r >= 60, "reasoning").when(r >= 25, "mixed").otherwise("recognition").alias("verdict"))
+
+
+@query(f"{ITEM}, a AS (SELECT dataset, future[5] > history[10] AS truth, CASE (month(origin) % 3) WHEN 0 THEN NULL WHEN 1 THEN true ELSE false END AS said FROM v_g), s AS (SELECT dataset, avg((said IS NOT NULL)::INT) AS rate, avg((said = truth)::INT) FILTER (WHERE said IS NOT NULL) AS acc FROM a GROUP BY 1) SELECT dataset, round(rate, 6) AS rate, round(acc, 6) AS acc, CASE WHEN rate < 0.25 OR abs(acc - 0.5) < 0.15 THEN 'CLEAN' ELSE 'HAZARD' END AS verdict FROM s")
+def lap_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.month("origin") % 3
+    a = items(spark, sf_dir).select("dataset", (F.col("future")[4] > F.col("history")[9]).alias("truth"), F.when(m == 1, True).when(m == 2, False).alias("said"))
+    s = a.groupBy("dataset").agg(F.avg(F.col("said").isNotNull().cast("int")).alias("rate"), F.avg((F.col("said") == F.col("truth")).cast("int")).alias("acc"))
+    verdict = F.when((F.col("rate") < 0.25) | (F.abs(F.col("acc") - 0.5) < 0.15), "CLEAN").otherwise("HAZARD")
+    return s.select("dataset", r6("rate").alias("rate"), r6("acc").alias("acc"), verdict.alias("verdict"))
+
+
+@query(f"{ITEM} SELECT a.series_id, a.text = b.text AS same FROM v_g a JOIN v_g b ON replace(a.series_id, 'BUILDING', 'X') = replace(b.series_id, 'BUILDING', 'X')")
+def thin_rich_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = items(spark, sf_dir).select("series_id", "text", F.replace("series_id", F.lit("BUILDING"), F.lit("X")).alias("key"))
+    return i.join(i.select("key", F.col("text").alias("t")), "key").select("series_id", (F.col("text") == F.col("t")).alias("same"))
+
+
+DISC = f"""{ITEM}, x AS (SELECT series_id, dataset, list_transform(history, lambda v: round(v, -4)) AS own, list_transform(future, lambda v: round(v, -4)) AS said FROM v_g WHERE dataset = 'BUILDING'),
+p AS (SELECT a.series_id, a.series_id = b.series_id AS self, len(list_filter(a.said, lambda s: list_contains(b.own, s))) / 5.0::DOUBLE AS rate FROM x a CROSS JOIN x b),
+d AS (SELECT series_id, max(rate) FILTER (WHERE self) - avg(rate) FILTER (WHERE NOT self) AS d FROM p GROUP BY 1)"""
+
+
+@query(f"{DISC} SELECT series_id, round(d, 6) AS disc FROM d")
+def discriminability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own match rate less the mean over all other series of one dataset, a small stated set."""
+    place = lambda c: F.transform(c, lambda v: F.round(v, -4))
+    x = items(spark, sf_dir).where("dataset = 'BUILDING'").select("series_id", place(F.col("history")).alias("own"), place(F.col("future")).alias("said"), F.lit(1).alias("one"))
+    y = x.select(F.col("series_id").alias("other"), F.col("own").alias("theirs"), "one")
+    rate = F.size(F.filter("said", lambda s: F.array_contains("theirs", s))) / 5.0
+    p = x.join(y, "one").select("series_id", (F.col("series_id") == F.col("other")).alias("self"), rate.alias("rate"))
+    d = p.groupBy("series_id").agg((F.max(F.when(F.col("self"), F.col("rate"))) - F.avg(F.when(~F.col("self"), F.col("rate")))).alias("d"))
+    return d.select("series_id", r6("d").alias("disc"))
+
+
+TF = """WITH w AS (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents WHERE doc_id < 400),
+tf AS (SELECT source, term, count(*) AS tf FROM w WHERE term NOT IN ('the', 'and') GROUP BY ALL), n AS (SELECT count(DISTINCT source) AS n FROM documents WHERE doc_id < 400),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2), x AS (SELECT source, term, tf * (ln(n / df) + 1) AS w FROM tf JOIN df USING (term), n),
+l AS (SELECT source, sqrt(sum(w * w)) AS l FROM x GROUP BY 1), v AS (SELECT source, term, w / l AS weight FROM x JOIN l USING (source))"""
+
+
+def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = V.table(spark, sf_dir, "documents").select("source", "text")
+    return E.tfidf(d, "source", "text", ("the", "and"))
+
+
+@query(TF.replace(" WHERE doc_id < 400", "") + " SELECT source, count(*) AS terms, round(max(weight), 6) AS top FROM v GROUP BY 1")
+def tfidf_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weights(spark, sf_dir).groupBy("source").agg(F.count("*").alias("terms"), r6(F.max("weight")).alias("top"))
+
+
+@query(TF.replace(" WHERE doc_id < 400", "") + " SELECT a.source AS a, b.source AS b, round(sum(a.weight * b.weight), 6) AS cosine, sum(a.weight * b.weight) > 0.5 AS flagged FROM v a JOIN v b ON a.term = b.term AND a.source < b.source GROUP BY ALL")
+def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = E.cosines(weights(spark, sf_dir), "source")
+    return c.select("a", "b", r6("cosine").alias("cosine"), (F.col("cosine") > 0.5).alias("flagged"))
+
+
+QUERIES, ORACLES = query.queries, query.oracles
