@@ -84,16 +84,26 @@ def mined(urls: DataFrame, support: float = SUPPORT, confidence: float = CONFIDE
     return written(rules.select(F.xxhash64("items", "verdict").alias("rule"), "items", "size", "verdict", "confidence"), "rules")
 
 
-def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, mined): the verdict of the most confident rule whose tokens a url (url, tokens) all has."""
-    index = rules.select("rule", F.explode("items").alias("token"), "size", "verdict", "confidence")
+def _best(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(url, best): the highest confidence of the rules whose tokens a url (url, tokens) all has."""
+    index = rules.select("rule", F.explode("items").alias("token"), "size", "confidence")
     if rules.count() <= BROADCAST:  # MOST_TOKENS rows for each rule
         index = F.broadcast(index)
     met = urls.select("url", F.explode("tokens").alias("token")).join(index, "token")
-    met = met.groupBy("url", "rule", "size", "verdict", "confidence").count().where(F.col("count") == F.col("size"))
-    best = met.groupBy("url").agg(F.max(F.struct("confidence", "verdict")).alias("best"), F.max(F.when(F.col("verdict") == "allow", F.col("confidence"))).alias("allow"))
-    # verdicts sort allow before block, so a tie shows in allow's own maximum
-    return best.select("url", F.when((F.col("best.verdict") == "block") & (F.coalesce("allow", F.lit(0.0)) < F.col("best.confidence")), "block").otherwise("allow").alias("mined"))
+    met = met.groupBy("url", "rule", "size", "confidence").count().where(F.col("count") == F.col("size"))
+    return met.groupBy("url").agg(F.max("confidence").alias("best"))
+
+
+def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """The urls to block: a block rule matches, and no allow rule that is as confident.
+
+    Allow rules only matter where a block rule matches, so only those urls meet them.
+    """
+    block = written(_best(urls, rules.where("verdict = 'block'")), "blocked")
+    some = urls.join(block.select("url"), "url", "left_semi")
+    allow = _best(some, rules.where("verdict = 'allow'")).withColumnRenamed("best", "allow")
+    out = block.join(allow, "url", "left").where(F.coalesce("allow", F.lit(0.0)) < F.col("best"))
+    return out.select("url", F.lit("block").alias("mined"))
 
 
 def fitting(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
