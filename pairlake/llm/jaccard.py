@@ -4,14 +4,15 @@ Documents link when the sets of their word shingles have a Jaccard similarity of
 more. Shingles are 64-bit hashes; documents with the same set are one class from the start (128-bit
 digest), so a group of copies of any size costs one member.
 
-1. A scan gives each document's set size and digest, and counts shingles over all documents in 2^20
-   hash buckets (a fixed 4 MB for each task, 1 MB as log-scale classes): the rare-first order. Any
-   global order gives right results; a bucket that holds many shingles only makes it less sharp.
+1. A scan gives each document's set size and digest, and counts all shingles and all words in hash
+   buckets (a few MB for each task, whatever the corpus holds). They make the rare-first order:
+   shingles of overfull buckets come last, the others go by how frequent their words are. Any global
+   order gives right results; full buckets only make it less sharp.
 2. A scan emits the prefix of each set in that order, n - ceil(t n) + 1 shingles.
-3. Only shingles that two classes have stay. Pairs of each class with the first class of its shingle
-   are verified and linked first; then, of the others, all pairs on a shingle whose ends aren't
-   already in one component. So no pair that could join two components is left out, but a large group
-   of near copies doesn't emit all its pairs.
+3. Only shingles that two classes have stay. First each class is paired with some of the classes that
+   its shingles lead to, those with few shingles of their own before others, verified and linked; then follow all pairs on
+   a shingle whose ends aren't already in one component. So no pair that could join two components is
+   left out, but a large group of near copies doesn't emit all its pairs.
 4. Each pair is verified once on whole sets: suffix filter (sizes of the parts between fixed pivots
    bound the overlap), then the exact intersection.
 
@@ -32,13 +33,16 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .graph import components
+from .marks import has_id, id_bit, ids, marked, parted, repeated
 
 WORDS = 4
 PERCENT = 85
-#: Buckets of the shingle counts, and slices that they are added up in.
-BUCKET_BITS, SLICES = 20, 64
-#: Bits of the filter on documents that are read again; a full filter only lets more through.
-FILTER_BITS = 23
+#: Buckets of the counts of shingles and of words, and slices that they are added up in.
+SHINGLE_BUCKETS, WORD_BUCKETS, SLICES = 1 << 19, 1 << 17, 64
+#: A shingle is frequent if its bucket holds so many times the median.
+FREQUENT = 2
+#: Rounds of pairs with central classes, and pairs of a class in each; all others are left to the last round.
+ROUNDS, STARS = 1, 12
 #: Words whose hash a worker keeps, and digests that a task remembers.
 CACHE = 200_000
 #: Odd multipliers of the words of a shingle, and of the final mixing.
@@ -57,21 +61,29 @@ class _Words(dict):
 _words = _Words()
 
 
-def shingles(text: bytes | None, k: int = WORDS) -> np.ndarray:
-    """The sorted distinct shingle hashes of UTF-8 text; bytes.split parts at the ASCII white space meant."""
+def _hashed(text: bytes | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each shingle of UTF-8 text, hash of each word); bytes.split parts at the ASCII white space meant."""
     words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
+    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     if len(words) < k:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    h = np.array(list(map(_words.__getitem__, words)), np.uint64)
+        whole = [xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))] if words else []
+        return np.array(whole, np.uint64), h
     n = len(h) - k + 1
     out = np.zeros(n, np.uint64)
     for i in range(k):
         out ^= out >> np.uint64(31)
         out = (out + h[i : i + n]) * MIX[i % len(MIX)]
     out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return out, h
+
+
+def shingles(text: bytes | None, k: int = WORDS) -> np.ndarray:
+    """The sorted distinct shingle hashes."""
+    return np.unique(_hashed(text, k)[0])
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (hashes >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -82,48 +94,66 @@ def _sized(docs: DataFrame, k: int) -> DataFrame:
     """Rows (doc_id, n, sig) of documents, and (part, counts) of bucket counts with n null."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        total = np.zeros(SHINGLE_BUCKETS + WORD_BUCKETS, np.int64)
         names = ["doc_id", "n", "sig", "part", "counts"]
         for batch in batches:
-            sets = [shingles(t.as_py(), k) for t in batch[1]]
+            sets, words = [], []
+            for t in batch[1]:
+                h, w = _hashed(t.as_py(), k)
+                sets.append(np.unique(h))
+                words.append(w)
             if sets:
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
+                total[:SHINGLE_BUCKETS] += np.bincount(_bucket(np.concatenate(sets), SHINGLE_BUCKETS), minlength=SHINGLE_BUCKETS)
+                total[SHINGLE_BUCKETS:] += np.bincount(_bucket(np.concatenate(words), WORD_BUCKETS), minlength=WORD_BUCKETS)
             n, sig = pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
             none = pa.nulls(len(sets))
             yield pa.RecordBatch.from_arrays([batch[0], n, sig, none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         none = pa.nulls(SLICES)
-        parts = pa.array([x.tobytes() for x in np.split(total, SLICES)], pa.binary())
+        parts = pa.array([_packed(x) for x in np.split(total, SLICES)], pa.binary())
         yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(range(SLICES), pa.int32()), parts], names=names)
 
     return _read(docs).mapInArrow(scan, "doc_id long, n long, sig binary, part int, counts binary")
 
 
-def _classes(sized: DataFrame) -> np.ndarray:
-    """A byte for each bucket: its count on a log scale."""
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs, that number first."""
+    width = next(w for w in (1, 2, 4, 8) if int(counts.max(initial=0)) < 1 << (8 * w))
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
+def _order(sized: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(a class for each bucket of shingles: 0, or how frequent; the log count of each bucket of words)."""
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table["counts"])
-        return pa.table({"part": table["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+        total = sum(_unpacked(x.as_py()) for x in table["counts"])
+        return pa.table({"part": table["part"][:1], "counts": pa.array([_packed(total)], pa.binary())})
 
     got = sized.where(F.col("part").isNotNull()).select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    width = len(counts) // SLICES
+    width = (SHINGLE_BUCKETS + WORD_BUCKETS) // SLICES
+    counts = np.zeros(width * SLICES, np.int64)
     for r in got:
-        counts[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
-    return np.minimum(255, np.ceil(6 * np.log2(1 + counts.astype(np.float64)))).astype(np.uint8)
+        counts[r["part"] * width : (r["part"] + 1) * width] = _unpacked(bytes(r["counts"]))
+    one, words = counts[:SHINGLE_BUCKETS], counts[SHINGLE_BUCKETS:]
+    frequent = np.log2(np.maximum(1, one / (FREQUENT * max(1.0, float(np.median(one))))))
+    return np.ceil(4 * frequent).astype(np.uint8), np.log2(1 + words).astype(np.float32)
 
 
-def _prefixes(docs: DataFrame, k: int, percent: int, classes: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, k: int, percent: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Rows (token, sig, n, pos): pos counts from 1 in the rare-first order."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes.tobytes())
+    shared = docs.sparkSession.sparkContext.broadcast([x.tobytes() for x in order])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = np.frombuffer(shared.value, np.uint8)
+        frequent, common = np.frombuffer(shared.value[0], np.uint8), np.frombuffer(shared.value[1], np.float32)
         seen: set[bytes] = set()
         for batch in batches:
             tokens, at, sigs, sizes = [], [], [], []
             for t in batch[1]:
-                s = shingles(t.as_py(), k)
+                h, w = _hashed(t.as_py(), k)
+                s, where = np.unique(h, return_index=True)
                 sig = xxhash.xxh3_128_digest(s.tobytes())
                 if not len(s) or sig in seen:
                     continue
@@ -132,7 +162,9 @@ def _prefixes(docs: DataFrame, k: int, percent: int, classes: np.ndarray) -> Dat
                 seen.add(sig)
                 n = len(s)
                 p = n - -(-percent * n // 100) + 1
-                key = rare[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+                usual = common[_bucket(w, WORD_BUCKETS)]
+                usual = sum(usual[i : i + len(h)] for i in range(k)) if len(w) >= k else usual.sum(keepdims=True)
+                key = 4096 * frequent[_bucket(s, SHINGLE_BUCKETS)].astype(np.float64) + usual[where]
                 first = np.flatnonzero(key <= np.partition(key, p - 1)[p - 1])
                 first = first[np.argsort(key[first], kind="stable")][:p]
                 tokens.append(s[first].view(np.int64))
@@ -147,26 +179,43 @@ def _prefixes(docs: DataFrame, k: int, percent: int, classes: np.ndarray) -> Dat
     return _read(docs).mapInArrow(scan, "token long, sig binary, n int, pos int")
 
 
+def _several(postings: DataFrame) -> DataFrame:
+    """The postings of tokens that two classes have."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            token = batch[0].to_numpy().view(np.uint64)
+            order = np.argsort(token, kind="stable")
+            token = token[order]
+            once = np.r_[True, token[1:] != token[:-1]]
+            yield token[once]
+            yield np.unique(token[~once])  # in this batch twice, so counted twice
+
+    shared = postings.sparkSession.sparkContext.broadcast(repeated(postings.select("token"), hashes, postings.count()))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            yield batch.filter(pa.array(marked(bitmap, batch[0].to_numpy().view(np.uint64))))
+
+    some = written(postings.mapInArrow(scan, postings.schema).distinct(), "marked")
+    several = some.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo != hi").select("token")
+    return some.join(several, "token")
+
+
 def _sets(docs: DataFrame, k: int, need: DataFrame) -> DataFrame:
     """(sig, tokens) for the needed (sig, rep): the sets of those documents, read again."""
-    size = 1 << FILTER_BITS
-    index = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
-    words = need.select(index("rep").alias("i")).selectExpr("i div 64 w", "shiftleft(1L, cast(i % 64 as int)) b").groupBy("w").agg(F.bit_or("b").alias("b")).collect()  # 2^17 rows at most
-    bits = np.zeros(size // 64, np.int64)
-    bits[[r["w"] for r in words]] = [r["b"] for r in words]
-    shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+    shared = docs.sparkSession.sparkContext.broadcast(ids(need, "rep"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.int64)
+        bitmap = np.frombuffer(shared.value, np.int64)
         for batch in batches:
-            i = batch[2].to_numpy()
-            keep = pa.array((bits[i >> 6] >> (i & 63)) & 1 == 1)
-            batch = batch.filter(keep)
+            batch = batch.filter(pa.array(has_id(bitmap, batch[2].to_numpy())))
             sets = [shingles(t.as_py(), k).tobytes() for t in batch[1]]
             sigs = [xxhash.xxh3_128_digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays([batch[0], pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "sig", "tokens"])
 
-    found = _read(docs).withColumn("i", index("doc_id")).mapInArrow(scan, "doc_id long, sig binary, tokens binary")
+    found = _read(docs).withColumn("bit", id_bit("doc_id")).mapInArrow(scan, "doc_id long, sig binary, tokens binary")
     found = found.join(need, "sig").where(F.col("doc_id").eqNullSafe(F.col("rep")))
     return found.select("sig", "tokens").dropDuplicates(["sig"])
 
@@ -196,47 +245,56 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _candidates(x: DataFrame, y: DataFrame, percent: int, extra) -> DataFrame:
-    """Distinct pairs of postings on one token that pass the length and the positional filter."""
+    """Pairs (x, y) of postings on one token that pass the length and the positional filter."""
     x, y = x.alias("x"), y.alias("y")
     n, m, i, j = (F.col(c).cast("long") for c in ("x.n", "y.n", "x.pos", "y.pos"))
     on = (F.col("x.token") == F.col("y.token")) & (F.col("x.sig") != F.col("y.sig")) & extra
     on &= 100 * F.least(n, m) >= percent * F.greatest(n, m)
     on &= (100 + percent) * (1 + F.least(n - i, m - j)) >= percent * (n + m)
-    return x.join(y, on).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
+    return x.join(y, on).select(F.col("x.sig").alias("x"), F.col("y.sig").alias("y"))
 
 
 def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(documents as doc_id, n, sig; components of classes as sig, component). Both are written tables."""
     sized = written(_sized(docs, words), "sized")
-    classes = _classes(sized)
     found = sized.where("n is not null").select("doc_id", "n", "sig")
-    postings = written(_prefixes(docs, words, percent, classes), "postings")
-    several = postings.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo != hi").select("token")
-    shared = written(postings.join(several, "token").distinct(), "shared")
+    postings = written(_prefixes(docs, words, percent, _order(sized)), "postings")
+    labelled = written(_several(postings).withColumn("comp", F.col("sig")), "shared")
     reps = found.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    need = written(reps.join(shared.select("sig").distinct(), "sig"), "need")
-    sets = written(_sets(docs, words, need), "sets")
-    one = F.struct("sig", "n", "pos")
-    edges = tested = None
-    labelled = shared.withColumn("comp", F.col("sig"))
-    for pick in (F.min(one), F.max(one), None):
-        if pick is None:  # all pairs across components, on the tokens that have several
-            across = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
-            left = labelled.join(across, "token")
-            pairs = _candidates(left, left, percent, (F.col("x.sig") < F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")))
+    sets = tested = edges = None
+    for turn in range(ROUNDS + 1):
+        stars, x = turn < ROUNDS, labelled
+        if stars:
+            # a class with few shingles of its own has an early place for shared ones: it is near to most of its group
+            place = F.col("pos") if turn % 2 == 0 else F.lit(0)
+            one = F.struct(place.alias("place"), F.xxhash64("sig", "token", F.lit(turn)).alias("h"), "sig", "n", "pos", "comp")
+            ends = labelled.groupBy("token").agg(F.array_distinct(F.array(F.min(one), F.max(one))).alias("s"))
+            ends = ends.select("token", F.explode("s").alias("s")).select("token", "s.sig", "s.n", "s.pos", "s.comp")
+            pairs = _candidates(labelled, ends, percent, F.col("x.comp") != F.col("y.comp"))
+            some = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("y", F.lit(turn)).alias("h"), "y"))), 1, STARS)  # of a class's own shingles
+            pairs = pairs.distinct().groupBy("x").agg(some.alias("y")).select("x", F.explode("y").alias("y")).select("x", "y.y")
         else:
-            first = labelled.groupBy("token").agg(pick.alias("s")).select("token", "s.*")
-            first = first.join(labelled.select("token", "sig", "comp"), ["token", "sig"]) if tested is not None else first.withColumn("comp", F.col("sig"))
-            pairs = _candidates(labelled, first, percent, F.col("x.comp") != F.col("y.comp"))
+            pairs = _candidates(x, x, percent, (F.col("x.sig") < F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")))
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
+        ends = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+        if sets is not None:
+            ends = ends.join(sets.select("sig"), "sig", "left_anti")
+        need = written(reps.join(ends, "sig"), "need")
+        if sets is None or need.head(1):
+            more = written(_sets(docs, words, need), "sets")
+            sets = more if sets is None else sets.union(more)
         good = written(_verified(pairs, sets, percent), "edges")
         edges = good if edges is None else edges.union(good)
         comps = written(components(edges), "components").withColumnsRenamed({"node": "sig", "component": "comp"})
-        if pick is not None:
-            labelled = written(shared.join(comps, "sig", "left").withColumn("comp", F.coalesce("comp", "sig")), "labelled")
+        if stars:  # only tokens that part components still can link any
+            labelled = labelled.drop("comp").join(comps, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+            labelled = written(labelled, "labelled")
+            across = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
+            labelled = written(labelled.join(across, "token"), "labelled")
     return found, comps
 
 
@@ -254,6 +312,10 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     Rows that repeat that doc_id count as one document: one of them stays. Rows with a null doc_id stay.
     """
-    keep = jaccard_components(docs, words, percent).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    known = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return known.join(keep, known["doc_id"].cast("long") == keep["kept_id"], "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    gone = jaccard_components(docs, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = written(gone, "gone")
+    sure, others = parted(docs, "doc_id", gone, "gone_id")
+    kept = sure.union(others.join(gone, others["doc_id"].cast("long") == gone["gone_id"], "left_anti"))
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
+        kept = kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    return kept
