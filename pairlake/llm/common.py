@@ -45,4 +45,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pairlake/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.pairlake_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table of written() that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.pairlake_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

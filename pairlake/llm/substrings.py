@@ -4,6 +4,8 @@ A byte is removed if a string of ``length`` bytes that covers it also starts in
 smaller doc_id. Texts are UTF-8 bytes; matches never cross documents, and strings are judged on the
 input.
 
+0. Whole copies. A document whose text a smaller doc_id has is removed whole and not looked at again:
+   nothing starts in it first. What is looked at is a bitmap of ids, so a false bit looks at a copy too.
 1. Anchors. Each window of ``length`` bytes selects the least hash of its 18-byte strings (winnowing),
    so equal windows select equal anchors. A scan collects each document's anchors; those in two
    documents or more are marked in a bitmap of 8 MB, whatever the corpus holds. A false mark costs
@@ -32,18 +34,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
+from .marks import has_id, id_bit, ids, marked, parted, repeated
 
 LENGTH = 50
 GRAM = 18
-MARK_BITS = 26
-#: Anchors of a batch, contents of a group, shards of a merge.
-BATCH, PER_GROUP, SHARDS = 2_000_000, 20_000, 16
-#: Documents whose anchors meet in one task, about.
-PER_BUCKET = 4000
+#: Contents of a group, shards of a merge, anchors of a document, all about.
+PER_GROUP, SHARDS, PER_DOC = 20_000, 16, 200
 #: Odd multipliers.
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -72,90 +73,80 @@ def _read(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
-def _marks(docs: DataFrame, length: int) -> bytes:
-    """The bitmap of anchors that two documents have, by their first MARK_BITS bits."""
-    bits = int(np.clip(np.ceil(np.log2(max(1, docs.count()) / PER_BUCKET)), 4, 14))
+def _later(docs: DataFrame, length: int) -> DataFrame:
+    """(doc_id, n) of documents of n bytes whose whole text a smaller doc_id has; not of a doc_id with several rows."""
+    n = F.octet_length("text").cast("long")
+    info = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), n.alias("n"))
+    info = written(info.where((F.col("n") >= length) & F.col("doc_id").isNotNull()), "digests")
+    first = info.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    once = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("count = 1")
+    return info.join(first, "digest").where("doc_id > first").select("doc_id", "n").join(once, "doc_id", "left_semi")
 
-    def deal(held: list[np.ndarray]) -> pa.RecordBatch:
-        found, n = np.unique(np.concatenate(held), return_counts=True)
-        cuts = np.searchsorted(found, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-        once, more = np.split(found, cuts), [x[k > 1] for x, k in zip(np.split(found, cuts), np.split(n, cuts))]
-        blobs = [pa.array([x.tobytes() for x in parts], pa.binary()) for parts in (once, more)]
-        return pa.RecordBatch.from_arrays([pa.array(range(1 << bits), pa.int32()), *blobs], names=["bucket", "once", "more"])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            for doc, text in zip(batch[0], batch[1]):
-                if doc.is_valid and text.is_valid:
-                    x = anchors(text.as_py(), length)
-                    if len(x):
-                        held.append(np.unique(x[np.flatnonzero(np.r_[True, x[1:] != x[:-1]])]))
-                        n += len(held[-1])
-                if n >= BATCH:
-                    yield deal(held)
-                    held, n = [], 0
-        if held:
-            yield deal(held)
+def _own(batches: Iterator[pa.RecordBatch], kept: bytes) -> Iterator[list[tuple[int, bytes]]]:
+    """Batches of (doc_id, text), without nulls and without what isn't in the bitmap of ids to look at."""
+    bitmap = np.frombuffer(kept, np.int64)
+    for batch in batches:
+        batch = batch.filter(pa.array(has_id(bitmap, batch[2].to_numpy())))
+        yield [(d, t.as_py()) for d, t in zip(batch[0].to_pylist(), batch[1]) if d is not None and t.is_valid]
 
-    width = 1 << (MARK_BITS - bits)
 
-    def meet(table: pa.Table) -> pa.Table:
-        mark = np.zeros(width, bool)
-        found = np.sort(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["once"]]))
-        found = np.concatenate([found[1:][found[1:] == found[:-1]], *(np.frombuffer(x.as_py(), np.uint64) for x in table["more"])])
-        mark[(found >> np.uint64(64 - MARK_BITS)).astype(np.int64) & (width - 1)] = True
-        return pa.table({"bucket": table["bucket"][:1], "mark": pa.array([np.packbits(mark).tobytes()], pa.binary())})
+def _marks(docs: DataFrame, length: int, kept: Broadcast) -> bytes:
+    """The bitmap of anchors that two documents have."""
 
-    dealt = _read(docs).mapInArrow(scan, "bucket int, once binary, more binary")
-    parts = {r["bucket"]: r["mark"] for r in dealt.groupBy("bucket").applyInArrow(meet, "bucket int, mark binary").collect()}  # 2^MARK_BITS bits
-    return b"".join(bytes(parts.get(i, bytes(width // 8))) for i in range(1 << bits))
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for rows in _own(batches, kept.value):
+            for _, text in rows:
+                x = anchors(text, length)
+                if len(x):
+                    yield np.unique(x[np.flatnonzero(np.r_[True, x[1:] != x[:-1]])])
 
+    return repeated(_read(docs).withColumn("bit", id_bit("doc_id")), hashes, PER_DOC * docs.count())
 
-FRAGMENTS = "cid binary, doc_id long, start long, windows long, anchor long, shard int, content binary"
 
+#: cid is a hash of the content, which stands beside its anchor's; place is start * 2^20 + windows of an occurrence.
+FRAGMENTS = "anchor long, cid long, doc_id long, place long, shard int, content binary"
+MOST = 1 << 20
 
-def _fragments(docs: DataFrame, length: int, marks: bytes) -> DataFrame:
-    """Occurrences (content null) and contents (start null) of runs of windows with a marked anchor."""
+
+def _fragments(docs: DataFrame, length: int, marks: bytes, kept: Broadcast) -> DataFrame:
+    """Occurrences (content null) and contents (place null) of runs of windows with a marked anchor."""
     shared = docs.sparkSession.sparkContext.broadcast(marks)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(shared.value, np.uint8)
         shard = TaskContext.get().partitionId() % SHARDS
         names = [x.split()[0] for x in FRAGMENTS.split(", ")]
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        for batch in batches:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        for rows in _own(batches, kept.value):
             least: dict[bytes, list] = {}
-            cids, docs_, starts, counts = [], [], [], []
-            for doc, text in zip(batch[0].to_pylist(), batch[1]):
-                if doc is None or not text.is_valid:
-                    continue
-                text = text.as_py()
+            keys, cids, docs_, places = [], [], [], []
+            for doc, text in rows:
                 x = anchors(text, length)
                 if not len(x):
                     continue
                 first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
                 end = np.r_[first[1:], len(x)]
-                bit = (x[first] >> np.uint64(64 - MARK_BITS)).astype(np.int64)
-                hit = (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
-                first, end = first[hit], end[hit]
-                for s, e, a in zip(first.tolist(), end.tolist(), x[first].view(np.int64).tolist()):
-                    content = text[s : e + length - 1]
-                    known = least.get(content)
-                    if known is None:
-                        known = least[content] = [xxhash.xxh3_128_digest(content), doc, a]
-                    elif doc < known[1]:
-                        known[1] = doc
-                    cids.append(known[0])
-                    docs_.append(doc)
-                    starts.append(s)
-                    counts.append(e - s)
-            n, m = len(cids), len(least)
-            columns = [cids + [v[0] for v in least.values()], docs_ + [v[1] for v in least.values()], starts + [None] * m, counts + [None] * m]
-            columns += [[None] * n + [v[2] for v in least.values()], [None] * n + [shard] * m, [None] * n + list(least)]
+                hit = marked(bitmap, x[first])
+                for s, e, a in zip(first[hit].tolist(), end[hit].tolist(), x[first][hit].view(np.int64).tolist()):
+                    for s in range(s, e, MOST - 1):  # a run of one long repeated byte may be longer
+                        n = min(e - s, MOST - 1)
+                        content = text[s : s + n + length - 1]
+                        known = least.get(content)
+                        if known is None:
+                            known = least[content] = [xxhash.xxh3_64_intdigest(content) - (1 << 63), doc, a]
+                        elif doc < known[1]:
+                            known[1] = doc
+                        keys.append(a)
+                        cids.append(known[0])
+                        docs_.append(doc)
+                        places.append(s * MOST + n)
+            n, m, own = len(cids), len(least), list(least.values())
+            columns = [keys + [v[2] for v in own], cids + [v[0] for v in own], docs_ + [v[1] for v in own], places + [None] * m]
+            columns += [[None] * n + [shard] * m, [None] * n + list(least)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return _read(docs).mapInArrow(scan, FRAGMENTS)
+    return _read(docs).withColumn("bit", id_bit("doc_id")).mapInArrow(scan, FRAGMENTS)
 
 
 class Shard:
@@ -230,18 +221,16 @@ def earlier(contents: list[bytes], docs: np.ndarray, shard: np.ndarray, length:
 
 
 def _decided(fragments: DataFrame, length: int) -> DataFrame:
-    """cid, least (doc_id), runs of windows that are earlier elsewhere."""
+    """anchor, cid, least (doc_id), runs of windows that are earlier elsewhere."""
     contents = fragments.where("content is not null")
     groups = max(1, -(-contents.count() // PER_GROUP))
 
     def decide(table: pa.Table) -> pa.Table:
-        cid, docs, anchor = table["cid"].to_pylist(), table["doc_id"].to_numpy(), table["anchor"].to_numpy()
-        first: dict[bytes, int] = {}
-        least = docs.copy()
-        for i, c in enumerate(cid):
-            k = first.setdefault(c, i)
-            least[k] = min(least[k], docs[i])
-        keep = np.array(list(first.values()), np.int64)
+        cid, docs, anchor = table["cid"].to_numpy(), table["doc_id"].to_numpy(), table["anchor"].to_numpy()
+        order = np.lexsort((docs, cid, anchor))
+        new = np.r_[True, (cid[order][1:] != cid[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])]
+        keep = order[new]  # of equal contents the one with the smallest doc_id
+        least = docs
         _, inverse, n = np.unique(anchor[keep], return_inverse=True, return_counts=True)
         several = np.flatnonzero(n[inverse] > 1)  # an anchor with one content has nothing to merge
         runs: list[list[tuple[int, int]]] = [[] for _ in keep]
@@ -252,23 +241,28 @@ def _decided(fragments: DataFrame, length: int) -> DataFrame:
                 runs[i] = r
         kind = pa.list_(pa.struct([("at", pa.int64()), ("windows", pa.int64())]))
         rows = [[{"at": a, "windows": w} for a, w in r] for r in runs]
-        return pa.table({"cid": pa.array([cid[i] for i in keep], pa.binary()), "least": pa.array(least[keep]), "runs": pa.array(rows, kind)})
+        return pa.table({"anchor": anchor[keep], "cid": cid[keep], "least": least[keep], "runs": pa.array(rows, kind)})
 
-    cut = contents.select("cid", "doc_id", "anchor", "shard", "content", F.pmod(F.xxhash64("anchor"), F.lit(groups)).alias("g"))
-    return cut.groupBy("g").applyInArrow(decide, "cid binary, least long, runs array<struct<at:long,windows:long>>")
+    cut = contents.select("anchor", "cid", "doc_id", "shard", "content", F.pmod(F.xxhash64("anchor"), F.lit(groups)).alias("g"))
+    return cut.groupBy("g").applyInArrow(decide, "anchor long, cid long, least long, runs array<struct<at:long,windows:long>>")
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, spans (array of [start, end) byte offsets to remove, maximal and in order), of documents that have any."""
     if length % 2 or length < 2 * GRAM:
         raise ValueError(f"length must be even and {2 * GRAM} at least: {length}")
-    fragments = written(_fragments(docs, length, _marks(docs, length)), "fragments")
+    later = written(_later(docs, length), "later")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+    kept = docs.sparkSession.sparkContext.broadcast(ids(every.join(later, "doc_id", "left_anti"), "doc_id"))
+    fragments = written(_fragments(docs, length, _marks(docs, length, kept), kept), "fragments")
     decided = _decided(fragments, length)
-    seen = fragments.where("content is null").select("cid", "doc_id", "start", "windows")
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("at"), F.col("windows").alias("windows")))
+    seen = fragments.where("content is null").select("anchor", "cid", "doc_id", "place")
+    start, windows = F.shiftright("place", 20), F.col("place") % MOST
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("at"), windows.alias("windows")))
     runs = F.when(F.col("doc_id") > F.col("least"), whole).otherwise(F.col("runs"))
-    hits = seen.join(decided, "cid").select("doc_id", "start", F.explode(runs).alias("r"))
+    hits = seen.join(decided, ["anchor", "cid"]).select("doc_id", start.alias("start"), F.explode(runs).alias("r"))
     hits = hits.select("doc_id", (F.col("start") + F.col("r.at")).alias("s"), (F.col("start") + F.col("r.at") + F.col("r.windows") + (length - 1)).alias("e"))
+    hits = hits.union(later.select("doc_id", F.lit(0).cast("long"), "n"))
 
     def join(table: pa.Table) -> pa.Table:
         s, e = table["s"].to_numpy(), table["e"].to_numpy()
@@ -278,12 +272,14 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         rows = [[a, b] for a, b in zip(s[cut].tolist(), e[np.r_[cut[1:], len(s)] - 1].tolist())]
         return pa.table({"doc_id": table["doc_id"][:1], "spans": pa.array([rows], pa.list_(pa.list_(pa.int64())))})
 
-    return hits.groupBy("doc_id").applyInArrow(join, "doc_id long, spans array<array<long>>")
+    found = written(hits.groupBy("doc_id").applyInArrow(join, "doc_id long, spans array<array<long>>"), "spans")
+    dropped(fragments)
+    return found
 
 
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the spans."""
-    cut = written(spans(docs, length), "spans").withColumnRenamed("doc_id", "of")
+    cut = spans(docs, length).withColumnRenamed("doc_id", "of")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,9 +296,21 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             arrays = [batch[0], *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string()), batch[2]]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    rows = _read(docs)
-    rows = rows.join(cut, rows["doc_id"] == cut["of"], "left").select("doc_id", "text", "spans")
-    return rows.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
+    shared = docs.sparkSession.sparkContext.broadcast(ids(cut, "of"))
+
+    def only(flagged: bool):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bitmap = np.frombuffer(shared.value, np.int64)
+            for batch in batches:
+                yield batch.filter(pa.array(has_id(bitmap, batch[2].to_numpy()) == flagged)).select([0, 1])
+
+        return _read(docs).withColumn("bit", id_bit("doc_id")).mapInArrow(scan, "doc_id long, text binary")
+
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"
+    some = only(True)  # only texts that may have spans travel
+    some = some.join(cut, some["doc_id"] == cut["of"], "left").select("doc_id", "text", "spans")
+    none = only(False).select("doc_id", "text", F.lit(None).cast("array<array<long>>").alias("spans"))
+    return some.mapInArrow(digest, schema).union(none.mapInArrow(digest, schema))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -310,7 +318,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Documents of which no word is left are dropped, others keep all their columns.
     """
-    cut = written(spans(docs, length), "spans").withColumnsRenamed({"doc_id": "pairlake_of", "spans": "pairlake_spans"})
+    cut = spans(docs, length).withColumnsRenamed({"doc_id": "pairlake_of", "spans": "pairlake_spans"})
 
     @F.pandas_udf("string")
     def kept(text, gone):
@@ -335,9 +343,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     columns = docs.columns
-    out = docs.join(cut, docs["doc_id"].cast("long") == cut["pairlake_of"], "left")
+    sure, others = parted(docs, "doc_id", cut, "pairlake_of")
+    out = others.join(cut, others["doc_id"].cast("long") == cut["pairlake_of"], "left")
     hit = F.col("pairlake_spans").isNotNull()
     out = out.withColumn("text", F.when(hit, kept("text", "pairlake_spans")).otherwise(F.col("text")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(hit, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.where(~hit | F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(*columns)
+    return sure.union(out.where(~hit | F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(*columns))
