@@ -132,12 +132,12 @@ def _snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.asof_backward(want, p, "dt", ["series_id"], ["dt", "idx"], False).select("series_id", F.col("dt").alias("want"), F.col("right_idx").alias("pos"))
 
 
-@query(f"{SNAP} SELECT s.series_id, want, pos, count(*) AS n, round(sum(price), 3) AS total FROM s JOIN v_price p ON p.series_id = s.series_id AND p.idx BETWEEN pos - 5 AND pos + 5 GROUP BY ALL")
+@query(f"{SNAP} SELECT s.series_id, want, pos, count(*) AS n, round(sum(price) / 7.0, 4) AS total FROM s JOIN v_price p ON p.series_id = s.series_id AND p.idx BETWEEN pos - 5 AND pos + 5 GROUP BY ALL")
 def snap_le_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     around = _snap(spark, sf_dir).withColumn("i", F.explode(F.sequence(F.col("pos") - 5, F.col("pos") + 5)))
     p = V.price(spark, sf_dir).select(F.col("series_id").alias("s"), F.col("idx"), "price")
     j = around.join(p, (F.col("series_id") == F.col("s")) & (F.col("i") == F.col("idx")))
-    return j.groupBy("series_id", "want", "pos").agg(F.count("*").alias("n"), F.round(F.sum("price"), 3).alias("total"))
+    return j.groupBy("series_id", "want", "pos").agg(F.count("*").alias("n"), F.round(F.sum("price") / 7.0, 4).alias("total"))
 
 
 @query(f"{SNAP}, g AS (SELECT s.series_id, want, count(*) FILTER (WHERE idx <= pos) AS h, count(*) FILTER (WHERE idx > pos) AS f FROM s JOIN v_price p ON p.series_id = s.series_id AND p.idx BETWEEN pos - 7 AND pos + 3 GROUP BY ALL) SELECT * FROM g WHERE h >= 3 AND f >= 1")
@@ -148,9 +148,9 @@ def snap_le_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.where("h >= 3 and f >= 1")
 
 
-@query(f"{ITEM} SELECT series_id, round(list_sum(history[6:]), 3) AS h, round(list_sum(future[:3]), 3) AS f FROM v_item")
+@query(f"{ITEM} SELECT series_id, round(list_sum(history[6:]) / 7.0, 4) AS h, round(list_sum(future[:3]) / 7.0, 4) AS f FROM v_item")
 def fix_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir).select("series_id", F.round(S.total(F.slice("history", -5, 5)), 3).alias("h"), F.round(S.total(F.slice("future", 1, 3)), 3).alias("f"))
+    return items(spark, sf_dir).select("series_id", F.round(S.total(F.slice("history", -5, 5)) / 7.0, 4).alias("h"), F.round(S.total(F.slice("future", 1, 3)) / 7.0, 4).alias("f"))
 
 
 @query(f"{ITEM} SELECT series_id, len(history) AS h, len(future) AS f, round(list_sum(future), 3) AS total FROM v_item")

@@ -173,9 +173,9 @@ def months_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(F.explode(F.array("day", F.date_sub("day", 4))).alias("d")).select(F.date_format("d", "yyyy-MM").alias("month")).distinct()
 
 
-@query(f"WITH {EVENTS}, have AS (SELECT DISTINCT strftime(day, '%Y-%m') AS month FROM v_article WHERE article_id % 11 < 4) SELECT DISTINCT strftime(day, '%Y-%m') AS month FROM v_event WHERE strftime(day, '%Y-%m') NOT IN (SELECT month FROM have)")
+@query(f"WITH {EVENTS}, have AS (SELECT DISTINCT strftime(day, '%Y-%m') AS month FROM v_article WHERE article_id % 97 = 0) SELECT DISTINCT strftime(day, '%Y-%m') AS month FROM v_event WHERE strftime(day, '%Y-%m') NOT IN (SELECT month FROM have)")
 def pool_monthly_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    have = V.article(spark, sf_dir).where("article_id % 11 < 4").select(F.date_format("day", "yyyy-MM").alias("month")).distinct()
+    have = V.article(spark, sf_dir).where("article_id % 97 = 0").select(F.date_format("day", "yyyy-MM").alias("month")).distinct()
     return events(spark, sf_dir).select(F.date_format("day", "yyyy-MM").alias("month")).distinct().join(have, "month", "left_anti")
 
 
