@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: The five (lower bound) and eight ASCII white space characters that part words.
@@ -50,6 +52,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows at most, so that what is made of one doesn't fill a worker's memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes a table of written() that nothing reads any more."""
     spark = df.sparkSession

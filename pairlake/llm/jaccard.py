@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 from .graph import components
 from .marks import has_id, id_bit, ids, marked, parted, repeated
 
@@ -44,7 +44,7 @@ FREQUENT = 2
 #: Rounds of pairs with central classes, and pairs of a class in each; all others are left to the last round.
 ROUNDS, STARS = 1, 12
 #: Words whose hash a worker keeps, and digests that a task remembers.
-CACHE = 200_000
+CACHE = 100_000
 #: Odd multipliers of the words of a shingle, and of the final mixing.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 PIVOTS = (np.arange(1, 16, dtype=np.uint64)) << np.uint64(60)
@@ -96,7 +96,7 @@ def _sized(docs: DataFrame, k: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SHINGLE_BUCKETS + WORD_BUCKETS, np.int64)
         names = ["doc_id", "n", "sig", "part", "counts"]
-        for batch in batches:
+        for batch in small(batches):
             sets, words = [], []
             for t in batch[1]:
                 h, w = _hashed(t.as_py(), k)
@@ -149,7 +149,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, order: tuple[np.ndarray, np
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, common = np.frombuffer(shared.value[0], np.uint8), np.frombuffer(shared.value[1], np.float32)
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in small(batches):
             tokens, at, sigs, sizes = [], [], [], []
             for t in batch[1]:
                 h, w = _hashed(t.as_py(), k)
@@ -209,7 +209,7 @@ def _sets(docs: DataFrame, k: int, need: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(shared.value, np.int64)
-        for batch in batches:
+        for batch in small(batches):
             batch = batch.filter(pa.array(has_id(bitmap, batch[2].to_numpy())))
             sets = [shingles(t.as_py(), k).tobytes() for t in batch[1]]
             sigs = [xxhash.xxh3_128_digest(s) for s in sets]

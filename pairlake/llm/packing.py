@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 SEQ_LEN = 1024
 EOS = 2
 #: Pieces of one length that are numbered by one task, about.
 PER_SALT = 50_000
 #: Chunks of text whose ids a worker keeps.
-CACHE = 200_000
+CACHE = 100_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -92,7 +92,7 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k", seq_len: int = SEQ_
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[] for _ in range(5 + with_ids)]
             for doc, text in zip(batch[0].to_pylist(), batch[1]):
                 ids = encode(text.as_py() or "") + end

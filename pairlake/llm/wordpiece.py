@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 START = b" "
 #: Words whose count a worker keeps.
-CACHE = 300_000
+CACHE = 150_000
 
 
 def vocabulary(name: str) -> list[bytes]:
@@ -126,7 +128,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k") -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = _counts(tokenizer).__getitem__
-        for batch in batches:
+        for batch in small(batches):
             words = [(t.as_py() or b"").split() for t in batch[1]]
             n, tokens = pa.array([len(w) for w in words], pa.int64()), pa.array([sum(map(get, w)) for w in words], pa.int64())
             yield pa.RecordBatch.from_arrays([batch[0], n, tokens], names=["doc_id", "n_words", "n_tokens"])
