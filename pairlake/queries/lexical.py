@@ -181,4 +181,55 @@ def context_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "documents").select("doc_id", (F.col("text").rlike(r"\b(19|20)\d{2}\b") & F.col("text").rlike("(?i)license")).alias("leak"))
 
 
+POOL = (2.5, 3.2, 5.25, 4.5)
+
+
+@query(f"{X}, n AS (SELECT id, list_filter(list_transform(regexp_extract_all(txt, '\\d+\\.\\d+'), lambda x: x::DOUBLE), lambda x: true) AS d FROM v_text) SELECT id, round(CASE WHEN len(d) = 0 THEN 0 ELSE len(list_filter(d, lambda n: len(list_filter([2.5, 3.2, 5.25, 4.5]::DOUBLE[], lambda p: abs(n - p) <= greatest(0.02 * abs(p), 1e-6))) > 0)) / len(d) END, 6)::DOUBLE AS rate FROM n")
+def match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of stated decimals within 2 % of a number of the pool; 0 without any."""
+    d = L.decimals(F.col("txt"))
+    lost = L.unmatched(d, F.array(*map(F.lit, POOL)), 0.02, 1e-6)
+    rate = F.when(F.size(d) == 0, 0.0).otherwise((F.size(d) - F.size(lost)) / F.size(d))
+    return texts(spark, sf_dir).select("id", F.round(rate, 6).alias("rate"))
+
+
+@query(f"""{X}, a AS (SELECT id, 1 AS attempt, txt FROM v_text UNION ALL SELECT id, 2, 'Rose 2.5 percent.' FROM v_text WHERE id % 3 = 0),
+ok AS (SELECT * FROM a WHERE len(regexp_extract_all(txt, '\\d+\\.\\d+')) > 0 AND len(list_filter(list_transform(regexp_extract_all(txt, '\\d+\\.\\d+'), lambda x: x::DOUBLE), lambda n: abs(n - 2.5) > 0.02)) = 0),
+f AS (SELECT id, arg_min(txt, attempt) AS txt FROM ok GROUP BY 1) SELECT v.id, coalesce(f.txt, 'fallback') AS described, f.id IS NOT NULL AS generated FROM v_text v LEFT JOIN f USING (id)""")
+def grounded_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first attempt whose numbers are grounded, else the fallback."""
+    t = texts(spark, sf_dir).select("id", "txt")
+    attempts = t.withColumn("attempt", F.lit(1)).unionByName(t.where("id % 3 = 0").select("id", F.lit("Rose 2.5 percent.").alias("txt"), F.lit(2).alias("attempt")))
+    d = L.decimals(F.col("txt"))
+    good = attempts.where((F.size(d) > 0) & (F.size(L.unmatched(d, F.array(F.lit(2.5)))) == 0)).groupBy("id").agg(F.min_by("txt", "attempt").alias("found"))
+    return t.join(good, "id", "left").select("id", F.coalesce("found", F.lit("fallback")).alias("described"), F.col("found").isNotNull().alias("generated"))
+
+
+@query(f"{X} SELECT id, len(list_filter(list_transform(regexp_extract_all(txt, '\\d+\\.\\d+'), lambda x: x::DOUBLE), lambda n: abs(n - 3.2) <= 0.032 OR abs(n - 7.1) <= 0.071)) > 0 AS leak FROM v_text")
+def text_leaks_future(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = L.decimals(F.col("txt"))
+    return texts(spark, sf_dir).select("id", (F.size(L.unmatched(d, F.array(F.lit(3.2), F.lit(7.1)), 0.01, 0.0)) < F.size(d)).alias("leak"))
+
+
+@query("SELECT doc_id, coalesce(list_filter(string_split(text, chr(10)), lambda x: len(x) >= 40)[1], '') AS lead FROM documents")
+def lead_para(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first line of 40 characters or more."""
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 40)
+    return V.table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.get(lines, F.lit(0)), F.lit("")).alias("lead"))
+
+
+@query("SELECT name FROM (SELECT p_name AS name, min(p_partkey) AS first FROM part WHERE len(p_name) >= 4 AND NOT contains(p_name, ':') AND NOT starts_with(p_name, 'List_of') GROUP BY 1) ORDER BY first LIMIT 50")
+def collect_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 50 distinct usable names, by where each comes first."""
+    p = V.table(spark, sf_dir, "part").where((F.length("p_name") >= 4) & ~F.contains("p_name", F.lit(":")) & ~F.startswith("p_name", F.lit("List_of")))
+    return p.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("first")).orderBy("first").limit(50).select("name")
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN role = 'user' ELSE starts_with(role, 'a') END AS forecast FROM conversations")
+def direction_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An explicit direction, else the prefix of the task."""
+    direction = F.when(F.col("turn") % 3 == 0, F.when(F.col("role") == "user", "text_to_ts").otherwise("ts_to_text"))
+    return V.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(direction == "text_to_ts", F.startswith("role", F.lit("a"))).alias("forecast"))
+
+
 QUERIES, ORACLES = query.queries, query.oracles
