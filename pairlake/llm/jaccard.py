@@ -13,8 +13,8 @@ digest), so a group of copies of any size costs one member.
    its shingles lead to, those with few shingles of their own before others, verified and linked; then follow all pairs on
    a shingle whose ends aren't already in one component. So no pair that could join two components is
    left out, but a large group of near copies doesn't emit all its pairs.
-4. Each pair is verified once on whole sets: suffix filter (sizes of the parts between fixed pivots
-   bound the overlap), then the exact intersection.
+4. Each pair is verified once: the suffix filter (sizes of the parts between fixed pivots bound the
+   overlap) needs no sets, the exact intersection follows on whole sets.
 
 Null or empty text, or text without words, has an empty set, links with nothing and is its own
 component. Fewer words than a shingle: the whole sequence is the one shingle. Repeated rows are in
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, written
@@ -47,7 +47,8 @@ ROUNDS, STARS = 1, 12
 CACHE = 100_000
 #: Odd multipliers of the words of a shingle, and of the final mixing.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-PIVOTS = (np.arange(1, 16, dtype=np.uint64)) << np.uint64(60)
+#: Parts that the suffix filter cuts a set's hashes into, at fixed pivots.
+PARTS = 64
 
 
 class _Words(dict):
@@ -204,7 +205,7 @@ def _several(postings: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, k: int, need: DataFrame) -> DataFrame:
-    """(sig, tokens) for the needed (sig, rep): the sets of those documents, read again."""
+    """(sig, tokens, parts) for the needed (sig, rep): the sets of those documents, read again, and their sizes by part."""
     shared = docs.sparkSession.sparkContext.broadcast(ids(need, "rep"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,35 +214,37 @@ def _sets(docs: DataFrame, k: int, need: DataFrame) -> DataFrame:
             batch = batch.filter(pa.array(has_id(bitmap, batch[2].to_numpy())))
             sets = [shingles(t.as_py(), k).tobytes() for t in batch[1]]
             sigs = [xxhash.xxh3_128_digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "sig", "tokens"])
+            parts = pa.array([np.bincount(_bucket(np.frombuffer(s, np.uint64), PARTS), minlength=PARTS) for s in sets], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch[0], pa.array(sigs, pa.binary()), pa.array(sets, pa.binary()), parts], names=["doc_id", "sig", "tokens", "parts"])
 
-    found = _read(docs).withColumn("bit", id_bit("doc_id")).mapInArrow(scan, "doc_id long, sig binary, tokens binary")
+    found = _read(docs).withColumn("bit", id_bit("doc_id")).mapInArrow(scan, "doc_id long, sig binary, tokens binary, parts array<int>")
     found = found.join(need, "sig").where(F.col("doc_id").eqNullSafe(F.col("rep")))
-    return found.select("sig", "tokens").dropDuplicates(["sig"])
+    return found.select("sig", "tokens", "parts").dropDuplicates(["sig"])
 
 
-def bound(a: np.ndarray, b: np.ndarray) -> int:
-    """Suffix filter: no more can be shared than the smaller part between each two pivots."""
-    cut = lambda s: np.diff(np.searchsorted(s, PIVOTS), prepend=0, append=len(s))
-    x, y = cut(a), cut(b)
-    x[-1], y[-1] = len(a) - x[:-1].sum(), len(b) - y[:-1].sum()
-    return int(np.minimum(x, y).sum())
+def bound(x: Column, y: Column) -> Column:
+    """Suffix filter: two sets share no more than the smaller of their sizes in each part."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.least(a, b)), F.lit(0), lambda s, v: s + v)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those that link."""
+    """Of pairs (a, b), those that link: sizes by part are compared before whole sets travel."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for x, y in zip(batch[2], batch[3]):
                 s, t = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                least = -(-percent * (len(s) + len(t)) // (100 + percent))
-                good.append(bound(s, t) >= least and len(np.intersect1d(s, t, assume_unique=True)) >= least)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                good.append(100 * both >= percent * (len(s) + len(t) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    a, b = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
+    side = lambda k, c, as_: sets.select(F.col("sig").alias(k), F.col(c).alias(as_))
+    size = lambda c: F.aggregate(F.col(c), F.lit(0), lambda s, v: s + v)
+    near = pairs.join(side("a", "parts", "x"), "a").join(side("b", "parts", "y"), "b")
+    near = near.where((100 + percent) * bound(F.col("x"), F.col("y")).cast("long") >= percent * (size("x") + size("y")))
+    near = written(near.select("a", "b"), "near")
+    return near.join(side("a", "tokens", "x"), "a").join(side("b", "tokens", "y"), "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
 
 
 def _candidates(x: DataFrame, y: DataFrame, percent: int, extra) -> DataFrame:
