@@ -8,8 +8,9 @@ statistics of texts that pass the base. It starts from medians and absolute devi
 concentration step takes the three quarters of a group that are nearest by Mahalanobis distance and
 estimates mean and covariance from them. The distance that parts them comes from a histogram of
 distances by group (some hundred bins each), so no group is sorted or gathered, a group with a third
-of all rows is aggregated like any other, and all rows count. Covariances get a floor (FLOORS) for
-statistics that hardly vary among clean texts. A text is kept if its squared distance is within
+of all rows is aggregated like any other, and all rows count. The scale is each group's own spread;
+covariances get a small floor (FLOORS) for statistics that don't vary among clean texts. The length of
+words is measured from its group's median, so that it doesn't follow the size of a text. A text is kept if its squared distance is within
 CUTOFF. Groups with fewer than LEAST texts are pooled by language, and those pools if small all
 together; a pool that is still smaller rejects nothing.
 
@@ -31,10 +32,11 @@ WINDOW, LEAST_WORDS, REPEAT_PERCENT = 5, 10, 20
 SHARE, STEPS, LEAST = 0.75, 4, 60
 #: Fixed values for five dimensions and a share of 0.75: the consistency factor of the covariance.
 FACTOR = 1.41
-#: Largest squared distance that is kept: the 0.9999 quantile of chi-squared with five degrees of freedom.
-CUTOFF = 25.745
-#: Least standard deviation of each transformed statistic.
-FLOORS = {"size": 0.5, "length": 0.35, "symbols": 0.5, "lines": 0.3, "repeats": 0.3}
+#: Largest squared distance that is kept: the 0.999 quantile of chi-squared with five degrees of freedom.
+CUTOFF = 20.515
+#: Least standard deviation of each transformed statistic. Size and length have a spread of their own. Most clean
+#: texts have no symbol and no repeat: the floor there is less than a symbol in 20 words or one repeated line adds.
+FLOORS = {"size": 0.05, "length": 0.05, "symbols": 0.15, "lines": 0.2, "repeats": 0.2}
 NAMES = list(FLOORS)
 
 WHITE = " \t\n\x0b\f\r"
@@ -79,7 +81,7 @@ def _vector() -> dict[str, Column]:
     n = F.col("n_words")
     return {
         "size": F.log(n),
-        "length": F.log(F.col("word_chars") / n) * F.sqrt(F.least(n, F.lit(400)) / 40),  # short texts vary more
+        "length": (F.col("log_length") - F.col("usual")) * F.sqrt(F.least(n, F.lit(400)) / 40),  # short texts vary more
         "symbols": F.log1p(20 * F.col("n_symbols") / n),
         "lines": F.log1p(5 * F.col("n_dup_lines") / F.sqrt(n)),
         "repeats": F.log1p(10 * F.col("n_repeat_words") / n),
@@ -157,7 +159,10 @@ def judged(docs: DataFrame) -> DataFrame:
     """doc_id, the base statistics, base_failed, kept, distance (null where no estimate stands)."""
     rows = written(statistics(docs), "statistics")
     fine = rows.where(~F.col("base_failed"))
-    fine = written(_keyed(fine.withColumns(_vector())), "vectors")
+    fine = written(_keyed(fine.withColumn("log_length", F.log(F.col("word_chars") / F.col("n_words")))), "keyed")
+    usual = fine.groupBy("key").agg(F.percentile_approx("log_length", 0.5, 1000).alias("usual")).withColumnRenamed("key", "of_key")
+    fine = fine.join(F.broadcast(usual), F.col("key").eqNullSafe(F.col("of_key"))).withColumns(_vector()).drop("of_key")  # a row for each group
+    fine = written(fine, "vectors")
     params = estimates(fine.where("key is not null"))
     far = fine.join(_factored(params), "key", "left").withColumn("distance", _distance())
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

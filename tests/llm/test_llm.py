@@ -323,6 +323,20 @@ def test_outliers_like_numpy(spark):
     assert np.allclose([m[f"m_{n}"] for n in quality_rules.NAMES], mean, atol=0.1)
 
 
+def test_junk_among_clean_texts_is_rejected(spark):
+    """A symbol in every second to fourth word of a text that is like its group otherwise, and repeats just within the base."""
+    r = np.random.default_rng(5)
+    word = lambda: "".join(r.choice(list("abcdefghij"), r.integers(2, 9)))
+    clean = [[word() for _ in range(r.integers(60, 240))] for _ in range(200)]
+    junk = [[w + "#" * (i % k == 0) for i, w in enumerate(t)] for k in (2, 3, 4) for t in [[word() for _ in range(120)] for _ in range(5)]]
+    copied = [t + t[:11] for t in [[word() for _ in range(120)] for _ in range(3)]]
+    df = spark.createDataFrame([(i, " ".join(t), "en", "s") for i, t in enumerate(clean + junk + copied)], "doc_id long, text string, lang string, source string")
+    kept = {x.doc_id for x in quality_rules.judged(df).where("kept").collect()}
+    assert not kept & set(range(200, 218))
+    assert len(kept) >= 196
+    assert not quality_rules.judged(df).where("doc_id >= 200 and base_failed").head(1)
+
+
 def test_classifier_on_held_out_rows(spark, odd):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
