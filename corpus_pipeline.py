@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairlake.llm import jaccard, mixing, packing, quality_model, substrings
 from pairlake.llm.common import table, written
-from pairlake.llm.queries import WEIGHTS, levels
+from pairlake.llm.queries import UNNAMED, WEIGHTS, levels
 from pairlake.llm.wordpiece import n_tokens
 
 #: Near duplicates: five words, a similarity of 0.8. Repeated passages: 100 bytes.
@@ -36,7 +36,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by target weights of domains and languages, some twice."""
-    return mixing.resampled(docs, levels(), n_tokens("text"), WEIGHTS, TOTAL, EPOCHS, SEED)
+    return mixing.resampled(docs, levels(), n_tokens("text"), WEIGHTS, TOTAL, EPOCHS, SEED, UNNAMED)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

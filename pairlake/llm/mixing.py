@@ -1,8 +1,9 @@
 """Mixing sources to target weights: hierarchical budgeting over a tree such as domain, language, source.
 
-Weights are relative among siblings and go down the tree. A node can give at most its tokens times
-``max_epochs``; what it lacks goes to its siblings by their weights, and only what a whole family
-lacks goes back to the siblings of its parent. Each leaf then reads its documents epoch by epoch, each
+Weights are relative among siblings and go down the tree. A leaf can give at most its tokens times
+``max_epochs``, and a node what its weighted children can; what it lacks goes to its siblings by their
+weights, only what a whole family lacks goes back to the siblings of its parent, and what is left when all
+weighted leaves are used up to leaves without weight. Each leaf then reads its documents epoch by epoch, each
 epoch in a seeded order of its own, and takes the prefix that its budget of tokens allows; the
 document that crosses the end is taken in part.
 
@@ -31,11 +32,12 @@ PER_RANGE = 20_000
 Weights = Mapping[tuple, float]
 
 
-def budgets(leaves: Mapping[tuple, int], weights: Weights, total: int, max_epochs: int = 1) -> dict[tuple, int]:
+def budgets(leaves: Mapping[tuple, int], weights: Weights, total: int, max_epochs: int = 1, unnamed: float = 0) -> dict[tuple, int]:
     """Tokens to take from each leaf (path -> tokens it has).
 
-    weights: path of a node -> its weight among its siblings; a node that isn't named has the tokens it
-    has as a weight, relative to its unnamed siblings, who share what named siblings leave of 1.
+    weights: path of a node -> its weight among its siblings. Siblings that aren't named (null is one) share
+    what all named weights of the family leave of 1, and no less than unnamed, by the tokens they have; whether
+    a named sibling is there doesn't matter. Leaves under a weight of 0 only take what no others can.
     """
     have: dict[tuple, int] = {}
     below: dict[tuple, set] = {}
@@ -46,29 +48,45 @@ def budgets(leaves: Mapping[tuple, int], weights: Weights, total: int, max_epoch
                 below.setdefault(leaf[: i - 1], set()).add(leaf[:i])
     out: dict[tuple, int] = {}
 
-    def give(node: tuple, budget: int) -> None:
+    shares: dict[tuple, dict] = {}
+    sure: dict[tuple, int] = {}
+    for node in sorted(have, key=len, reverse=True):  # children first
         if node not in below:
-            out[node] = budget
-            return
+            sure[node] = have[node] * max_epochs
+            continue
         family = sorted(below[node], key=repr)
         named = {c: Fraction(str(weights[c])) for c in family if c in weights}
         rest = sum(have[c] for c in family if c not in named)
-        left = max(Fraction(0), 1 - sum(named.values()))
-        share = {c: named[c] if c in named else left * have[c] / rest if rest else Fraction(0) for c in family}
-        room = {c: have[c] * max_epochs for c in family}
-        todo = sorted((c for c in family if share[c] > 0), key=lambda c: room[c] / share[c])  # the short ones first
-        weight, got = sum(share[c] for c in todo), dict.fromkeys(family, 0)
+        left = max(Fraction(str(unnamed)), 1 - sum(Fraction(str(w)) for c, w in weights.items() if c[:-1] == node and c))
+        shares[node] = {c: named[c] if c in named else left * have[c] / rest if rest else Fraction(0) for c in family}
+        sure[node] = sum(sure[c] for c in family if shares[node][c] > 0)
+
+    def filled(budget: int, share: dict, room: dict) -> dict:
+        """The budget by share, no child beyond its room."""
+        todo = sorted((c for c in share if share[c] > 0), key=lambda c: room[c] / share[c])  # the short ones first
+        weight, got = sum(share[c] for c in todo), dict.fromkeys(share, 0)
         for c in todo:
             got[c] = min(room[c], budget if c == todo[-1] else int(budget * share[c] / weight))
             budget, weight = budget - got[c], weight - share[c]
-        for c in family:
-            give(c, got[c])
+        return got
+
+    def give(node: tuple, budget: int) -> None:
+        if node not in below:
+            out[node] = budget
+            return
+        first = min(budget, sure[node])
+        got = filled(first, shares[node], sure)
+        if budget > first:  # only when all weighted leaves are used up
+            more = {c: Fraction(have[c] * max_epochs - got[c]) for c in got}
+            got = {c: got[c] + n for c, n in filled(budget - first, more, {c: int(n) for c, n in more.items()}).items()}
+        for c, n in got.items():
+            give(c, n)
 
     give((), min(total, have.get((), 0) * max_epochs))
     return out
 
 
-def mixed(docs: DataFrame, levels: Mapping[str, Column], tokens: Column, weights: Weights, total: int | float, max_epochs: int = 1, seed: int = 0) -> DataFrame:
+def mixed(docs: DataFrame, levels: Mapping[str, Column], tokens: Column, weights: Weights, total: int | float, max_epochs: int = 1, seed: int = 0, unnamed: float = 0) -> DataFrame:
     """doc_id, the levels, epoch (from 0), tokens_taken; total: tokens, or a share of all as a float."""
     names = list(levels)
     n = F.coalesce(tokens.cast("long"), F.lit(0).cast("long"))
@@ -77,7 +95,7 @@ def mixed(docs: DataFrame, levels: Mapping[str, Column], tokens: Column, weights
     leaves = rows.groupBy(*names).agg(F.sum("n").alias("n"), F.count("*").alias("docs")).collect()  # a row for each source
     have = {tuple(r[k] for k in names): r["n"] for r in leaves}
     want = int(Fraction(str(total)) * sum(have.values())) if isinstance(total, float) else total
-    plan = budgets(have, weights, want, max_epochs)
+    plan = budgets(have, weights, want, max_epochs, unnamed)
     parts = [(*leaf, epoch, min(have[leaf], b - epoch * have[leaf])) for leaf, b in plan.items() for epoch in range(-(-b // have[leaf]) if b else 0)]
     spark = docs.sparkSession
     schema = ", ".join(f"{k} string" for k in [f"leaf_{x}" for x in names]) + ", epoch int, budget long"
@@ -99,8 +117,8 @@ def mixed(docs: DataFrame, levels: Mapping[str, Column], tokens: Column, weights
     return whole.union(last)
 
 
-def resampled(docs: DataFrame, levels: Mapping[str, Column], tokens: Column, weights: Weights, total: int | float, max_epochs: int = 1, seed: int = 0) -> DataFrame:
+def resampled(docs: DataFrame, levels: Mapping[str, Column], tokens: Column, weights: Weights, total: int | float, max_epochs: int = 1, seed: int = 0, unnamed: float = 0) -> DataFrame:
     """The rows of docs that are selected, whole, once for each epoch; rows with a null doc_id aren't."""
-    chosen = mixed(docs, levels, tokens, weights, total, max_epochs, seed).where("doc_id is not null")
+    chosen = mixed(docs, levels, tokens, weights, total, max_epochs, seed, unnamed).where("doc_id is not null")
     chosen = chosen.select(F.col("doc_id").alias("pairlake_of"), "epoch").distinct()
     return docs.join(chosen, docs["doc_id"].cast("long") == chosen["pairlake_of"]).select(*(docs[c] for c in docs.columns))

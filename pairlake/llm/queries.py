@@ -15,6 +15,8 @@ from .common import table
 #: Weights of domains, and of languages in each; sources of a language keep their shares.
 DOMAINS, LANGUAGES = {"web": 0.5, "books": 0.3, "forum": 0.2}, {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 WEIGHTS = {(d,): w for d, w in DOMAINS.items()} | {(d, x): w for d in DOMAINS for x, w in LANGUAGES.items()}
+#: Weight of all other languages of a domain together, null too.
+UNNAMED = 0.05
 
 
 def levels() -> dict:
@@ -59,7 +61,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed
     from .wordpiece import n_tokens
 
-    return mixed(table(spark, sf_dir, "documents"), levels(), n_tokens("text"), WEIGHTS, 0.5, max_epochs=2, seed=1)
+    return mixed(table(spark, sf_dir, "documents"), levels(), n_tokens("text"), WEIGHTS, 0.5, max_epochs=2, seed=1, unnamed=UNNAMED)
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

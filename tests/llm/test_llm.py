@@ -218,6 +218,23 @@ def test_budgets_go_to_siblings_first():
     assert mixing.budgets({}, {}, 10) == {(): 0} and sum(mixing.budgets(have, {}, 10**6, 2).values()) == 2220
 
 
+def test_budgets_reach_every_leaf():
+    w = {("web",): 0.5, ("books",): 0.3, ("forum",): 0.2} | {(d, x): v for d in ("web", "books", "forum") for x, v in {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}.items()}
+    have = {("web", x, "s"): 10 for x in ("en", "de", "fr", "es")} | {("web", None, "s"): 1000, ("books", "en", "t"): 4000}
+    got = mixing.budgets(have, w, 1000, 2, unnamed=0.05)
+    assert sum(got.values()) == 1000 and got[("web", None, "s")] > 0 and got[("web", "en", "s")] == 20
+    assert sum(mixing.budgets(have, w, 1000, 2).values()) == 1000 and sum(mixing.budgets(have, w, 10**6, 2).values()) == 2 * 5040
+    # a language that is absent doesn't hand its share to the unnamed ones
+    plenty = {("web", x, "s"): 10**6 for x in ("en", "de", "fr", None)}
+    got = mixing.budgets(plenty, w, 105_000, unnamed=0.05)
+    assert abs(got[("web", None, "s")] - 105_000 * 0.05 / 0.85) <= 3 and sum(got.values()) == 105_000
+    # what the weighted leaves of a family lack goes to the parent's siblings, then to leaves without weight
+    have = {("x", "a"): 100, ("x", "b"): 1000, ("y", "c"): 100}
+    w = {("x",): 0.5, ("y",): 0.5, ("x", "a"): 1, ("x", "b"): 0}
+    assert mixing.budgets(have, w, 180) == {("x", "a"): 90, ("x", "b"): 0, ("y", "c"): 90}
+    assert mixing.budgets(have, w, 300) == {("x", "a"): 100, ("x", "b"): 100, ("y", "c"): 100}
+
+
 def test_mixing(spark, odd):
     rows = [(i, "s" + str(i % 2), 10 + i % 7) for i in range(400)] + [(None, None, 5), (900, "s0", None), (901, "s1", 0)]
     df = spark.createDataFrame(rows, "doc_id long, source string, t long")
