@@ -3,8 +3,9 @@
 A text is cut into passages of about 400 bytes, all of them encoded: shares of pairs of byte classes
 (Hellinger scaled), and how far words repeat. A hidden layer, gated attention and a logistic output
 learn from document labels alone which passages matter; a text's score is that of its attention-
-weighted passage representation. The fit takes a bounded sample (SAMPLE documents of each label, by
-hash, SAMPLE_PASSAGES evenly spaced passages of each); scoring covers every passage of every text.
+weighted passage representation. The fit takes a bounded sample of documents (SAMPLE of each label, by
+hash) and all their passages, which go to a file and through each step in blocks of whole bags, so that
+memory follows the longest bag; scoring covers every passage of every text.
 
 Only text is an input of a score. Null or empty text is one passage without bytes and gets a score.
 Labels that are null, neither 0 nor 1, or disagree for a doc_id aren't learnt from; without labels of
@@ -14,6 +15,7 @@ doc_id isn't held out and keeps its row.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import dropped, written
+
 PASSAGE = 400
-SAMPLE, SAMPLE_PASSAGES = 1500, 24
+SAMPLE = 1500
 HIDDEN, GATE, STEPS, RATE, DECAY, SEED = 24, 12, 160, 0.02, 1e-4, 7
 THRESHOLD = 0.7
-#: Bytes that are encoded at once.
-BLOCK = 1_000_000
+#: Bytes that are encoded at once, and passages that a step of the fit takes at once.
+BLOCK, ROWS = 1_000_000, 20_000
 
 #: The classes of bytes; what isn't listed is control (14) or above ASCII (15).
 CLASSES = {0: "abcdefghijklmnopqrstuvwxyz", 1: "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2: "0123456789", 3: " ", 4: "\n\t\r\v\f", 5: ".", 6: ",", 7: "!?", 8: "'\"`", 9: "#*$%&", 10: "|<>", 11: "()[]{}", 12: ":;-_/\\", 13: "@=+~^"}
@@ -101,20 +105,30 @@ class Attention:
         z = np.add.reduceat(share[:, None] * h, first)
         return _sig(z @ c + d), (x, h, t, g, share, z, first, bag)
 
+    def gradients(self, x: np.ndarray, count: np.ndarray, y: np.ndarray, n: int) -> list[np.ndarray]:
+        """What these of n bags add to the gradients of the mean loss."""
+        score, (z0, h, t, g, share, z, first, bag) = self.forward(x, count)
+        w, b, v, u, a, c, d = self.p
+        ds = ((score - y) / n).astype(np.float32)
+        dz = ds[:, None] * c
+        dshare = (dz[bag] * h).sum(1)
+        de = share * (dshare - np.add.reduceat(share * dshare, first)[bag])
+        dtg = de[:, None] * a
+        dt, dg = dtg * g * (1 - t * t), dtg * t * g * (1 - g)
+        dh = share[:, None] * dz[bag] + dt @ v.T + dg @ u.T
+        dp = dh * (1 - h * h)
+        return [z0.T @ dp, dp.sum(0), h.T @ dt, h.T @ dg, (t * g).T @ de, z.T @ ds, ds.sum(keepdims=True)]
+
     def fit(self, x: np.ndarray, count: np.ndarray, y: np.ndarray) -> Attention:
+        """x may be mapped from a file: a step adds up the gradients of blocks of whole bags."""
         one, two = [np.zeros_like(q) for q in self.p], [np.zeros_like(q) for q in self.p]
+        blocks = bags(count)
+        ends = np.r_[0, np.cumsum(count)]
         for step in range(1, STEPS + 1):
-            score, (z0, h, t, g, share, z, first, bag) = self.forward(x, count)
-            w, b, v, u, a, c, d = self.p
-            ds = ((score - y) / len(y)).astype(np.float32)
-            dz = ds[:, None] * c
-            dshare = (dz[bag] * h).sum(1)
-            de = share * (dshare - np.add.reduceat(share * dshare, first)[bag])
-            dtg = de[:, None] * a
-            dt, dg = dtg * g * (1 - t * t), dtg * t * g * (1 - g)
-            dh = share[:, None] * dz[bag] + dt @ v.T + dg @ u.T
-            dp = dh * (1 - h * h)
-            grads = [z0.T @ dp, dp.sum(0), h.T @ dt, h.T @ dg, (t * g).T @ de, z.T @ ds, ds.sum(keepdims=True)]
+            grads = [np.zeros_like(q) for q in self.p]
+            for i, j in blocks:
+                for k, more in zip(grads, self.gradients(x[ends[i] : ends[j]], count[i:j], y[i:j], len(y))):
+                    k += more
             for i, (q, k) in enumerate(zip(self.p, grads)):
                 k = k + DECAY * q
                 one[i] = 0.9 * one[i] + 0.1 * k
@@ -123,6 +137,17 @@ class Attention:
         return self
 
 
+def bags(count: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of bags of ROWS passages at most, or of one bag."""
+    out, at, rows = [], 0, 0
+    for i, n in enumerate(count):
+        if i > at and rows + n > ROWS:
+            out.append((at, i))
+            at, rows = i, 0
+        rows += n
+    return [*out, (at, len(count))]
+
+
 class Constant:
     def __init__(self, share: float):
         self.share = share
@@ -163,16 +188,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> Attention | Constant:
         for block, texts in _blocks(batches):
             x, count = encode(texts)
             first = np.cumsum(count) - count
-            take = [f + (np.arange(min(n, SAMPLE_PASSAGES)) * n // min(n, SAMPLE_PASSAGES)) for f, n in zip(first, count)]
-            yield pa.RecordBatch.from_arrays([block[0], block[1], pa.array([x[t].tobytes() for t in take], pa.binary())], names=["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([block[0], block[1], pa.array([x[f : f + n].tobytes() for f, n in zip(first, count)], pa.binary())], names=["doc_id", "y", "x"])
 
-    got = sorted(rows.mapInArrow(scan, "doc_id long, y int, x binary").collect(), key=lambda r: r["doc_id"])
-    y = np.array([r["y"] for r in got], np.float32)
+    got = written(rows.mapInArrow(scan, "doc_id long, y int, x binary"), "passages")
+    known = sorted((r["doc_id"], r["y"], r["n"]) for r in got.selectExpr("doc_id", "y", "length(x) n").collect())  # 2 * SAMPLE rows at most
+    y = np.array([k[1] for k in known], np.float32)
     if not len(y) or y.min() == y.max():
         return Constant(float(y.mean()) if len(y) else 0.5)
-    x = np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(-1, WIDTH)
-    count = np.array([len(r["x"]) // (4 * WIDTH) for r in got])
-    return Attention(x.mean(0), x.std(0) + 0.01).fit(x, count, y)
+    count = np.array([k[2] // (4 * WIDTH) for k in known])
+    at = dict(zip((k[0] for k in known), np.cumsum(count) - count))
+    with tempfile.TemporaryFile() as f:
+        x = np.memmap(f, np.float32, "w+", shape=(int(count.sum()), WIDTH))
+        for r in got.toLocalIterator():  # one file's documents at a time
+            bag = np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH)
+            x[at[r["doc_id"]] : at[r["doc_id"]] + len(bag)] = bag
+        dropped(got)
+        ends = np.r_[0, np.cumsum(count)]
+        parts = [x[ends[i] : ends[j]] for i, j in bags(count)]
+        mean = sum(p.sum(0, dtype=np.float64) for p in parts) / len(x)
+        scale = np.sqrt(sum(((p - mean) ** 2).sum(0) for p in parts) / len(x)) + 0.01
+        return Attention(mean.astype(np.float32), scale.astype(np.float32)).fit(x, count, y)
 
 
 def score(docs: DataFrame, model: Attention | Constant) -> DataFrame:

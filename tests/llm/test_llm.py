@@ -354,6 +354,32 @@ def test_junk_among_clean_texts_is_rejected(spark):
     assert not quality_rules.judged(df).where("doc_id >= 200 and base_failed").head(1)
 
 
+def test_fit_takes_every_passage(spark, monkeypatch):
+    """Bags of 60 passages of which one in the middle is bad: all of them reach the fit, in blocks as at once."""
+    seen = []
+    plain = quality_model.Attention.fit
+
+    def fit(self, x, count, y):
+        seen.append((np.array(x), count, y))
+        return plain(self, x, count, y)
+
+    monkeypatch.setattr(quality_model.Attention, "fit", fit)
+    good = "some words of a text that is plain and clean, all of it. " * 421
+    rows = [(i, good[:12000] + "#$% " * 100 * (i % 2) + good[:11600]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, quality int")
+    a = quality_model.fit(docs, labels)
+    monkeypatch.setattr(quality_model, "ROWS", 200)
+    b = quality_model.fit(docs, labels)
+    x, count, y = seen[0]
+    texts = dict(rows)
+    order = [r.doc_id for r in docs.where(~quality_model.held_out(F.col("doc_id"))).orderBy("doc_id").collect()]
+    whole, n = quality_model.encode([texts[i].encode() for i in order])
+    assert (count == n).all() and count.max() > 24 and np.array_equal(x, whole)
+    assert [round(float(v)) for v in a.forward(whole, n)[0]] == list(y)
+    assert np.allclose(a.forward(whole, n)[0], b.forward(whole, n)[0], atol=0.05)
+
+
 def test_classifier_on_held_out_rows(spark, odd):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
