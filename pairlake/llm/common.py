@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -15,8 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 
 
+#: Bytes of an Arrow batch that Spark sends to Python: a long text is a batch of its own, whatever its size.
+BATCH_BYTES = "2m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once for each context, as a session may be started anywhere."""
+    """Gives the executors this package, once for each context, and bounds Arrow batches by bytes unless the session does."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     context = spark.sparkContext
     if not getattr(context, "pairlake_shipped", False):
         root = Path(__file__).resolve().parents[1]
@@ -34,9 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pairlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -53,14 +62,31 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Batches of so many rows at most, so that what is made of one doesn't fill a worker's memory."""
+    """Batches of so many rows at most, so that what is made of one doesn't fill a worker's memory.
+
+    Spark bounds them by bytes (BATCH_BYTES). Memory that was freed goes back to the system now and then.
+    """
+    seen = 0
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes a table of written() that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.pairlake_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            seen += 1
+            if seen % 16 == 0:
+                give_back()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory of Arrow and of malloc to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.pairlake_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

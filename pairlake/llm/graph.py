@@ -1,6 +1,6 @@
 """Connected components by alternating large and small stars.
 
-Only minima by key move, never a list of neighbours; each round is a written table.
+Only minima by key move, never a list of neighbours; each round is a written table that replaces the last.
 """
 
 from __future__ import annotations
@@ -8,11 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """For every node of an edge: node, component (the smallest node that it reaches).
+    """A written table of every node of an edge: node, component (the smallest node that it reaches).
 
     Repeated edges and loops change nothing, edges with a null end are left out; no edges, no rows.
     """
@@ -22,7 +22,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if not state["n"] or state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+            out = written(out, "components")
+            dropped(now)
+            return out
         before = state
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
@@ -30,4 +33,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = written(large, "stars")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.union(least).distinct(), "stars")
+        new = written(small.union(least).distinct(), "stars")
+        dropped(now, large)
+        now = new

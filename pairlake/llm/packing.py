@@ -8,12 +8,14 @@ counts allow. Spark numbers the pieces of one length in salted groups, so a leng
 the corpus has doesn't meet in one task, and each piece looks its place up by its number.
 
 Null text is an empty document (one piece with the end token alone). Repeated rows are packed once
-each. A null doc_id stays null. Other columns are not read. An empty table gives no pieces.
+each. A null doc_id stays null. Other columns are not read. An empty table gives no pieces. A very long
+text is encoded in parts that end where the pattern always parts text; only its ids are held whole.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,8 +32,8 @@ SEQ_LEN = 1024
 EOS = 2
 #: Pieces of one length that are numbered by one task, about.
 PER_SALT = 50_000
-#: Chunks of text whose ids a worker keeps.
-CACHE = 100_000
+#: Chunks of text whose ids a worker keeps, bytes of them, and characters that are encoded at once.
+CACHE, CACHE_BYTES, PART = 50_000, 4_000_000, 200_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -40,12 +42,15 @@ class _Ids(dict):
     """The ids of a chunk of text as little-endian uint32 bytes."""
 
     def __init__(self, ranks):
-        self.encode = ranks.encode_ordinary
+        self.encode, self.held = ranks.encode_ordinary, 0
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE:
+        ids = np.array(self.encode(chunk), "<u4").tobytes()
+        self.held += len(chunk) + len(ids)
+        if len(self) >= CACHE or self.held > CACHE_BYTES:
             self.clear()
-        ids = self[chunk] = np.array(self.encode(chunk), "<u4").tobytes()
+            self.held = len(chunk) + len(ids)
+        self[chunk] = ids
         return ids
 
 
@@ -54,24 +59,41 @@ class Encoder:
 
     The rank file of the same vocabulary gives the same ids and is faster; it takes chunks that begin
     with a single space after a visible character, where the pattern always parts text, so chunks can
-    be remembered. Texts that hold a special token's string go through ``tokenizers`` itself.
+    be remembered. Parts that hold a special token's string go through ``tokenizers`` itself, which is
+    loaded when the first of them is met.
     """
 
     def __init__(self, name: str = "byte_bpe_50k"):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        self.path, self.whole = public_tokenizers.path(f"{name}.json"), None
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.ranks = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        with open(self.path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         self.spaces = re.compile(r"\s ")
+        self.safe = re.compile(r"(?<=\S) ")
         self.chunks = _Ids(self.ranks)
 
     def __call__(self, text: str) -> bytes:
+        if len(text) <= PART:
+            return self.part(text)
+        out, at = [], 0
+        while at < len(text):
+            cut = self.safe.search(text, at + PART)
+            end = cut.start() if cut else len(text)
+            out.append(self.part(text[at:end]))
+            at = end
+        return b"".join(out)
+
+    def part(self, text: str) -> bytes:
         if any(s in text for s in self.special):
+            if self.whole is None:
+                from tokenizers import Tokenizer
+
+                self.whole = Tokenizer.from_file(self.path)
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if self.spaces.search(text):
             return np.array(self.ranks.encode_ordinary(text), "<u4").tobytes()
@@ -80,7 +102,7 @@ class Encoder:
         return (get(first) if first else b"") + b"".join([get(" " + x) for x in rest])
 
 
-@lru_cache(2)
+@lru_cache(1)
 def encoder(name: str) -> Encoder:
     return Encoder(name)
 
@@ -183,7 +205,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", seq_len: int = SEQ_LE
     places = slots(plan(counts, seq_len))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 5000):
             length, number = batch["length"].to_numpy(), batch["number"].to_numpy()
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             for n in np.unique(length):

@@ -7,7 +7,8 @@ weighted passage representation. The fit takes a bounded sample of documents (SA
 hash) and all their passages, which go to a file and through each step in blocks of whole bags, so that
 memory follows the longest bag; scoring covers every passage of every text.
 
-Only text is an input of a score. Null or empty text is one passage without bytes and gets a score.
+Only text is an input of a score. Null or empty text is one passage without bytes and gets a score; a text of
+any length goes through in slices of passages. An empty table gives no rows; other columns are kept or not read.
 Labels that are null, neither 0 nor 1, or disagree for a doc_id aren't learnt from; without labels of
 both kinds every score is the share of 1 (0.5 without any). Repeated rows are scored each. A null
 doc_id isn't held out and keeps its row.
@@ -23,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, small, written
 
 PASSAGE = 400
 SAMPLE = 1500
 HIDDEN, GATE, STEPS, RATE, DECAY, SEED = 24, 12, 160, 0.02, 1e-4, 7
 THRESHOLD = 0.7
-#: Bytes that are encoded at once, and passages that a step of the fit takes at once.
-BLOCK, ROWS = 1_000_000, 20_000
+#: Bytes that are encoded at once, passages of a longer text at once, and passages that a step of the fit takes at once.
+BLOCK, SLICE, ROWS = 250_000, 500, 20_000
 
 #: The classes of bytes; what isn't listed is control (14) or above ASCII (15).
 CLASSES = {0: "abcdefghijklmnopqrstuvwxyz", 1: "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2: "0123456789", 3: " ", 4: "\n\t\r\v\f", 5: ".", 6: ",", 7: "!?", 8: "'\"`", 9: "#*$%&", 10: "|<>", 11: "()[]{}", 12: ":;-_/\\", 13: "@=+~^"}
@@ -44,10 +45,10 @@ MIXED[SPACE] = 0
 WIDTH = KINDS * KINDS + 5
 
 
-def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(a row for each passage, passages of each text)."""
+def encode(texts: list[bytes], count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(a row for each passage, passages of each text); count: passages of each, where texts are slices of longer ones."""
     size = np.array([len(t) for t in texts], np.int64)
-    count = np.maximum(1, -(-size // PASSAGE))
+    count = np.maximum(1, -(-size // PASSAGE)) if count is None else count
     first = np.cumsum(count) - count
     total = int(count.sum())
     out = np.zeros((total, WIDTH), np.float32)
@@ -64,7 +65,7 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     out[:, :-5] = np.sqrt(counts / np.maximum(1, counts.sum(1, keepdims=True)))
     out[:, -5] = np.log1p(np.bincount(passage, minlength=total)) / 6
     space = SPACE[raw]
-    start = np.flatnonzero(~space & np.r_[True, space[:-1] | (of[1:] != of[:-1])])
+    start = np.flatnonzero(~space & np.r_[True, space[:-1] | ~same])  # a passage's end parts words too: passages stand alone
     if len(start):
         word, p = np.add.reduceat(MIXED[raw], start), passage[start]
         words = np.maximum(1, np.bincount(p, minlength=total))
@@ -137,6 +138,25 @@ class Attention:
         return self
 
 
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        """The score of each text. A text beyond BLOCK goes through in slices of whole passages, so memory doesn't follow its length."""
+        if len(texts) != 1 or len(texts[0]) <= BLOCK:
+            return self.forward(*encode(texts))[0]
+        text, (w, b, v, u, a, c, d) = texts[0], self.p
+        size, count = len(text), -(-len(text) // PASSAGE)
+        most, total, z = -np.inf, 0.0, np.zeros(HIDDEN)
+        for k in range(0, count, SLICE):
+            n = min(SLICE, count - k)
+            own = [text[-(-i * size // count) : -(-(i + 1) * size // count)] for i in range(k, k + n)]
+            rows = encode(own, np.ones(n, np.int64))[0]
+            h = np.tanh(np.clip((rows - self.mean) / self.scale, -6, 6) @ w + b)
+            e = (np.tanh(h @ v) * _sig(h @ u)) @ a
+            now = max(most, float(e.max()))
+            old, part = np.exp(most - now), np.exp(e - now)
+            most, total, z = now, total * old + part.sum(), z * old + part @ h
+        return _sig((z / total) @ c + d)
+
+
 def bags(count: np.ndarray) -> list[tuple[int, int]]:
     """Ranges of bags of ROWS passages at most, or of one bag."""
     out, at, rows = [], 0, 0
@@ -152,8 +172,8 @@ class Constant:
     def __init__(self, share: float):
         self.share = share
 
-    def forward(self, x: np.ndarray, count: np.ndarray):
-        return np.full(len(count), self.share), None
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        return np.full(len(texts), self.share)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -162,16 +182,15 @@ def held_out(doc_id: Column) -> Column:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Batches (…, text as bytes last), cut so that a block's texts come to BLOCK bytes or are one text."""
-    for batch in batches:
-        texts = [t.as_py() or b"" for t in batch[batch.num_columns - 1]]
-        at = size = 0
-        for i, t in enumerate(texts):
-            if i > at and size + len(t) > BLOCK:
-                yield batch.slice(at, i - at), texts[at:i]
-                at, size = i, 0
-            size += len(t)
-        if at < len(texts):
-            yield batch.slice(at), texts[at:]
+    for batch in small(batches):
+        column = batch[batch.num_columns - 1]
+        size = [len(t.as_buffer()) if t.is_valid else 0 for t in column]
+        at = total = 0
+        for i, n in enumerate([*size, BLOCK]):
+            if i > at and (i == len(size) or total + n > BLOCK):
+                yield batch.slice(at, i - at), [t or b"" for t in column.slice(at, i - at).to_pylist()]
+                at, total = i, 0
+            total += n
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Attention | Constant:
@@ -186,12 +205,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Attention | Constant:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, texts in _blocks(batches):
+            if len(texts) == 1:
+                text = texts[0]
+                size, n = len(text), max(1, -(-len(text) // PASSAGE))
+                for k in range(0, n, SLICE):
+                    own = [text[-(-i * size // n) : -(-(i + 1) * size // n)] for i in range(k, min(n, k + SLICE))]
+                    x = encode(own, np.ones(len(own), np.int64))[0]
+                    yield pa.RecordBatch.from_arrays([block[0], block[1], pa.array([k]), pa.array([x.tobytes()], pa.binary())], names=["doc_id", "y", "k", "x"])
+                continue
             x, count = encode(texts)
             first = np.cumsum(count) - count
-            yield pa.RecordBatch.from_arrays([block[0], block[1], pa.array([x[f : f + n].tobytes() for f, n in zip(first, count)], pa.binary())], names=["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([block[0], block[1], pa.array(np.zeros(len(count), np.int64)), pa.array([x[f : f + n].tobytes() for f, n in zip(first, count)], pa.binary())], names=["doc_id", "y", "k", "x"])
 
-    got = written(rows.mapInArrow(scan, "doc_id long, y int, x binary"), "passages")
-    known = sorted((r["doc_id"], r["y"], r["n"]) for r in got.selectExpr("doc_id", "y", "length(x) n").collect())  # 2 * SAMPLE rows at most
+    got = written(rows.mapInArrow(scan, "doc_id long, y int, k long, x binary"), "passages")
+    sizes = got.groupBy("doc_id", "y").agg(F.sum(F.length("x")).alias("n"))
+    known = sorted((r["doc_id"], r["y"], r["n"]) for r in sizes.collect())  # 2 * SAMPLE rows at most
     y = np.array([k[1] for k in known], np.float32)
     if not len(y) or y.min() == y.max():
         return Constant(float(y.mean()) if len(y) else 0.5)
@@ -201,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Attention | Constant:
         x = np.memmap(f, np.float32, "w+", shape=(int(count.sum()), WIDTH))
         for r in got.toLocalIterator():  # one file's documents at a time
             bag = np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH)
-            x[at[r["doc_id"]] : at[r["doc_id"]] + len(bag)] = bag
+            x[at[r["doc_id"]] + r["k"] : at[r["doc_id"]] + r["k"] + len(bag)] = bag
         dropped(got)
         ends = np.r_[0, np.cumsum(count)]
         parts = [x[ends[i] : ends[j]] for i, j in bags(count)]
@@ -215,7 +243,7 @@ def score(docs: DataFrame, model: Attention | Constant) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, texts in _blocks(batches):
-            s = model.forward(*encode(texts))[0]
+            s = model.scores(texts)
             yield pa.RecordBatch.from_arrays([block[0], pa.array(s.astype(np.float64))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(scan, "doc_id long, score double")
@@ -230,19 +258,11 @@ def classified(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs with a score of threshold or more, all their columns kept."""
     model = fit(docs, labels)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("binary").alias("raw"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, texts in _blocks(batches):
+            fine = pa.array(model.scores(texts) >= threshold)
+            yield block.select([0]).filter(fine)
 
-    @F.pandas_udf("double")
-    def of(text):
-        import pandas as pd
-
-        out = []
-        at, size = 0, 0
-        texts = [(t or "").encode() for t in text]
-        for i, t in enumerate([*texts, b""]):
-            if i > at and (i == len(texts) or size + len(t) > BLOCK):
-                out.append(model.forward(*encode(texts[at:i]))[0])
-                at, size = i, 0
-            size += len(t)
-        return pd.Series(np.concatenate(out) if out else [], dtype=float)
-
-    return docs.where(of("text") >= threshold)
+    return whole.mapInArrow(keep, whole.select("row").schema).select("row.*")

@@ -8,21 +8,23 @@ input.
    nothing starts in it first. What is looked at is a bitmap of ids, so a false bit looks at a copy too.
 1. Anchors. Each window of ``length`` bytes selects the least hash of its 18-byte strings (winnowing),
    so equal windows select equal anchors. A scan collects each document's anchors; those in two
-   documents or more are marked in a bitmap of 8 MB, whatever the corpus holds. A false mark costs
-   work, never results.
-2. Fragments. A second scan cuts every run of windows that share a marked anchor. Equal fragments of
-   one batch are one content with its smallest doc_id; occurrences are kept apart, so copies cost
-   nothing in step 3 and no task holds the documents of a passage.
-3. Merge. Contents meet by anchor. In each group of anchors, the contents of each shard get a
-   Burrows-Wheeler transform (two-byte symbols, rotations of fragments), and the transforms are merged
-   by interleave refinement: every round deals the interleave out by the symbols that the transforms
-   give in that order, which sorts all suffixes by two bytes more, without sorting suffixes of
-   different shards against each other. Bounds between blocks are carried along; blocks that are still
-   whole after length / 2 rounds have a common prefix of ``length`` bytes: the repeated intervals.
+   documents or more are marked in a bitmap. A false mark costs work, never results.
+2. Fragments. A second scan cuts every run of windows that share a marked anchor. Equal fragments are
+   one interval from the start (by hash, beside their anchor's): one content with its smallest doc_id.
+   Occurrences are kept apart, so copies cost nothing in step 3 and no task holds the documents of a passage.
+3. Merge. Contents meet by anchor; an anchor of more contents than a group takes is dealt out by
+   single windows instead, so no group follows the corpus. In each group of anchors, the contents of
+   each shard get a Burrows-Wheeler transform (two-byte symbols, rotations of fragments), and the
+   transforms are merged by interleave refinement: every round deals the interleave out by the symbols
+   that the transforms give in that order, which sorts all suffixes by two bytes more, without sorting
+   suffixes of different shards against each other. The round in which a bound between two suffixes
+   appears is the length of their common prefix; between bounds of ``length`` or more lie the repeated
+   intervals.
 4. Each interval's smallest doc_id decides; occurrences join contents, and documents their spans.
 
 Null text is empty. A document with a null doc_id keeps all its bytes and removes none elsewhere.
-Rows that repeat a doc_id don't count against each other. Other columns are not read.
+Rows that repeat a doc_id don't count against each other. Very long texts go through in slices of
+windows. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,16 +37,18 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, written
-from .marks import has_id, id_bit, ids, marked, parted, repeated
+from .common import dropped, small, written
+from .marks import Bitmap, id_bit, ids, marked, parted, repeated
 
 LENGTH = 50
 GRAM = 18
-#: Contents of a group, shards of a merge, anchors of a document, all about.
-PER_GROUP, SHARDS, PER_DOC = 20_000, 16, 200
+#: Contents of a group and of an anchor at most (about), shards of a merge, bytes for each anchor of a text (about).
+PER_GROUP, SHARDS, PER_ANCHOR = 10_000, 16, 17
+#: Windows of a text that are looked at at once; fragments and their bytes that go out at once; contents that a task remembers.
+SLICE, ROWS, BYTES, KNOWN = 500_000, 20_000, 2_000_000, 100_000
 #: Odd multipliers.
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -83,25 +87,30 @@ def _later(docs: DataFrame, length: int) -> DataFrame:
     return info.join(first, "digest").where("doc_id > first").select("doc_id", "n").join(once, "doc_id", "left_semi")
 
 
-def _own(batches: Iterator[pa.RecordBatch], kept: bytes) -> Iterator[list[tuple[int, bytes]]]:
-    """Batches of (doc_id, text), without nulls and without what isn't in the bitmap of ids to look at."""
-    bitmap = np.frombuffer(kept, np.int64)
-    for batch in batches:
-        batch = batch.filter(pa.array(has_id(bitmap, batch[2].to_numpy())))
-        yield [(d, t.as_py()) for d, t in zip(batch[0].to_pylist(), batch[1]) if d is not None and t.is_valid]
+def _own(batches: Iterator[pa.RecordBatch], kept: Bitmap) -> Iterator[tuple[int, bytes]]:
+    """(doc_id, text), without nulls and without what isn't in the bitmap of ids to look at."""
+    for batch in small(batches):
+        batch = batch.filter(pa.array(kept.has(batch[2].to_numpy())))
+        for d, t in zip(batch[0].to_pylist(), batch[1]):
+            if d is not None and t.is_valid:
+                yield d, t.as_py()
 
 
-def _marks(docs: DataFrame, length: int, kept: Broadcast) -> bytes:
+def _slices(text: bytes, length: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first window, anchors of windows from there) of a text."""
+    for at in range(0, max(0, len(text) - length + 1), SLICE):
+        yield at, anchors(text[at : at + SLICE + length - 1], length)
+
+
+def _marks(docs: DataFrame, length: int, kept: Broadcast, expected: int) -> bytes:
     """The bitmap of anchors that two documents have."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for rows in _own(batches, kept.value):
-            for _, text in rows:
-                x = anchors(text, length)
-                if len(x):
-                    yield np.unique(x[np.flatnonzero(np.r_[True, x[1:] != x[:-1]])])
+        for _, text in _own(batches, kept.value):
+            for _, x in _slices(text, length):
+                yield np.unique(x[np.flatnonzero(np.r_[True, x[1:] != x[:-1]])])
 
-    return repeated(_read(docs).withColumn("bit", id_bit("doc_id")), hashes, PER_DOC * docs.count())
+    return repeated(_read(docs).withColumn("bit", id_bit("doc_id")), hashes, expected)
 
 
 #: cid is a hash of the content, which stands beside its anchor's; place is start * 2^20 + windows of an occurrence.
@@ -118,33 +127,29 @@ def _fragments(docs: DataFrame, length: int, marks: bytes, kept: Broadcast) -> D
         shard = TaskContext.get().partitionId() % SHARDS
         names = [x.split()[0] for x in FRAGMENTS.split(", ")]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        for rows in _own(batches, kept.value):
-            least: dict[bytes, list] = {}
-            keys, cids, docs_, places = [], [], [], []
-            for doc, text in rows:
-                x = anchors(text, length)
-                if not len(x):
-                    continue
+        least: dict[int, int] = {}  # the smallest doc_id that a content went out with
+        rows: list[tuple] = []
+        size = 0
+        for doc, text in _own(batches, kept.value):
+            for at, x in _slices(text, length):
                 first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
                 end = np.r_[first[1:], len(x)]
                 hit = marked(bitmap, x[first])
-                for s, e, a in zip(first[hit].tolist(), end[hit].tolist(), x[first][hit].view(np.int64).tolist()):
-                    for s in range(s, e, MOST - 1):  # a run of one long repeated byte may be longer
-                        n = min(e - s, MOST - 1)
-                        content = text[s : s + n + length - 1]
-                        known = least.get(content)
-                        if known is None:
-                            known = least[content] = [xxhash.xxh3_64_intdigest(content) - (1 << 63), doc, a]
-                        elif doc < known[1]:
-                            known[1] = doc
-                        keys.append(a)
-                        cids.append(known[0])
-                        docs_.append(doc)
-                        places.append(s * MOST + n)
-            n, m, own = len(cids), len(least), list(least.values())
-            columns = [keys + [v[2] for v in own], cids + [v[0] for v in own], docs_ + [v[1] for v in own], places + [None] * m]
-            columns += [[None] * n + [shard] * m, [None] * n + list(least)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+                for s, e, a in zip((first[hit] + at).tolist(), (end[hit] + at).tolist(), x[first][hit].view(np.int64).tolist()):
+                    content = text[s : e + length - 1]
+                    cid = xxhash.xxh3_64_intdigest(content) - (1 << 63)
+                    rows.append((a, cid, doc, s * MOST + e - s, None, None))
+                    if least.get(cid, doc + 1) > doc:
+                        if len(least) >= KNOWN:
+                            least.clear()
+                        least[cid] = doc
+                        rows.append((a, cid, doc, None, shard, content))
+                        size += len(content)
+                    if len(rows) >= ROWS or size >= BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                        rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return _read(docs).withColumn("bit", id_bit("doc_id")).mapInArrow(scan, FRAGMENTS)
 
@@ -170,24 +175,30 @@ class Shard:
 
 
 def merged(shards: list[Shard], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(interleave: whose suffix stands where, block: equal for suffixes with ``length`` bytes in common).
+    """(interleave: whose suffix stands where; common: bytes that each suffix has in common with the one before it).
 
-    The k-th entry of a shard in the interleave is the k-th suffix in that shard's own order.
+    The k-th entry of a shard in the interleave is the k-th suffix in that shard's own order. Common
+    prefixes count whole symbols and are not followed beyond ``length``.
     """
     who = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.order) for s in shards])
     before = np.concatenate([s.before for s in shards])
+    common = np.full(len(who), length, np.int32)
+    common[:1] = 0
     block, blocks = np.zeros(len(who), np.int32), 1
-    for _ in range(-(-length // 2)):
+    for depth in range(0, length, 2):
         symbol = np.empty(len(who), np.uint16)
         symbol[np.argsort(who, kind="stable")] = before
         deal = np.argsort(symbol, kind="stable")
         who, symbol, block = who[deal], symbol[deal], block[deal]
-        new = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
-        block = np.concatenate([np.zeros(1, np.int32), np.cumsum(new, dtype=np.int32)])
-        if block[-1] + 1 == blocks:  # no block was parted, so none will be
+        new = np.flatnonzero((symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])) + 1
+        common[new] = np.minimum(common[new], depth)  # a bound stays once it is there
+        if len(new) + 1 == blocks:  # no block was parted, so none will be
             break
-        blocks = block[-1] + 1
-    return who, block
+        blocks = len(new) + 1
+        block = np.zeros(len(who), np.int32)
+        block[new] = 1
+        block = np.cumsum(block, dtype=np.int32)
+    return who, common
 
 
 def earlier(contents: list[bytes], docs: np.ndarray, shard: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
@@ -195,7 +206,8 @@ def earlier(contents: list[bytes], docs: np.ndarray, shard: np.ndarray, length:
     ids = np.unique(shard)
     own = [np.flatnonzero(shard == s) for s in ids]
     parts = [Shard([contents[i] for i in x], length) for x in own]
-    who, block = merged(parts, length)
+    who, common = merged(parts, length)
+    block = np.cumsum(common < length) - 1  # the repeated intervals
     least = np.full(int(block[-1]) + 1, np.iinfo(np.int64).max)
     found = []
     size = np.array([len(c) for c in contents])
@@ -224,27 +236,36 @@ def _decided(fragments: DataFrame, length: int) -> DataFrame:
     """anchor, cid, least (doc_id), runs of windows that are earlier elsewhere."""
     contents = fragments.where("content is not null")
     groups = max(1, -(-contents.count() // PER_GROUP))
+    kind = pa.list_(pa.struct([("at", pa.int64()), ("windows", pa.int64())]))
 
     def decide(table: pa.Table) -> pa.Table:
         cid, docs, anchor = table["cid"].to_numpy(), table["doc_id"].to_numpy(), table["anchor"].to_numpy()
         order = np.lexsort((docs, cid, anchor))
         new = np.r_[True, (cid[order][1:] != cid[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])]
         keep = order[new]  # of equal contents the one with the smallest doc_id
-        least = docs
         _, inverse, n = np.unique(anchor[keep], return_inverse=True, return_counts=True)
         several = np.flatnonzero(n[inverse] > 1)  # an anchor with one content has nothing to merge
         runs: list[list[tuple[int, int]]] = [[] for _ in keep]
         if len(several):
             some = keep[several]
-            found = earlier(table["content"].take(pa.array(some)).to_pylist(), least[some], table["shard"].to_numpy()[some], length)
+            found = earlier(table["content"].take(pa.array(some)).to_pylist(), docs[some], table["shard"].to_numpy()[some], length)
             for i, r in zip(several, found):
                 runs[i] = r
-        kind = pa.list_(pa.struct([("at", pa.int64()), ("windows", pa.int64())]))
         rows = [[{"at": a, "windows": w} for a, w in r] for r in runs]
-        return pa.table({"anchor": anchor[keep], "cid": cid[keep], "least": least[keep], "runs": pa.array(rows, kind)})
-
-    cut = contents.select("anchor", "cid", "doc_id", "shard", "content", F.pmod(F.xxhash64("anchor"), F.lit(groups)).alias("g"))
-    return cut.groupBy("g").applyInArrow(decide, "anchor long, cid long, least long, runs array<struct<at:long,windows:long>>")
+        return pa.table({"anchor": anchor[keep], "cid": cid[keep], "least": docs[keep], "runs": pa.array(rows, kind)})
+
+    schema = "anchor long, cid long, least long, runs array<struct<at:long,windows:long>>"
+    dealt = lambda df: df.withColumn("g", F.pmod(F.xxhash64("anchor"), F.lit(groups))).groupBy("g").applyInArrow(decide, schema)
+    crowded = contents.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > PER_GROUP)
+    crowded = written(crowded.select(F.col("anchor").alias("of")), "crowded")
+    usual = dealt(contents.join(crowded, F.col("anchor") == F.col("of"), "left_anti").select("anchor", "cid", "doc_id", "shard", "content"))
+    # a crowded anchor's contents by single windows: equal windows are one interval, as equal fragments are
+    some = contents.join(crowded, F.col("anchor") == F.col("of"), "left_semi").groupBy("anchor", "cid").agg(F.min("doc_id").alias("least"), F.max("content").alias("content"))
+    some = some.withColumn("at", F.explode(F.sequence(F.lit(0), F.octet_length("content") - length)))
+    some = some.withColumn("window", F.substring("content", F.col("at") + 1, F.lit(length))).drop("content")
+    first = some.groupBy("window").agg(F.min("least").alias("first"))
+    hit = F.when(F.col("first") < F.col("least"), F.struct(F.col("at").cast("long").alias("at"), F.lit(1).cast("long").alias("windows")))
+    return usual.union(some.join(first, "window").groupBy("anchor", "cid").agg(F.min("least").alias("least"), F.collect_list(hit).alias("runs")))
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -252,9 +273,11 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if length % 2 or length < 2 * GRAM:
         raise ValueError(f"length must be even and {2 * GRAM} at least: {length}")
     later = written(_later(docs, length), "later")
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-    kept = docs.sparkSession.sparkContext.broadcast(ids(every.join(later, "doc_id", "left_anti"), "doc_id"))
-    fragments = written(_fragments(docs, length, _marks(docs, length, kept), kept), "fragments")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").cast("long").alias("n")).where("doc_id is not null")
+    total = every.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    kept = docs.sparkSession.sparkContext.broadcast(ids(every.join(later, "doc_id", "left_anti"), "doc_id", total["docs"]))
+    marks = _marks(docs, length, kept, total["n"] // PER_ANCHOR)
+    fragments = written(_fragments(docs, length, marks, kept), "fragments")
     decided = _decided(fragments, length)
     seen = fragments.where("content is null").select("anchor", "cid", "doc_id", "place")
     start, windows = F.shiftright("place", 20), F.col("place") % MOST
@@ -263,17 +286,14 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     hits = seen.join(decided, ["anchor", "cid"]).select("doc_id", start.alias("start"), F.explode(runs).alias("r"))
     hits = hits.select("doc_id", (F.col("start") + F.col("r.at")).alias("s"), (F.col("start") + F.col("r.at") + F.col("r.windows") + (length - 1)).alias("e"))
     hits = hits.union(later.select("doc_id", F.lit(0).cast("long"), "n"))
-
-    def join(table: pa.Table) -> pa.Table:
-        s, e = table["s"].to_numpy(), table["e"].to_numpy()
-        o = np.argsort(s, kind="stable")
-        s, e = s[o], np.maximum.accumulate(e[o])
-        cut = np.flatnonzero(np.r_[True, s[1:] > e[:-1]])
-        rows = [[a, b] for a, b in zip(s[cut].tolist(), e[np.r_[cut[1:], len(s)] - 1].tolist())]
-        return pa.table({"doc_id": table["doc_id"][:1], "spans": pa.array([rows], pa.list_(pa.list_(pa.int64())))})
-
-    found = written(hits.groupBy("doc_id").applyInArrow(join, "doc_id long, spans array<array<long>>"), "spans")
-    dropped(fragments)
+    in_order = Window.partitionBy("doc_id").orderBy("s")
+    reach = F.max("e").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(F.col("s") <= F.col("reach"), 0).otherwise(1)
+    cut = hits.withColumn("reach", reach).withColumn("run", F.sum(begins).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    cut = cut.groupBy("doc_id", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    cut = cut.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))  # a document's own
+    found = written(cut.select("doc_id", F.transform("spans", lambda x: F.array(x["s"], x["e"])).alias("spans")), "spans")
+    dropped(fragments, later)
     return found
 
 
@@ -282,7 +302,7 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     cut = spans(docs, length).withColumnRenamed("doc_id", "of")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[], [], [], []]
             for text, gone in zip(batch[1], batch[2]):
                 text, gone = text.as_py() or b"", gone.as_py() or []
@@ -300,9 +320,8 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def only(flagged: bool):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bitmap = np.frombuffer(shared.value, np.int64)
-            for batch in batches:
-                yield batch.filter(pa.array(has_id(bitmap, batch[2].to_numpy()) == flagged)).select([0, 1])
+            for batch in small(batches):
+                yield batch.filter(pa.array(shared.value.has(batch[2].to_numpy()) == flagged)).select([0, 1])
 
         return _read(docs).withColumn("bit", id_bit("doc_id")).mapInArrow(scan, "doc_id long, text binary")
 

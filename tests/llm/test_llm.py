@@ -75,6 +75,7 @@ def test_jaccard(odd, docs):
         assert got == brute_components(texts(df), k, percent)
     kept = jaccard.keep_one(odd, 4, 85)
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [1, 4, 5, 6, 7, 10, 12, 13, 14, 15]
+    assert jaccard.keep_one(odd.limit(0)).count() == 0
     assert jaccard.jaccard_components(odd.limit(0)).count() == 0
 
 
@@ -92,15 +93,56 @@ def test_near_copy_group_needs_few_pairs(spark):
 
 
 def test_suffix_filter_is_a_bound(spark):
+    """What two sets share after the places of their first common shingle, in an order that puts some shingles first."""
     r = np.random.default_rng(1)
     rows, want = [], []
     for _ in range(20):
         a, b = (np.unique(r.integers(0, 1 << 63, 60, dtype=np.uint64) * np.uint64(2)) for _ in range(2))
         b = np.unique(np.concatenate([b[:30], a[:20]]))
-        rows.append([np.bincount(jaccard._bucket(x, jaccard.PARTS), minlength=jaccard.PARTS).tolist() for x in (a, b)])
-        want.append(len(np.intersect1d(a, b)))
+        shared, key = np.intersect1d(a, b), lambda s: s ^ np.uint64(0x5555555555555555)
+        first = shared[np.argsort(key(shared))[0]]
+        found = []
+        for s in (a, b):
+            order = np.argsort(key(s))
+            own = ~np.isin(s, shared)
+            at = [i for i in order if not own[i]]
+            k = [i for i, x in enumerate(at) if s[x] == first][0]
+            found.append(jaccard.suffixes(s, own, np.array(at))[k].tolist())
+        rows.append(found)
+        want.append(len(shared) - 1)
     df = spark.createDataFrame(rows, "x array<int>, y array<int>").coalesce(1)
-    assert all(q.n >= w for q, w in zip(df.select(jaccard.bound(F.col("x"), F.col("y")).alias("n")).collect(), want))
+    got = [q.n for q in df.select(jaccard.after(F.col("x"), F.col("y")).alias("n")).collect()]
+    assert all(g >= w for g, w in zip(got, want)) and sum(got) < sum(want) + 20 * 15
+
+
+def test_all_links(spark):
+    """Every link between rows, also those within a component that the components don't need."""
+    words = BASE.split()
+    rows = [(0, BASE), (0, BASE), (None, BASE), (1, None)]
+    for i in range(2, 30):
+        w = list(words)
+        for j in rnd.sample(range(len(w)), i % 6):
+            w[j] = f"odd{i}x{j}"
+        rows.append((i, " ".join(w)))
+    sets = [shingle_set(t, 4) for _, t in rows]
+    want = collections.Counter()
+    for i, a in enumerate(sets):
+        n = sum(100 * len(a & b) >= 85 * len(a | b) for j, b in enumerate(sets) if i != j) if a else 0
+        want[rows[i][0], len(a), n] += 1
+    got, edges = jaccard.all_links(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
+    assert collections.Counter((r.doc_id, r.n_shingles, r.n_links) for r in got.collect()) == want
+    assert edges.count() == len({frozenset((a, b)) for a in sets for b in sets if a != b and a and b and 100 * len(a & b) >= 85 * len(a | b)})
+
+
+def test_one_id_with_several_texts(spark):
+    """Of a component one row stays, whichever way its doc_id is repeated; empty texts all stay."""
+    other = BASE.replace("alpha1", "changed")
+    rows = [(1, BASE, "x"), (1, BASE, "y"), (1, other, "z"), (2, BASE, "x"), (3, "", "x"), (3, "", "x"), (None, BASE, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+    kept = [tuple(r) for r in jaccard.keep_one(df, 4, 85).collect()]
+    assert sorted(k[0] or 0 for k in kept) == [0, 1, 3, 3]
+    assert {k[1] for k in kept if k[0] == 1} == {min(BASE, other, key=lambda t: hashlib.sha256(t.encode()).digest())}
+    assert sorted(map(repr, kept)) == sorted(map(repr, (tuple(r) for r in jaccard.keep_one(df.repartition(5), 4, 85).collect())))
 
 
 def test_components_of_a_chain(spark):
@@ -156,12 +198,37 @@ def test_merged_transforms_give_the_repeated_intervals():
         assert {i for a, n in runs for i in range(a, a + n)} == {i for i in range(len(c) - 35) if first[c[i : i + 36]] < d}
 
 
-def test_packing_round_trip(odd, docs):
+def test_common_prefixes_of_merged_transforms():
+    """The lengths that bounds appear at are the common prefixes of neighbouring rotations, in whole symbols."""
+    contents = [bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(20, 40))) for _ in range(9)]
+    parts = [substrings.Shard(contents[k::3], 20) for k in range(3)]
+    who, common = substrings.merged(parts, 20)
+    rotations = [[(c * 3)[i : i + 20] for c in contents[k::3] for i in range(len(c))] for k in range(3)]
+    at = [0, 0, 0]
+    row = []
+    for k in who:
+        row.append(rotations[k][parts[k].order[at[k]]])
+        at[k] += 1
+    for a, b, n in zip(row, row[1:], common[1:]):
+        same = next((i for i in range(20) if a[i] != b[i]), 20)
+        assert n == same // 2 * 2
+
+
+def test_crowded_anchors_and_long_texts(spark, odd, monkeypatch):
+    """Groups of two contents, slices of 97 windows and batches of a few rows give the same rows."""
+    want = collections.Counter(tuple(r)[:5] for r in substrings.removed(odd, 50).collect())
+    for name, value in (("PER_GROUP", 2), ("SLICE", 97), ("ROWS", 3), ("KNOWN", 2)):
+        monkeypatch.setattr(substrings, name, value)
+    assert want == brute_removed(texts(odd), 50) == collections.Counter(tuple(r)[:5] for r in substrings.removed(odd, 50).collect())
+
+
+def test_packing_round_trip(odd, docs, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    for df in (odd, docs):
+    for df, part in ((odd, 200_000), (docs, 200_000), (odd, 40)):
+        monkeypatch.setattr(packing, "PART", part)  # long texts in parts
         got = packing.pack(df, with_ids=True).toPandas()
         want = collections.Counter()
         for d, t in texts(df):
