@@ -1,15 +1,18 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides blocks by the container they
-stand in (menus, page headers and footers, sidebars, notices, adverts, forms, comments are never main
-text), by link density, length and stop-word density; a page's own article element bounds the main
-text if it has words. Short or middling blocks stay open, and in the second pass inherit the label
-of their nearest decided neighbours.
+A page is cut into blocks at block-level tags. The first pass decides a block by its link density, its
+length and its stop-word density, whatever element it stands in: much of it linked is boilerplate, long
+and rich in stop words is main text. Only containers that are never main text (menus, page headers and
+footers, sidebars, notices, adverts, forms, reader comments) decide without it. Short, middling and
+stop-word-poor blocks stay open, and in the second pass inherit the label of their nearest decided
+neighbours: those in article or main elements for blocks there, a heading that of what follows. Blocks
+that their container decides are nobody's neighbours.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by one
 space in page order; nothing else is dropped or capped. Null or empty html gives an empty string.
 Broken markup is read as far as it goes: unclosed tags end with their parent, an unclosed script or
-comment runs to the end. Repeated rows are read each; null ids and urls stay null.
+comment runs to the end. Repeated rows are read each; null ids and urls stay null. An empty table gives
+no rows, other columns are not read, and a very long page costs memory in proportion to its length.
 """
 
 from __future__ import annotations
@@ -23,18 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Thresholds of the first pass: characters of a short and of a long block, densities of links and stop words.
-SHORT, LONG, LINKED, ARTICLE_LINKED, FEW_STOPS, MANY_STOPS = 70, 200, 0.33, 0.66, 0.08, 0.18
+SHORT, LONG, LINKED, FEW_STOPS, MANY_STOPS = 70, 200, 0.5, 0.08, 0.18
 
 #: Tags and words of the HTML and of four languages.
 RAW = set("script style noscript template textarea title svg iframe object select option head".split())
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-BOILERPLATE = set("aside button dialog footer form header label menu nav".split())
+BOILERPLATE = set("aside button dialog footer form label menu nav".split())
 MARKS = set(
-    "ad ads adv advert advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notification popup modal overlay "
-    "newsletter subscribe subscription signup sidebar widget related recommended share sharing social menu nav navbar navigation breadcrumb breadcrumbs masthead "
-    "header footer copyright comment comments disqus respond reply replies toolbar pagination pager login hidden contentinfo complementary dialog".split()
+    "ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification notifications popup modal overlay "
+    "newsletter subscribe subscription signup sidebar sidebars widget widgets related recommended share sharing social menu menus nav navbar navigation breadcrumb breadcrumbs masthead "
+    "header footer copyright comment comments disqus respond reply replies toolbar pagination pager login hidden contentinfo complementary dialog search alert".split()
 )
+PLAIN = set("area bar block bottom box container group inner item items left links list main outer page right section site slot top unit wrap wrapper".split())
 STOPS = set(
     "the of and to in a is that it for on was be with as by this are at from or an have not but they his her you we he she which will would there their what all "
     "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über so zum war haben nur oder aber vor zur bis mehr durch man "
@@ -44,6 +48,8 @@ STOPS = set(
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+PIECES = re.compile(r"[-_]+")
+EDGES = re.compile(r"^\W+|\W+$")
 UNSEEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
@@ -53,11 +59,18 @@ class Block:
     def __init__(self, text: str, linked: int, bad: bool, article: bool, heading: bool):
         self.text, self.bad, self.article, self.heading = text, bad, article, heading
         self.linked = linked / max(1, len(text))
-        words = [w.strip(".,;:!?\"'()").lower() for w in text.split()]
+        words = [EDGES.sub("", w).lower() for w in text.split()]
         self.stops = sum(w in STOPS for w in words) / max(1, len(words))
         self.label: bool | None = None
 
 
+def is_mark(token: str) -> bool:
+    """Whether a class, id or role names boilerplate: the token as a whole, or one made of marks and plain words alone."""
+    pieces = [x.rstrip("0123456789") for x in PIECES.split(token.lower())]
+    pieces = [x for x in pieces if x]
+    return bool(pieces) and any(x in MARKS for x in pieces) and all(x in MARKS or x in PLAIN for x in pieces)
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page that have words, in order."""
     out: list[Block] = []
@@ -139,10 +152,9 @@ def blocks(page: str) -> list[Block]:
             heading = name if re.fullmatch("h[1-6]", name) else ""
         if name in VOID or rest.endswith("/"):
             continue
-        marked = name in BOILERPLATE
+        marked = name in BOILERPLATE or (name == "header" and not (stack and stack[-1][2]))
         if rest and not marked and name not in ("body", "html", "main", "article"):
-            named = {w for v in NAMED.findall(rest) for w in re.split(r"[^a-z0-9]+", "".join(v).lower())}
-            marked = bool(named & MARKS) or bool(UNSEEN.search(re.sub(r"\b(?:class|id|href|src|title|alt)\s*=\s*(?:\"[^\"]*\"|'[^']*')", "", rest)))
+            marked = any(is_mark(w) for v in NAMED.findall(rest) for w in "".join(v).split()) or bool(UNSEEN.search(re.sub(r"\b(?:class|id|href|src|title|alt)\s*=\s*(?:\"[^\"]*\"|'[^']*')", "", rest)))
         if marked or name in BLOCKS:
             if marked and name not in BLOCKS:
                 end()
@@ -154,49 +166,50 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def decided(b: Block) -> bool | None:
+    """The first pass: what a block's own measures say, if they do."""
+    if b.bad or b.linked > LINKED:
+        return False
+    if b.heading or len(b.text) < SHORT:
+        return None
+    if b.stops >= MANY_STOPS or (b.stops >= FEW_STOPS and len(b.text) > LONG):
+        return True
+    return None
+
+
+def inherited(row: list[Block], first: list[bool | None]) -> None:
+    """The second pass over blocks in page order: open ones take the label of the nearest decided one, of both if they agree."""
+    before, after = [None] * len(row), [None] * len(row)
+    for side, order in ((before, range(len(row))), (after, range(len(row) - 1, -1, -1))):
+        near = None
+        for i in order:
+            if first[i] is not None:
+                near = i
+            side[i] = near
+    for i, b in enumerate(row):
+        x, y = before[i], after[i]
+        if first[i] is not None:
+            b.label = first[i]
+        elif x is None and y is None:
+            b.label = True  # nothing speaks against it
+        elif x is None or y is None:
+            b.label = first[y if x is None else x]
+        elif first[x] == first[y] or i - x == y - i:
+            b.label = first[y] if b.heading or first[x] == first[y] else b.stops >= FEW_STOPS
+        else:
+            b.label = first[y] if b.heading else first[x if i - x < y - i else y]
+
+
 def classify(found: list[Block]) -> None:
     """Labels all blocks: main text or not."""
-    own = any(b.article and not b.bad for b in found)
-    for b in found:
-        if b.bad or (own and not b.article):
-            b.label = False
-        elif own:
-            if b.linked > ARTICLE_LINKED:
-                b.label = False
-            elif len(b.text) >= SHORT or b.stops >= FEW_STOPS:
-                b.label = True
-        elif b.linked > LINKED:
-            b.label = False
-        elif len(b.text) < SHORT or b.heading:
-            b.label = False if b.linked else None
-        elif b.stops >= MANY_STOPS or (b.stops >= FEW_STOPS and len(b.text) > LONG):
-            b.label = True
-        elif b.stops < FEW_STOPS:
-            b.label = False
-    # an article's open blocks look at its text alone, others at all that isn't boilerplate by its container
-    for inside in (True, False):
-        row = [b for b in found if not b.bad and (b.article or not own) == inside]
-        before, after = [None] * len(row), [None] * len(row)
-        for side, order in ((before, range(len(row))), (after, range(len(row) - 1, -1, -1))):
-            near = None
-            for i in order:
-                if row[i].label is not None:
-                    near = i
-                side[i] = near
-        fixed = [b.label for b in row]
-        for i, b in enumerate(row):
-            if b.label is None:
-                x, y = before[i], after[i]
-                if x is None and y is None:
-                    b.label = True
-                elif x is None or y is None:
-                    b.label = fixed[y if x is None else x]
-                elif fixed[x] == fixed[y]:
-                    b.label = fixed[x]
-                elif i - x != y - i and not b.heading:
-                    b.label = fixed[x if i - x < y - i else y]
-                else:
-                    b.label = fixed[y] if b.heading else b.stops >= FEW_STOPS
+    first = [decided(b) for b in found]
+    for b, label in zip(found, first):
+        b.label = label
+    inside = [i for i, b in enumerate(found) if b.article and not b.bad]
+    inherited([found[i] for i in inside], [first[i] for i in inside])
+    # open blocks elsewhere look at the whole page, where an article's labels stand; what its container decides is no neighbour
+    rest = [b for b in found if not b.bad]
+    inherited(rest, [b.label for b in rest])
 
 
 def main_text(page: str | None) -> str:

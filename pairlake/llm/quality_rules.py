@@ -4,18 +4,22 @@ Base: words, their characters, symbols, repeated lines, and words in five-word w
 a text fails with under 10 words or over a fifth of its words in such windows.
 
 Method: for each language and source, a minimum covariance determinant estimate of the transformed
-statistics of texts that pass the base. It starts from medians and absolute deviations; each
-concentration step takes the three quarters of a group that are nearest by Mahalanobis distance and
-estimates mean and covariance from them. The distance that parts them comes from a histogram of
-distances by group (some hundred bins each), so no group is sorted or gathered, a group with a third
-of all rows is aggregated like any other, and all rows count. The scale is each group's own spread;
-covariances get a small floor (FLOORS) for statistics that don't vary among clean texts. The length of
-words is measured from its group's median, so that it doesn't follow the size of a text. A text is kept if its squared distance is within
-CUTOFF. Groups with fewer than LEAST texts are pooled by language, and those pools if small all
-together; a pool that is still smaller rejects nothing.
+statistics of texts that pass the base. Three starts (distances by medians and absolute deviations, the
+same by the largest component, and by plain mean and covariance) choose a first three quarters of a
+group; each concentration step takes the three quarters that are nearest by Mahalanobis distance and
+estimates mean and covariance from them, until no determinant falls any more; of a group's starts the
+smallest determinant wins. The distance that parts the quarters comes from a histogram of distances by
+group (some hundred bins each), so no group is sorted or gathered, a group with a third of all rows is
+aggregated like any other, and all rows count. FACTOR makes the covariance of the nearest three quarters
+of normal data that of all; a floor (FLOORS) is added to variances, as many clean texts have no symbol
+and no repeat at all, so that their spread says nothing. The length of words is measured from its group's
+median, so that it doesn't follow the size of a text. Every estimate is drawn to that of its language,
+and that to the estimate of all, by their sizes (SHRINK texts weigh as much as the pool), so a small
+group is judged like its language. A text is kept if its squared distance is within CUTOFF.
 
 Null or empty text has no words and fails the base. Null language or source is a group like others.
-Repeated rows are judged each, a null doc_id keeps its row, other columns are not read.
+Repeated rows are judged each, a null doc_id keeps its row, an empty table gives no rows, other columns
+are not read. A very long text costs memory in proportion to its words.
 """
 
 from __future__ import annotations
@@ -28,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import written
 
 WINDOW, LEAST_WORDS, REPEAT_PERCENT = 5, 10, 20
-#: Share of a group that an estimate rests on, its steps, and the groups that are too small for one.
-SHARE, STEPS, LEAST = 0.75, 4, 60
+#: Share of a group that an estimate rests on, most steps, least fall of a log determinant, texts that weigh as much as the pool.
+SHARE, STEPS, FALL, SHRINK = 0.75, 12, 1e-3, 60
+#: Groups whose estimates may go to every task; more are joined by key.
+BROADCAST = 50_000
 #: Fixed values for five dimensions and a share of 0.75: the consistency factor of the covariance.
 FACTOR = 1.41
 #: Largest squared distance that is kept: the 0.999 quantile of chi-squared with five degrees of freedom.
@@ -58,9 +64,12 @@ def statistics(docs: DataFrame) -> DataFrame:
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
     )
     rows = rows.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
-    hashed = F.transform(F.sequence(F.lit(0), F.col("n") - WINDOW), lambda i: F.struct(F.xxhash64(*(F.get("h", i + k) for k in range(WINDOW))).alias("h"), i.alias("p")))
+    hashed = F.transform(F.sequence(F.lit(0), F.col("n") - WINDOW), lambda i: F.xxhash64(*(F.get("h", i + k) for k in range(WINDOW))))
+    rows = rows.withColumn("hs", F.when(F.col("n") >= WINDOW, hashed).otherwise(F.array().cast("array<bigint>")))
+    # only texts in which two windows have one hash sort their windows
+    placed = F.array_sort(F.transform("hs", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
     none = F.array().cast("array<struct<h:bigint,p:int>>")
-    rows = rows.withColumn("s", F.array_sort(F.when(F.col("n") >= WINDOW, hashed).otherwise(none)))
+    rows = rows.withColumn("s", F.when(F.size(F.array_distinct("hs")) < F.size("hs"), placed).otherwise(none))
 
     def same(x: Column, k: Column) -> Column:
         """Whether the sorted window k is the one at x: equal hashes, then equal words."""
@@ -110,61 +119,98 @@ def _distance() -> Column:
     return reduce(lambda s, v: s + v * v, y[1:], y[0] * y[0])
 
 
-def _placed(rows: DataFrame, params: DataFrame) -> DataFrame:
-    return rows.join(_factored(params), "key").withColumn("d2", _distance())
+def _by_key(params: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(params) if n <= BROADCAST else params.hint("merge")
 
 
-def _estimated(rows: DataFrame) -> DataFrame:
-    """key, m_*, c_i_j from the rows (key and the statistics) of each group's share."""
+def _estimated(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, n, m_*, c_i_j from the rows (keys and the statistics) of each group's share."""
     means = [F.avg(a).alias(f"m_{a}") for a in NAMES]
     covs = [F.covar_pop(a, b).alias(f"v_{i}_{j}") for i, a in enumerate(NAMES) for j, b in enumerate(NAMES[: i + 1])]
-    out = rows.groupBy("key").agg(*means, *covs)
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), *means, *covs)
     floor = lambda i, j: FLOORS[NAMES[i]] ** 2 if i == j else 0.0
     cs = [(FACTOR * F.col(f"v_{i}_{j}") + floor(i, j)).alias(f"c_{i}_{j}") for i in range(5) for j in range(i + 1)]
-    return out.select("key", *(f"m_{a}" for a in NAMES), *cs)
+    return out.select(*keys, "n", *(f"m_{a}" for a in NAMES), *cs)
+
+
+def _log_det() -> Column:
+    return reduce(lambda s, i: s + 2 * F.log(F.col(f"l_{i}_{i}")), range(1, 5), 2 * F.log(F.col("l_0_0")))
+
+
+def _nearest(bins: DataFrame) -> DataFrame:
+    """The three quarters of each (key, start) with the smallest d2, by whole bins."""
+    bins = bins.withColumn("bin", F.floor(16 * F.log2(1 + 16 * F.col("d2"))))
+    counts = bins.groupBy("key", "start", "bin").count()
+    by = Window.partitionBy("key", "start")
+    last = counts.withColumns({"up": F.sum("count").over(by.orderBy("bin")), "total": F.sum("count").over(by)})
+    last = last.where(F.col("up") >= SHARE * F.col("total")).groupBy("key", "start").agg(F.min("bin").alias("last"))
+    last = written(last, "quarters")
+    return bins.join(_by_key(last, last.count()), ["key", "start"]).where("bin <= last")
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """The robust mean and covariance of each key."""
-    medians = rows.groupBy("key").agg(*(F.percentile_approx(a, 0.5, 1000).alias(f"m_{a}") for a in NAMES))
-    away = rows.join(medians, "key").groupBy("key").agg(*(F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{a}")), 0.5, 1000).alias(f"d_{a}") for a in NAMES))
-    start = [((1.4826 * F.col(f"d_{a}")) ** 2 + FLOORS[a] ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, a in enumerate(NAMES) for j in range(i + 1)]
-    params = written(medians.join(away, "key").select("key", *(f"m_{a}" for a in NAMES), *start), "outliers")
+    """key, n, m_* and c_i_j: the robust mean and covariance of each key."""
+    medians = rows.groupBy("key").agg(F.count("*").alias("n"), *(F.percentile_approx(a, 0.5, 1000).alias(f"m_{a}") for a in NAMES))
+    medians = written(medians, "medians")
+    groups = medians.count()
+    away = rows.join(_by_key(medians, groups), "key").groupBy("key").agg(*(F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{a}")), 0.5, 1000).alias(f"d_{a}") for a in NAMES))
+    start = written(medians.join(away, "key"), "spreads")
+    near = rows.join(_by_key(start, groups), "key")
+    z = [((F.col(a) - F.col(f"m_{a}")) ** 2) / ((1.4826 * F.col(f"d_{a}")) ** 2 + FLOORS[a] ** 2) for a in NAMES]
+    plain = written(_estimated(rows, "key"), "outliers")
+    mahalanobis = rows.join(_by_key(_factored(plain), groups), "key").select("key", *NAMES, F.lit(2).alias("start"), _distance().alias("d2"))
+    first = near.select("key", *NAMES, F.lit(0).alias("start"), sum(z[1:], z[0]).alias("d2")).union(near.select("key", *NAMES, F.lit(1).alias("start"), F.greatest(*z).alias("d2"))).union(mahalanobis)
+    params = written(_factored(_estimated(_nearest(first).select("key", "start", *NAMES), "key", "start")).withColumn("det", _log_det()), "outliers")
+    starts = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     for _ in range(STEPS):
-        bins = _placed(rows, params).withColumn("bin", F.floor(16 * F.log2(1 + 16 * F.col("d2"))))
-        counts = bins.groupBy("key", "bin").count()
-        up = F.sum("count").over(Window.partitionBy("key").orderBy("bin"))
-        total = F.sum("count").over(Window.partitionBy("key"))
-        last = counts.withColumns({"up": up, "total": total}).where(F.col("up") >= SHARE * F.col("total")).groupBy("key").agg(F.min("bin").alias("last"))
-        near = bins.join(last, "key").where("bin <= last")
-        params = written(_estimated(near.select("key", *NAMES)), "outliers")
-    return params
-
-
-def _keyed(rows: DataFrame) -> DataFrame:
-    """rows with key: language and source, or the language's small sources, or all small languages'; null for too few."""
-    name = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
-    sizes = rows.groupBy("lang", "source").count()
-    in_lang = F.sum(F.when(F.col("count") < LEAST, F.col("count")).otherwise(0)).over(Window.partitionBy("lang"))
-    small = sizes.withColumn("rest", in_lang)
-    small = small.withColumn("key", F.when(F.col("count") >= LEAST, name("lang", "source")).when(F.col("rest") >= LEAST, name("lang")))
-    others = small.where("key is null").agg(F.sum("count").alias("others"))
-    fallback = F.when(F.col("others") >= LEAST, F.lit("others"))
-    keys = small.join(F.broadcast(others), how="left").select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), F.coalesce("key", fallback).alias("key"))  # others is one row
-    on = F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source"))
-    return rows.join(keys, on).drop("of_lang", "of_source")
+        placed = starts.join(_by_key(params, 3 * groups), ["key", "start"]).select("key", "start", *NAMES, _distance().alias("d2"))
+        new = _factored(_estimated(_nearest(placed).select("key", "start", *NAMES), "key", "start")).withColumn("det", _log_det())
+        old = params.select("key", "start", F.col("det").alias("before"))
+        new = written(new.join(_by_key(old, 3 * groups), ["key", "start"]), "outliers")
+        fell = new.agg(F.max(F.col("before") - F.col("det"))).first()[0]
+        params = new.drop("before")
+        if fell is None or fell <= FALL:
+            break
+    fields = [f"m_{a}" for a in NAMES] + [f"c_{i}_{j}" for i in range(5) for j in range(i + 1)]
+    best = params.groupBy("key").agg(F.min_by(F.struct(*fields), F.struct("det", "start")).alias("b"))
+    return written(best.join(medians.select("key", "n"), "key").select("key", "n", "b.*"), "outliers")
+
+
+ALL = "all"
+
+
+def _name(*columns: str) -> Column:
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def _drawn(own: DataFrame, pool: DataFrame) -> DataFrame:
+    """own (key, above, n and an estimate) drawn to the estimate of the pool that is above it."""
+    fields = [f"m_{a}" for a in NAMES] + [f"c_{i}_{j}" for i in range(5) for j in range(i + 1)]
+    w = F.col("n") / (F.col("n") + SHRINK)
+    pool = pool.select(F.col("key").alias("above"), *(F.col(f).alias(f"p_{f}") for f in fields))
+    mixed = [(w * F.col(f) + (1 - w) * F.col(f"p_{f}")).alias(f) for f in fields]
+    return own.join(pool, "above").select("key", "n", *mixed)
+
+
+def shrunk(rows: DataFrame) -> DataFrame:
+    """key, m_*, c_i_j for each language and source, from rows (key, pool, and the statistics)."""
+    each = rows.select(F.explode(F.array(F.concat(F.lit("s"), "key"), F.concat(F.lit("l"), "pool"), F.lit(ALL))).alias("key"), *NAMES)
+    found = estimates(each)
+    above = rows.select(F.concat(F.lit("s"), "key").alias("key"), F.concat(F.lit("l"), "pool").alias("above")).distinct()
+    every = found.where(F.col("key") == ALL)
+    pools = _drawn(found.where(F.startswith("key", F.lit("l"))).withColumn("above", F.lit(ALL)), every)
+    own = _drawn(found.where(F.startswith("key", F.lit("s"))).join(above, "key"), pools)
+    return written(own.withColumn("key", F.substring("key", 2, 1 << 30)), "estimates")
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """doc_id, the base statistics, base_failed, kept, distance (null where no estimate stands)."""
+    """doc_id, the base statistics, base_failed, kept, distance (null where the base fails)."""
     rows = written(statistics(docs), "statistics")
-    fine = rows.where(~F.col("base_failed"))
-    fine = written(_keyed(fine.withColumn("log_length", F.log(F.col("word_chars") / F.col("n_words")))), "keyed")
-    usual = fine.groupBy("key").agg(F.percentile_approx("log_length", 0.5, 1000).alias("usual")).withColumnRenamed("key", "of_key")
-    fine = fine.join(F.broadcast(usual), F.col("key").eqNullSafe(F.col("of_key"))).withColumns(_vector()).drop("of_key")  # a row for each group
-    fine = written(fine, "vectors")
-    params = estimates(fine.where("key is not null"))
-    far = fine.join(_factored(params), "key", "left").withColumn("distance", _distance())
+    fine = rows.where(~F.col("base_failed")).withColumns({"log_length": F.log(F.col("word_chars") / F.col("n_words")), "key": _name("lang", "source"), "pool": _name("lang")})
+    usual = written(fine.groupBy("key").agg(F.percentile_approx("log_length", 0.5, 1000).alias("usual")), "usual")
+    fine = written(fine.join(_by_key(usual, usual.count()), "key").withColumns(_vector()), "vectors")
+    params = shrunk(fine)
+    far = fine.join(_by_key(_factored(params), params.count()), "key").withColumn("distance", _distance())
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    passed = far.select(*columns, (F.col("distance").isNull() | (F.col("distance") <= CUTOFF)).alias("kept"), "distance")
+    passed = far.select(*columns, (F.col("distance") <= CUTOFF).alias("kept"), "distance")
     return passed.union(rows.where("base_failed").select(*columns, F.lit(False), F.lit(None).cast("double")))

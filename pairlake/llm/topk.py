@@ -1,16 +1,18 @@
 """Exact top-k by inner product: dual-tree search with cover trees.
 
 Vectors become integers floor(scale * x), so scores are exact. Rows fall to blocks by their nearest
-pivot (a sample of PIVOTS rows at most, by hash), large blocks are split by hash. A task gets one
-group of queries and one block of rows, builds a cover tree over each, and descends both together: a
-pair of nodes with covering radii r and s and centres a and b scores at most
-a.b + r|b| + s|a| + r s, and is pruned if that is below the worst kth score in the query group. First
-each group meets the blocks of its own pivots; the kth scores found there prune the other blocks from
-the start, and only rows that reach them are returned.
+pivot (a sample, by hash, of about the square root of the rows, MOST_PIVOTS at most), large blocks are
+split by hash; queries fall to groups in the same way. A task gets one group of queries and one block of
+rows, builds a cover tree over each, and descends both together: a pair of nodes with covering radii r
+and s and centres a and b scores at most a.b + r|b| + s|a| + r s, and is pruned if that is below the
+worst kth score in the query group. First each group meets one block of its own pivot; the kth scores
+found there and the same bound, with pivots as centres, prune whole blocks before any row is sent, and
+then nodes within the others.
 
 Vectors that are null or hold null, NaN or infinite components, and rows with a null vec_id, take no
 part. A score needs equal lengths: vectors of another length aren't candidates. Rows that repeat a
-query's vec_id are its own. Repeated rows of other ids are candidates each. Other columns are not read.
+query's vec_id are its own; if their vectors differ they are one query, whose scores are those of all.
+Repeated rows of other ids are candidates each. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 SCALE, K = 1024, 10
-PIVOTS, BLOCK, GROUP, LEAF, BASE = 64, 4096, 2048, 48, 1.3
+MOST_PIVOTS, BLOCK, GROUP, LEAF, BASE = 256, 4096, 2048, 48, 1.3
 
 
 def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -135,52 +137,68 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).where(fine)
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(scale * x).cast("double")).alias("v"), is_query.alias("q"))
-    sample = rows.orderBy(F.xxhash64("v", "vec_id"), "vec_id").limit(PIVOTS).select("v").collect()  # PIVOTS rows
+    n = rows.count()
+    few = min(MOST_PIVOTS, max(1, int(n**0.5)))
+    sample = rows.orderBy(F.xxhash64("v", "vec_id"), "vec_id").limit(few).select("v").collect()  # MOST_PIVOTS rows at most
     pivots = [np.array(r["v"]) for r in sample]
 
-    @F.pandas_udf("int")
+    @F.pandas_udf("pivot int, away double")
     def nearest(values):
         import pandas as pd
 
-        out = np.zeros(len(values), np.int32)
+        out, away = np.zeros(len(values), np.int32), np.full(len(values), np.inf)
         sizes = np.array([len(x) for x in values])
-        for n in np.unique(sizes) if n_pivots else []:
-            own = np.flatnonzero(sizes == n)
-            x = np.array([values.iloc[i] for i in own], float).reshape(len(own), n)
-            same = [(i, p) for i, p in enumerate(pivots) if len(p) == n]
-            if same:
-                away = np.stack([((x - p) ** 2).sum(1) for _, p in same])
-                out[own] = np.array([i for i, _ in same], np.int32)[away.argmin(0)]
-        return pd.Series(out)
-
-    n_pivots = len(pivots)
-    placed = written(rows.withColumn("size", F.size("v")).withColumn("pivot", nearest("v")), "vectors")
-    parts = placed.groupBy("size", "pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("splits"))
-    placed = placed.join(parts, ["size", "pivot"])
-    split = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
-    blocks = placed.withColumn("block", F.struct("size", "pivot", split("splits").alias("k")))
-    # queries of all pivots share groups of about GROUP, so that rows are sent few times
-    sizes = placed.groupBy("size").agg(F.count_if("q").alias("m")).withColumn("all", F.ceil(F.greatest(F.col("m"), F.lit(1)) / GROUP).cast("int")).drop("m")
-    data = blocks.join(sizes, "size").select("size", "pivot", "block", "vec_id", "v", "all")
-    asked = blocks.where("q").join(sizes, "size").dropDuplicates(["vec_id", "v"])
-    asked = asked.withColumn("g", F.struct("size", split("all").alias("k")))
-    per_block = parts.select("size", "pivot", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("k"))
-    per_block = per_block.select("size", "pivot", F.struct("size", "pivot", "k").alias("block"))
+        for m in np.unique(sizes):
+            own = np.flatnonzero(sizes == m)
+            same = [i for i, p in enumerate(pivots) if len(p) == m]
+            if not same:
+                continue
+            x, p = np.array([values.iloc[i] for i in own], float).reshape(len(own), m), np.stack([pivots[i] for i in same])
+            for at in range(0, len(own), 1024):
+                part = x[at : at + 1024]
+                d = (part**2).sum(1)[:, None] - 2 * part @ p.T + (p**2).sum(1)
+                best = d.argmin(1)
+                out[own[at : at + 1024]] = np.array(same, np.int32)[best]
+                away[own[at : at + 1024]] = np.linalg.norm(part - p[best], axis=1)
+        return pd.DataFrame({"pivot": out, "away": away})
+
+    placed = written(rows.withColumn("size", F.size("v")).withColumn("near", nearest("v")).select("vec_id", "v", "q", "size", "near.pivot", "near.away"), "vectors")
+    splits = lambda c, most, name: F.greatest(F.ceil(c / most), F.lit(1)).cast("int").alias(name)
+    parts = written(placed.groupBy("size", "pivot").agg(splits(F.count("*"), BLOCK, "blocks"), splits(F.count_if("q"), GROUP, "groups")), "parts")
+    cut = lambda c: F.pmod(F.xxhash64("vec_id"), F.col(c)).cast("int")
+    data = placed.join(parts, ["size", "pivot"]).select("size", "pivot", "vec_id", "v", "away", cut("blocks").alias("k"), "blocks")
+    asked = placed.where("q").dropDuplicates(["vec_id", "v"]).join(parts, ["size", "pivot"]).select("size", "pivot", "vec_id", "v", "away", cut("groups").alias("k"), "blocks")
+    block = F.struct("size", "pivot", "k")
     lowest = F.lit(float("-inf"))
+    home = F.pmod("k", F.col("blocks")).cast("int")  # of a group: the block it meets first
 
-    home = asked.select("size", "pivot", "vec_id", "v").join(per_block, ["size", "pivot"])
-    home = home.select(F.lit(0).alias("g"), "block", "vec_id", "v", lowest.alias("least"))
-    first = written(_searched(data.select(F.lit(0).alias("g"), "block", "vec_id", "v"), home, k), "near")
+    near = asked.select(block.alias("g"), F.struct("size", "pivot", home.alias("k")).alias("block"), "vec_id", "v", lowest.alias("least"))
+    pairs = near.select("g", "block").distinct()
+    first = written(_searched(_sent(data, pairs), near, k), "near")
     least = _kth(first, k)
 
-    asked = asked.join(least, asked["vec_id"] == least["query_id"], "left")
-    asked = asked.select("size", "g", F.col("pivot").alias("own"), "vec_id", "v", F.coalesce(F.col("least").cast("double"), lowest).alias("least"))
-    far = asked.join(per_block, "size").where("pivot <> own").select("g", "block", "vec_id", "v", "least")
-    spread = data.withColumn("g", F.explode(F.sequence(F.lit(0), F.col("all") - 1))).select(F.struct("size", F.col("g").alias("k")).alias("g"), "block", "vec_id", "v")
-    rest = _searched(spread, far, k)
+    # which blocks a group still has to meet: by pivots, radii and the group's worst kth score
+    asked = asked.join(least, asked["vec_id"] == least["query_id"], "left").select("size", "pivot", "vec_id", "v", "away", "k", "blocks", F.coalesce(F.col("least").cast("double"), lowest).alias("least"))
+    asked = written(asked, "asked")
+    ball = lambda df: df.groupBy("size", "pivot", "k")
+    groups = ball(asked).agg(F.max("away").alias("r"), F.min("least").alias("least"), F.first("blocks").alias("blocks"))
+    blocks = ball(data).agg(F.max("away").alias("s")).select(F.col("size").alias("b_size"), F.col("pivot").alias("b_pivot"), F.col("k").alias("b_k"), "s")
+    table = [(i, j, float(p @ q), float(np.linalg.norm(p)), float(np.linalg.norm(q))) for i, p in enumerate(pivots) for j, q in enumerate(pivots) if len(p) == len(q)]
+    products = F.broadcast(rows.sparkSession.createDataFrame(table, "pivot int, b_pivot int, dot double, p double, q double"))  # MOST_PIVOTS squared at most
+    top = F.col("dot") + F.col("r") * F.col("q") + F.col("s") * F.col("p") + F.col("r") * F.col("s")
+    met = groups.join(products, "pivot").join(blocks, "b_pivot").where("size = b_size").where(~(top + F.abs(top) * 1e-6 + 1e-3 < F.col("least")))  # vectors that no pivot has the length of are at no distance: met
+    own = (F.col("pivot") == F.col("b_pivot")) & (F.col("b_k") == home)
+    met = met.where(~own).select(block.alias("g"), F.struct(F.col("b_size").alias("size"), F.col("b_pivot").alias("pivot"), F.col("b_k").alias("k")).alias("block"))
+    met = written(met, "met")
+    rest = _searched(_sent(data, met), asked.withColumn("g", block).join(met, "g").select("g", "block", "vec_id", "v", "least"), k)
     return _ranked(first.union(rest), k)
 
 
+def _sent(data: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of each (g, block) of pairs."""
+    return data.withColumn("block", F.struct("size", "pivot", "k")).select("block", "vec_id", "v").join(pairs, "block").select("g", "block", "vec_id", "v")
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     """A query has k rows from each block at most, fewer beyond its first ones."""
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

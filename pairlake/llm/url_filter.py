@@ -2,7 +2,7 @@
 
 DataFrame functions and Spark's own FP-growth only. A url is host and path as the rules need them, and
 a set of tokens (words of its host, path segments, names of its query, its scheme). Labelled pages become transactions of their tokens and their label. FP-growth mines token
-combinations; rules that conclude a label are pruned by support and confidence, and a rule is dropped
+combinations of any length; rules that conclude a label are pruned by support and confidence, and a rule is dropped
 if one of its subsets is as confident. Pages meet rules by an inverted index: each page's tokens join
 the tokens of rules, and a rule matches if all its tokens are met. The most confident matching rule
 decides; without one, or on a tie, a page is allowed.
@@ -12,7 +12,8 @@ starts with the rule's path; the longest fits best. Their list is a parameter, h
 
 A null url, or one without "://", has an empty host and path and no tokens: no rule fits and it is
 allowed. Distinct urls are judged once, so copies of a url cost one. Labels that are null or that
-disagree aren't mined. Rows with a null page_id stay. Without labels nothing is mined.
+disagree aren't mined, repeated labels count once for each page. Rows with a null page_id stay. Without labels nothing is mined.
+A very long url is judged whole. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Share of labelled pages that a combination needs, of its pages that have the label, and tokens in a combination.
-SUPPORT, CONFIDENCE, MOST_TOKENS = 0.005, 0.6, 3
+#: Share of labelled pages that a combination needs, and of its pages that have the label.
+SUPPORT, CONFIDENCE = 0.005, 0.6
 BLOCK_ITEM, ALLOW_ITEM = "label=block", "label=allow"
-#: Rules that may go to every task; more are joined by token.
+#: Entries of the rules' inverted index that may go to every task; a larger one is joined by token.
 BROADCAST = 100_000
 
 #: (host, path, verdict) of the registered query.
@@ -56,39 +57,36 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 
 def mined(urls: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(rule, items, size, verdict, confidence) from rows (tokens, label 0 = block, 1 = allow)."""
-    # tokens rarer than the support can't be in a rule; dropping them keeps transactions small and results the same
-    rows = written(urls.where("label is not null and size(tokens) > 0").select(F.monotonically_increasing_id().alias("row"), "tokens", "label"), "labelled")
+    rows = written(urls.where("label is not null").select(F.monotonically_increasing_id().alias("row"), "tokens", "label"), "labelled")
     n = rows.count()
     schema = "rule long, items array<string>, size int, verdict string, confidence double"
     if not n:
         return rows.sparkSession.createDataFrame([], schema)
     least = max(1, int(-(-n * support // 1)))
+    # tokens rarer than the support can't be in a rule; dropping them keeps transactions small and results the same
     each = rows.select("row", F.explode("tokens").alias("token"))
-    often = each.groupBy("token").count().where((F.col("count") >= least) & (F.col("count") < n)).select("token")
+    often = each.groupBy("token").count().where(F.col("count") >= least).select("token")
     kept = each.join(often, "token").groupBy("row").agg(F.collect_set("token").alias("kept"))  # a url's own tokens
     item = F.when(F.col("label") == 0, BLOCK_ITEM).otherwise(ALLOW_ITEM)
-    rows = written(rows.join(kept, "row").select(F.concat("kept", F.array(item)).alias("items")), "transactions")
-    if not rows.head(1):
-        return rows.sparkSession.createDataFrame([], schema)
+    none = F.array().cast("array<string>")
+    rows = written(rows.join(kept, "row", "left").select(F.concat(F.coalesce("kept", none), F.array(item)).alias("items")), "transactions")
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n), minConfidence=confidence).fit(rows)
-    only = (F.size("consequent") == 1) & F.col("consequent")[0].isin(BLOCK_ITEM, ALLOW_ITEM) & (F.size("antecedent") <= MOST_TOKENS)
+    only = (F.size("consequent") == 1) & F.col("consequent")[0].isin(BLOCK_ITEM, ALLOW_ITEM) & (F.size("antecedent") > 0)
     rules = model.associationRules.where(only).select(F.array_sort("antecedent").alias("items"), F.col("consequent")[0].alias("label"), "confidence")
-    rules = written(rules.select("items", F.when(F.col("label") == BLOCK_ITEM, "block").otherwise("allow").alias("verdict"), "confidence", F.size("items").alias("size")), "rules")
-    # a rule with a subset at least as confident adds nothing: subsets of up to MOST_TOKENS items are looked up
-    subsets = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.concat(F.slice("items", 1, i), F.slice("items", i + 2, F.col("size"))))
-    singles = F.transform(F.col("items"), lambda x: F.array(x))
-    wider = rules.where("size > 1").select("items", "verdict", "confidence", F.explode(F.array_distinct(F.concat(subsets, singles))).alias("sub")).where("sub <> items")
-    inner = rules.select(F.col("items").alias("sub"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
-    beaten = wider.join(inner, "sub").where("verdict = v and c >= confidence").select("items", "verdict").distinct()
-    rules = rules.join(beaten, ["items", "verdict"], "left_anti")
-    return written(rules.select(F.xxhash64("items", "verdict").alias("rule"), "items", "size", "verdict", "confidence"), "rules")
+    rules = rules.select("items", F.when(F.col("label") == BLOCK_ITEM, "block").otherwise("allow").alias("verdict"), "confidence", F.size("items").alias("size"))
+    rules = written(rules.select(F.xxhash64("items", "verdict").alias("rule"), "*"), "rules")
+    # a rule with a subset at least as confident adds nothing; subsets are met by an inverted index, as urls meet rules
+    index = rules.select(F.col("rule").alias("sub"), F.explode("items").alias("token"), F.col("verdict").alias("v"), F.col("size").alias("few"), F.col("confidence").alias("c"))
+    met = rules.select("rule", F.explode("items").alias("token"), "verdict", "size", "confidence").join(index, "token")
+    met = met.where((F.col("v") == F.col("verdict")) & (F.col("few") < F.col("size")) & (F.col("c") >= F.col("confidence")))
+    beaten = met.groupBy("rule", "sub", "few").count().where(F.col("count") == F.col("few")).select("rule").distinct()
+    return written(rules.join(beaten, "rule", "left_anti").select("rule", "items", "size", "verdict", "confidence"), "rules")
 
 
 def _best(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, best): the highest confidence of the rules whose tokens a url (url, tokens) all has."""
-    index = rules.select("rule", F.explode("items").alias("token"), "size", "confidence")
-    if rules.count() <= BROADCAST:  # MOST_TOKENS rows for each rule
-        index = F.broadcast(index)
+    index = written(rules.select("rule", F.explode("items").alias("token"), "size", "confidence"), "index")
+    index = F.broadcast(index) if index.count() <= BROADCAST else index.hint("merge")
     met = urls.select("url", F.explode("tokens").alias("token")).join(index, "token")
     met = met.groupBy("url", "rule", "size", "confidence").count().where(F.col("count") == F.col("size"))
     return met.groupBy("url").agg(F.max("confidence").alias("best"))
@@ -100,9 +98,9 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     Allow rules only matter where a block rule matches, so only those urls meet them.
     """
     block = written(_best(urls, rules.where("verdict = 'block'")), "blocked")
-    some = urls.join(block.select("url"), "url", "left_semi")
+    some = urls.join(block.select("url").hint("merge"), "url", "left_semi")
     allow = _best(some, rules.where("verdict = 'allow'")).withColumnRenamed("best", "allow")
-    out = block.join(allow, "url", "left").where(F.coalesce("allow", F.lit(0.0)) < F.col("best"))
+    out = block.join(allow.hint("merge"), "url", "left").where(F.coalesce("allow", F.lit(0.0)) < F.col("best"))
     return out.select("url", F.lit("block").alias("mined"))
 
 
@@ -125,9 +123,11 @@ def judged(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str,
     urls = written(urls.withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path"))), "urls")
     known = labels.select(F.col("doc_id").cast("long").alias("of"), F.col("quality").cast("int").alias("y")).where("y in (0, 1)")
     known = known.groupBy("of").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").select("of", F.col("y").alias("label"))
-    labelled = page.join(known, F.col("page_id") == F.col("of")).select("url", "label").join(urls, "url").select("tokens", "label")
+    # tables that grow with the pages are never broadcast, however small they look when compressed
+    own = page.join(known.hint("merge"), F.col("page_id") == F.col("of")).select("url", "label")
+    labelled = own.join(urls.hint("merge"), "url").select("tokens", "label")
     found = matched(urls, mined(labelled, support, confidence))
     rule, own = fitting(F.col("host"), F.col("path"), rules)
-    out = page.withColumns({"host": host, "path": path}).join(found, "url", "left")
+    out = page.withColumns({"host": host, "path": path}).join(found.hint("merge"), "url", "left")
     out = out.withColumns({"rule": rule, "own": own, "mined": F.coalesce("mined", F.lit("allow"))})
     return out.select("page_id", "host", "path", "rule", F.coalesce("own", "mined").alias("verdict"), "url", "mined")

@@ -282,6 +282,8 @@ def test_budgets_go_to_siblings_first():
     assert got == {("x", "a"): 10, ("x", "b"): 70, ("y", "a"): 80}
     got = mixing.budgets(have, {("x",): 0.9, ("y",): 0.1}, 500)
     assert got[("x", "a")] + got[("x", "b")] == 110 and got[("y", "a")] == 390
+    lost = mixing.budgets({("x", "a"): 10, ("x", "b"): 1000, ("y", "a"): 1000}, {("x",): 0.5, ("y",): 0.5, ("x", "a"): 1.0}, 400)
+    assert sum(lost.values()) == 400 and lost[("x", "a")] == 10 and lost[("y", "a")] == 390
     assert mixing.budgets({}, {}, 10) == {(): 0} and sum(mixing.budgets(have, {}, 10**6, 2).values()) == 2220
 
 
@@ -319,6 +321,8 @@ def test_mixing(spark, odd):
         mixing.PER_RANGE = old
     assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, again.values.tolist()))
     assert mixing.mixed(df.limit(0), {"source": F.col("source")}, F.col("t"), {}, 10).count() == 0
+    taken = mixing.mixed(odd, {"source": F.col("source"), "n": F.col("lang")}, F.char_length("text"), {}, 1.0).toPandas()
+    assert taken.tokens_taken.sum() == sum(len(t or "") for _, t in texts(odd))
     out = mixing.resampled(odd, {"source": F.col("source")}, F.char_length("text"), {}, 1.0)
     assert out.columns == odd.columns and out.where("doc_id = 10").count() == 1 and out.where("doc_id = 4").count() == 0
 
@@ -357,11 +361,19 @@ def test_html(spark):
     for r in html_text.extracted(pages).collect():
         article = re.search("<article>(.*?)(</article>|$)", raw[r.page_id], re.S)[1]
         assert r.text == " ".join(html.unescape(re.sub("<[^>]*>", " ", article)).split()) and r.n_chars == len(r.text)
+        # without that element the blocks' measures alone give the same
+        assert html_text.main_text(re.sub("(</?)article>", r"\1div>", raw[r.page_id])) == r.text
+    assert html_text.extracted(pages.limit(0)).count() == 0
     page = """<html><body><div id="menu"><a href=x>Home</a></div><div class="cookie-notice">We use cookies to make it better for the users of the site.</div>
     <div><h1>Big title</h1><p>This is a long paragraph of the text that is in the page and it has a lot of stop words in it for the rule.</p><p>Short&nbsp;one &lt;b&gt;.</p>
     <script>var a = "<p>no</p>"</script></div><div class=comments><p>I am a reader and this is the best thing that I have read in all of my life, thank you.</p></div><form>Mail</form><footer>&copy; all</footer>"""
     assert html_text.main_text(page) == "Big title This is a long paragraph of the text that is in the page and it has a lot of stop words in it for the rule. Short one <b>."
+    assert html_text.main_text("<div class=post><p>Read <a href=x>this</a> now and see what we have in the house of the man.</p></div>").startswith("Read this now")
+    assert html_text.main_text("<p class='share-price'>The price of it is up.</p><article><header><h1>Title</h1></header><p>Short.</p></article><div class='site-footer'>x</div>") == "The price of it is up. Title Short."
+    long = "<p>" + "the man of the house is in it and " * 20 + "</p>"
+    assert html_text.main_text("<html>" + long * 500) == " ".join(["the man of the house is in it and " * 20] * 500).replace("  ", " ").strip()
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<script>x") == html_text.main_text("<!-- open") == "" and html_text.main_text("a < b") == "a < b"
+    assert [html_text.is_mark(x) for x in ("ad", "ad-banner", "site-footer", "cookie-notice", "sidebar2", "share-price", "post-footer", "main-content", "")] == [True] * 5 + [False] * 4
     odd = spark.createDataFrame([(1, None, None, 1), (None, "u", "<p>x", 2), (1, None, None, 1)], "page_id long, url string, html string, text int")
     assert sorted((r.page_id or 0, r.text) for r in html_text.extracted(odd).collect()) == [(0, "x"), (1, ""), (1, "")]
 
@@ -384,27 +396,73 @@ def test_rules(odd, docs):
     assert quality_rules.judged(odd.limit(0)).count() == 0
 
 
+def determinant_minimum(x):
+    """Mean and covariance of the rows by the same starts and steps in numpy; quarters by whole bins of distances."""
+    floors = np.array(list(quality_rules.FLOORS.values())) ** 2
+
+    def nearest(d):
+        bins = np.floor(16 * np.log2(1 + 16 * d))
+        kept = np.sort(bins)[int(np.ceil(quality_rules.SHARE * len(d))) - 1]
+        return x[bins <= kept]
+
+    def estimate(rows):
+        return rows.mean(0), quality_rules.FACTOR * np.cov(rows.T, bias=True) + np.diag(floors)
+
+    def far(mean, cov):
+        return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+    middle = np.sort(x, 0)[int(np.ceil(len(x) / 2)) - 1]
+    spread = np.sort(np.abs(x - middle), 0)[int(np.ceil(len(x) / 2)) - 1]
+    z = (x - middle) ** 2 / ((1.4826 * spread) ** 2 + floors)
+    found = []
+    for d in (z.sum(1), z.max(1), far(*estimate(x))):
+        now = estimate(nearest(d))
+        for _ in range(quality_rules.STEPS):
+            now = estimate(nearest(far(*now)))
+        found.append((np.linalg.det(now[1]), now))
+    return min(found, key=lambda f: f[0])[1]
+
+
 def test_outliers_like_numpy(spark):
-    """The concentration steps against the same steps in numpy; a planted third of outliers is rejected."""
+    """The estimate against the same in numpy; a planted fifth of outliers is rejected."""
     r = np.random.default_rng(4)
     clean = np.c_[r.normal(6, 0.5, 400), r.normal(1.6, 0.4, 400), np.abs(r.normal(0, 0.2, (400, 3)))]
     bad = np.c_[r.normal(6, 0.5, 120), r.normal(4.5, 0.2, 120), r.normal(4, 0.3, 120), np.abs(r.normal(0, 0.2, (120, 2)))]
     x = np.concatenate([clean, bad])
-    df = spark.createDataFrame([("k", *map(float, v)) for v in x], "key string, " + ", ".join(f"{n} double" for n in quality_rules.NAMES))
-    p = quality_rules.estimates(df)
-    far = np.array([q.d2 for q in quality_rules._placed(df, p).orderBy("size").collect()])
-    order = np.argsort(x[:, 0])
-    is_bad = (np.arange(520) >= 400)[order]
-    assert (far[is_bad] > quality_rules.CUTOFF).all() and (far[~is_bad] <= quality_rules.CUTOFF).mean() > 0.99
-    floors = np.diag([f**2 for f in quality_rules.FLOORS.values()])
-    mean = np.median(x, 0)
-    cov = np.diag((1.4826 * np.median(np.abs(x - mean), 0)) ** 2) + floors
-    for _ in range(quality_rules.STEPS):
-        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-        near = x[d <= np.quantile(d, quality_rules.SHARE)]
-        mean, cov = near.mean(0), quality_rules.FACTOR * np.cov(near.T, bias=True) + floors
-    m = p.first()
-    assert np.allclose([m[f"m_{n}"] for n in quality_rules.NAMES], mean, atol=0.1)
+    names = quality_rules.NAMES
+    df = spark.createDataFrame([("k", *map(float, v)) for v in x], "key string, " + ", ".join(f"{n} double" for n in names))
+    p = quality_rules.estimates(df).first()
+    mean, cov = determinant_minimum(x)
+    assert np.allclose([p[f"m_{n}"] for n in names], mean, atol=0.01)
+    assert np.allclose([p[f"c_{i}_{j}"] for i in range(5) for j in range(i + 1)], [cov[i, j] for i in range(5) for j in range(i + 1)], atol=0.01)
+    d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    assert (d[400:] > quality_rules.CUTOFF).all() and (d[:400] <= quality_rules.CUTOFF).mean() > 0.99
+
+
+def test_verdicts_like_numpy(spark, docs):
+    """kept of every document, from its statistics, estimates and shrinkage in numpy."""
+    import pandas as pd
+
+    got = quality_rules.judged(docs).toPandas().merge(docs.select("doc_id", "lang", "source").toPandas(), on="doc_id")
+    f = got[~got.base_failed].copy()
+    log = np.log(f.word_chars / f.n_words)
+    median = lambda v: np.sort(v)[int(np.ceil(len(v) / 2)) - 1]
+    f["usual"] = pd.Series(log).groupby([f.lang, f.source]).transform(median)
+    n = f.n_words
+    x = np.c_[np.log(n), (log - f.usual) * np.sqrt(np.minimum(n, 400) / 40), np.log1p(20 * f.n_symbols / n), np.log1p(5 * f.n_dup_lines / np.sqrt(n)), np.log1p(10 * f.n_repeat_words / n)]
+    k = quality_rules.SHRINK
+    whole, langs, seen, want = determinant_minimum(x), {}, {}, np.zeros(len(f), bool)
+    mix = lambda own, pool, n: tuple(n / (n + k) * a + k / (n + k) * b for a, b in zip(own, pool))
+    for lang in f.lang.unique():
+        own = x[(f.lang == lang).to_numpy()]
+        langs[lang] = mix(determinant_minimum(own), whole, len(own))
+    for i, (lang, source) in enumerate(zip(f.lang, f.source)):
+        if (lang, source) not in seen:
+            own = x[((f.lang == lang) & (f.source == source)).to_numpy()]
+            seen[lang, source] = mix(determinant_minimum(own), langs[lang], len(own))
+        mean, cov = seen[lang, source]
+        want[i] = (x[i] - mean) @ np.linalg.inv(cov) @ (x[i] - mean) <= quality_rules.CUTOFF
+    assert (f.kept.to_numpy() == want).mean() > 0.99 and not got[got.base_failed].kept.any()
 
 
 def test_junk_among_clean_texts_is_rejected(spark):
@@ -501,6 +559,58 @@ def test_mined_url_rules(spark):
     assert all(got[i] == ("block" if i % 4 == 0 else "allow") for i in range(300, 400))
 
 
+def test_mined_rules_like_brute_force(spark):
+    """All rules of any length by enumeration: a token that every page has, one rule of four tokens, pages without tokens."""
+    import itertools
+
+    local = random.Random(8)
+    rows = []
+    for i in range(240):
+        t = {"u"} | {x for x in "abcd" if local.random() < 0.6} if i % 12 else set()
+        label = 0 if {"a", "b", "c", "d"} <= t else int(local.random() < 0.7)
+        rows.append((sorted(t), label))
+    support, confidence = 0.05, 0.6
+    least = -(-len(rows) * support // 1)
+    want = {}
+    for k in range(1, 6):
+        for items in itertools.combinations("abcdu", k):
+            with_ = [y for t, y in rows if set(items) <= set(t)]
+            for label, verdict in ((0, "block"), (1, "allow")):
+                n = sum(y == label for y in with_)
+                if n >= least and n / len(with_) >= confidence:
+                    want[items, verdict] = n / len(with_)
+    want = {(i, v): c for (i, v), c in want.items() if not any(v == w and set(j) < set(i) and d >= c for (j, w), d in want.items())}
+    got = url_filter.mined(spark.createDataFrame(rows, "tokens array<string>, label int"), support, confidence).collect()
+    assert {(tuple(r["items"]), r.verdict): round(r.confidence, 9) for r in got} == {k: round(c, 9) for k, c in want.items()}
+    assert any(len(i) == 4 for i, _ in want) and (("u",), "allow") in want
+
+
+def test_blocks_are_pruned_before_rows_are_sent(spark):
+    """Planted clusters: four times the rows send far less than sixteen times the pairs."""
+    sent = []
+    plain = topk._sent
+
+    def counted(data, pairs):
+        out = plain(data, pairs)
+        sent[-1] += out.count()
+        return out
+
+    def run(n):
+        r = np.random.default_rng(1)
+        centers = r.normal(size=(20, 16)) * 10
+        rows = [(i, [float(v) for v in centers[i % 20] + r.normal(size=16) * 0.1]) for i in range(n)]
+        sent.append(0)
+        topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0).count()
+
+    try:
+        topk._sent, topk.BLOCK, topk.GROUP, old = counted, 64, 16, (topk.BLOCK, topk.GROUP)
+        run(500)
+        run(2000)
+    finally:
+        topk._sent, topk.BLOCK, topk.GROUP = plain, *old
+    assert sent[1] < 8 * sent[0]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as pipeline
 
