@@ -6,7 +6,7 @@ input.
 
 0. Whole copies. A document whose text a smaller doc_id has is removed whole and not looked at again:
    nothing starts in it first. What is looked at is a bitmap of ids, so a false bit looks at a copy too.
-1. Anchors. Each window of ``length`` bytes selects the least hash of its 18-byte strings (winnowing),
+1. Anchors. Each window of ``length`` bytes selects the least hash of its strings of five eighths of that (winnowing),
    so equal windows select equal anchors. A scan collects each document's anchors; those in two
    documents or more are marked in a bitmap. A false mark costs work, never results.
 2. Fragments. A second scan cuts every run of windows that share a marked anchor. Equal fragments are
@@ -44,9 +44,8 @@ from .common import dropped, small, written
 from .marks import Bitmap, id_bit, ids, marked, parted, repeated
 
 LENGTH = 50
-GRAM = 18
 #: Contents of a group and of an anchor at most (about), shards of a merge, bytes for each anchor of a text (about).
-PER_GROUP, SHARDS, PER_ANCHOR = 10_000, 16, 17
+PER_GROUP, SHARDS, PER_ANCHOR = 10_000, 16, 8
 #: Windows of a text that are looked at at once; fragments and their bytes that go out at once; contents that a task remembers.
 SLICE, ROWS, BYTES, KNOWN = 500_000, 20_000, 2_000_000, 100_000
 #: Odd multipliers.
@@ -58,19 +57,27 @@ def _joined(x: np.ndarray, step: int) -> np.ndarray:
     return y ^ (y >> np.uint64(31))
 
 
+def gram(length: int) -> int:
+    """Bytes of an anchor: long enough that few are shared by chance, short enough that windows share them with their neighbours."""
+    return 5 * length // 8
+
+
 def anchors(text: bytes, length: int = LENGTH) -> np.ndarray:
-    """For each window of ``length`` bytes, the least hash of the 18-byte strings in it."""
+    """For each window of ``length`` bytes, the least hash of the strings of gram(length) bytes in it."""
     if len(text) < length:
         return np.empty(0, np.uint64)
     x = (np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)) * B
-    for step in (1, 2, 4, 8, 2):  # hashes of 2, 4, 8, 16 and 18 bytes
+    have, size = 1, gram(length)
+    while have < size:  # hashes of 2, 4, 8 ... bytes, the last two overlap
+        step = min(have, size - have)
         x = _joined(x, step)
-    width, have = length - GRAM + 1, 1
+        have += step
+    width, have = length - size + 1, 1
     while have < width:
         step = min(have, width - have)
         x = np.minimum(x[:-step], x[step:])
         have += step
-    return x
+    return x * A  # least hashes are small: spread over all values again, which is one to one
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -113,8 +120,8 @@ def _marks(docs: DataFrame, length: int, kept: Broadcast, expected: int) -> byte
     return repeated(_read(docs).withColumn("bit", id_bit("doc_id")), hashes, expected)
 
 
-#: cid is a hash of the content, which stands beside its anchor's; place is start * 2^20 + windows of an occurrence.
-FRAGMENTS = "anchor long, cid long, doc_id long, place long, shard int, content binary"
+#: anchor is the first half of its hash, cid a hash of the content that stands beside it; place is start * 2^20 + windows of an occurrence.
+FRAGMENTS = "anchor int, cid long, doc_id long, place long, shard int, content binary"
 MOST = 1 << 20
 
 
@@ -126,7 +133,7 @@ def _fragments(docs: DataFrame, length: int, marks: bytes, kept: Broadcast) -> D
         bitmap = np.frombuffer(shared.value, np.uint8)
         shard = TaskContext.get().partitionId() % SHARDS
         names = [x.split()[0] for x in FRAGMENTS.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         least: dict[int, int] = {}  # the smallest doc_id that a content went out with
         rows: list[tuple] = []
         size = 0
@@ -135,7 +142,7 @@ def _fragments(docs: DataFrame, length: int, marks: bytes, kept: Broadcast) -> D
                 first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
                 end = np.r_[first[1:], len(x)]
                 hit = marked(bitmap, x[first])
-                for s, e, a in zip((first[hit] + at).tolist(), (end[hit] + at).tolist(), x[first][hit].view(np.int64).tolist()):
+                for s, e, a in zip((first[hit] + at).tolist(), (end[hit] + at).tolist(), (x[first][hit] >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()):
                     content = text[s : e + length - 1]
                     cid = xxhash.xxh3_64_intdigest(content) - (1 << 63)
                     rows.append((a, cid, doc, s * MOST + e - s, None, None))
@@ -254,7 +261,7 @@ def _decided(fragments: DataFrame, length: int) -> DataFrame:
         rows = [[{"at": a, "windows": w} for a, w in r] for r in runs]
         return pa.table({"anchor": anchor[keep], "cid": cid[keep], "least": docs[keep], "runs": pa.array(rows, kind)})
 
-    schema = "anchor long, cid long, least long, runs array<struct<at:long,windows:long>>"
+    schema = "anchor int, cid long, least long, runs array<struct<at:long,windows:long>>"
     dealt = lambda df: df.withColumn("g", F.pmod(F.xxhash64("anchor"), F.lit(groups))).groupBy("g").applyInArrow(decide, schema)
     crowded = contents.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > PER_GROUP)
     crowded = written(crowded.select(F.col("anchor").alias("of")), "crowded")
@@ -270,8 +277,8 @@ def _decided(fragments: DataFrame, length: int) -> DataFrame:
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, spans (array of [start, end) byte offsets to remove, maximal and in order), of documents that have any."""
-    if length % 2 or length < 2 * GRAM:
-        raise ValueError(f"length must be even and {2 * GRAM} at least: {length}")
+    if length % 2 or length < 16:
+        raise ValueError(f"length must be even and 16 at least: {length}")
     later = written(_later(docs, length), "later")
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").cast("long").alias("n")).where("doc_id is not null")
     total = every.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
