@@ -39,8 +39,16 @@ KNOWN = (
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
 
+#: Words, digits and their bounds are those of all scripts, not of ASCII alone.
+ALL_SCRIPTS = "(?U)"
+
+
 def all_of(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    return F.regexp_extract_all(text, F.lit(ALL_SCRIPTS + pattern), F.lit(group))
+
+
+def has(text: Column, pattern: str) -> Column:
+    return text.rlike(ALL_SCRIPTS + pattern)
 
 
 def future_year(text: Column, origin: Column) -> Column:
@@ -51,11 +59,11 @@ def future_year(text: Column, origin: Column) -> Column:
 
 def score(text: Column, event_date: Column) -> dict[str, Column]:
     """match score in 0..1 to three places, and its label."""
-    ev, st = F.regexp_count(text, F.lit(EVENTIVE)), F.regexp_count(text, F.lit(STATIVE))
-    recency = text.rlike(RECENCY)
+    ev, st = F.regexp_count(text, F.lit(ALL_SCRIPTS + EVENTIVE)), F.regexp_count(text, F.lit(ALL_SCRIPTS + STATIVE))
+    recency = has(text, RECENCY)
     month = F.element_at(F.array(*map(F.lit, MONTHS)), F.nullif(F.regexp_extract(event_date, r"^\d{4}-(0[1-9]|1[0-2])", 1), F.lit("")).cast("int"))
     named = F.coalesce(F.contains(F.lower(text), F.lower(month)), F.lit(False))
-    bio = text.rlike(BORN) | text.rlike(KIND)
+    bio = has(text, BORN) | has(text, KIND)
     one = lambda c: c.cast("int")
     raw = 50 * one(ev >= 1) + 20 * one(ev >= 2) + 20 * one(recency) + 15 * one(named) - 55 * one(bio) - 6 * F.greatest(F.lit(0), st - 1)
     weak = (bio | ((st >= 2) & (ev == 0))) & ~((ev >= 1) | recency | named)
@@ -116,12 +124,13 @@ def unmatched(found: Column, allowed: Column, rel: float = 0.0, least: float = 0
 def policy_numbers(text: Column) -> Column:
     """Mixed and plain fractions, and bare bounds before percent or to."""
     folded = F.translate(text, "‐‑‒–—", "-----")
-    mixed = F.transform(all_of(folded, r"\d+-\d+/\d+"), lambda m: F.split(m, "-")[0].cast("double") + F.split(F.split(m, "-")[1], "/")[0].cast("double") / F.split(m, "/")[1].cast("double"))
+    over = lambda a, b: a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))
+    mixed = F.transform(all_of(folded, r"\d+-\d+/\d+"), lambda m: F.split(m, "-")[0].cast("double") + over(F.split(F.split(m, "-")[1], "/")[0], F.split(m, "/")[1]))
     rest = F.regexp_replace(folded, r"\d+-\d+/\d+", " ")
-    plain = F.transform(all_of(rest, r"\d+/\d+"), lambda m: F.split(m, "/")[0].cast("double") / F.split(m, "/")[1].cast("double"))
+    plain = F.transform(all_of(rest, r"\d+/\d+"), lambda m: over(F.split(m, "/")[0], F.split(m, "/")[1]))
     rest = F.regexp_replace(rest, r"\d+/\d+", " ")
     bounds = F.transform(all_of(rest, r"(\d+)\s+(?:percent|to)\b", 1), lambda m: m.cast("double"))
-    return F.array_distinct(F.transform(F.concat(mixed, plain, bounds), lambda v: F.round(v, 2)))
+    return F.array_distinct(F.array_compact(F.transform(F.concat(mixed, plain, bounds), lambda v: F.round(v, 2))))
 
 
 def anonymous(text: Column, found: Column, name: str = "a major entity") -> Column:
@@ -134,3 +143,73 @@ def outcome(nouns: Sequence[str]) -> str:
     """Pattern of a price noun near a direction verb, in either order, within a sentence."""
     n, v = "|".join(nouns), "rose|fell|surged|jumped|dropped|climbed|plunged|rallied|tumbled|soared|slid|gained"
     return rf"(?i)\b({n})\b[^.]{{0,60}}\b({v})\b|\b({v})\b[^.]{{0,60}}\b({n})\b|\b(rising|falling|surging|soaring|plunging) ({n})\b"
+
+
+# Words and patterns of the stricter gate, of revenue drivers, and words without content.
+RICH_DIRECTION = (
+    r"fell|falls?|dropp?e?d?s?|plunged?s?|tumbled?s?|slid|slides?|sank|slumped?s?|crashed|rose|rises?|risen|surged?s?|jumped?s?|rallied|climbed|soared|gained|declined?s?|dived|"
+    r"weakened?s?|strengthened?s?|rebounded?s?"
+)
+ASSET = (
+    r"(?i)\b(oil|crude|brent|petroleum|gas|lng|bitcoin|btc|ether\w*|crypto\w*|coin|token|blockchain|pound|sterling|euro|dollar|yen|currency|forex|"
+    r"price|prices|market|markets|rate|rates|index|indices)\b"
+)
+PRICE_FIGURE = r"(?i)\$\s?\d|\b\d{1,3},\d{3}\b|\b(?:above|below|past|reached|reaching|hit|hitting|breaking|topping|level|levels|threshold|mark)\b[^.]{0,18}\$?\d"
+DRIVER = (
+    r"(?i)(?:net sales|total net sales|total revenues?|revenues?|total revenue)\b[^.]{0,40}?(?:increased|decreased|grew|rose|declined)\b[^.]*?"
+    r"(?:due to|driven by|primarily|reflect|as a result|attributable to)[^.]*\."
+)
+HEADINGS = ("Management’s Discussion and Analysis", "Management's Discussion and Analysis", "Results of Operations")
+PLAIN_WORDS = ("the", "and", "for", "was", "with")
+
+
+def content_words(text: Column) -> Column:
+    return F.array_except(all_of(F.lower(text), "[a-z][a-z'-]{2,}"), F.array(*map(F.lit, PLAIN_WORDS)))
+
+
+def rich_leak(text: Column) -> Column:
+    """A price figure anywhere, or an asset word from 40 characters before a direction verb to 15 after it."""
+    verbs, gaps = all_of(text, "(?i)" + RICH_DIRECTION), F.split(text, ALL_SCRIPTS + "(?i)" + RICH_DIRECTION)
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["at"] + F.length(x["gap"])
+        low = F.greatest(at - 40, F.lit(0))
+        near = F.substring(text, low + 1, at + F.length(x["verb"]) + 15 - low)
+        return F.struct((at + F.length(x["verb"])).alias("at"), (acc["hit"] | has(near, ASSET)).alias("hit"))
+
+    pairs = F.zip_with(verbs, F.slice(gaps, 1, F.size(verbs)), lambda v, g: F.struct(v.alias("verb"), g.alias("gap")))
+    return has(text, PRICE_FIGURE) | F.aggregate(pairs, start, step, lambda a: a["hit"])
+
+
+def year_value_errors(text: Column, labelled: dict[int, float], rel: float = 0.01, least: float = 0.5) -> Column:
+    """Pairs of a value and a year near after it where the value is another labelled year's and not that one's."""
+    pattern = r"(\d+(?:\.\d+)?)[^.\d\n]{0,12}?((?:19|20)\d{2})"
+    pairs = F.zip_with(all_of(text, pattern, 1), all_of(text, pattern, 2), lambda v, y: F.struct(v.cast("double").alias("value"), y.alias("year")))
+    right = F.create_map(*(F.lit(x) for y, v in labelled.items() for x in (str(y), float(v))))
+    near = lambda a, b: F.abs(a - b) <= F.greatest(F.lit(least), rel * F.abs(b))
+    values = F.array(*(F.lit(float(v)) for v in labelled.values()))
+    own = lambda p: F.element_at(right, p["year"])
+    return F.filter(pairs, lambda p: F.coalesce(~near(p["value"], own(p)), F.lit(False)) & F.exists(values, lambda v: near(p["value"], v)))
+
+
+def wikitext(text: Column, depth: int = 12) -> Column:
+    """Comments, references, templates and files (nested up to depth), links, tables, quotes and tags out."""
+    out = text
+    rules = [("(?s)<!--.*?-->", ""), ("<ref[^>]*/>", ""), ("(?is)<ref[^>]*>.*?</ref>", "")]
+    rules += [(r"\{\{[^{}]*\}\}", "")] * depth + [(r"(?i)\[\[(?:File|Image):[^\[\]]*\]\]", "")] * depth
+    rules += [(r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", "$1"), (r"\[\[([^\[\]]*)\]\]", "$1"), (r"\[https?://[^\s\]]+\s+([^\]]+)\]", "$1"), (r"\[https?://[^\s\]]+\]", "")]
+    rules += [(r"(?s)\{\|.*?\|\}", ""), ("'''", ""), ("''", ""), ("<[^>]+>", ""), (r"[ \t]+", " ")]
+    for pattern, by in rules:
+        out = F.regexp_replace(out, pattern, by)
+    return F.btrim(out, F.lit(" \n\t\r"))
+
+
+def drivers(text: Column, n: int = 4, region: int = 16000) -> Column:
+    """The first n sentences on what drove revenue, from the last heading on (a region of characters) or in the whole text."""
+    after = F.lit(None).cast("string")
+    for heading in HEADINGS:
+        parts = F.split(text, "\\Q" + heading + "\\E")
+        after = F.coalesce(after, F.when(F.size(parts) > 1, F.concat(F.lit(heading), F.element_at(parts, -1))))
+    found = F.transform(all_of(F.coalesce(F.substring(after, 1, region), text), DRIVER), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
+    return F.array_join(F.slice(F.filter(unique_fold(found), lambda s: (F.length(s) > 30) & (F.length(s) < 320)), 1, n), " ")

@@ -57,3 +57,14 @@ def sparkline(values: Column) -> Column:
     blocks = F.array(*(F.lit(b) for b in "▁▂▃▄▅▆▇█"))
     span = F.when(hi == lo, 1.0).otherwise(hi - lo)
     return F.array_join(F.transform(values, lambda v: F.element_at(blocks, F.floor((v - lo) / span * 7.999).cast("int") + 1)), "")
+
+
+def general(x: Column) -> Column:
+    """A number in six significant digits without trailing zeros, as %.6g writes it; ties of its decimal digits go up."""
+    short = lambda c: F.regexp_replace(F.regexp_replace(c, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    parts = F.split(F.format_string("%.5e", x), "e")
+    power = parts[1].cast("int")
+    out = F.concat(short(parts[0]), F.lit("e"), parts[1])
+    for k in range(-4, 6):
+        out = F.when(power == k, short(F.format_string(f"%.{5 - k}f", x)) if k < 5 else F.format_string("%.0f", x)).otherwise(out)
+    return out

@@ -35,3 +35,7 @@ def leaderboard(scored: DataFrame, least: int) -> DataFrame:
     b = F.pow(F.col("forecast") - F.col("resolved_to"), 2)
     g = scored.groupBy("model").agg(F.count("*").alias("n"), F.avg(b).alias("b"), F.avg(F.when(F.col("domain") == "fred", b)).alias("f"), F.avg(F.when(F.col("domain") == "yahoo", b)).alias("y"))
     return g.where(F.col("n") >= least).withColumn("rank", F.row_number().over(Window.orderBy("b", "model")))
+
+
+def domain_label(domain: Column) -> Column:
+    return F.when(domain == "fred", "fred").otherwise("yfinance")

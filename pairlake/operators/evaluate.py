@@ -23,8 +23,9 @@ def time_split(items: DataFrame, cutoff: Column, purge: bool = False) -> DataFra
 def chronological(items: DataFrame, key: str, order: str, share: float) -> DataFrame:
     """By key, the first floor(n share) rows in order train, the rest test."""
     w = Window.partitionBy(key)
-    placed = items.withColumns({"r": F.row_number().over(w.orderBy(order)), "n": F.count("*").over(w)})
-    return placed.withColumn("split", F.when(F.col("r") <= F.floor(F.col("n") * share), "train").otherwise("test")).drop("r", "n")
+    at, n = F.row_number().over(w.orderBy(order)), F.count("*").over(w)
+    placed = items.withColumns({"chrono_at": at, "chrono_n": n})
+    return placed.withColumn("split", F.when(F.col("chrono_at") <= F.floor(F.col("chrono_n") * share), "train").otherwise("test")).drop("chrono_at", "chrono_n")
 
 
 def arms(items: DataFrame, strata: str, key: str, order: Column | None = None) -> DataFrame:
@@ -62,18 +63,68 @@ def complementarity(errors: DataFrame) -> DataFrame:
     return out.select("n", "hard", "easy", "content", verdict.alias("verdict"))
 
 
-def cluster_bootstrap(rows: DataFrame, group: str, value: str, iterations: int, seed: int) -> DataFrame:
-    """iter, med: medians of rows resampled by whole groups, drawn by hashes of seed, iteration and draw.
+def draw(seed: int, iteration: Column, number: Column, n: Column) -> Column:
+    """A number below n from whole-number arithmetic alone, so that any engine draws the same."""
+    x = (iteration.cast("long") * 1000003 + number.cast("long") * 7919 + seed * 104729) % 2147483647
+    return (F.floor(((x * 1103515245 + 12345) % 2147483648) / 8) % n).cast("int")
 
-    Groups are numbered; each iteration draws as many as there are, and draws of one group weigh it.
+
+def cluster_bootstrap(rows: DataFrame, group: str, value: str, iterations: int, seed: int, bins: int = 256) -> DataFrame:
+    """iter, med: exact medians of rows resampled by whole groups; a draw of a group weighs all its rows.
+
+    Rows aren't repeated for each iteration: they are counted by group and value bin, the weighted counts
+    tell the bin that holds each iteration's median, and only the rows of that bin meet the iteration.
     """
     names = rows.select(group).distinct()
     numbered = names.withColumn("group_no", F.row_number().over(Window.orderBy(group)) - 1)  # groups, not rows
     n = numbered.count()
-    draws = rows.sparkSession.range(iterations * n).select((F.col("id") / n).cast("int").alias("iter"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).cast("int").alias("group_no"))
-    weights = draws.groupBy("iter", "group_no").agg(F.count("*").alias("times")).join(numbered, "group_no")
-    drawn = rows.join(weights, group)
-    return drawn.select("iter", value, F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).groupBy("iter").agg(F.median(value).alias("med"))
+    at = F.col("id")
+    draws = rows.sparkSession.range(iterations * n).select(F.floor(at / n).cast("int").alias("iter"), draw(seed, F.floor(at / n), at % n, F.lit(n)).alias("group_no"))
+    weights = draws.groupBy("iter", "group_no").agg(F.count("*").alias("times")).join(numbered, "group_no").drop("group_no")
+    edges = rows.agg(F.percentile_approx(value, [i / bins for i in range(1, bins)], 10_000).alias("e")).first()["e"] or []  # bins numbers
+    place = F.size(F.filter(F.array(*(F.lit(float(e)) for e in sorted(set(edges)))), lambda e: e < F.col(value))) if edges else F.lit(0)
+    binned = rows.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("v"), place.alias("bin"))
+    counts = binned.groupBy(group, "bin").agg(F.count("*").alias("n"))
+    per = counts.join(weights, group).groupBy("iter", "bin").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+    one = Window.partitionBy("iter")
+    per = per.withColumn("up", F.sum("n").over(one.orderBy("bin"))).withColumn("total", F.sum("n").over(one))
+    per = per.withColumn("lo", F.floor((F.col("total") - 1) / 2)).withColumn("hi", F.ceil((F.col("total") - 1) / 2))
+    need = per.where((F.col("up") > F.col("lo")) & (F.col("up") - F.col("n") <= F.col("hi"))).select("iter", "bin", (F.col("up") - F.col("n")).alias("before"), "lo", "hi")
+    some = binned.join(need, "bin").join(weights, ["iter", group])
+    upto = F.col("before") + F.sum("times").over(Window.partitionBy("iter", "bin").orderBy("v").rangeBetween(Window.unboundedPreceding, 0))
+    some = some.withColumn("upto", upto)
+    at = lambda c: F.min(F.when(F.col("upto") > F.col(c), F.col("v")))
+    return some.groupBy("iter").agg(((at("lo") + at("hi")) / 2).alias("med"))
+
+
+def interval(meds: DataFrame, n: int) -> DataFrame:
+    """lo and hi: the 2.5 and 97.5 index percentiles of n medians (iter, med)."""
+    return meds.agg(F.array_sort(F.collect_list("med")).alias("m")).select(F.get("m", F.lit(int(0.025 * n))).alias("lo"), F.get("m", F.lit(int(0.975 * n))).alias("hi"))
+
+
+def distinct_from(rows: DataFrame, pool: DataFrame, key: str, others: bool, k: int = 20) -> DataFrame:
+    """series_id, disc: how well a description (said) fits its own series (own) less its mean fit to k others of its key.
+
+    rows: series_id, key, r (number from 0), own, said; pool: key, r, own. others: the pool is rows itself,
+    and nobody is drawn as its own distractor. Draws are by number, so they are an equi-join.
+    """
+    n = pool.groupBy(F.col(key).alias("of")).agg(F.count("*").alias("n"))
+    r = rows.join(n, rows[key] == n["of"]).where(F.col("n") >= (2 if others else 1)).drop("of")
+    step = F.col("r") * 7919 + F.col("j") * 104729
+    at = (F.col("r") + 1 + step % (F.col("n") - 1)) % F.col("n") if others else step % F.col("n")
+    drawn = r.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("p", at)
+    theirs = pool.select(F.col(key).alias("their_key"), F.col("r").alias("their_r"), F.col("own").alias("theirs"))
+    met = drawn.join(theirs, (F.col(key) == F.col("their_key")) & (F.col("p") == F.col("their_r")))
+    rate = lambda c: F.when(F.size("said") > 0, F.size(F.filter("said", lambda s: F.array_contains(c, s))) / F.size("said")).otherwise(0.0)
+    out = met.groupBy("series_id", F.col(key)).agg(F.max(rate("own")).alias("fits"), F.avg(rate("theirs")).alias("else_"))
+    return out.select("series_id", key, (F.col("fits") - F.col("else_")).alias("disc"))
+
+
+def probe(rows: DataFrame, alarm: float = 0.15) -> DataFrame:
+    """One row for errors a, b, c, ba of four arms: medians, wins of b, the gain that ba retains, rows whose arms all agree."""
+    out = rows.agg(*(F.median(x).alias(x) for x in ("a", "b", "c", "ba")), F.count("*").alias("n"), F.count_if(F.col("b") < F.col("a")).alias("b_over_a"), F.count_if(F.col("b") < F.col("c")).alias("b_over_c"), F.count_if((F.col("a") == F.col("b")) & (F.col("b") == F.col("c"))).alias("degenerate"))
+    gain = F.when(F.col("a") != F.col("b"), (F.col("a") - F.col("ba")) / (F.col("a") - F.col("b")) * 100).otherwise(0.0)
+    return out.select("*", gain.alias("retained"), (F.col("degenerate") > alarm * F.col("n")).alias("unreliable"))
 
 
 def tfidf(docs: DataFrame, name: str, text: str, stop: tuple[str, ...] = (), least_df: int = 2) -> DataFrame:

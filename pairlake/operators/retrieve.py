@@ -6,21 +6,40 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
-def asof_backward(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], value: Sequence[str], strict: bool) -> DataFrame:
-    """left with right_<value> of the latest right row by ``by`` whose ``on`` is before (or, unless strict, at) its own.
+#: Days of one range of an as-of join.
+RANGE_DAYS = 32
 
-    One shuffle by the keys: both sides are stacked, sorted once, and the last right row is carried
-    forward. Of several right rows at one time the greatest by value counts.
+
+def asof_backward(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], value: Sequence[str], strict: bool, days: int = RANGE_DAYS) -> DataFrame:
+    """left with right_<value> of the latest right row by ``by`` whose ``on`` (a date, a timestamp or a number) is before (or, unless strict, at) its own.
+
+    One shuffle by the keys and ranges of ``days``, so neither a frequent key nor a join without keys
+    meets in one task: both sides are stacked and sorted by range, the last right row is carried forward
+    in it, and rows before a range's first right row get the last one of the ranges before, of which
+    there is one for each key and range. Of several right rows at one time the greatest by value counts.
     """
     last = F.struct(*(F.col(v) for v in value))
-    stacked_left = left.select(*(F.col(b).alias(f"b_{b}") for b in by), F.col(on).alias("t"), F.lit(0 if strict else 2).alias("turn"), F.struct(*left.columns).alias("row"), F.lit(None).cast(right.select(last).schema[0].dataType).alias("last"))
+    keys = [f"b_{b}" for b in by]
+    own = [F.col(b).alias(k) for b, k in zip(by, keys)]
+    number = isinstance(right.schema[on].dataType, NumericType)
+    bucket = F.floor((F.col(on) if number else F.datediff(F.col(on), F.lit("1970-01-01").cast("date"))) / days).alias("bucket")
+    stacked_left = left.select(*own, bucket, F.col(on).alias("t"), F.lit(0 if strict else 2).alias("turn"), F.struct(*left.columns).alias("row"), F.lit(None).cast(right.select(last).schema[0].dataType).alias("last"))
     row_type = stacked_left.schema["row"].dataType
-    stacked_right = right.select(*(F.col(b).alias(f"b_{b}") for b in by), F.col(on).alias("t"), F.lit(1).alias("turn"), F.lit(None).cast(row_type).alias("row"), last.alias("last"))
-    w = Window.partitionBy(*(f"b_{b}" for b in by)).orderBy("t", "turn", "last").rowsBetween(Window.unboundedPreceding, 0)
-    carried = stacked_left.union(stacked_right).withColumn("found", F.last("last", ignorenulls=True).over(w)).where("row is not null")
-    return carried.select("row.*", *(F.col(f"found.{v}").alias(f"right_{v}") for v in value))
+    stacked_right = right.select(*own, bucket, F.col(on).alias("t"), F.lit(1).alias("turn"), F.lit(None).cast(row_type).alias("row"), last.alias("last"))
+    both = stacked_left.union(stacked_right)
+    w = Window.partitionBy(*keys, "bucket").orderBy("t", "turn", "last").rowsBetween(Window.unboundedPreceding, 0)
+    carried = both.withColumn("found", F.last("last", ignorenulls=True).over(w)).where("row is not null")
+    ends = both.select(*keys, "bucket", F.when(F.col("turn") == 1, F.struct("t", "last")).alias("end")).groupBy(*keys, "bucket").agg(F.max("end").alias("end"))
+    earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    ends = ends.select(*(F.col(k).alias(f"e_{k}") for k in keys), F.col("bucket").alias("e_bucket"), F.last("end", ignorenulls=True).over(earlier)["last"].alias("earlier"))
+    same = F.col("bucket").eqNullSafe(F.col("e_bucket"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"e_{k}"))
+    got = carried.join(ends, same).withColumn("found", F.coalesce("found", "earlier"))
+    return got.select("row.*", *(F.col(f"found.{v}").alias(f"right_{v}") for v in value))
 
 
 def interval_matches(events: DataFrame, articles: DataFrame, days: int) -> DataFrame:
@@ -34,12 +53,16 @@ def normal_title(title: Column) -> Column:
     return F.lower(F.regexp_replace(title, r"(?U)\W+", ""))
 
 
-def top_matches(matches: DataFrame, score: Column, k: int) -> DataFrame:
-    """Of each event's matches the first of each title (by article_id), then the k best by score, then latest."""
-    first = Window.partitionBy("event_id", normal_title(F.col("title"))).orderBy("article_id")
+def headlines(articles: DataFrame, score: Column) -> DataFrame:
+    """article_id, day, name (a digest of the normal title) and score: what matching needs of an article, without its text."""
+    return articles.select("article_id", "day", F.md5(normal_title(F.col("title"))).alias("name"), score.alias("score"))
+
+
+def top_matches(matches: DataFrame, k: int) -> DataFrame:
+    """Of each event's matches (with name and score) the first of each name (by article_id), then the k best by score, then latest."""
     best = Window.partitionBy("event_id").orderBy(F.col("score").desc(), F.col("day").desc(), "article_id")
-    one = matches.withColumn("f", F.row_number().over(first)).where("f = 1").withColumn("score", score)
-    return one.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("f")
+    one = matches.groupBy("event_id", "name").agg(F.min(F.struct("article_id", "day", "score")).alias("m")).select("event_id", "m.*")
+    return one.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def even_spread(rows: DataFrame, key: Sequence[str], order: Sequence[str], cap: int) -> DataFrame:
@@ -72,3 +95,11 @@ def short_hash(parts: Column, n: int) -> Column:
 
 def without_overwrite(have: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return have.unionByName(new.join(have, key, "left_anti"))
+
+
+def first_names(rows: DataFrame, n: int) -> DataFrame:
+    """The n distinct usable names (name) that come first (at): no short ones, namespaces, lists, and pages that aren't articles."""
+    name = F.col("name")
+    odd = F.contains(name, F.lit(":")) | F.startswith(name, F.lit("List_of")) | F.startswith(name, F.lit("Wikipedia")) | name.isin("Main_Page", "-")
+    fine = rows.where((F.length(name) >= 4) & ~odd)
+    return fine.groupBy("name").agg(F.min("at").alias("first")).orderBy("first", "name").limit(n).select("name")

@@ -11,7 +11,7 @@ from ..functions.series import finite
 ROLES = ("context", "target", "observed", "covariate")
 QUALITIES = {"cpt": ("real", "generated"), "chatml": ("real", "derived", "generated", "derived_generated", "template")}
 FREQUENCY = r"^(\d+)(ms|s|m|h|d|w|W|M|q|y|over|play|prd)$"
-SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800, "W": 604800, "M": 2629800, "q": 7889400, "y": 31557600}
+SECONDS = {"ms": 0.001, "s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800, "W": 604800, "M": 2629800, "q": 7889400, "y": 31557600}
 
 
 def codes(*checks: tuple[Column, str]) -> Column:
@@ -89,3 +89,30 @@ def recites(values: Column, found: Column) -> Column:
     """Whether a number of the text is within 1 % (0.01 at least) of a value, as it is or rounded."""
     near = lambda v, t: F.abs(t - v) <= F.greatest(0.01 * F.abs(v), F.lit(0.01))
     return F.exists(values, lambda v: F.exists(found, lambda t: near(v, t) | near(F.round(v, 1), t) | near(F.round(v, 2), t) | near(F.round(v, 0), t)))
+
+
+def pretraining_errors(task: Column, text: Column, channels: Column) -> Column:
+    """The gate of pretraining records as they go out."""
+    return codes((~F.coalesce(task == "world_knowledge", F.lit(False)), "task_type"), (F.coalesce(channels, F.lit(0)) <= 0, "timeseries_missing"), (tokens(F.coalesce(text, F.lit(""))) != channels, "placeholder_count"))
+
+
+def forecast_errors(knowledge_time: bool = False) -> Column:
+    """Forecast records (text, task_type, timeseries, ranges, kt) by the rules again: one context, one target, nothing else."""
+    ts = F.col("timeseries")
+    of = lambda role: F.filter(ts, lambda s: s["role"] == role)
+    context, target = F.get(of("context"), F.lit(0)), F.get(of("target"), F.lit(0))
+    some = lambda f: F.exists(ts, f)
+    h = context["len"]
+    return codes(
+        (tokens(F.coalesce(F.col("text"), F.lit(""))) != F.size(ts), "placeholder_count"),
+        (some(lambda s: F.size(s["values"]) != s["len"]), "span_len"),
+        (some(lambda s: ~finite(s["values"])), "non_finite"),
+        (some(lambda s: (s["loss_start"] < 0) | (s["loss_start"] > s["len"])), "loss_range"),
+        (~F.coalesce(F.startswith("task_type", F.lit("ts_forecast")), F.lit(False)), "task_type"),
+        (F.size(of("target")) != 1, "one_target"),
+        (F.size(of("context")) != 1, "one_context"),
+        (F.slice(target["values"], 1, h) != context["values"], "target_prefix"),
+        ((target["loss_start"] != h) | (context["loss_start"] != h), "loss_start"),
+        (F.coalesce(F.size("ranges"), F.lit(-1)) != 0, "ranges_not_empty"),
+        *([(F.col("kt").isNull(), "missing_knowledge_time")] if knowledge_time else []),
+    )

@@ -36,14 +36,14 @@ VIEWS = """v_views AS (
 
 
 def article(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as dated articles: article_id, day, title, domain."""
+    """Documents as dated articles: article_id, day, title (the whole text), domain."""
     d = table(spark, sf_dir, "documents")
     day = F.date_add(F.lit("1995-01-01").cast("date"), (F.pmod(F.col("doc_id") * 37, F.lit(2400))).cast("int"))
-    return d.select(F.col("doc_id").alias("article_id"), day.alias("day"), F.substring("text", 1, 80).alias("title"), F.col("source").alias("domain"))
+    return d.select(F.col("doc_id").alias("article_id"), day.alias("day"), F.coalesce("text", F.lit("")).alias("title"), F.col("source").alias("domain"))
 
 
 ARTICLE = """v_article AS (
-  SELECT doc_id AS article_id, DATE '1995-01-01' + (doc_id * 37 % 2400)::INT AS day, substr(text, 1, 80) AS title, source AS domain FROM documents)"""
+  SELECT doc_id AS article_id, DATE '1995-01-01' + (doc_id * 37 % 2400)::INT AS day, coalesce(text, '') AS title, source AS domain FROM documents)"""
 
 
 def err(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,21 +82,22 @@ def model(spark: SparkSession, sf_dir: str) -> DataFrame:
 MODEL = """v_model AS (SELECT 'm' || l_suppkey AS model, l_orderkey AS id, max(l_discount) * 10 AS forecast FROM lineitem GROUP BY ALL)"""
 
 
-def item(spark: SparkSession, sf_dir: str, history: int = 10, future: int = 5, step: int = 25) -> DataFrame:
-    """Forecast windows at every step-th point: series_id, dataset, origin, kt, history, future, text (latest article before)."""
+def item(spark: SparkSession, sf_dir: str, history: int = 10, future: int = 5) -> DataFrame:
+    """Forecast windows at every point: series_id, dataset, origin, kt, history, future, text (latest article before)."""
     p = price(spark, sf_dir)
     w = Window.partitionBy("series_id").orderBy("idx")
     points = p.withColumns({
         "history": F.collect_list("price").over(w.rowsBetween(-history, -1)),
         "future": F.collect_list("price").over(w.rowsBetween(0, future - 1)),
-    }).where((F.col("idx") % step == 0) & (F.size("history") == history) & (F.size("future") == future))
+    }).where((F.size("history") == history) & (F.size("future") == future))
     from ..operators.retrieve import asof_backward
 
-    articles = article(spark, sf_dir).groupBy("day").agg(F.max_by("title", "article_id").alias("title"))
-    left = points.withColumn("day", F.col("dt")).withColumn("one", F.lit(1))
-    got = asof_backward(left, articles.withColumn("one", F.lit(1)), "day", by=["one"], value=["title", "day"], strict=True)
+    texts = article(spark, sf_dir).select("article_id", "title")
+    days = article(spark, sf_dir).groupBy("day").agg(F.max("article_id").alias("latest"))
+    got = asof_backward(points.withColumn("day", F.col("dt")), days, "day", by=[], value=["latest", "day"], strict=True)
+    got = got.join(texts, got["right_latest"] == texts["article_id"], "left")
     key = F.concat_ws("_", "series_id", F.date_format("dt", "yyyy-MM-dd"))
-    return got.select(key.alias("series_id"), F.col("series_id").alias("dataset"), F.col("dt").alias("origin"), F.col("right_day").alias("kt"), "history", "future", F.coalesce("right_title", F.lit("")).alias("text"))
+    return got.select(key.alias("series_id"), F.col("series_id").alias("dataset"), F.col("dt").alias("origin"), F.col("right_day").alias("kt"), "history", "future", F.coalesce("title", F.lit("")).alias("text"))
 
 
 ITEM = (
@@ -109,41 +110,21 @@ v_point AS (
     list(price) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS future FROM v_price),
 v_item AS (
   SELECT p.series_id || '_' || strftime(p.dt, '%Y-%m-%d') AS series_id, p.series_id AS dataset, p.dt AS origin, d.day AS kt, history, future, coalesce(d.title, '') AS text
-  FROM (SELECT * FROM v_point WHERE idx % 25 = 0 AND len(history) = 10 AND len(future) = 5) p ASOF LEFT JOIN v_day d ON p.dt > d.day)"""
+  FROM (SELECT * FROM v_point WHERE len(history) = 10 AND len(future) = 5) p ASOF LEFT JOIN v_day d ON p.dt > d.day)"""
 )
 
-#: Hand-written texts that reach every branch of the lexical gates: id, txt, event_date.
-TEXTS = [
-    (1, "Analysts raised their price target for crude after OPEC announced a cut in July.", "2021-07-04"),
-    (2, "Scott Hall (born 1958) is a retired wrestler known for his work in the ring.", "2021-04-11"),
-    (3, "The central bank will raise rates and yields are expected to rise next month.", "2022-03-16"),
-    (4, "Russia-Ukraine tensions hit Brent in February amid fears of supply loss.", "2022-02-24"),
-    (5, "Demand growth forecast by OPEC was unchanged at 2.5 million barrels.", "2023-01-10"),
-    (6, "Officials projecting a rally to reach 90 dollars by 2030.", "2024-05-01"),
-    (7, "The International Energy Agency reported inventories fell 3.2 percent.", "2023-06-15"),
-    (8, "Gold is a chemical element and is a precious metal.", "2020-08-06"),
-    (9, "Shares fell after the company halted production and laid off 1200 workers.", "2019-11-20"),
-    (10, "The rate was 1-3/4 to 2 percent and later 5.25 percent.", "2019-09-18"),
-    (11, "", "2020-01-01"),
-    (12, "Prices will go up over the coming days as WTI demand recovers.", "2021-01-05"),
-    (13, "It could hit 100 dollars because traders anticipate the price would climb.", "2022-06-08"),
-    (14, "The 2022 World Cup is a football tournament in Qatar.", "2022-11-20"),
-    (15, "Recently the EU approved a ban in December following talks in Germany.", "2022-12-05"),
-    (16, "Parity by 2026 and outlook for 2027 remain uncertain.", "2025-02-02"),
-    (17, "Oil prices surged 4.5 percent on Monday, crude jumped.", "2021-10-04"),
-    (18, "The valuation outlook improved; estimates for natural gas prices rose.", "2023-08-01"),
-    (19, "UN and NATO officials resigned. Powell warned of inflation at 7.1 in US.", "2022-01-12"),
-    (20, "Weather was mild in the region and stocks were ample.", "not a date"),
-    (21, "Coronavirus cases rose 1,234.5 a day in March 2020.", "2020-03-20"),
-    (22, "A drop in gas, due to fall further, was in line with 3/4 point moves.", "2023-03-03"),
-]
-
 
 def text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(TEXTS, "id int, txt string, event_date string")
+    """Whole documents for the text gates: id, txt, event_date (text)."""
+    return article(spark, sf_dir).select(F.col("article_id").alias("id"), F.col("title").alias("txt"), F.date_format("day", "yyyy-MM-dd").alias("event_date"))
+
+
+def folded(column: str) -> str:
+    """SQL of a text with each letter, mark and digit beyond ASCII as an underscore: to DuckDB's patterns words are ASCII words."""
+    return f"regexp_replace({column}, '[^\\x00-\\x7F\\p{{P}}\\p{{S}}\\p{{Z}}\\p{{C}}]', '_', 'g')"
 
 
-TEXT = "v_text(id, txt, event_date) AS (VALUES " + ", ".join("({}, '{}', '{}')".format(i, t.replace("'", "''"), d) for i, t, d in TEXTS) + ")"
+TEXT = ARTICLE + f", v_text AS (SELECT article_id AS id, title AS raw, {folded('title')} AS txt, strftime(day, '%Y-%m-%d') AS event_date FROM v_article)"
 
 
 def registry(spark: SparkSession) -> tuple[DataFrame, DataFrame]:

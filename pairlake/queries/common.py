@@ -20,6 +20,7 @@ class Registry:
     def __call__(self, sql: str | None = None) -> Callable[[Query], Query]:
         def add(f: Query) -> Query:
             self.queries[f.__name__] = f
+            f.sql = sql
             if sql:
                 self.oracles[f.__name__] = sql
             return f

@@ -143,25 +143,31 @@ def win_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return errors(spark, sf_dir).groupBy("domain").agg(F.count("*").alias("n"), F.count_if(F.col("err_b") < F.col("err_a")).alias("b_over_a"), F.count_if(F.col("err_b") < F.col("err_c")).alias("b_over_c"))
 
 
-@query(f"{ERR} SELECT count(DISTINCT domain) AS clusters, round(median(err_a - err_b), 6) AS point FROM v_err")
-def bootstrap_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return errors(spark, sf_dir).agg(F.countDistinct("domain").alias("clusters"), r6(F.median(F.col("err_a") - F.col("err_b"))).alias("point"))
+def _bootstrap(group: str, iterations: int, seed: int) -> str:
+    """SQL of the interval: each draw joins all rows of its group."""
+    return f"""{ERR}, d AS (SELECT {group} AS g, err_a - err_b AS d FROM v_err), g AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS no, count(*) OVER () AS n FROM (SELECT DISTINCT g FROM d)),
+w AS (SELECT i, j, ((((i * 1000003 + j * 7919 + {seed} * 104729) % 2147483647) * 1103515245 + 12345) % 2147483648) // 8 % n AS no FROM (SELECT DISTINCT n FROM g), range({iterations}) a(i), LATERAL (SELECT unnest(range(n)) AS j)),
+m AS (SELECT i, median(d) AS med FROM w JOIN g USING (no) JOIN d USING (g) GROUP BY 1), l AS (SELECT list_sort(list(med)) AS m FROM m)
+SELECT (SELECT count(*) FROM g) AS clusters, round((SELECT median(d) FROM d), 6) AS point, round(m[{int(0.025 * iterations)} + 1], 6) AS lo, round(m[{int(0.975 * iterations)} + 1], 6) AS hi FROM l"""
+
+
+def _interval(spark: SparkSession, sf_dir: str, group, iterations: int, seed: int) -> DataFrame:
+    d = errors(spark, sf_dir).select(group.alias("g"), (F.col("err_a") - F.col("err_b")).alias("d"))
+    point = d.agg(F.countDistinct("g").alias("clusters"), F.median("d").alias("point"))
+    both = point.join(F.broadcast(E.interval(E.cluster_bootstrap(d, "g", "d", iterations, seed), iterations)))  # one row each
+    return both.select("clusters", r6("point").alias("point"), r6("lo").alias("lo"), r6("hi").alias("hi"))
 
 
-@query()
-def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lo and hi: the 2.5 and 97.5 index percentiles of 200 resampled medians."""
-    d = errors(spark, sf_dir).select("domain", (F.col("err_a") - F.col("err_b")).alias("d"))
-    meds = E.cluster_bootstrap(d, "domain", "d", 200, 11)
-    return meds.agg(F.array_sort(F.collect_list("med")).alias("m")).select(F.col("m")[5].alias("lo"), F.col("m")[195].alias("hi"))
+@query(_bootstrap("domain", 200, 11))
+def bootstrap_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The median gain, and the 2.5 and 97.5 index percentiles of 200 medians resampled by domain."""
+    return _interval(spark, sf_dir, F.col("domain"), 200, 11)
 
 
-@query()
+@query(_bootstrap("strftime(day, '%Y-%m-%d')", 100, 13))
 def bootstrap_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with each day a cluster of its own."""
-    d = errors(spark, sf_dir).select(F.date_format("day", "yyyy-MM-dd").alias("row"), (F.col("err_a") - F.col("err_b")).alias("d"))
-    meds = E.cluster_bootstrap(d, "row", "d", 100, 13)
-    return meds.agg(F.array_sort(F.collect_list("med")).alias("m")).select(F.col("m")[2].alias("lo"), F.col("m")[97].alias("hi"))
+    return _interval(spark, sf_dir, F.date_format("day", "yyyy-MM-dd"), 100, 13)
 
 
 @query(f"{ERR}, e AS (SELECT domain, day, avg(err_a) AS a, avg(err_b) AS b FROM v_err GROUP BY ALL) SELECT domain, round(median(a - b), 6) AS median, count(*) FILTER (WHERE b < a) AS wins FROM e GROUP BY 1")
@@ -211,31 +217,68 @@ def lap_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("dataset", r6("rate").alias("rate"), r6("acc").alias("acc"), verdict.alias("verdict"))
 
 
-@query(f"{ITEM} SELECT a.series_id, a.text = b.text AS same FROM v_g a JOIN v_g b ON replace(a.series_id, 'BUILDING', 'X') = replace(b.series_id, 'BUILDING', 'X')")
+STYLES = f"""{ITEM}, v_short AS (SELECT day, arg_min(title, {{'n': len(title), 'a': article_id}}) AS title FROM v_article GROUP BY 1)"""
+
+
+@query(f"{STYLES} SELECT series_id, i.text = coalesce(s.title, '') AS same, CASE WHEN origin < DATE '{CUT}' THEN 'train' ELSE 'test' END AS split FROM v_item i LEFT JOIN v_short s ON i.kt = s.day")
 def thin_rich_common(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = items(spark, sf_dir).select("series_id", "text", F.replace("series_id", F.lit("BUILDING"), F.lit("X")).alias("key"))
-    return i.join(i.select("key", F.col("text").alias("t")), "key").select("series_id", (F.col("text") == F.col("t")).alias("same"))
+    """Items in two styles of text, the latest article of a day and its shortest one, joined on what isn't style; one split for both."""
+    rich = items(spark, sf_dir).select(F.concat("series_id", F.lit("_rich")).alias("rich_id"), "text")
+    short = V.article(spark, sf_dir).groupBy("day").agg(F.min_by("title", F.struct(F.length("title"), "article_id")).alias("title"))
+    thin = items(spark, sf_dir).drop("text").join(short, F.col("kt") == F.col("day"), "left").select(F.concat("series_id", F.lit("_thin")).alias("thin_id"), "origin", F.coalesce("title", F.lit("")).alias("title"))
+    key = lambda c: F.regexp_replace(c, "_(thin|rich)$", "")
+    both = thin.join(rich, key(thin["thin_id"]) == key(rich["rich_id"]))
+    split = F.when(F.col("origin") < F.lit(CUT).cast("date"), "train").otherwise("test")
+    return both.select(key(F.col("thin_id")).alias("series_id"), (F.col("text") == F.col("title")).alias("same"), split.alias("split"))
 
 
-DISC = f"""{ITEM}, x AS (SELECT series_id, dataset, list_transform(history, lambda v: round(v, -4)) AS own, list_transform(future, lambda v: round(v, -4)) AS said FROM v_g WHERE dataset = 'BUILDING'),
-p AS (SELECT a.series_id, a.series_id = b.series_id AS self, len(list_filter(a.said, lambda s: list_contains(b.own, s))) / 5.0::DOUBLE AS rate FROM x a CROSS JOIN x b),
-d AS (SELECT series_id, max(rate) FILTER (WHERE self) - avg(rate) FILTER (WHERE NOT self) AS d FROM p GROUP BY 1)"""
+PLACED = f"{ITEM}, x AS (SELECT series_id, dataset, origin, list_transform(history, lambda v: round(v, -4)) AS own, list_transform(future, lambda v: round(v, -4)) AS said, row_number() OVER (PARTITION BY dataset ORDER BY series_id) - 1 AS r, count(*) OVER (PARTITION BY dataset) AS n FROM v_g)"
+FIT = "len(list_filter(a.said, lambda s: list_contains({0}.own, s))) / 5.0::DOUBLE"
 
 
-@query(f"{DISC} SELECT series_id, round(d, 6) AS disc FROM d")
-def discriminability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Own match rate less the mean over all other series of one dataset, a small stated set."""
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
     place = lambda c: F.transform(c, lambda v: F.round(v, -4))
-    x = items(spark, sf_dir).where("dataset = 'BUILDING'").select("series_id", place(F.col("history")).alias("own"), place(F.col("future")).alias("said"), F.lit(1).alias("one"))
-    y = x.select(F.col("series_id").alias("other"), F.col("own").alias("theirs"), "one")
-    rate = F.size(F.filter("said", lambda s: F.array_contains("theirs", s))) / 5.0
-    p = x.join(y, "one").select("series_id", (F.col("series_id") == F.col("other")).alias("self"), rate.alias("rate"))
-    d = p.groupBy("series_id").agg((F.max(F.when(F.col("self"), F.col("rate"))) - F.avg(F.when(~F.col("self"), F.col("rate")))).alias("d"))
-    return d.select("series_id", r6("d").alias("disc"))
+    r = F.row_number().over(Window.partitionBy("dataset").orderBy("series_id")) - 1
+    return items(spark, sf_dir).select("series_id", "dataset", "origin", place(F.col("history")).alias("own"), place(F.col("future")).alias("said"), r.alias("r"))
+
+
+@query(f"{PLACED} SELECT a.series_id, round(max({FIT.format('a')}) - avg({FIT.format('b')}), 6) + 0.0 AS disc FROM (SELECT *, unnest(range(20)) AS j FROM x WHERE n >= 2) a JOIN x b ON a.dataset = b.dataset AND b.r = (a.r + 1 + (a.r * 7919 + a.j * 104729) % (a.n - 1)) % a.n GROUP BY 1")
+def discriminability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own match rate less the mean over 20 drawn series of the same dataset."""
+    x = placed(spark, sf_dir)
+    return E.distinct_from(x, x.select("dataset", "r", "own"), "dataset", others=True).select("series_id", (r6("disc") + 0.0).alias("disc"))
+
+
+HELD = f"""{PLACED}, y AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY origin) AS t FROM x WHERE n >= 10), s AS (SELECT *, t <= floor(n * 0.8) AS train FROM y),
+p AS (SELECT dataset, own, row_number() OVER (PARTITION BY dataset ORDER BY series_id) - 1 AS r, count(*) OVER (PARTITION BY dataset) AS m FROM s WHERE train), q AS (SELECT *, unnest(range(20)) AS j FROM s WHERE NOT train),
+v_held AS (SELECT a.series_id, a.dataset, max({FIT.format('a')}) - avg({FIT.format('b')}) AS disc FROM q a JOIN p b ON a.dataset = b.dataset AND b.r = (a.r * 7919 + a.j * 104729) % b.m GROUP BY ALL)"""
+
+
+def held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    x = placed(spark, sf_dir)
+    x = x.withColumn("n", F.count("*").over(Window.partitionBy("dataset"))).where("n >= 10").drop("n")
+    s = E.chronological(x, "dataset", "origin", 0.8)
+    train = s.where("split = 'train'").withColumn("r", F.row_number().over(Window.partitionBy("dataset").orderBy("series_id")) - 1)
+    return E.distinct_from(s.where("split = 'test'"), train.select("dataset", "r", "own"), "dataset", others=False)
+
+
+@query(f"{HELD} SELECT series_id, round(disc, 6) + 0.0 AS disc FROM v_held")
+def discriminability_heldout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last fifth of a dataset against series drawn from the first four."""
+    return held_out(spark, sf_dir).select("series_id", (r6("disc") + 0.0).alias("disc"))
+
+
+@query(f"{HELD} SELECT dataset, count(*) AS n, round(median(disc), 6) + 0.0 AS held_out FROM v_held GROUP BY 1")
+def heldout_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out(spark, sf_dir).groupBy("dataset").agg(F.count("*").alias("n"), (r6(F.median("disc")) + 0.0).alias("held_out"))
 
 
-TF = """WITH w AS (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents WHERE doc_id < 400),
-tf AS (SELECT source, term, count(*) AS tf FROM w WHERE term NOT IN ('the', 'and') GROUP BY ALL), n AS (SELECT count(DISTINCT source) AS n FROM documents WHERE doc_id < 400),
+TF = """WITH w AS (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents),
+tf AS (SELECT source, term, count(*) AS tf FROM w WHERE term NOT IN ('the', 'and') GROUP BY ALL), n AS (SELECT count(DISTINCT source) AS n FROM documents),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2), x AS (SELECT source, term, tf * (ln(n / df) + 1) AS w FROM tf JOIN df USING (term), n),
 l AS (SELECT source, sqrt(sum(w * w)) AS l FROM x GROUP BY 1), v AS (SELECT source, term, w / l AS weight FROM x JOIN l USING (source))"""
 
@@ -245,12 +288,12 @@ def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.tfidf(d, "source", "text", ("the", "and"))
 
 
-@query(TF.replace(" WHERE doc_id < 400", "") + " SELECT source, count(*) AS terms, round(max(weight), 6) AS top FROM v GROUP BY 1")
+@query(TF + " SELECT source, count(*) AS terms, round(max(weight), 6) AS top FROM v GROUP BY 1")
 def tfidf_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights(spark, sf_dir).groupBy("source").agg(F.count("*").alias("terms"), r6(F.max("weight")).alias("top"))
 
 
-@query(TF.replace(" WHERE doc_id < 400", "") + " SELECT a.source AS a, b.source AS b, round(sum(a.weight * b.weight), 6) AS cosine, sum(a.weight * b.weight) > 0.5 AS flagged FROM v a JOIN v b ON a.term = b.term AND a.source < b.source GROUP BY ALL")
+@query(TF + " SELECT a.source AS a, b.source AS b, round(sum(a.weight * b.weight), 6) AS cosine, sum(a.weight * b.weight) > 0.5 AS flagged FROM v a JOIN v b ON a.term = b.term AND a.source < b.source GROUP BY ALL")
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = E.cosines(weights(spark, sf_dir), "source")
     return c.select("a", "b", r6("cosine").alias("cosine"), (F.col("cosine") > 0.5).alias("flagged"))

@@ -83,9 +83,9 @@ def tier_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiers(spark, sf_dir).groupBy("tier").agg(F.count("*").alias("n"))
 
 
-@query(f"{GOV} SELECT source_id, count(*) AS n, count(*) FILTER (WHERE regexp_matches(text, '{L.PRICE_PROJECTION.replace(chr(39), chr(39) * 2)}')) AS leaks, any_value(status) AS status FROM e GROUP BY 1")
+@query(f"{GOV} SELECT source_id, count(*) AS n, count(*) FILTER (WHERE regexp_matches({V.folded('text')}, '{L.PRICE_PROJECTION.replace(chr(39), chr(39) * 2)}')) AS leaks, any_value(status) AS status FROM e GROUP BY 1")
 def discriminator_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return governed(spark, sf_dir).groupBy("source_id").agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike(L.PRICE_PROJECTION)).alias("leaks"), F.first("status").alias("status"))
+    return governed(spark, sf_dir).groupBy("source_id").agg(F.count("*").alias("n"), F.count_if(L.has(F.col("text"), L.PRICE_PROJECTION)).alias("leaks"), F.first("status").alias("status"))
 
 
 @query(f"{GOV} SELECT status, errors AS reason, count(*) AS n FROM e GROUP BY ALL")

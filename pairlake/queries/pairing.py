@@ -123,12 +123,12 @@ def vendor_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), join(F.split_part("p_name", F.lit(" "), F.lit(1)), F.col("p_name")).alias("vp"), join(F.col("p_brand"), F.col("p_type")).alias("bt"))
 
 
-SNAP = f"WITH {V.PRICE}, a AS (SELECT DISTINCT series_id, (dt + 1)::DATE AS want FROM v_price WHERE idx % 50 = 30), s AS (SELECT a.series_id, a.want, p.idx AS pos FROM a ASOF JOIN v_price p ON a.series_id = p.series_id AND a.want >= p.dt)"
+SNAP = f"WITH {V.PRICE}, a AS (SELECT DISTINCT series_id, (dt + 1)::DATE AS want FROM v_price), s AS (SELECT a.series_id, a.want, p.idx AS pos FROM a ASOF JOIN v_price p ON a.series_id = p.series_id AND a.want >= p.dt)"
 
 
 def _snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = V.price(spark, sf_dir)
-    want = p.where("idx % 50 = 30").select("series_id", F.date_add("dt", 1).alias("dt")).distinct()
+    want = p.select("series_id", F.date_add("dt", 1).alias("dt")).distinct()
     return R.asof_backward(want, p, "dt", ["series_id"], ["dt", "idx"], False).select("series_id", F.col("dt").alias("want"), F.col("right_idx").alias("pos"))
 
 
@@ -164,7 +164,7 @@ def summaries_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).select("series_id", F.when(F.length("text") > 40, F.col("text")).otherwise("").alias("fact"), F.col("dataset").alias("preds"))
 
 
-CYCLE = f"WITH {V.PRICE}, a AS (SELECT *, [5, 7, 10, 14][(idx % 4 + 1)::INT] AS c FROM v_price WHERE idx % 30 = 20)"
+CYCLE = f"WITH {V.PRICE}, a AS (SELECT *, [5, 7, 10, 14][(idx % 4 + 1)::INT] AS c FROM v_price)"
 
 
 @query(f"{CYCLE} SELECT a.series_id, a.idx, greatest(4, least(c, 12))::INT AS h, max(p.price) - min(p.price) < 0.5 AS flat FROM a JOIN v_price p ON a.series_id = p.series_id AND p.idx > a.idx - greatest(4, least(c, 12)) AND p.idx <= a.idx GROUP BY ALL")
@@ -172,17 +172,17 @@ def adapt_cyber(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = V.price(spark, sf_dir)
     c = F.element_at(F.array(*(F.lit(x) for x in (5, 7, 10, 14))), (F.col("idx") % 4 + 1).cast("int"))
     w = Window.partitionBy("series_id").orderBy("idx").rowsBetween(-13, 0)
-    r = p.withColumn("all", F.collect_list("price").over(w)).where("idx % 30 = 20").withColumn("h", F.greatest(F.lit(4), F.least(c, F.lit(12))))
+    r = p.withColumn("all", F.collect_list("price").over(w)).withColumn("h", F.greatest(F.lit(4), F.least(c, F.lit(12))))
     own = F.slice("all", -F.col("h"), F.col("h"))
     return r.select("series_id", "idx", "h", (F.array_max(own) - F.array_min(own) < 0.5).alias("flat"))
 
 
-@query(f"WITH {V.PRICE}, a AS (SELECT *, [20, 30, 45, 60][(row_number() OVER (PARTITION BY series_id ORDER BY idx) - 1) % 4 + 1] AS h FROM v_price WHERE idx % 90 = 80) SELECT a.series_id, a.idx, h::INT AS h, count(*) AS n FROM a JOIN v_price p ON a.series_id = p.series_id AND p.idx > a.idx - h AND p.idx <= a.idx GROUP BY ALL")
+@query(f"WITH {V.PRICE}, a AS (SELECT *, [20, 30, 45, 60][(row_number() OVER (PARTITION BY series_id ORDER BY idx) - 1) % 4 + 1] AS h FROM v_price) SELECT a.series_id, a.idx, h::INT AS h, count(*) AS n FROM a JOIN v_price p ON a.series_id = p.series_id AND p.idx > a.idx - h AND p.idx <= a.idx GROUP BY ALL")
 def adapt_fomc(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = V.price(spark, sf_dir)
     w = Window.partitionBy("series_id").orderBy("idx")
     cycle = F.element_at(F.array(*(F.lit(x) for x in (20, 30, 45, 60))), (F.row_number().over(w) - 1) % 4 + 1)
-    return p.where("idx % 90 = 80").withColumn("h", cycle).select("series_id", "idx", "h", F.least("h", F.col("idx") + 1).cast("long").alias("n"))
+    return p.withColumn("h", cycle).select("series_id", "idx", "h", F.least("h", F.col("idx") + 1).cast("long").alias("n"))
 
 
 QUAKE = "WITH q AS (SELECT c_custkey AS id, list(o_totalprice ORDER BY o_orderkey) AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)"
@@ -240,7 +240,7 @@ def html_to_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "pages").select("page_id", P.plain(F.col("html")).alias("plain"))
 
 
-@query()
+@query("WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM documents), w AS (SELECT doc_id, s, list_transform(s, lambda x: len(regexp_split_to_array(trim(x), '\\s+'))) AS w FROM s) SELECT doc_id, array_to_string(list_filter(s, lambda x, i: list_sum(w[1:i]) <= 40), ' ') AS lead FROM w")
 def extractive_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = V.table(spark, sf_dir, "documents")
     return d.select("doc_id", P.compressed(F.split("text", r"(?<=[.!?])\s+"), 40).alias("lead"))

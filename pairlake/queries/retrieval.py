@@ -13,11 +13,11 @@ from .common import Registry, r6
 query = Registry()
 
 TERMS = ("the", "ther", "and", "tion")
-EVENTS = f"{V.PRICE}, {V.ARTICLE}, v_event AS (SELECT series_id || '_' || idx AS event_id, series_id, idx, dt AS day FROM v_price WHERE idx % 40 = 20)"
+EVENTS = f"{V.PRICE}, {V.ARTICLE}, v_event AS (SELECT series_id || '_' || idx AS event_id, series_id, idx, dt AS day FROM v_price)"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.price(spark, sf_dir).where("idx % 40 = 20").select(F.concat_ws("_", "series_id", F.col("idx").cast("string")).alias("event_id"), "series_id", "idx", F.col("dt").alias("day"))
+    return V.price(spark, sf_dir).select(F.concat_ws("_", "series_id", F.col("idx").cast("string")).alias("event_id"), "series_id", "idx", F.col("dt").alias("day"))
 
 
 @query(f"WITH {EVENTS} SELECT event_id, day::TIMESTAMP AS strict_t, day::TIMESTAMP + INTERVAL 86399 SECOND AS same_day_t, (day - 4)::DATE AS lookback FROM v_event")
@@ -34,22 +34,22 @@ def apply_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("event_id").agg(F.count_if(F.col("day") < F.col("event_day")).alias("kept"), F.count_if(F.col("day") >= F.col("event_day")).alias("dropped"))
 
 
-MATCH = f"""{EVENTS}, m AS (
-  SELECT e.event_id, a.*, regexp_replace(lower(regexp_replace(title, '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+', '', 'g')), '^$', '') AS nt FROM v_event e JOIN v_article a ON a.day >= e.day - 4 AND a.day < e.day),
+MATCH = f"""{EVENTS}, v_head AS (SELECT article_id, day, md5(lower(regexp_replace(title, '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+', '', 'g'))) AS nt, len(title) - len(replace(title, 'th', '')) AS score FROM v_article), m AS (
+  SELECT e.event_id, a.* FROM v_event e JOIN v_head a ON a.day >= e.day - 4 AND a.day < e.day),
 one AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY event_id, nt ORDER BY article_id) = 1)"""
 
 
-@query(f"WITH {MATCH} SELECT event_id, article_id, day, (len(title) - len(replace(title, 'th', ''))) AS score, (row_number() OVER (PARTITION BY event_id ORDER BY len(title) - len(replace(title, 'th', '')) DESC, day DESC, article_id))::INT AS rank FROM one QUALIFY rank <= 8")
+@query(f"WITH {MATCH} SELECT event_id, article_id, day, score, (row_number() OVER (PARTITION BY event_id ORDER BY score DESC, day DESC, article_id))::INT AS rank FROM one QUALIFY rank <= 8")
 def range_join_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = R.interval_matches(events(spark, sf_dir), V.article(spark, sf_dir), 4)
     score = (F.length("title") - F.length(F.replace("title", F.lit("th"), F.lit("")))).cast("long")
-    return R.top_matches(m, score, 8).select("event_id", "article_id", "day", "score", "rank")
+    m = R.interval_matches(events(spark, sf_dir), R.headlines(V.article(spark, sf_dir), score), 4)
+    return R.top_matches(m, 8).select("event_id", "article_id", "day", "score", "rank")
 
 
 @query(f"WITH {MATCH} SELECT event_id, article_id FROM one QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY article_id) <= 8")
 def gdelt_dedupe_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = R.interval_matches(events(spark, sf_dir), V.article(spark, sf_dir), 4).withColumn("day", F.lit("2000-01-01").cast("date"))
-    return R.top_matches(m, F.lit(0), 8).select("event_id", "article_id")
+    m = R.interval_matches(events(spark, sf_dir), R.headlines(V.article(spark, sf_dir), F.lit(0)), 4).withColumn("day", F.lit("2000-01-01").cast("date"))
+    return R.top_matches(m, 8).select("event_id", "article_id")
 
 
 @query(f"WITH {V.ARTICLE} SELECT article_id, route FROM v_article JOIN (VALUES ('gas', '(?:ti|an)on'), ('gold', '^The'), ('oil', 'de la')) r(route, pat) ON regexp_matches(title, pat)")
@@ -77,12 +77,12 @@ def even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.even_spread(V.article(spark, sf_dir), ["domain"], ["article_id"], 7).select("domain", "article_id")
 
 
-REPORT = f"{EVENTS}, v_rep AS (SELECT day, max(article_id) AS article_id FROM v_article WHERE article_id % 3 = 0 GROUP BY day)"
+REPORT = f"{EVENTS}, v_rep AS (SELECT day, max(article_id) AS article_id FROM v_article GROUP BY day)"
 
 
 def _asof(spark: SparkSession, sf_dir: str, strict: bool) -> DataFrame:
-    reports = V.article(spark, sf_dir).where("article_id % 3 = 0").groupBy("day").agg(F.max("article_id").alias("article_id")).withColumn("one", F.lit(1))
-    out = R.asof_backward(events(spark, sf_dir).withColumn("one", F.lit(1)), reports, "day", ["one"], ["day", "article_id"], strict)
+    reports = V.article(spark, sf_dir).groupBy("day").agg(F.max("article_id").alias("article_id"))
+    out = R.asof_backward(events(spark, sf_dir), reports, "day", [], ["day", "article_id"], strict)
     return out.select("event_id", F.col("right_day").alias("report_day"), F.col("right_article_id").alias("article_id"))
 
 
@@ -91,17 +91,17 @@ def asof_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _asof(spark, sf_dir, False)
 
 
-@query(f"WITH {REPORT} SELECT event_id, r.day AS report_day, r.article_id, CASE WHEN r.day IS NULL THEN 'no_prior_revision' END AS reason FROM v_event e ASOF LEFT JOIN v_rep r ON e.day > r.day")
+@query(f"WITH {REPORT} SELECT event_id, r.day AS report_day, coalesce(r.article_id, -1) AS article_id, CASE WHEN r.day IS NULL THEN 'no_prior_revision' END AS reason FROM v_event e ASOF LEFT JOIN v_rep r ON e.day > r.day")
 def asof_revision_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _asof(spark, sf_dir, True).withColumn("reason", F.when(F.col("report_day").isNull(), "no_prior_revision"))
+    return _asof(spark, sf_dir, True).withColumn("article_id", F.coalesce("article_id", F.lit(-1).cast("long"))).withColumn("reason", F.when(F.col("report_day").isNull(), "no_prior_revision"))
 
 
 @query(f"""WITH {EVENTS}, v_dom AS (SELECT domain, day, max(article_id) AS article_id FROM v_article GROUP BY ALL), e AS (SELECT event_id, day, 'src' || (idx % 20) AS domain FROM v_event)
-SELECT event_id, d.article_id FROM e ASOF LEFT JOIN v_dom d ON e.domain = d.domain AND e.day > d.day""")
+SELECT event_id, coalesce(d.article_id, -1) AS article_id FROM e ASOF LEFT JOIN v_dom d ON e.domain = d.domain AND e.day > d.day""")
 def asof_revision_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).withColumn("domain", F.concat(F.lit("src"), (F.col("idx") % 20).cast("string")))
     d = V.article(spark, sf_dir).groupBy("domain", "day").agg(F.max("article_id").alias("article_id"))
-    return R.asof_backward(e, d, "day", ["domain"], ["article_id"], True).select("event_id", F.col("right_article_id").alias("article_id"))
+    return R.asof_backward(e, d, "day", ["domain"], ["article_id"], True).select("event_id", F.coalesce("right_article_id", F.lit(-1).cast("long")).alias("article_id"))
 
 
 def _relevance(c: str) -> str:
@@ -173,22 +173,23 @@ def months_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(F.explode(F.array("day", F.date_sub("day", 4))).alias("d")).select(F.date_format("d", "yyyy-MM").alias("month")).distinct()
 
 
-@query(f"WITH {EVENTS}, have AS (SELECT DISTINCT strftime(day, '%Y-%m') AS month FROM v_article WHERE article_id % 97 = 0) SELECT DISTINCT strftime(day, '%Y-%m') AS month FROM v_event WHERE strftime(day, '%Y-%m') NOT IN (SELECT month FROM have)")
+@query(f"WITH {EVENTS}, have AS (SELECT DISTINCT strftime(day, '%Y-%m') AS month FROM v_article WHERE domain = 'src1') SELECT DISTINCT strftime(day, '%Y-%m') AS month FROM v_event WHERE strftime(day, '%Y-%m') NOT IN (SELECT month FROM have)")
 def pool_monthly_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    have = V.article(spark, sf_dir).where("article_id % 97 = 0").select(F.date_format("day", "yyyy-MM").alias("month")).distinct()
+    have = V.article(spark, sf_dir).where("domain = 'src1'").select(F.date_format("day", "yyyy-MM").alias("month")).distinct()
     return events(spark, sf_dir).select(F.date_format("day", "yyyy-MM").alias("month")).distinct().join(have, "month", "left_anti")
 
 
-@query("SELECT o_custkey AS key, max(o_totalprice) AS v FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1 UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 2 = 0)")
+@query("SELECT o_custkey AS key, max(o_totalprice) AS v FROM orders GROUP BY 1 UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def merge_events_no_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    have = V.table(spark, sf_dir, "orders").where("o_custkey % 2 = 0").groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_totalprice").alias("v"))
+    have = V.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_totalprice").alias("v"))
     return R.without_overwrite(have, V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("v")), "key")
 
 
-@query("SELECT source, min(text) AS title, count(*) AS n FROM (SELECT source, substr(text, 1, 60) AS text FROM documents WHERE doc_id BETWEEN 100 AND 700 AND regexp_matches(text, 'tion')) GROUP BY 1")
+@query(f"WITH {V.ARTICLE} SELECT domain AS source, strftime(day, '%Y-%m') AS month, min(title) AS title, count(*) AS n FROM v_article WHERE day >= DATE '1996-01-01' AND day < DATE '2001-01-01' AND regexp_matches(title, 'tion') GROUP BY ALL")
 def pool_bigquery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = V.table(spark, sf_dir, "documents").where("doc_id BETWEEN 100 AND 700").where(F.col("text").rlike("tion"))
-    return d.groupBy("source").agg(F.min(F.substring("text", 1, 60)).alias("title"), F.count("*").alias("n"))
+    """One pass over the pool's dates and pattern: by source and month the first title and how many."""
+    a = V.article(spark, sf_dir).where((F.col("day") >= "1996-01-01") & (F.col("day") < "2001-01-01") & F.col("title").rlike("tion"))
+    return a.groupBy(F.col("domain").alias("source"), F.date_format("day", "yyyy-MM").alias("month")).agg(F.min("title").alias("title"), F.count("*").alias("n"))
 
 
 @query("SELECT event_type, month, lo, hi, n FROM (SELECT event_type, date_trunc('month', ts)::DATE AS month, strftime(date_trunc('month', ts), '%Y%m%d') AS lo, strftime(date_trunc('month', ts) + INTERVAL 1 MONTH, '%Y%m%d') AS hi, count(*) AS n FROM events GROUP BY ALL)")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import html
 import json
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,40 +16,81 @@ from pyspark.sql.types import StructType
 LEDGERS = (".rejected.jsonl", ".unsupported.jsonl", ".filtered.jsonl")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a local one only where all run on one machine."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="pairlake-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/pairlake/{name}-{uuid.uuid4().hex}"
+
+
 def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """A JSON object a line; lines that aren't one have the text in _corrupt if the schema names it."""
     return spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
+def _parsed(batches: Iterator) -> Iterator:
+    """Whole files: one array, or objects one after another, over any lines; what can't be read is kept as corrupt."""
+    import pandas as pd
+
+    read = json.JSONDecoder()
+    for batch in batches:
+        out = []
+        for name, text in zip(batch["file"], batch["value"]):
+            at, n = 0, 0
+            while at < len(text):
+                if text[at].isspace() or text[at] == ",":
+                    at += 1
+                    continue
+                try:
+                    value, at = read.raw_decode(text, at)
+                    found = value if isinstance(value, list) else [value]
+                    rows = [(json.dumps(v, ensure_ascii=False, sort_keys=True), None) if isinstance(v, dict) else (None, json.dumps(v)) for v in found]
+                except ValueError:
+                    end = text.find("\n", at)
+                    end = len(text) if end < 0 else end
+                    rows, at = [(None, text[at:end])], end + 1
+                out += [(name, n + i, r, c) for i, (r, c) in enumerate(rows)]
+                n += len(rows)
+        yield pd.DataFrame(out, columns=["file", "pos", "record", "corrupt"])
+
+
 def json_records(spark: SparkSession, path: str) -> DataFrame:
-    """file, pos, record (text) of files that hold JSON lines, one array, or objects one after another."""
-
-    def parse(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        read = json.JSONDecoder()
-        for batch in batches:
-            out = []
-            for name, raw in zip(batch["path"], batch["content"]):
-                text, at, found = bytes(raw).decode("utf-8"), 0, []
-                while at < len(text):
-                    if text[at].isspace() or text[at] == ",":
-                        at += 1
-                        continue
-                    try:
-                        value, at = read.raw_decode(text, at)
-                    except ValueError:
-                        end = text.find("\n", at)
-                        at = len(text) if end < 0 else end + 1
-                        continue
-                    found += value if isinstance(value, list) else [value]
-                out += [(name, i, json.dumps(v, ensure_ascii=False, sort_keys=True)) for i, v in enumerate(found) if isinstance(v, dict)]
-            yield pd.DataFrame(out, columns=["file", "pos", "record"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("path").rlike(r"\.jsonl?$"))
+    """file, pos, record (text), corrupt of files that hold JSON lines, one array, or objects one after another.
+
+    Files of JSON lines are split and read line by line; only files with a line that isn't an object are
+    read whole, as one row each. What can't be parsed is kept in corrupt.
+    """
+    files = discover_files(spark, path)
+    names = [r["file"] for r in files.collect()]  # names of files, which the driver lists anyway
+    schema = "file string, pos long, record string, corrupt string"
+    if not names:
+        return spark.createDataFrame([], schema)
+    lines = spark.read.text(names).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"), F.trim("value").alias("value")).where("value <> ''")
+    # a parser may stop after the first of two objects: such lines go to the whole-file reader
+    fine = F.startswith("value", F.lit("{")) & F.try_parse_json("value").isNotNull() & ~F.col("value").rlike(r"\}\s*\{")
+    odd = [r["file"] for r in lines.where(~fine).select("file").distinct().collect()]
+    out = lines.where(~F.col("file").isin(odd)).select("file", "pos", F.col("value").alias("record"), F.lit(None).cast("string").alias("corrupt")) if odd else lines.select("file", "pos", F.col("value").alias("record"), F.lit(None).cast("string").alias("corrupt"))
+    if odd:
+        whole = spark.read.text(odd, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+        out = out.union(whole.mapInPandas(_parsed, schema))
+    return out
+
+
+def find_files(spark: SparkSession, path: str) -> DataFrame:
+    """file: all JSON files below a path."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file")).where(F.col("file").rlike(r"\.jsonl?$"))
+
+
+def discover_files(spark: SparkSession, path: str) -> DataFrame:
+    """The same without ledgers."""
+    files = find_files(spark, path)
     for end in LEDGERS:
-        files = files.where(~F.endswith("path", F.lit(end)))
-    return files.select("path", "content").mapInPandas(parse, "file string, pos long, record string")
+        files = files.where(~F.endswith("file", F.lit(end)))
+    return files
 
 
 def price_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -80,17 +123,95 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"))
 
 
+def _put(spark: SparkSession, aside: str, path: str) -> None:
+    """Moves a finished output to its path. The old one is moved away first and deleted last, so one of both is always there."""
+    jvm = spark._jvm
+    new, to, old = (jvm.org.apache.hadoop.fs.Path(x) for x in (aside, path, f"{aside}.old"))
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    had = fs.exists(to)
+    if had and not fs.rename(to, old):
+        raise OSError(f"can't move {path} away")
+    if not fs.rename(new, to):
+        if had:
+            fs.rename(old, to)
+        raise OSError(f"can't move {aside} to {path}")
+    if had:
+        fs.delete(old, True)
+
+
 def write_json_lines(records: DataFrame, path: str) -> int:
-    """Writes records beside path, then puts them in its place; returns their number. An old output stays until then."""
+    """Writes records beside path, then puts them in its place; returns their number."""
     spark = records.sparkSession
     aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
     from pyspark.sql import Observation
 
     seen = Observation("records")
     records.observe(seen, F.count(F.lit(1)).alias("n")).write.json(aside)
-    jvm = spark._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(aside)
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
+    _put(spark, aside, path)
     return seen.get["n"]
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text as one file, put in place when it is whole."""
+    aside = f"{path}.{uuid.uuid4().hex}.tmp"
+    at = spark._jvm.org.apache.hadoop.fs.Path(aside)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    _put(spark, aside, path)
+
+
+def write_json(spark: SparkSession, value: object, path: str) -> None:
+    """A small value as JSON with sorted keys."""
+    write_text(spark, json.dumps(value, ensure_ascii=False, sort_keys=True, indent=2) + "\n", path)
+
+
+def write_html(summaries: DataFrame, path: str) -> None:
+    """A table of a summary, which has a row for each file or source."""
+    row = lambda cells, tag: "<tr>" + "".join(f"<{tag}>{html.escape(str(c))}</{tag}>" for c in cells) + "</tr>"
+    body = [row(summaries.columns, "th"), *(row(r, "td") for r in summaries.collect())]
+    write_text(summaries.sparkSession, "<table>\n" + "\n".join(body) + "\n</table>\n", path)
+
+
+def dated_csv(spark: SparkSession, path: str, date: str, *values: str) -> DataFrame:
+    """date and the named columns (text) of a CSV file with a header; dates in either of two layouts, rows without one left out."""
+    raw = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+    day = F.coalesce(F.try_to_timestamp(date, F.lit("yyyy-MM-dd")), F.try_to_timestamp(date, F.lit("M/d/yyyy"))).cast("date")
+    return raw.select(day.alias("date"), *values).where(F.col("date").isNotNull())
+
+
+def until(series: DataFrame, due: str, least: int = 30) -> DataFrame:
+    """series (series_id, date, value) up to a due date, without series of fewer than ``least`` points there."""
+    rows = series.where(F.col("date") <= F.lit(due).cast("date"))
+    enough = rows.groupBy("series_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return rows.join(enough, "series_id", "left_semi")
+
+
+def first_record(lines: DataFrame) -> DataFrame:
+    """file, record: the first line of each file (file, pos, record) that isn't blank."""
+    return lines.where(F.trim("record") != "").groupBy("file").agg(F.min_by("record", "pos").alias("record"))
+
+
+def registry_errors(sources: DataFrame, aliases: DataFrame) -> DataFrame:
+    """name, error: sources without a known status, and aliases of unknown sources."""
+    known = sources.select(F.col("source").alias("known"))
+    bad = sources.where(~F.coalesce(F.col("status").isin("approved", "conditional", "review_required", "blocked"), F.lit(False))).select(F.col("source").alias("name"), F.lit("status").alias("error"))
+    lost = aliases.join(known, aliases["source"] == known["known"], "left_anti").select(F.col("alias").alias("name"), F.lit("alias").alias("error"))
+    return bad.union(lost)
+
+
+def snapshots_window(targets: DataFrame, snapshots: DataFrame, before: int = 21, after: int = 8, least: int = 10) -> DataFrame:
+    """id, added, n, values: of each target (id, added) the scores (id, day, score) of the days around it that are there, in order."""
+    days = targets.select("id", "added", F.explode(F.sequence(F.date_sub("added", before), F.date_add("added", after))).alias("day"))
+    got = days.join(snapshots, ["id", "day"]).groupBy("id", "added").agg(F.array_sort(F.collect_list(F.struct("day", "score"))).alias("s"))  # a window's days
+    return got.where(F.size("s") >= least).select("id", "added", F.size("s").alias("n"), F.transform("s", lambda x: x["score"]).alias("values"))
+
+
+def cached_years(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The yearly files of a cache; raises ValueError if they have no row."""
+    rows = spark.read.option("header", "true").schema(schema).csv(path)
+    if rows.isEmpty():
+        raise ValueError(f"no rows in the cache {path}")
+    return rows

@@ -10,9 +10,11 @@ from pairlake.functions import lexical as L
 from pairlake.functions import series as S
 from pairlake.operators import brier as B
 from pairlake.operators import detect as D
+from pairlake.operators import emit as M
 from pairlake.operators import evaluate as E
 from pairlake.operators import governance as G
 from pairlake.operators import pairs as P
+from pairlake.operators import probe
 from pairlake.operators import retrieve as R
 from pairlake.operators import validate as C
 
@@ -118,7 +120,8 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.json").write_text('[{"x": 3}, {"x": 4}]')
     (tmp_path / "c.jsonl").write_text('{"x": 5}{"x": 6}')
     (tmp_path / "d.rejected.jsonl").write_text('{"x": 7}\n')
-    assert sorted(json.loads(r.record)["x"] for r in files.json_records(spark, str(tmp_path)).collect()) == [1, 2, 3, 4, 5, 6]
+    got = files.json_records(spark, str(tmp_path)).collect()
+    assert sorted(json.loads(r.record)["x"] for r in got if r.record) == [1, 2, 3, 4, 5, 6] and [r.corrupt for r in got if r.corrupt] == ["broken"]
     (tmp_path / "p.csv").write_text("date,value\n2020-01-01,1.5\n2020-01-02,.\nnote,3\n2020-01-03,\n")
     assert [tuple(r) for r in files.price_csv(spark, str(tmp_path / "p.csv")).collect()] == [("2020-01-01", 1.5)]
     (tmp_path / "y.xml").write_text('<feed xmlns:m="m" xmlns:d="d"><m:properties><d:NEW_DATE>2020-01-02T00:00:00</d:NEW_DATE><d:BC_2YEAR>1.5</d:BC_2YEAR><d:BC_10YEAR>2.5</d:BC_10YEAR></m:properties><m:properties><d:NEW_DATE>2020-01-03T00:00:00</d:NEW_DATE><d:BC_2YEAR>1.0</d:BC_2YEAR></m:properties></feed>')
@@ -150,3 +153,68 @@ def test_entry(spark):
 
     got = entry.entry(spark)
     assert got.count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_asof_ranges_carry_over_empty_ranges(spark):
+    """The last right row may lie many ranges back; keys and no keys alike."""
+    left = spark.createDataFrame([(i, "k", 10 * i) for i in range(50)], "id int, k string, t int")
+    right = spark.createDataFrame([("k", 15, "a"), ("k", 260, "b"), ("j", 5, "c"), ("k", 260, "bb")], "k string, t int, v string")
+    got = {r.id: r.right_v for r in R.asof_backward(left, right, "t", ["k"], ["v"], False, days=7).collect()}
+    assert got == {i: None if 10 * i < 15 else "a" if 10 * i < 260 else "bb" for i in range(50)}
+    free = {r.id: r.right_v for r in R.asof_backward(left, right, "t", [], ["v"], True, days=7).collect()}
+    assert free == {i: None if 10 * i <= 5 else "c" if 10 * i <= 15 else "a" if 10 * i <= 260 else "bb" for i in range(50)}
+    assert R.asof_backward(left, right.limit(0), "t", [], ["v"], True).where("right_v is null").count() == 50
+
+
+def test_bootstrap_medians_like_numpy(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    g, v = r.integers(0, 9, 400), r.normal(size=400).round(2)
+    rows = spark.createDataFrame([(f"g{a}", float(b)) for a, b in zip(g, v)], "g string, d double")
+    got = {x.iter: x.med for x in E.cluster_bootstrap(rows, "g", "d", 40, 5, bins=8).collect()}
+    for i in range(40):
+        drawn = [(((i * 1000003 + j * 7919 + 5 * 104729) % 2147483647 * 1103515245 + 12345) % 2147483648) // 8 % 9 for j in range(9)]
+        assert np.isclose(got[i], np.median(np.concatenate([v[g == k] for k in drawn])))
+
+
+def test_statement_and_decision(spark):
+    said = "The Committee decided to keep the target range for the federal funds rate at 2 percent. It will act."
+    page = f"<p>Menu of the site with enough characters to be looked at</p><p>For release at 2:00 p.m. EST today by the board. Share</p><p>{said}</p><p>Voting for the action were all of the members of the board.</p><p>{said}</p>"
+    got = {r.html: r for r in M.statement(spark.createDataFrame([(page,), ("",), ("<p>short</p>",)], "html string"), "html").collect()}
+    assert got[page].statement == said and got[page].decision == said.split(". ")[0] + "." and got[""].statement == got["<p>short</p>"].decision == ""
+
+
+def test_wikitext_and_drivers(spark):
+    raw = "{{Infobox|{{x|{{y}}}}}}'''Oil''' is a [[Liquid|liquid]]<ref>no</ref> of [[trade]]. <!-- c --> [[File:a.png|b]] [https://x.y z]"
+    assert one(spark, L.wikitext(F.col("t")), t=raw) == "Oil is a liquid of trade. z"
+    text = "x Results of Operations Net sales rose 5 percent due to strong demand abroad. net SALES rose 5 percent due to strong demand abroad. Revenue fell."
+    assert one(spark, L.drivers(F.col("t")), t=text) == "Net sales rose 5 percent due to strong demand abroad."
+
+
+def test_stricter_gates(spark):
+    labelled = {2021: 365.8, 2022: 394.3}
+    assert one(spark, F.size(L.year_value_errors(F.col("t"), labelled)), t="Sales were $394.3 billion in 2021.") == 1
+    assert one(spark, F.size(L.year_value_errors(F.col("t"), labelled)), t="Sales were $394.3 billion in 2022, 12 in 2021.") == 0
+    assert one(spark, L.rich_leak(F.col("t")), t="Bitcoin surged after the vote") and one(spark, L.rich_leak(F.col("t")), t="it is above $4,000 now")
+    assert not one(spark, L.rich_leak(F.col("t")), t="The team rose early. " + "x" * 60 + " market")
+    shown = {1.5: "1.5", 123456.789: "123457", 1234567.0: "1.23457e+06", 0.00012345678: "0.000123457", 0.0000123: "1.23e-05", -2.0: "-2"}
+    assert all(one(spark, S.general(F.col("x")), x=v) == t for v, t in shown.items())
+
+
+def test_stub_never_makes_a_forecast_up():
+    with pytest.raises(NotImplementedError):
+        probe.TextForecasterStub().predict(None, None, 5)
+
+
+def test_sink_keeps_an_output(spark, tmp_path):
+    """A write that fails leaves the old output as it was."""
+    from pairlake.sources import files
+
+    out = f"file://{tmp_path}/out"
+    files.write_json_lines(spark.range(3), out)
+    with pytest.raises(Exception, match="no"):
+        files.write_json_lines(spark.range(5).select(F.raise_error(F.lit("no")).alias("x")), out)
+    assert spark.read.json(out).count() == 3
+    with pytest.raises(ValueError):
+        files.cached_years(spark, str(tmp_path / "empty"), "a int") if (tmp_path / "empty").mkdir() is None else None
