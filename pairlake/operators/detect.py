@@ -13,18 +13,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def k_returns(series: DataFrame, k: int) -> DataFrame:
-    """series_id, idx, k, ret: the change over k points; none where the earlier price is 0."""
-    before = F.lag("price", k).over(Window.partitionBy("series_id").orderBy("idx"))
-    out = series.withColumn("before", before).where("before <> 0")
-    return out.select("series_id", "idx", F.lit(k).alias("k"), (F.col("price") / F.col("before") - 1).alias("ret"))
+def returns(series: DataFrame, scales: Sequence[int]) -> DataFrame:
+    """series_id, idx, k, ret: the change over k points for each scale, from one sort; none where the earlier price is 0."""
+    w = Window.partitionBy("series_id").orderBy("idx")
+    each = F.array(*(F.struct(F.lit(k).alias("k"), F.lag("price", k).over(w).alias("before")) for k in scales))
+    out = series.select("series_id", "idx", "price", each.alias("each")).select("series_id", "idx", "price", F.explode("each").alias("x")).where("x.before <> 0")
+    return out.select("series_id", "idx", "x.k", (F.col("price") / F.col("x.before") - 1).alias("ret"))
 
 
-def returns(series: DataFrame, scales: Sequence[int]) -> DataFrame:
-    out = k_returns(series, scales[0])
-    for k in scales[1:]:
-        out = out.union(k_returns(series, k))
-    return out
+def k_returns(series: DataFrame, k: int) -> DataFrame:
+    return returns(series, [k])
 
 
 def robust_params(rows: DataFrame, value: str, *keys: str) -> DataFrame:

@@ -131,9 +131,9 @@ def tfidf(docs: DataFrame, name: str, text: str, stop: tuple[str, ...] = (), lea
     """name, term, weight: term counts times ln(N / df) + 1 for terms of two names or more, unit length by name."""
     words = docs.select(name, F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))).alias("term"))
     tf = words.where(~F.col("term").isin(*stop)).groupBy(name, "term").agg(F.count("*").alias("tf"))
-    total = docs.select(name).distinct().count()
+    total = docs.agg(F.countDistinct(name).alias("names"))  # one row
     df = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least_df)
-    w = tf.join(df, "term").withColumn("w", F.col("tf") * (F.log(total / F.col("df")) + 1))
+    w = tf.join(df, "term").join(F.broadcast(total)).withColumn("w", F.col("tf") * (F.log(F.col("names") / F.col("df")) + 1)).drop("names")
     length = w.groupBy(name).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     return w.join(length, name).select(name, "term", (F.col("w") / F.col("length")).alias("weight"))
 
