@@ -46,6 +46,8 @@ from .marks import Bitmap, id_bit, ids, marked, parted, repeated
 LENGTH = 50
 #: Contents of a group and of an anchor at most (about), shards of a merge, bytes for each anchor of a text (about).
 PER_GROUP, SHARDS, PER_ANCHOR = 10_000, 16, 8
+#: Crowded anchors that may go to every task; more are joined.
+BROADCAST = 100_000
 #: Windows of a text that are looked at at once; fragments and their bytes that go out at once; contents that a task remembers.
 SLICE, ROWS, BYTES, KNOWN = 500_000, 20_000, 2_000_000, 100_000
 #: Odd multipliers.
@@ -241,7 +243,7 @@ def earlier(contents: list[bytes], docs: np.ndarray, shard: np.ndarray, length:
 
 def _decided(fragments: DataFrame, length: int) -> DataFrame:
     """anchor, cid, least (doc_id), runs of windows that are earlier elsewhere."""
-    contents = fragments.where("content is not null")
+    contents = fragments.where("shard is not null")
     groups = max(1, -(-contents.count() // PER_GROUP))
     kind = pa.list_(pa.struct([("at", pa.int64()), ("windows", pa.int64())]))
 
@@ -262,12 +264,17 @@ def _decided(fragments: DataFrame, length: int) -> DataFrame:
         return pa.table({"anchor": anchor[keep], "cid": cid[keep], "least": docs[keep], "runs": pa.array(rows, kind)})
 
     schema = "anchor int, cid long, least long, runs array<struct<at:long,windows:long>>"
-    dealt = lambda df: df.withColumn("g", F.pmod(F.xxhash64("anchor"), F.lit(groups))).groupBy("g").applyInArrow(decide, schema)
-    crowded = contents.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > PER_GROUP)
-    crowded = written(crowded.select(F.col("anchor").alias("of")), "crowded")
-    usual = dealt(contents.join(crowded, F.col("anchor") == F.col("of"), "left_anti").select("anchor", "cid", "doc_id", "shard", "content"))
+    stats = written(contents.groupBy("anchor").agg(F.count("*").alias("n"), F.min("cid").alias("lo"), F.max("cid").alias("hi")), "anchors")
+    # an anchor with one content has nothing to merge: its bytes needn't travel
+    alone, others = parted(contents, "anchor", stats.where("lo <> hi").select(F.col("anchor").cast("long").alias("of")), "of")
+    none = F.array().cast("array<struct<at:long,windows:long>>")
+    alone = alone.groupBy("anchor", "cid").agg(F.min("doc_id").alias("least")).withColumn("runs", none)
+    crowded = written(stats.where(F.col("n") > PER_GROUP).select(F.col("anchor").alias("of")), "crowded")
+    crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST else crowded.hint("merge")
+    own = others.join(crowded, F.col("anchor") == F.col("of"), "left_anti").select("anchor", "cid", "doc_id", "shard", "content", F.pmod(F.xxhash64("anchor"), F.lit(groups)).alias("g"))
+    usual = alone.union(own.groupBy("g").applyInArrow(decide, schema))
     # a crowded anchor's contents by single windows: equal windows are one interval, as equal fragments are
-    some = contents.join(crowded, F.col("anchor") == F.col("of"), "left_semi").groupBy("anchor", "cid").agg(F.min("doc_id").alias("least"), F.max("content").alias("content"))
+    some = others.join(crowded, F.col("anchor") == F.col("of"), "left_semi").groupBy("anchor", "cid").agg(F.min("doc_id").alias("least"), F.max("content").alias("content"))
     some = some.withColumn("at", F.explode(F.sequence(F.lit(0), F.octet_length("content") - length)))
     some = some.withColumn("window", F.substring("content", F.col("at") + 1, F.lit(length))).drop("content")
     first = some.groupBy("window").agg(F.min("least").alias("first"))
@@ -286,7 +293,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     marks = _marks(docs, length, kept, total["n"] // PER_ANCHOR)
     fragments = written(_fragments(docs, length, marks, kept), "fragments")
     decided = _decided(fragments, length)
-    seen = fragments.where("content is null").select("anchor", "cid", "doc_id", "place")
+    seen = fragments.where("shard is null").select("anchor", "cid", "doc_id", "place")
     start, windows = F.shiftright("place", 20), F.col("place") % MOST
     whole = F.array(F.struct(F.lit(0).cast("long").alias("at"), windows.alias("windows")))
     runs = F.when(F.col("doc_id") > F.col("least"), whole).otherwise(F.col("runs"))
