@@ -68,7 +68,7 @@ def ir_to_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("series_id", F.coalesce(F.get_json_object("record", "$.schema_version"), F.lit("")).alias("schema_version"), F.array_join("errors", ",").alias("errors"))
 
 
-@query(f"{NUMBERED} SELECT series_id, CASE k WHEN 1 THEN 'schema_version' WHEN 2 THEN 'kind' WHEN 3 THEN 'payload' WHEN 4 THEN 'future_invalid' ELSE '' END AS error, CASE WHEN k IN (1, 2, 3, 4) THEN NULL ELSE round(list_sum(history), 3) END AS total FROM v_n")
+@query(f"{NUMBERED} SELECT series_id, CASE k WHEN 1 THEN 'schema_version' WHEN 2 THEN 'kind' WHEN 3 THEN 'payload' WHEN 4 THEN 'future_invalid' ELSE '' END AS error, CASE WHEN k IN (1, 2, 3, 4) THEN NULL ELSE round(list_sum(history) * 0.137931, 3) END AS total FROM v_n")
 def ir_from_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records read back, some with another version, an unknown kind, no payload, or a payload that isn't valid."""
     k = F.col("k")
@@ -76,7 +76,7 @@ def ir_from_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.when(k != 3, F.struct("history", "future", "text", "kt"))
     raw = F.struct(F.when(k == 1, "pair@0").otherwise("pair@1").alias("schema_version"), F.when(k == 2, "other").otherwise("text_to_ts").alias("kind"), payload.alias("payload"))
     r = M.from_record(n.select("series_id", F.to_json(raw).alias("record")))
-    return r.select("series_id", F.coalesce("error", F.lit("")).alias("error"), F.when(F.col("error").isNull(), F.round(S.total(F.col("payload.history")), 3)).alias("total"))
+    return r.select("series_id", F.coalesce("error", F.lit("")).alias("error"), F.when(F.col("error").isNull(), F.round(S.total(F.col("payload.history")) * 0.137931, 3)).alias("total"))
 
 
 CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(replace(t, '<ts></ts>', ' ')), '\\s+([.,;:])', '\\1', 'g'), '[:\\-–—]\\s*\\.', '.', 'g'), '\\s{2,}', ' ', 'g'), '\\bat\\s*\\.', '.', 'g'))"
@@ -129,7 +129,7 @@ x AS (SELECT doc_id, source, trim(text, chr(32) || chr(10) || chr(9) || chr(13))
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM x WHERE fact <> '')"""
 
 
-@query(f"{TIMESX} SELECT doc_id, source, round(list_sum(history), 3) AS history, round(list_sum(future), 3) AS future, md5(trim(substr(fact, 1, 1200) || ' ' || preds)[:1600]) AS text_md5 FROM r WHERE n <= 5 OR pos IN (SELECT i * r.n // 5 FROM range(5) t(i))")
+@query(f"{TIMESX} SELECT doc_id, source, round(list_sum(history) * 0.137931, 3) AS history, round(list_sum(future) * 0.137931, 3) AS future, md5(trim(substr(fact, 1, 1200) || ' ' || preds)[:1600]) AS text_md5 FROM r WHERE n <= 5 OR pos IN (SELECT i * r.n // 5 FROM range(5) t(i))")
 def timesx_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples with an event, ten past and five coming points and a fact; five a source at most, spread evenly."""
     o = V.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("a"))
@@ -138,15 +138,15 @@ def timesx_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     past, future = F.slice("s", 1, F.greatest(F.col("n") - 5, F.lit(0))), F.slice("s", F.greatest(F.col("n") - 4, F.lit(1)), F.lit(5))
     d = d.withColumns({"past": past, "future": future, "fact": M.fact(F.col("text")), "preds": F.col("lang"), "events": F.lit(1)})
     out = M.samples(d, 10, 5, ["source"], ["doc_id"], 5)
-    return out.select("doc_id", "source", F.round(S.total(F.col("history")), 3).alias("history"), F.round(S.total(F.col("future")), 3).alias("future"), F.md5("text").alias("text_md5"))
+    return out.select("doc_id", "source", F.round(S.total(F.col("history")) * 0.137931, 3).alias("history"), F.round(S.total(F.col("future")) * 0.137931, 3).alias("future"), F.md5("text").alias("text_md5"))
 
 
-@query(f"{ITEM} SELECT series_id, kt AS knowledge_time, round(list_sum(list_transform(history, lambda v: round(v, 4))), 3) AS history, md5(trim(text, chr(32) || chr(10) || chr(9) || chr(13))[:1600]) AS text_md5 FROM v_item WHERE kt IS NOT NULL")
+@query(f"{ITEM} SELECT series_id, kt AS knowledge_time, round(list_sum(history) * 0.137931, 3) AS history, md5(trim(text, chr(32) || chr(10) || chr(9) || chr(13))[:1600]) AS text_md5 FROM v_item WHERE kt IS NOT NULL")
 def timemmd_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows with the latest report before their origin; without one there is no sample."""
     i = items(spark, sf_dir).where("kt is not null")
     text = F.substring(M.stripped(F.col("text")), 1, 1600)
-    return i.select("series_id", F.col("kt").alias("knowledge_time"), F.round(S.total(F.transform("history", lambda v: F.round(v, 4))), 3).alias("history"), F.md5(text).alias("text_md5"))
+    return i.select("series_id", F.col("kt").alias("knowledge_time"), F.round(S.total(F.col("history")) * 0.137931, 3).alias("history"), F.md5(text).alias("text_md5"))
 
 
 # statistics of records
@@ -188,10 +188,10 @@ def export_chattime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.where(near).select("series_id", F.round(S.total(F.col("history")) * 0.137931, 2).alias("history"), F.round(S.total(F.col("future")) * 0.137931, 2).alias("future"))
 
 
-@query(f"{ITEM} SELECT series_id, round(list_sum(history[3:]), 3) AS history, round(list_sum(future[:3]), 3) AS future FROM v_item")
+@query(f"{ITEM} SELECT series_id, round(list_sum(history[3:]) * 0.137931, 3) AS history, round(list_sum(future[:3]) * 0.137931, 3) AS future FROM v_item")
 def load_arms_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = M.rectangular(items(spark, sf_dir), 8, 3)
-    return f.select("series_id", F.round(S.total(F.col("history")), 3).alias("history"), F.round(S.total(F.col("future")), 3).alias("future"))
+    return f.select("series_id", F.round(S.total(F.col("history")) * 0.137931, 3).alias("history"), F.round(S.total(F.col("future")) * 0.137931, 3).alias("future"))
 
 
 @query(f"{ITEM} SELECT dataset, count(*) AS n FROM v_item WHERE len(history) >= 10 AND len(future) >= 5 GROUP BY 1")

@@ -173,7 +173,8 @@ def adapt_cyber(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.element_at(F.array(*(F.lit(x) for x in (5, 7, 10, 14))), (F.col("idx") % 4 + 1).cast("int"))
     w = Window.partitionBy("series_id").orderBy("idx").rowsBetween(-13, 0)
     r = p.withColumn("all", F.collect_list("price").over(w)).withColumn("h", F.greatest(F.lit(4), F.least(c, F.lit(12))))
-    own = F.slice("all", -F.col("h"), F.col("h"))
+    n = F.least("h", F.size("all"))  # early points have fewer before them
+    own = F.slice("all", -n, n)
     return r.select("series_id", "idx", "h", (F.array_max(own) - F.array_min(own) < 0.5).alias("flat"))
 
 

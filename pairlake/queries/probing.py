@@ -92,7 +92,7 @@ KEY = "substr(sha1(text || '|[' || array_to_string(list_transform(history, lambd
 
 
 @query(f"""{Z.ITEM}, c AS (SELECT series_id, history, {KEY} AS key, CASE day(origin) % 3 WHEN 1 THEN '1.5, 2.5 and 3' WHEN 2 THEN '9, 8, 7, 6, 5, 4' END AS answer FROM v_g),
-p AS (SELECT *, list_transform(regexp_extract_all(coalesce(answer, ''), '-?\\d+\\.?\\d*'), lambda x: x::DOUBLE)[1:5] AS n FROM c) SELECT series_id, key, len(n) AS parsed, round(coalesce(list_sum(n), 0) + (5 - len(n)) * history[10], 3) AS total FROM p""")
+p AS (SELECT *, list_transform(regexp_extract_all(coalesce(answer, ''), '-?\\d+\\.?\\d*'), lambda x: x::DOUBLE)[1:5] AS n FROM c) SELECT series_id, key, len(n) AS parsed, round((coalesce(list_sum(n), 0) + (5 - len(n)) * history[10]) * 0.137931, 3) AS total FROM p""")
 def llmtime_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cached answers by key: numbers parsed, cut to the horizon, and filled up with the last value."""
     i = Z.items(spark, sf_dir).withColumn("key", M.cache_key(F.col("text"), F.col("history"), 5))
@@ -100,7 +100,7 @@ def llmtime_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = i.where(day > 0).select("key", F.when(day == 1, "1.5, 2.5 and 3").otherwise("9, 8, 7, 6, 5, 4").alias("answer")).dropDuplicates(["key"])
     j = i.join(cache.withColumnRenamed("key", "cached"), F.col("key") == F.col("cached"), "left")
     j = j.withColumn("n", M.parsed(F.col("answer"), 5))
-    return j.select("series_id", "key", F.size("n").cast("long").alias("parsed"), F.round(S.total(M.filled(F.col("n"), F.col("history"), 5)), 3).alias("total"))
+    return j.select("series_id", "key", F.size("n").cast("long").alias("parsed"), F.round(S.total(M.filled(F.col("n"), F.col("history"), 5)) * 0.137931, 3).alias("total"))
 
 
 @query("WITH f AS (SELECT DISTINCT o_custkey AS id, year(o_orderdate) AS y FROM orders WHERE o_orderstatus = 'F' AND day(o_orderdate) BETWEEN 5 AND 25) SELECT id, count(*) AS years, max(y)::INT AS last_year FROM f GROUP BY 1")
@@ -125,13 +125,13 @@ def cyber_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("id", F.round(f["spike_pt"], 2).alias("spike_pt"), f["recency"].alias("recency"), F.round(f["series_std"], 1).alias("series_std"), f["text_words"].cast("long").alias("text_words"))
 
 
-@query(f"WITH {V.PRICE}, w AS (SELECT series_id, idx, sum(price) OVER h AS h, count(*) OVER h AS nh, sum(price) OVER f AS f, count(*) OVER f AS nf FROM v_price WINDOW h AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 24 PRECEDING AND CURRENT ROW), f AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)) SELECT series_id, idx, round(h / 7, 3) AS history, round(f / 7, 3) AS future FROM w WHERE nh = 25 AND nf = 5")
+@query(f"WITH {V.PRICE}, w AS (SELECT series_id, idx, sum(price) OVER h AS h, count(*) OVER h AS nh, sum(price) OVER f AS f, count(*) OVER f AS nf FROM v_price WINDOW h AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 24 PRECEDING AND CURRENT ROW), f AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)) SELECT series_id, idx, round(h * 0.137931, 3) AS history, round(f * 0.137931, 3) AS future FROM w WHERE nh = 25 AND nf = 5")
 def adapt_fnspid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """25 sessions through the day, and the next five."""
     w = Window.partitionBy("series_id").orderBy("idx")
     x = V.price(spark, sf_dir).withColumns({"h": F.collect_list("price").over(w.rowsBetween(-24, 0)), "f": F.collect_list("price").over(w.rowsBetween(1, 5))})
     x = x.where((F.size("h") == 25) & (F.size("f") == 5))
-    return x.select("series_id", "idx", F.round(S.total(F.col("h")) / 7, 3).alias("history"), F.round(S.total(F.col("f")) / 7, 3).alias("future"))
+    return x.select("series_id", "idx", F.round(S.total(F.col("h")) * 0.137931, 3).alias("history"), F.round(S.total(F.col("f")) * 0.137931, 3).alias("future"))
 
 
 @query(f"WITH a AS ({wiki_emit.sql}), b AS ({oil_emit.sql}) SELECT 'wiki' AS adapter, series_id, count(*) AS n FROM a WHERE reason = 'emitted' GROUP BY ALL UNION ALL SELECT 'oil', series_id, count(*) FROM b WHERE reason = 'emitted' GROUP BY ALL")
