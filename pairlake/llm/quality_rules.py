@@ -137,15 +137,14 @@ def _log_det() -> Column:
     return reduce(lambda s, i: s + 2 * F.log(F.col(f"l_{i}_{i}")), range(1, 5), 2 * F.log(F.col("l_0_0")))
 
 
-def _nearest(bins: DataFrame) -> DataFrame:
+def _nearest(bins: DataFrame, n: int) -> DataFrame:
     """The three quarters of each (key, start) with the smallest d2, by whole bins."""
     bins = bins.withColumn("bin", F.floor(16 * F.log2(1 + 16 * F.col("d2"))))
     counts = bins.groupBy("key", "start", "bin").count()
     by = Window.partitionBy("key", "start")
     last = counts.withColumns({"up": F.sum("count").over(by.orderBy("bin")), "total": F.sum("count").over(by)})
     last = last.where(F.col("up") >= SHARE * F.col("total")).groupBy("key", "start").agg(F.min("bin").alias("last"))
-    last = written(last, "quarters")
-    return bins.join(_by_key(last, last.count()), ["key", "start"]).where("bin <= last")
+    return bins.join(_by_key(last, n), ["key", "start"]).where("bin <= last")  # n rows
 
 
 def estimates(rows: DataFrame) -> DataFrame:
@@ -160,11 +159,11 @@ def estimates(rows: DataFrame) -> DataFrame:
     plain = written(_estimated(rows, "key"), "outliers")
     mahalanobis = rows.join(_by_key(_factored(plain), groups), "key").select("key", *NAMES, F.lit(2).alias("start"), _distance().alias("d2"))
     first = near.select("key", *NAMES, F.lit(0).alias("start"), sum(z[1:], z[0]).alias("d2")).union(near.select("key", *NAMES, F.lit(1).alias("start"), F.greatest(*z).alias("d2"))).union(mahalanobis)
-    params = written(_factored(_estimated(_nearest(first).select("key", "start", *NAMES), "key", "start")).withColumn("det", _log_det()), "outliers")
+    params = written(_factored(_estimated(_nearest(first, 3 * groups).select("key", "start", *NAMES), "key", "start")).withColumn("det", _log_det()), "outliers")
     starts = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     for _ in range(STEPS):
         placed = starts.join(_by_key(params, 3 * groups), ["key", "start"]).select("key", "start", *NAMES, _distance().alias("d2"))
-        new = _factored(_estimated(_nearest(placed).select("key", "start", *NAMES), "key", "start")).withColumn("det", _log_det())
+        new = _factored(_estimated(_nearest(placed, 3 * groups).select("key", "start", *NAMES), "key", "start")).withColumn("det", _log_det())
         old = params.select("key", "start", F.col("det").alias("before"))
         new = written(new.join(_by_key(old, 3 * groups), ["key", "start"]), "outliers")
         fell = new.agg(F.max(F.col("before") - F.col("det"))).first()[0]
