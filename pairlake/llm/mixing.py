@@ -68,6 +68,9 @@ def budgets(leaves: Mapping[tuple, int], weights: Weights, total: int, max_epoch
         for c in todo:
             got[c] = min(room[c], budget if c == todo[-1] else int(budget * share[c] / weight))
             budget, weight = budget - got[c], weight - share[c]
+        for c in todo:  # what whole numbers left over
+            more = min(room[c] - got[c], budget)
+            got[c], budget = got[c] + more, budget - more
         return got
 
     def give(node: tuple, budget: int) -> None:
@@ -88,6 +91,7 @@ def budgets(leaves: Mapping[tuple, int], weights: Weights, total: int, max_epoch
 
 def mixed(docs: DataFrame, levels: Mapping[str, Column], tokens: Column, weights: Weights, total: int | float, max_epochs: int = 1, seed: int = 0, unnamed: float = 0) -> DataFrame:
     """doc_id, the levels, epoch (from 0), tokens_taken; total: tokens, or a share of all as a float."""
+    given, levels = list(levels), {f"level_{i}": c for i, c in enumerate(levels.values())}  # whatever they are called
     names = list(levels)
     n = F.coalesce(tokens.cast("long"), F.lit(0).cast("long"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(c.cast("string").alias(k) for k, c in levels.items()), n.alias("n"))
@@ -114,7 +118,7 @@ def mixed(docs: DataFrame, levels: Mapping[str, Column], tokens: Column, weights
     inside = Window.partitionBy(*key, "range").orderBy("h", "doc_id", "n").rowsBetween(Window.unboundedPreceding, 0)
     last = near.where("before + sum > budget").withColumn("before", F.col("before") + F.sum("n").over(inside) - F.col("n"))
     last = last.where("before < budget").select("doc_id", *key, F.least("n", F.col("budget") - F.col("before")).alias("tokens_taken"))
-    return whole.union(last)
+    return whole.union(last).withColumnsRenamed(dict(zip(names, given)))
 
 
 def resampled(docs: DataFrame, levels: Mapping[str, Column], tokens: Column, weights: Weights, total: int | float, max_epochs: int = 1, seed: int = 0, unnamed: float = 0) -> DataFrame:
