@@ -4,7 +4,10 @@ import math
 
 import pytest
 
-from pairlake.queries import ORACLES, QUERIES
+from texts import TEXTS
+
+from pairlake.plans import flagship
+from pairlake.queries import ORACLES, QUERIES, lexical
 
 
 def rows(df):
@@ -19,13 +22,42 @@ def rows(df):
     return sorted((tuple(map(plain, r)) for r in df.itertuples(index=False, name=None)), key=repr)
 
 
+@pytest.fixture(scope="module")
+def written_texts(spark, tmp_path_factory):
+    """A folder whose documents are the hand-written texts, which the invented prose of the tables hardly reaches."""
+    import duckdb
+
+    top = str(tmp_path_factory.mktemp("texts"))
+    odd = [(100, "Élan Vital and ÉCHPA met the FED in São Paulo.", ""), (101, "net sales rose 5 percent, driven by demand for oil as prices surged to $90.", "")]
+    rows = [(i, t, "en", f"src{i % 3}", len(t)) for i, t, _ in [*TEXTS, *odd]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{top}/documents.parquet")
+    spark.createDataFrame([(1, "cached")], "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{top}/{t}.parquet/*.parquet'")
+    return top, c
+
+
+GATES = sorted((set(lexical.ORACLES) - {"collect_entities", "direction_filter"}) | {"rich_leak", "year_value_errors", "lead_relevance", "mda_drivers", "summarize", "scenario_fact"})
+
+
+@pytest.mark.parametrize("name", GATES)
+def test_gates_on_written_texts(spark, written_texts, name):
+    top, c = written_texts
+    got, want = QUERIES[name](spark, top).toPandas(), c.execute(ORACLES[name]).df()
+    assert rows(got) == rows(want)
+
+
+def test_flagship_like_sql(spark, duck, sf):
+    assert rows(flagship.pairs(spark, sf).toPandas()) == rows(duck.execute(flagship.sql()).df())
+
+
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_as_sql(spark, duck, sf, name):
     got, want = QUERIES[name](spark, sf).toPandas(), duck.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() > 0
