@@ -189,8 +189,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE)
     met = groups.join(products, "pivot").join(blocks, "b_pivot").where("size = b_size").where(~(top + F.abs(top) * 1e-6 + 1e-3 < F.col("least")))  # vectors that no pivot has the length of are at no distance: met
     own = (F.col("pivot") == F.col("b_pivot")) & (F.col("b_k") == home)
     met = met.where(~own).select(block.alias("g"), F.struct(F.col("b_size").alias("size"), F.col("b_pivot").alias("pivot"), F.col("b_k").alias("k")).alias("block"))
-    met = written(met, "met")
-    rest = _searched(_sent(data, met), asked.withColumn("g", block).join(met, "g").select("g", "block", "vec_id", "v", "least"), k)
+    # balls share groups of about GROUP queries, so that a block is sent few times; a ball isn't sent to its home again
+    many = max(1, -(-placed.where("q").count() // GROUP))
+    shared = lambda size, pivot, number: F.struct(size.alias("size"), F.floor(pivot * many / few).cast("int").alias("pivot"), number.alias("k"))
+    met = written(met.select(shared(F.col("g.size"), F.col("g.pivot"), F.col("g.k")).alias("g"), "block").distinct(), "met")
+    sent = asked.withColumn("own", F.struct("size", "pivot", home.alias("k"))).withColumn("g", shared(F.col("size"), F.col("pivot"), F.col("k")))
+    rest = _searched(_sent(data, met), sent.join(met, "g").where(F.col("block") != F.col("own")).select("g", "block", "vec_id", "v", "least"), k)
     return _ranked(first.union(rest), k)
 
 
