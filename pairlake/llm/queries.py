@@ -101,6 +101,12 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op11_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fixed_blocks import removed
+
+    return removed(table(spark, sf_dir, "documents"), length=13)
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spelling import EVERY, variants
 
@@ -131,6 +137,6 @@ QUALIFY rank <= 10
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_urls, op2_packing, op3_quality, op4_substrings, op5_wordpiece, op6_mixing, op7_topk, op8_html, op9_rules, op10_jaccard, op12_spelling, op13_negatives)}
+QUERIES = {f.__name__: f for f in (op1_urls, op2_packing, op3_quality, op4_substrings, op5_wordpiece, op6_mixing, op7_topk, op8_html, op9_rules, op10_jaccard, op11_passages, op12_spelling, op13_negatives)}
 
 ORACLES: dict[str, str] = {"op7_topk": OP7_SQL, "op13_negatives": OP13_SQL}
