@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import medians, numbered
+
 
 def series_group(series_id: Column, dataset: Column) -> Column:
     """The dataset and the id before its date."""
@@ -22,25 +24,45 @@ def time_split(items: DataFrame, cutoff: Column, purge: bool = False) -> DataFra
 
 def chronological(items: DataFrame, key: str, order: str, share: float) -> DataFrame:
     """By key, the first floor(n share) rows in order train, the rest test."""
-    w = Window.partitionBy(key)
-    at, n = F.row_number().over(w.orderBy(order)), F.count("*").over(w)
-    placed = items.withColumns({"chrono_at": at, "chrono_n": n})
-    return placed.withColumn("split", F.when(F.col("chrono_at") <= F.floor(F.col("chrono_n") * share), "train").otherwise("test")).drop("chrono_at", "chrono_n")
-
+    placed = numbered(items, [key], [order], "chrono_at", "chrono_n")
+    return placed.withColumn("split", F.when(F.col("chrono_at") < F.floor(F.col("chrono_n") * share), "train").otherwise("test")).drop("chrono_at", "chrono_n")
+
+
+def _partners(items: DataFrame, strata: str, key: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(strata, key, digest, pos, n), (strata, n, largest class of equal texts, shift) of strata of two items or more."""
+    lot = lambda c: F.md5(F.concat_ws(":", F.lit(str(seed)), c))
+    slim = items.select(strata, key, lot(F.coalesce("text", F.lit(""))).alias("digest"), lot(F.col(key).cast("string")).alias("lot"))
+    placed = numbered(slim, [strata], ["digest", "lot", key], "pos", "n").where("n >= 2")
+    classes = placed.groupBy(strata, "digest", "n").agg(F.count("*").alias("c")).groupBy(F.col(strata).alias("stratum"), F.col("n").alias("items")).agg(F.max("c").alias("largest"))
+    n, m = F.col("items"), F.col("largest")
+    free = m + (F.lit(seed * 7919) + n * 104729) % 2147483647 % (n - 2 * m + 1)
+    return placed, classes.withColumn("shift", F.when(2 * m <= n, free).when(m < n, m).otherwise(1))
+
+
+def arms(items: DataFrame, strata: str, key: str, seed: int = 7) -> DataFrame:
+    """Three rows for each item: no text, its text, another item's of its stratum; collides: the other's text is equal.
+
+    A stratum's items stand in order of a seeded digest of their texts, so equal texts are neighbours, and take the
+    text some places on (cyclic, so texts of a stratum stay the same). The shift is at least the size of the
+    largest class of equal texts and at most what is left beside it, by the seed within that: then
+    nobody gets an equal text. Where a text has over half of its stratum, as few as can be do (twice the class less the
+    stratum). Items alone in their stratum have nobody to swap with and are left out. key tells items apart; null
+    texts are empty. Texts move once, by the key of who takes them.
+    """
+    placed, shifts = _partners(items, strata, key, seed)
+    shifted = placed.join(shifts, F.col(strata).eqNullSafe(F.col("stratum")))
+    takers = shifted.select(F.col("stratum").alias("s_"), F.col(key).alias("taker_"), F.col("digest").alias("own_"), ((F.col("pos") + F.col("shift")) % F.col("n")).alias("p_"))
+    pairs = takers.join(placed, F.col("s_").eqNullSafe(F.col(strata)) & (F.col("p_") == F.col("pos"))).select("taker_", F.col(key).alias("giver_"), (F.col("own_") == F.col("digest")).alias("same_"))
+    texts = items.select(F.col(key).alias("from_"), F.coalesce("text", F.lit("")).alias("other_"))
+    rows = items.join(pairs, F.col(key) == F.col("taker_")).join(texts, F.col("giver_") == F.col("from_"))
+    each = F.array(*(F.struct(F.lit(a).alias("arm"), t.alias("arm_text"), c.alias("collides")) for a, t, c in (("A_no_text", F.lit(""), F.lit(False)), ("B_flywheel_text", F.coalesce("text", F.lit("")), F.lit(False)), ("C_shuffled_text", F.col("other_"), F.col("same_")))))
+    return rows.withColumn("a_", F.explode(each)).select(*items.columns, "a_.*")
 
-def arms(items: DataFrame, strata: str, key: str, order: Column | None = None) -> DataFrame:
-    """Three rows for each item: no text, its text, another's of its stratum.
 
-    The third is a cyclic shift in a seeded order: nobody keeps a text, and the texts of a stratum stay
-    the same. Items alone in their stratum have nobody to swap with and are left out.
-    """
-    w = Window.partitionBy(strata).orderBy(order if order is not None else F.xxhash64(F.lit(7), key), key)
-    whole = Window.partitionBy(strata)
-    rows = items.withColumn("n", F.count("*").over(whole)).where("n >= 2")
-    shifted = F.coalesce(F.lead("text").over(w), F.first("text").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    rows = rows.withColumn("other", shifted)
-    each = F.array(*(F.struct(F.lit(a).alias("arm"), t.alias("arm_text")) for a, t in (("A_no_text", F.lit("")), ("B_flywheel_text", F.col("text")), ("C_shuffled_text", F.col("other")))))
-    return rows.withColumn("a", F.explode(each)).select(*items.columns, "a.arm", "a.arm_text")
+def arms_report(items: DataFrame, strata: str, key: str, seed: int = 7) -> DataFrame:
+    """Of each stratum: items, largest class of equal texts, shift, and rows whose other text is equal to their own."""
+    _, shifts = _partners(items, strata, key, seed)
+    return shifts.select(F.col("stratum").alias(strata), "items", "largest", "shift", F.greatest(2 * F.col("largest") - F.col("items"), F.lit(0)).alias("collisions"))
 
 
 def spearman(rows: DataFrame, x: str, y: str, tie: str, *keys: str) -> DataFrame:
@@ -52,13 +74,16 @@ def spearman(rows: DataFrame, x: str, y: str, tie: str, *keys: str) -> DataFrame
 
 
 def complementarity(errors: DataFrame) -> DataFrame:
-    """One row: median gain of the hardest and the easiest quarter by err_a, and of content over shuffled text."""
-    n = errors.count()
-    q = max(1, n // 4)
-    hard = errors.orderBy(F.desc("err_a"), "series_id").limit(q).agg(F.median(F.col("err_a") - F.col("err_b")).alias("hard"))
-    easy = errors.orderBy("err_a", "series_id").limit(q).agg(F.median(F.col("err_a") - F.col("err_b")).alias("easy"))
-    content = errors.agg(F.median(F.col("err_c") - F.col("err_b")).alias("content"), F.count("*").alias("n"))
-    out = content.join(F.broadcast(hard)).join(F.broadcast(easy))  # one row each
+    """One row: median gain of the hardest and the easiest quarter by err_a, and of content over shuffled text.
+
+    Quarters go by position and medians by the middle positions, so no task has a quarter.
+    """
+    slim = errors.select("series_id", "err_a", "err_b", "err_c")
+    hard = numbered(numbered(slim, [], [F.desc("err_a"), "series_id"], "d_", "n_"), [], ["err_a", "series_id"], "u_", "n2_")
+    q = F.greatest(F.lit(1), F.floor(F.col("n_") / 4))
+    gain = F.col("err_a") - F.col("err_b")
+    values = {"hard": F.when(F.col("d_") < q, gain), "easy": F.when(F.col("u_") < q, gain), "content": F.col("err_c") - F.col("err_b")}
+    out = medians(hard, [], values, "series_id").join(F.broadcast(slim.agg(F.count("*").alias("n"))))  # one row each
     verdict = F.when(F.col("content") > 0.001, "content").when(F.col("content") < -0.05, "harm").otherwise("channel")
     return out.select("n", "hard", "easy", "content", verdict.alias("verdict"))
 

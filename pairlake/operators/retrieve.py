@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from .order import numbered
 
+
+#: Parts of a key that first values are taken of at once.
+PARTS = 64
 #: Days of one range of an as-of join.
 RANGE_DAYS = 32
 
@@ -48,6 +52,17 @@ def interval_matches(events: DataFrame, articles: DataFrame, days: int) -> DataF
     return buckets.join(articles, buckets["at"] == articles["day"]).drop("at")
 
 
+def first_of(rows: DataFrame, keys: Sequence[str], order: str, k: int) -> DataFrame:
+    """keys, first: the k smallest values of order by keys, in order.
+
+    A bounded partial aggregate: each of many parts of a key keeps its own k, by window, and those are merged.
+    """
+    parts = F.pmod(F.xxhash64(order), F.lit(PARTS)).alias("part_")
+    some = rows.select(*keys, order, parts)
+    own = some.withColumn("r_", F.row_number().over(Window.partitionBy(*keys, "part_").orderBy(order))).where(F.col("r_") <= k)
+    return own.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("first"))  # k * PARTS at most
+
+
 def normal_title(title: Column) -> Column:
     """Lower case without non-word characters."""
     return F.lower(F.regexp_replace(title, r"(?U)\W+", ""))
@@ -66,14 +81,13 @@ def top_matches(matches: DataFrame, k: int) -> DataFrame:
 
 
 def even_spread(rows: DataFrame, key: Sequence[str], order: Sequence[str], cap: int) -> DataFrame:
-    """Of each key the rows at floor(i n / cap) for i < cap; all with n <= cap or no cap."""
-    w = Window.partitionBy(*key)
-    placed = rows.withColumns({"pos": F.row_number().over(w.orderBy(*order)) - 1, "n": F.count("*").over(w)})
+    """Of each key the rows at floor(i n / cap) for i < cap; all with n <= cap or no cap. Rows move: give it what is needed."""
+    placed = numbered(rows, key, order, "pos", "spread_n")
     if cap <= 0:
-        return placed.drop("n")
-    r, n = F.col("pos").cast("long"), F.col("n")
+        return placed.drop("spread_n")
+    r, n = F.col("pos").cast("long"), F.col("spread_n")
     i = F.floor((r * cap + n - 1) / n).cast("long")  # the first i with i n / cap >= pos
-    return placed.where((n <= cap) | ((i < cap) & (F.floor(i * n / cap) == r))).drop("n")
+    return placed.where((n <= cap) | ((i < cap) & (F.floor(i * n / cap) == r))).drop("spread_n")
 
 
 def relevance(headline: Column, terms: Sequence[str]) -> Column:
@@ -83,10 +97,10 @@ def relevance(headline: Column, terms: Sequence[str]) -> Column:
 
 
 def ranked(rows: DataFrame, key: Sequence[str], terms: Sequence[str], least: int) -> DataFrame:
-    """rows with score, rank (stable, best first) and kept; none is lost."""
+    """rows without their titles, with score, rank (stable, best first) and kept; none is lost."""
     scored = rows.withColumn("score", relevance(F.col("title"), terms))
-    w = Window.partitionBy(*key).orderBy(F.col("score").desc(), "article_id")
-    return scored.withColumns({"rank": F.row_number().over(w), "kept": F.col("score") >= least})
+    placed = numbered(scored.drop("title"), key, [F.col("score").desc(), "article_id"], "at_", "n_")
+    return placed.withColumns({"rank": (F.col("at_") + 1).cast("int"), "kept": F.col("score") >= least}).drop("at_", "n_")
 
 
 def short_hash(parts: Column, n: int) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import series as S
 from ..operators import evaluate as E
+from ..operators.order import medians
 from ..plans import views as V
 from .common import Registry, r6
 
@@ -62,23 +63,33 @@ def partition_shuffleable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).select("series_id", (F.count("*").over(w) >= 2).alias("shuffleable"))
 
 
-ARMS = f"""{ITEM}, s AS (SELECT *, count(*) OVER (PARTITION BY dataset) AS n, coalesce(lead(text) OVER w, first(text) OVER (PARTITION BY dataset ORDER BY series_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS other FROM v_g WINDOW w AS (PARTITION BY dataset ORDER BY series_id)),
-a AS (SELECT series_id, dataset, history, future, 'A_no_text' AS arm, '' AS arm_text FROM s WHERE n >= 2 UNION ALL SELECT series_id, dataset, history, future, 'B_flywheel_text', text FROM s WHERE n >= 2 UNION ALL SELECT series_id, dataset, history, future, 'C_shuffled_text', other FROM s WHERE n >= 2)"""
+#: Equal texts are neighbours in the order of their digests; the shift parts them.
+ARMS = f"""{ITEM}, d AS (SELECT *, md5('7:' || text) AS digest, md5('7:' || series_id) AS lot FROM v_g),
+o AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY digest, lot, series_id) - 1 AS pos, count(*) OVER (PARTITION BY dataset) AS n, count(*) OVER (PARTITION BY dataset, digest) AS c FROM d),
+l AS (SELECT dataset AS ds, max(n) AS items, max(c) AS m FROM o WHERE n >= 2 GROUP BY 1),
+h AS (SELECT *, CASE WHEN 2 * m <= items THEN m + (7 * 7919 + items * 104729) % 2147483647 % (items - 2 * m + 1) WHEN m < items THEN m ELSE 1 END AS shift FROM l),
+s AS (SELECT o.*, x.text AS other, x.digest = o.digest AS same FROM o JOIN h ON o.dataset = ds JOIN o x ON x.dataset = ds AND x.pos = (o.pos + shift) % items),
+a AS (SELECT series_id, dataset, history, future, 'A_no_text' AS arm, '' AS arm_text, false AS collides FROM s UNION ALL SELECT series_id, dataset, history, future, 'B_flywheel_text', text, false FROM s UNION ALL SELECT series_id, dataset, history, future, 'C_shuffled_text', other, same FROM s)"""
 
 
 def armed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.arms(items(spark, sf_dir), "dataset", "series_id", F.col("series_id"))
+    return E.arms(items(spark, sf_dir), "dataset", "series_id")
 
 
-@query(f"{ARMS} SELECT series_id, arm, arm_text FROM a")
+@query(f"{ARMS} SELECT series_id, arm, arm_text, collides FROM a")
 def make_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return armed(spark, sf_dir).select("series_id", "arm", "arm_text")
+    return armed(spark, sf_dir).select("series_id", "arm", "arm_text", "collides")
 
 
-@query(f"{ARMS}, p AS (SELECT arm, series_id, CASE WHEN series_id < 'F' THEN 'train' ELSE 'test' END AS part, dataset FROM a) SELECT arm, part, count(*) AS n, count(DISTINCT dataset) AS datasets FROM p GROUP BY ALL")
+@query(f"{ARMS} SELECT dataset, items, m AS largest, shift, greatest(2 * m - items, 0) AS collisions FROM h JOIN (SELECT dataset FROM s GROUP BY 1) ON ds = dataset")
+def arm_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.arms_report(items(spark, sf_dir), "dataset", "series_id")
+
+
+@query(f"{ARMS}, p AS (SELECT arm, series_id, CASE WHEN series_id < 'F' THEN 'train' ELSE 'test' END AS part, dataset, collides FROM a) SELECT arm, part, count(*) AS n, count(DISTINCT dataset) AS datasets, count(*) FILTER (WHERE collides) AS collisions FROM p GROUP BY ALL")
 def export_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.when(F.col("series_id") < "F", "train").otherwise("test")
-    return armed(spark, sf_dir).groupBy("arm", part.alias("part")).agg(F.count("*").alias("n"), F.countDistinct("dataset").alias("datasets"))
+    return armed(spark, sf_dir).groupBy("arm", part.alias("part")).agg(F.count("*").alias("n"), F.countDistinct("dataset").alias("datasets"), F.count_if("collides").alias("collisions"))
 
 
 @query(f"{ITEM} SELECT series_id, round(history[10] * 5, 4) AS total FROM v_g")
@@ -117,7 +128,8 @@ def mase_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{TREND} SELECT dataset, round(median({LV} / step), 6) AS last, round(median({LT} / step), 6) AS trend FROM m GROUP BY 1")
 def eval_arm_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mase(items(spark, sf_dir)).groupBy("dataset").agg(r6(F.median("last")).alias("last"), r6(F.median("trend")).alias("trend"))
+    m = medians(_mase(items(spark, sf_dir)), ["dataset"], {"last": F.col("last"), "trend": F.col("trend")}, "series_id")
+    return m.select("dataset", r6("last").alias("last"), r6("trend").alias("trend"))
 
 
 @query(f"{TREND}, x AS (SELECT dataset, {LV} / step AS last, {LT} / step AS trend, kt IS NULL OR kt >= origin AS leak FROM m) SELECT dataset, count(*) AS n, count(*) FILTER (WHERE last < trend) AS last_wins FROM x WHERE NOT leak GROUP BY 1")
@@ -184,7 +196,8 @@ def spearman_noties(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{ERR}, u AS (SELECT domain, series_id, err_a - err_b AS u FROM v_err) SELECT domain, round(median(u), 6) AS median, round(avg(u), 6) AS mean, round(avg((u > 0)::INT) * 100, 4) AS helped, max_by(series_id, struct_pack(a := u, b := series_id)) AS best FROM u GROUP BY 1")
 def usefulness_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = errors(spark, sf_dir).select("domain", "series_id", (F.col("err_a") - F.col("err_b")).alias("u"))
-    return u.groupBy("domain").agg(r6(F.median("u")).alias("median"), r6(F.avg("u")).alias("mean"), F.round(F.avg((F.col("u") > 0).cast("int")) * 100, 4).alias("helped"), F.max_by("series_id", F.struct("u", "series_id")).alias("best"))
+    rest = u.groupBy("domain").agg(r6(F.avg("u")).alias("mean"), F.round(F.avg((F.col("u") > 0).cast("int")) * 100, 4).alias("helped"), F.max_by("series_id", F.struct("u", "series_id")).alias("best"))
+    return rest.join(medians(u, ["domain"], {"median": F.col("u")}, "series_id"), "domain").withColumn("median", r6("median"))
 
 
 @query(f"""{ERR}, n AS (SELECT greatest(1, count(*) // 4) AS q, count(*) AS n FROM v_err), r AS (SELECT *, row_number() OVER (ORDER BY err_a DESC, series_id) AS d, row_number() OVER (ORDER BY err_a, series_id) AS u FROM v_err)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.order import tree_digest, tree_sql
 from ..plans import views as V
 from ..sources import files as X
 from .common import Registry
@@ -160,12 +161,14 @@ def epss_window_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("id", "added", "n", F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
 
 
-@query("SELECT count(*) AS n, substr(md5(string_agg(p_name || '_' || p_partkey, ',' ORDER BY p_name || '_' || p_partkey)), 1, 8) AS scope FROM part WHERE p_size >= 10")
+SCOPE = "WITH rows AS (SELECT 0 AS scope, p_name || '_' || p_partkey AS id FROM part WHERE p_size >= 10), " + tree_sql("rows", "scope", "id", "id", 64)
+
+
+@query(f"{SCOPE} SELECT n, substr(line, 1, 8) AS scope FROM tree_3")
 def kev_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets from a least date on (here a size), and a digest of which they are."""
+    """Targets from a least date on (here a size), and a digest of which they are: a tree over the sorted ids."""
     ids = V.table(spark, sf_dir, "part").where("p_size >= 10").select(F.concat_ws("_", "p_name", F.col("p_partkey").cast("string")).alias("id"))
-    # the digest goes over the sorted ids, a list that a catalogue of targets bounds
-    return ids.agg(F.count("*").alias("n"), F.substring(F.md5(F.array_join(F.array_sort(F.collect_list("id")), ",")), 1, 8).alias("scope"))
+    return tree_digest(ids, [], ["id"], F.col("id"), 64).select("n", F.substring("digest", 1, 8).alias("scope"))
 
 
 def _files(spark: SparkSession, sf_dir: str) -> str:

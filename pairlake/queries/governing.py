@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexical as L
 from ..operators import governance as G
+from ..operators.order import tree_digest, tree_sql
 from ..plans import views as V
 from .common import Registry
 
@@ -44,10 +45,15 @@ def build_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governed(spark, sf_dir).groupBy("source_id", outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@query("WITH h AS (SELECT source, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1) SELECT sha256(string_agg(digest, chr(10) ORDER BY source)) AS catalog, count(*) AS artifacts FROM h")
+CATALOG = "WITH rows AS (SELECT source, doc_id, doc_id || ' ' || md5(coalesce(text, '')) AS entry FROM documents), " + tree_sql("rows", "source", "doc_id, entry", "entry", 64)
+
+
+@query(f"{CATALOG} SELECT sha256(string_agg(line, chr(10) ORDER BY source)) AS catalog, count(*) AS artifacts, sum(n)::BIGINT AS records FROM tree_3")
 def release_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
-    return G.catalog_hash(V.table(spark, sf_dir, "documents").groupBy("source").agg(F.sha2(ids, 256).alias("digest")), "source", "digest")
+    """An artifact is a source; its digest is a tree over its records in order, so no task has a source's records."""
+    rows = V.table(spark, sf_dir, "documents").select("source", "doc_id", F.concat_ws(" ", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))).alias("entry"))
+    artifacts = tree_digest(rows, ["source"], ["doc_id", "entry"], F.col("entry"), 64)
+    return G.catalog_hash(artifacts, "source", "digest").join(F.broadcast(artifacts.agg(F.sum("n").alias("records"))))  # one row each
 
 
 @query("SELECT count(*) FILTER (WHERE trim(props) <> '') AS lines, count(*) FILTER (WHERE NOT json_valid(props)) AS invalid FROM events")

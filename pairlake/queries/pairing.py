@@ -13,7 +13,6 @@ from .common import Registry, r6
 
 query = Registry()
 ITEM = f"WITH {V.ITEM}"
-STD = "sqrt(list_aggregate(list_transform(history, lambda x: pow(x - list_avg(history), 2)), 'avg'))"
 NORM = ITEM + """, v_dev AS (SELECT *, list_avg(history) AS m FROM v_item), v_sd AS (SELECT *, sqrt(list_avg(list_transform(history, lambda x: pow(x - m, 2)))) AS sd FROM v_dev),
 v_norm AS (SELECT *, greatest(sd, 1e-3 * greatest(abs(m), 1)) AS std FROM v_sd)"""
 
@@ -267,8 +266,7 @@ def emit_ir(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT source, count(*) AS n FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE len(text) > 20) WHERE r <= 400 GROUP BY 1")
 def source_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = V.table(spark, sf_dir, "documents").where(F.length("text") > 20)
-    r = d.select("source", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("r"))
-    return r.where("r <= 400").groupBy("source").agg(F.count("*").alias("n"))
+    return R.first_of(d, ["source"], "doc_id", 400).select("source", F.size("first").cast("long").alias("n"))
 
 
 QUERIES, ORACLES = query.queries, query.oracles

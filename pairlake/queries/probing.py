@@ -52,13 +52,10 @@ def finetune_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("domain").agg(F.count("*").alias("n"), *(r6(F.median(k)).alias(k) for k in "abc"), F.count_if((F.col("b") < F.col("a")) & (F.col("b") < F.col("c"))).alias("wins"), F.max("seeds").alias("seeds"))
 
 
-ANON = Q.ORACLES["anonymize"].removeprefix("WITH ")
-
-
-@query(f"{Z.ITEM}, w AS (SELECT series_id, dataset, text, kt, count(*) OVER (PARTITION BY dataset) AS n, coalesce(lead(text) OVER (PARTITION BY dataset ORDER BY series_id), first(text) OVER (PARTITION BY dataset ORDER BY series_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS other FROM v_g) SELECT series_id, md5('') AS a_md5, md5(text) AS b_md5, md5(other) AS c_md5 FROM w WHERE n >= 2")
+@query(f"{Z.ARMS} SELECT series_id, md5('') AS a_md5, md5(text) AS b_md5, md5(other) AS c_md5 FROM s")
 def export_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three arms of an item in one row."""
-    x = E.arms(Z.items(spark, sf_dir), "dataset", "series_id", F.col("series_id"))
+    x = Z.armed(spark, sf_dir)
     of = lambda arm: F.md5(F.max(F.when(F.col("arm") == arm, F.col("arm_text"))))
     return x.groupBy("series_id").agg(of("A_no_text").alias("a_md5"), of("B_flywheel_text").alias("b_md5"), of("C_shuffled_text").alias("c_md5"))
 

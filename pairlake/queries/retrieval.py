@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import detect as D
@@ -65,16 +65,14 @@ r AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY day, article_id)
 
 @query(f"{SPREAD} SELECT month, article_id, pos::INT AS pos FROM r WHERE n <= 3 OR pos IN (SELECT i * r.n // 3 FROM range(3) t(i))")
 def even_spread_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    a = V.article(spark, sf_dir).withColumn("month", F.trunc("day", "month"))
-    one = a.withColumn("f", F.row_number().over(Window.partitionBy("month", F.lower("title")).orderBy("article_id"))).where("f = 1")
-    return R.even_spread(one, ["month"], ["day", "article_id"], 3).select("month", "article_id", "pos")
+    a = V.article(spark, sf_dir).select("article_id", "day", F.trunc("day", "month").alias("month"), F.md5(F.lower("title")).alias("name"))
+    one = a.groupBy("month", "name").agg(F.min(F.struct("article_id", "day")).alias("m")).select("month", "m.*")
+    return R.even_spread(one, ["month"], ["day", "article_id"], 3).select("month", "article_id", F.col("pos").cast("int").alias("pos"))
 
 
 @query(f"WITH {V.ARTICLE}, r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY article_id) - 1 AS pos, count(*) OVER (PARTITION BY domain) AS n FROM v_article) SELECT domain, article_id FROM r WHERE n <= 7 OR pos IN (SELECT i * r.n // 7 FROM range(7) t(i))")
 def even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.even_spread(V.article(spark, sf_dir), ["domain"], ["article_id"], 7).select("domain", "article_id")
+    return R.even_spread(V.article(spark, sf_dir).select("domain", "article_id"), ["domain"], ["article_id"], 7).select("domain", "article_id")
 
 
 REPORT = f"{EVENTS}, v_rep AS (SELECT day, max(article_id) AS article_id FROM v_article GROUP BY day)"
@@ -124,26 +122,25 @@ def rank_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{RANKED} SELECT domain, t AS least, count(*) FILTER (WHERE score >= t) AS kept, count(*) FILTER (WHERE score < t) AS noise, bool_and(coalesce(prev >= score, true)) AS ordered FROM (SELECT *, lag(score) OVER (PARTITION BY domain ORDER BY rank) AS prev FROM r) CROSS JOIN (VALUES (1), (2), (3)) x(t) GROUP BY ALL")
 def retrieval_tradeoff_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    r = R.ranked(V.article(spark, sf_dir), ["domain"], TERMS, 3).withColumn("prev", F.lag("score").over(Window.partitionBy("domain").orderBy("rank")))
-    each = r.withColumn("least", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-    return each.groupBy("domain", "least").agg(F.count_if(F.col("score") >= F.col("least")).alias("kept"), F.count_if(F.col("score") < F.col("least")).alias("noise"), F.bool_and(F.coalesce(F.col("prev") >= F.col("score"), F.lit(True))).alias("ordered"))
+    """Kept and lost by threshold, and whether ranks follow scores: ranges of ranks of a score don't overlap those of a better one."""
+    r = R.ranked(V.article(spark, sf_dir), ["domain"], TERMS, 3)
+    by = r.groupBy("domain", "score").agg(F.count("*").alias("n"), F.min("rank").alias("lo"), F.max("rank").alias("hi"))  # a row for each score: few
+    better = F.max("hi").over(Window.partitionBy("domain").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1))
+    by = by.withColumn("fine", F.coalesce(better < F.col("lo"), F.lit(True)))
+    each = by.withColumn("least", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    n = lambda good: F.coalesce(F.sum(F.when(good, F.col("n"))), F.lit(0))
+    return each.groupBy("domain", "least").agg(n(F.col("score") >= F.col("least")).alias("kept"), n(F.col("score") < F.col("least")).alias("noise"), F.bool_and("fine").alias("ordered"))
 
 
 @query(f"WITH {V.ARTICLE}, h AS (SELECT domain, list(title ORDER BY article_id)[1:6] AS h FROM v_article GROUP BY 1) SELECT domain, substr(sha1(array_to_string(h, chr(10))), 1, 12) AS key FROM h")
 def headlines_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = V.article(spark, sf_dir).select("domain", F.row_number().over(_by_id()).alias("r"), "title").where("r <= 6")
+    first = R.first_of(V.article(spark, sf_dir), ["domain"], "article_id", 6).select("domain", F.posexplode("first").alias("r", "of"))
+    texts = V.article(spark, sf_dir).select("article_id", "title")
+    a = first.join(texts, F.col("of") == F.col("article_id"))  # six titles of each domain
     h = a.groupBy("domain").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "title"))), lambda x: x["title"]).alias("h"))
     return h.select("domain", R.short_hash(F.col("h"), 12).alias("key"))
 
 
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("domain").orderBy("article_id")
-
-
 VERDICTS = "v_verdict(domain, answer) AS (VALUES ('src0', '1: yes 2. no 3) yes'), ('src1', '1. NO'), ('src2', 'nothing'))"
 
 

@@ -1,7 +1,9 @@
 """Invariants and small cases of the operators, sources, and streams."""
 
 import datetime as dt
+import hashlib
 import json
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pairlake.operators import detect as D
 from pairlake.operators import emit as M
 from pairlake.operators import evaluate as E
 from pairlake.operators import governance as G
+from pairlake.operators import order as O
 from pairlake.operators import pairs as P
 from pairlake.operators import probe
 from pairlake.operators import retrieve as R
@@ -27,6 +30,84 @@ def test_arms_are_a_derangement(spark, n):
     assert len(own) == n and (own != other[own.index]).all() and sorted(own) == sorted(other)
 
 
+@pytest.mark.parametrize("sizes", ([1, 1, 1, 1], [5, 3, 2], [6, 4, 2, 1], [7, 1, 1, 1], [4], [40, 30, 29, 1]))
+def test_arms_part_equal_texts(spark, sizes):
+    """Nobody gets an equal text, or as few as can be; texts of a stratum stay the same, also beside another stratum and with null texts."""
+    texts = [f"t{i}" if i else None for i, n in enumerate(sizes) for _ in range(n)]
+    rows = [(f"s{i * 37 % 1009}", "x", t) for i, t in enumerate(texts)] + [("y1", "y", "t0"), ("y2", "y", "t1"), ("z", "z", "t")]
+    items = spark.createDataFrame(rows, "series_id string, ds string, text string").repartition(3)
+    got = E.arms(items, "ds", "series_id").toPandas()
+    least = max(0, 2 * max(sizes) - len(texts))
+    for ds, want in (("x", least), ("y", 0)):
+        arm = {a: got[(got.arm == a) & (got.ds == ds)].set_index("series_id") for a in got.arm.unique()}
+        own, other = arm["B_flywheel_text"].arm_text, arm["C_shuffled_text"].arm_text
+        assert (own == other[own.index]).sum() == arm["C_shuffled_text"].collides.sum() == want and sorted(own) == sorted(other)
+    assert {(r.ds, r["items"], r.largest, r.collisions) for r in E.arms_report(items, "ds", "series_id").collect()} == {("x", len(texts), max(sizes), least), ("y", 2, 1, 0)}
+    assert E.arms(items.limit(0), "ds", "series_id").count() == 0
+
+
+def test_arms_follow_their_seed(spark):
+    items = spark.createDataFrame([(f"s{i}", "x", f"t{i % 30}") for i in range(90)], "series_id string, ds string, text string")
+    c = lambda seed: sorted((r.series_id, r.arm_text) for r in E.arms(items, "ds", "series_id", seed).where("arm = 'C_shuffled_text'").collect())
+    assert c(1) == c(1) != c(2)
+
+
+@pytest.fixture
+def many_ranges(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def hot(n=4000):
+    """A key with nine rows of ten, some keys of a few rows, a null key."""
+    return [("hot" if i % 10 else None if i % 50 == 0 else f"k{i % 7}", (i * 7919) % 101 / 4, i) for i in range(n)]
+
+
+def test_positions_of_a_hot_key(spark, many_ranges):
+    """Positions by key and order; the hot key is dealt over many ranges."""
+    rows = hot()
+    df = spark.createDataFrame(rows, "k string, v double, id long")
+    got = {r.id: (r.pos, r.n) for r in O.numbered(df, ["k"], [F.desc("v"), "id"]).collect()}
+    for k in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: (-r[1], r[2]))
+        assert [got[r[2]] for r in own] == [(i, len(own)) for i in range(len(own))]
+    parts = df.repartitionByRange(16, "k", F.desc("v"), "id").where("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) >= 12 and max(r["count"] for r in parts) < 800
+    whole = {r.id: r.pos for r in O.numbered(df, [], ["id"]).collect()}
+    assert whole == {i: i for i in range(len(rows))} and O.numbered(df.limit(0), ["k"], ["id"]).count() == 0
+
+
+def test_medians_of_a_hot_key(spark, many_ranges):
+    rows = [(*r, None if r[2] % 3 else r[1] * r[1]) for r in hot()] + [("none", None, -1, None)]
+    df = spark.createDataFrame(rows, "k string, v double, id long, w double")
+    got = {r.k: (r.a, r.b) for r in O.medians(df, ["k"], {"a": F.col("v"), "b": F.col("w")}, "id").collect()}
+    of = lambda k, i: [r[i] for r in rows if r[0] == k and r[i] is not None]
+    assert got == {k: tuple(statistics.median(of(k, i)) for i in (1, 3)) for k in {r[0] for r in rows} - {"none"}}
+
+
+def test_tree_digest_of_a_hot_key(spark, many_ranges):
+    """Like the tree made in order, whatever the partitions; another line gives another digest; no list is longer than the fanout."""
+    rows = [(k, i) for k, _, i in hot(700)]
+    df = spark.createDataFrame(rows, "k string, id long").repartition(5)
+    got = {r.k: (r.n, r.digest) for r in O.tree_digest(df, ["k"], ["id"], F.col("id").cast("string"), fanout=10).collect()}
+    for k in {r[0] for r in rows}:
+        lines = [str(i) for i in sorted(i for x, i in rows if x == k)]
+        n = len(lines)
+        for level in range(3):
+            step = 10 if level < 2 else len(lines)
+            lines = [hashlib.sha256(("\n".join(lines[at : at + step]) + "\n").encode()).hexdigest() for at in range(0, len(lines), step)]
+        assert got[k] == (n, lines[0])
+    assert O.tree_digest(df.where("id <> 5"), ["k"], ["id"], F.col("id").cast("string"), fanout=10).where("k = 'hot'").first().digest != got["hot"][1]
+
+
+def test_first_values_of_a_hot_key(spark):
+    rows = hot()
+    got = {r.k: r["first"] for r in R.first_of(spark.createDataFrame(rows, "k string, v double, id long"), ["k"], "id", 5).collect()}
+    assert got == {k: sorted(r[2] for r in rows if r[0] == k)[:5] for k in {r[0] for r in rows}}
+
+
 def test_singleton_stratum_has_no_arms(spark):
     assert E.arms(spark.createDataFrame([("a", "x", "t")], "series_id string, ds string, text string"), "ds", "series_id").count() == 0
 
