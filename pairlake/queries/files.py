@@ -31,16 +31,17 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.price(spark, sf_dir).select("series_id", "dt", F.round(F.col("price") * 0.137931, 2).alias("price"), "idx")  # an odd share, so that no tie is rounded
 
 
-@query("SELECT doc_id, source, n_chars FROM documents")
+@query("SELECT doc_id, source, n_chars, NULL::VARCHAR AS corrupt FROM documents UNION ALL SELECT NULL, NULL, NULL, 'not json ' || doc_id FROM documents WHERE doc_id % 97 = 0")
 def scan_jsonl_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of files that also hold lines that aren't JSON."""
+    """Records of files of two makes, objects on lines and over lines, among lines that aren't JSON; those come back too."""
     d = V.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    good = d.select(F.to_json(F.struct("doc_id", "source", "n_chars")).alias("value"))
+    bad = F.when(F.col("doc_id") % 97 == 0, F.concat(F.lit("not json "), F.col("doc_id").cast("string")))
     top = X.scratch(spark, "robust")
-    good.union(good.limit(1).select(F.lit("not json").alias("value"))).write.option("compression", "none").text(f"{top}/a")
-    got = X.json_records(spark, _renamed(spark, top))
+    for make, odd in (("lines", 0), ("pretty", 1)):
+        record = F.to_json(F.struct("doc_id", "source", "n_chars"), {"pretty": "true"} if odd else {})
+        d.where(F.pmod("doc_id", F.lit(2)) == odd).select(F.concat_ws("\n", record, bad).alias("value")).write.option("compression", "none").text(f"{top}/{make}")
     r = F.from_json("record", "doc_id long, source string, n_chars long")
-    return got.where("record is not null").select(r.alias("r")).select("r.*")
+    return X.json_records(spark, _renamed(spark, top)).select(r.alias("r"), "corrupt").select("r.*", "corrupt")
 
 
 def _renamed(spark: SparkSession, top: str) -> str:

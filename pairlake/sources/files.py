@@ -6,7 +6,6 @@ import html
 import json
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,52 +31,11 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
-def _parsed(batches: Iterator) -> Iterator:
-    """Whole files: one array, or objects one after another, over any lines; what can't be read is kept as corrupt."""
-    import pandas as pd
-
-    read = json.JSONDecoder()
-    for batch in batches:
-        out = []
-        for name, text in zip(batch["file"], batch["value"]):
-            at, n = 0, 0
-            while at < len(text):
-                if text[at].isspace() or text[at] == ",":
-                    at += 1
-                    continue
-                try:
-                    value, at = read.raw_decode(text, at)
-                    found = value if isinstance(value, list) else [value]
-                    rows = [(json.dumps(v, ensure_ascii=False, sort_keys=True), None) if isinstance(v, dict) else (None, json.dumps(v)) for v in found]
-                except ValueError:
-                    end = text.find("\n", at)
-                    end = len(text) if end < 0 else end
-                    rows, at = [(None, text[at:end])], end + 1
-                out += [(name, n + i, r, c) for i, (r, c) in enumerate(rows)]
-                n += len(rows)
-        yield pd.DataFrame(out, columns=["file", "pos", "record", "corrupt"])
-
-
 def json_records(spark: SparkSession, path: str) -> DataFrame:
-    """file, pos, record (text), corrupt of files that hold JSON lines, one array, or objects one after another.
-
-    Files of JSON lines are split and read line by line; only files with a line that isn't an object are
-    read whole, as one row each. What can't be parsed is kept in corrupt.
-    """
-    files = discover_files(spark, path)
-    names = [r["file"] for r in files.collect()]  # names of files, which the driver lists anyway
-    schema = "file string, pos long, record string, corrupt string"
-    if not names:
-        return spark.createDataFrame([], schema)
-    lines = spark.read.text(names).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"), F.trim("value").alias("value")).where("value <> ''")
-    # a parser may stop after the first of two objects: such lines go to the whole-file reader
-    fine = F.startswith("value", F.lit("{")) & F.try_parse_json("value").isNotNull() & ~F.col("value").rlike(r"\}\s*\{")
-    odd = [r["file"] for r in lines.where(~fine).select("file").distinct().collect()]
-    out = lines.where(~F.col("file").isin(odd)).select("file", "pos", F.col("value").alias("record"), F.lit(None).cast("string").alias("corrupt")) if odd else lines.select("file", "pos", F.col("value").alias("record"), F.lit(None).cast("string").alias("corrupt"))
-    if odd:
-        whole = spark.read.text(odd, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-        out = out.union(whole.mapInPandas(_parsed, schema))
-    return out
+    """file, pos, record (text), corrupt of files below a path, without ledgers, that hold JSON lines, one array, or objects one after another."""
+    from . import robust
+
+    return robust.json_records(spark, path, LEDGERS)
 
 
 def find_files(spark: SparkSession, path: str) -> DataFrame:
