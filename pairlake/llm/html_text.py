@@ -2,11 +2,13 @@
 
 A page is cut into blocks at block-level tags. The first pass decides a block by its link density, its
 length and its stop-word density, whatever element it stands in: much of it linked is boilerplate, long
-and rich in stop words is main text. Only containers that are never main text (menus, page headers and
-footers, sidebars, notices, adverts, forms, reader comments) decide without it. Short, middling and
-stop-word-poor blocks stay open, and in the second pass inherit the label of their nearest decided
-neighbours: those in article or main elements for blocks there, a heading that of what follows. Blocks
-that their container decides are nobody's neighbours.
+and rich in stop words is main text, a short one that begins as a copyright line is not. Only containers that are never
+main text (menus, page headers and footers, sidebars, adverts, consent forms, reader comments) decide without
+it; names that main text may bear too (search, notice, related, share and the like) decide only what measures leave open, and no
+heading. Other short, middling and stop-word-poor blocks stay open, and in the second pass inherit the label of their
+nearest decided neighbours: those in article or main elements for blocks there, a heading that of what
+follows. Blocks that their container decides are nobody's neighbours. What is hidden is hidden by the attributes hidden
+and aria-hidden or by display:none in its style.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by one
 space in page order; nothing else is dropped or capped. Null or empty html gives an empty string.
@@ -38,6 +40,8 @@ MARKS = set(
     "newsletter subscribe subscription signup sidebar sidebars widget widgets related recommended share sharing social menu menus nav navbar navigation breadcrumb breadcrumbs masthead "
     "header footer copyright comment comments disqus respond reply replies toolbar pagination pager login hidden contentinfo complementary dialog search alert".split()
 )
+#: Marks that only decide what measures leave open.
+WEAK = set("header search notice notices notification notifications alert related recommended share sharing social widget widgets toolbar promo promotion overlay".split())
 PLAIN = set("area bar block bottom box container group inner item items left links list main outer page right section site slot top unit wrap wrapper".split())
 STOPS = set(
     "the of and to in a is that it for on was be with as by this are at from or an have not but they his her you we he she which will would there their what all "
@@ -47,34 +51,55 @@ STOPS = set(
 )
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
-NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+TELLING = re.compile("class|id|role|hidden|style", re.I)
+RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 PIECES = re.compile(r"[-_]+")
 EDGES = re.compile(r"^\W+|\W+$")
-UNSEEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 
 
 class Block:
-    __slots__ = ("text", "linked", "bad", "article", "heading", "label", "stops")
+    __slots__ = ("text", "linked", "bad", "weak", "article", "heading", "label", "stops")
 
-    def __init__(self, text: str, linked: int, bad: bool, article: bool, heading: bool):
-        self.text, self.bad, self.article, self.heading = text, bad, article, heading
+    def __init__(self, text: str, linked: int, mark: int, article: bool, heading: bool):
+        self.text, self.bad, self.weak, self.article, self.heading = text, mark == 2, mark == 1, article, heading
         self.linked = linked / max(1, len(text))
         words = [EDGES.sub("", w).lower() for w in text.split()]
         self.stops = sum(w in STOPS for w in words) / max(1, len(words))
         self.label: bool | None = None
 
 
-def is_mark(token: str) -> bool:
-    """Whether a class, id or role names boilerplate: the token as a whole, or one made of marks and plain words alone."""
+def strength(token: str) -> int:
+    """Whether a class, id or role names boilerplate, as a whole or by marks and plain words alone: 2, 1 if by weak marks alone, else 0."""
     pieces = [x.rstrip("0123456789") for x in PIECES.split(token.lower())]
-    pieces = [x for x in pieces if x]
-    return bool(pieces) and any(x in MARKS for x in pieces) and all(x in MARKS or x in PLAIN for x in pieces)
+    marks = [x for x in pieces if x in MARKS]
+    if not marks or not all(x in MARKS or x in PLAIN for x in pieces if x):
+        return 0
+    return 1 if all(x in WEAK for x in marks) else 2
+
+
+def is_mark(token: str) -> bool:
+    return strength(token) > 0
+
+
+def marked(rest: str, article: bool) -> int:
+    """What the attributes of a tag say, as strength; a header in an article is its own."""
+    most = 0
+    for m in ATTRIBUTE.finditer(rest):
+        name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and UNSEEN.search(value)):
+            return 2
+        if name in ("class", "id", "role"):
+            for token in value.split():
+                most = max(most, 0 if article and "header" in PIECES.split(token.lower()) else strength(token))
+    return most
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page that have words, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, article; each with what is above
+    stack: list[tuple[str, int, bool]] = []  # name, mark, article; each with what is above
     parts: list[str] = []
     linked = link = 0
     heading = ""
@@ -84,8 +109,8 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            bad, article = stack[-1][1:] if stack else (False, False)
-            out.append(Block(text, min(linked, len(text)), bad, article, bool(heading)))
+            mark, article = stack[-1][1:] if stack else (0, False)
+            out.append(Block(text, min(linked, len(text)), mark, article, bool(heading)))
         parts.clear()
         linked = 0
 
@@ -152,14 +177,15 @@ def blocks(page: str) -> list[Block]:
             heading = name if re.fullmatch("h[1-6]", name) else ""
         if name in VOID or rest.endswith("/"):
             continue
-        marked = name in BOILERPLATE or (name == "header" and not (stack and stack[-1][2]))
-        if rest and not marked and name not in ("body", "html", "main", "article"):
-            marked = any(is_mark(w) for v in NAMED.findall(rest) for w in "".join(v).split()) or bool(UNSEEN.search(re.sub(r"\b(?:class|id|href|src|title|alt)\s*=\s*(?:\"[^\"]*\"|'[^']*')", "", rest)))
-        if marked or name in BLOCKS:
-            if marked and name not in BLOCKS:
+        inside = bool(stack and stack[-1][2])
+        own = 2 if name in BOILERPLATE or (name == "header" and not inside) else 0
+        if rest and not own and name not in ("body", "html", "main", "article") and TELLING.search(rest):
+            own = marked(rest, inside)
+        if own or name in BLOCKS:
+            if own and name not in BLOCKS:
                 end()
-            above = stack[-1] if stack else ("", False, False)
-            stack.append((name, above[1] or marked, above[2] or name in ("article", "main")))
+            above = stack[-1] if stack else ("", 0, False)
+            stack.append((name, max(above[1], own), above[2] or name in ("article", "main")))
         elif name not in BLOCKS and name != "a" and stack and any(x[0] == name and x[1] for x in stack):
             stack.append((name, *stack[-1][1:]))  # so that its end tag doesn't end the marked one above
     end()
@@ -168,13 +194,13 @@ def blocks(page: str) -> list[Block]:
 
 def decided(b: Block) -> bool | None:
     """The first pass: what a block's own measures say, if they do."""
-    if b.bad or b.linked > LINKED:
+    if b.bad or b.linked > LINKED or (len(b.text) < LONG and RIGHTS.match(b.text)):
         return False
-    if b.heading or len(b.text) < SHORT:
+    if b.heading:
         return None
-    if b.stops >= MANY_STOPS or (b.stops >= FEW_STOPS and len(b.text) > LONG):
+    if len(b.text) >= SHORT and (b.stops >= MANY_STOPS or (b.stops >= FEW_STOPS and len(b.text) > LONG)):
         return True
-    return None
+    return False if b.weak else None
 
 
 def inherited(row: list[Block], first: list[bool | None]) -> None:
