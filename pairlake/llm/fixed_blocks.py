@@ -43,8 +43,8 @@ from .substrings import _joined as joined
 from .substrings import _later as later_copies
 
 LENGTH = 13
-#: Bits of a filter as powers of two, bits for each hash (at least, below the most), places of a hash.
-BITS, MOST_BITS, PER_HASH, PLACES = 18, 28, 12, 4
+#: Bits of a filter as powers of two, bits for each hash (at least, below the most).
+BITS, MOST_BITS, PER_HASH = 18, 28, 12
 #: Bytes of a slice of a text (about), rows and bytes that go out at once, contents that a task remembers, bytes of a word that is compared whole.
 SLICE, ROWS, BYTES, KNOWN, WORD = 1 << 20, 20_000, 2_000_000, 100_000, 64
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -85,40 +85,47 @@ def stretches(text: bytes, length: int) -> Iterator[tuple[int, list[bytes], np.n
 
 
 class Filter:
-    """Bloom filters of 64-bit hashes by ranges of them; a range's 32 bits after the range's own give PLACES bits."""
+    """Bloom filters of 64-bit hashes by ranges of them; a hash's 32 bits after the range's own give a bit for each of TURNS."""
 
     def __init__(self, expected: int):
         self.dealer = Repeats(expected)
         size = int(np.clip(np.ceil(np.log2(max(1, expected) * PER_HASH)), BITS, MOST_BITS))
         self.bits, self.inner = self.dealer.bits, size - self.dealer.bits
 
-    def places(self, rest: np.ndarray) -> np.ndarray:
-        """PLACES bits of each hash within its range."""
-        spread = (rest ^ (rest >> np.uint32(15)))[:, None] * TURNS[:PLACES]
+    def place(self, rest: np.ndarray, turn: np.uint32) -> np.ndarray:
+        """A bit of each hash within its range."""
+        spread = (rest ^ (rest >> np.uint32(15))) * turn
         return (spread ^ (spread >> np.uint32(13))) * TURNS[1] >> np.uint32(32 - self.inner)
 
     def packed(self, rest: np.ndarray) -> bytes:
         mark = np.zeros(1 << self.inner, bool)
-        mark[self.places(rest)] = True
+        for turn in TURNS:
+            mark[self.place(rest, turn)] = True
         return np.packbits(mark).tobytes()
 
-    def meet(self, table: pa.Table) -> pa.Table:
-        """A range's two filters: of all its hashes, and of those that came more than once."""
+    def meet(self, table: pa.Table, several: bool) -> pa.Table:
+        """A range's filters: of all its hashes (kind 0), and with several of those that came more than once (kind 1)."""
         part = lambda name: [np.frombuffer(x.as_buffer(), np.uint32) for x in table[name]]
         found = np.sort(np.concatenate(part("once")))
-        again = np.unique(np.concatenate([found[1:][found[1:] == found[:-1]], *part("more")]))
-        return pa.table({"bucket": table["bucket"][:1], "all": pa.array([self.packed(np.unique(found))], pa.binary()), "again": pa.array([self.packed(again)], pa.binary())})
+        out = [self.packed(np.unique(found))]
+        if several:
+            out.append(self.packed(np.unique(np.concatenate([found[1:][found[1:] == found[:-1]], *part("more")]))))
+        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()] * len(out), pa.int32()), "kind": pa.array(range(len(out)), pa.int32()), "bits": pa.array(out, pa.binary())})
 
     def has(self, words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """Which hashes may be in a filter."""
         both = hashes >> np.uint64(32 - self.bits)
         begin, rest = (both >> np.uint64(32)).astype(np.int64) << self.inner, both.astype(np.uint32)
-        bit = begin[:, None] + self.places(rest)
-        return ((words[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1).all(1)
+        out, left = np.zeros(len(hashes), bool), np.arange(len(hashes))
+        for turn in TURNS:  # most hashes that aren't there go with the first bit
+            bit = begin[left] + self.place(rest[left], turn)
+            left = left[(words[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1]
+        out[left] = True
+        return out
 
 
-def _filters(rows: DataFrame, hashes, filter: Filter) -> tuple[np.ndarray, np.ndarray]:
-    """The filters of what hashes makes of the rows (arrays of uint64, each without repeats): of all, and of what two arrays have."""
+def _filters(rows: DataFrame, hashes, filter: Filter, several: bool) -> list[np.ndarray]:
+    """The filters of what hashes makes of the rows (arrays of uint64, each without repeats): of all, and with several of what two arrays have."""
     names = ["bucket", "once", "more"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,11 +139,13 @@ def _filters(rows: DataFrame, hashes, filter: Filter) -> tuple[np.ndarray, np.nd
         if n:
             yield pa.RecordBatch.from_arrays(filter.dealer.deal(held), names=names)
 
-    met = rows.mapInArrow(scan, "bucket int, once binary, more binary").groupBy("bucket").applyInArrow(lambda table: filter.meet(table), "bucket int, all binary, again binary")
-    out = np.zeros((2, 1 << filter.bits, max(1, (1 << filter.inner) // 8)), np.uint8)
-    for r in met.collect():  # 2 filters of 2^MOST_BITS bits at most
-        out[:, r["bucket"]] = [np.frombuffer(r["all"], np.uint8), np.frombuffer(r["again"], np.uint8)]
-    return out[0].ravel(), out[1].ravel()
+    met = rows.mapInArrow(scan, "bucket int, once binary, more binary").groupBy("bucket").applyInArrow(lambda table: filter.meet(table, several), "bucket int, kind int, bits binary")
+    met = written(met, "filters")
+    out = [np.zeros((1 << filter.bits, max(1, (1 << filter.inner) // 8)), np.uint8) for _ in range(1 + several)]
+    for r in met.toLocalIterator():  # of 2^MOST_BITS bits each at most
+        out[r["kind"]][r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
+    dropped(met)
+    return [x.ravel() for x in out]
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -163,16 +172,19 @@ def _marked(docs: DataFrame, length: int, kept: Broadcast, filter: Filter) -> np
             for _, _, x in stretches(text, length):
                 yield np.unique(x[::block])
 
-    known, again = _filters(_read(docs), reference, filter)
+    known, again = _filters(_read(docs), reference, filter, True)
     index = context.broadcast(known)
+    del known
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for _, text, _ in _own(batches, kept.value):
             for _, _, x in stretches(text, length):
-                hit = np.unique(x[filter.has(index.value, x)])
-                yield np.setdiff1d(hit, x[::block], assume_unique=False)
+                own, rolled = x[::block], x[np.arange(len(x)) % block > 0]
+                yield np.setdiff1d(rolled[filter.has(index.value, rolled)], own)
 
-    return _filters(_read(docs), hits, filter)[0] | again
+    again |= _filters(_read(docs), hits, filter, False)[0]
+    index.destroy()
+    return again
 
 
 def bounded(word: bytes) -> bytes:
@@ -201,8 +213,7 @@ def cuttings(x: np.ndarray, marked: np.ndarray, length: int) -> list[tuple[int,
 CUTTINGS = "anchor long, cid binary, doc_id long, row long, start long, windows int, content binary"
 
 
-def _cut(docs: DataFrame, length: int, marks: np.ndarray, kept: Broadcast, filter: Filter) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(marks)
+def _cut(docs: DataFrame, length: int, shared: Broadcast, kept: Broadcast, filter: Filter) -> DataFrame:
     names = [x.split()[0] for x in CUTTINGS.split(", ")]
     kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
@@ -262,8 +273,9 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     total = every.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     kept = docs.sparkSession.sparkContext.broadcast(ids(every.join(later, "doc_id", "left_anti"), "doc_id", total["docs"]))
     filter = Filter(total["n"] // (6 * block_of(length)))  # some six bytes a word
-    marks = _marked(docs, length, kept, filter)
+    marks = docs.sparkSession.sparkContext.broadcast(_marked(docs, length, kept, filter))
     cut = written(_cut(docs, length, marks, kept, filter), "cuttings")
+    marks.destroy()
     decided = _decided(cut.where("content is not null").select("anchor", "cid", "doc_id", "windows", "content"), length)
     seen = cut.where("content is null").select("cid", "doc_id", "row", "start", "windows")
     whole = F.expr("shiftleft(1L, windows) - 1")
