@@ -1,17 +1,23 @@
 """Salient moves: returns over several scales, robust scores, and greedy spacing.
 
 Everything up to the greedy choice is windows and grouped medians by series. The choice itself depends
-on what was chosen before, so it folds over a series' candidates in one row; candidates are filtered
-first, which keeps that array short (a series' length bounds it).
+on what was chosen before, but only on what is near: it goes in rounds over short stretches of a series.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import scratch
+
+#: Spacings that a unit of the greedy choice is wide.
+WIDTH = 512
+
 
 def returns(series: DataFrame, scales: Sequence[int]) -> DataFrame:
     """series_id, idx, k, ret: the change over k points for each scale, from one sort; none where the earlier price is 0."""
@@ -38,20 +44,56 @@ def robust_z(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     return rows.join(params, list(keys)).withColumn("z", 0.6745 * (F.col(value) - F.col("med")) / F.col("mad")).drop("med", "mad")
 
 
-def spaced(candidates: DataFrame, key: str, rank: Sequence[Column], spacing: int, top: int | None = None) -> DataFrame:
-    """Of each key's candidates (with idx), in order of rank, those at least ``spacing`` from all taken; ``top`` at most."""
-    kept = [c for c in candidates.columns if c != key]
-    entry = F.struct(*(r.alias(f"r{i}") for i, r in enumerate(rank)), *kept)
-    taken = candidates.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("a"))
-
-    def take(acc: Column, x: Column) -> Column:
-        fits = F.forall(acc, lambda j: F.abs(j["idx"] - x["idx"]) >= spacing)
-        if top is not None:
-            fits = fits & (F.size(acc) < top)
-        return F.when(fits, F.array_append(acc, x)).otherwise(acc)
-
-    folded = taken.select(key, F.explode(F.aggregate("a", F.filter("a", lambda x: F.lit(False)), take)).alias("x"))
-    return folded.select(key, *(F.col(f"x.{c}").alias(c) for c in kept))
+def _settled(table: pa.Table, key: str, names: list[str], spacing: int) -> pa.Table:
+    """Own rows of a unit with the status they can be given: taken if no better candidate near may still be, out if a taken one is near."""
+    idx, status = table["idx"].to_numpy(), table["status_"].to_numpy().copy()
+    own = table["home_"].to_numpy() == table["unit_"].to_numpy()
+    place = np.argsort(idx, kind="stable")
+    at = np.empty(len(idx), np.int64)
+    at[place] = np.arange(len(idx))
+    low, high = np.searchsorted(idx[place], idx - spacing, "right"), np.searchsorted(idx[place], idx + spacing, "left")
+    state = status[place]  # by idx; 0 open, 1 taken, 2 out
+    seen = np.zeros(len(idx), bool)  # open ones that came before by rank
+    for i in np.lexsort([table[n].to_numpy() for n in reversed(names)]):
+        near, p = slice(low[i], high[i]), at[i]
+        if state[p] == 0:
+            others = state[near] == 1
+            if others.any():
+                state[p] = 2
+            elif own[i] and not seen[near].any():
+                state[p] = 1
+            else:
+                seen[p] = True
+    status = state[at]
+    out = table.set_column(table.column_names.index("status_"), "status_", pa.array(status, pa.int32()))
+    return out.filter(pa.array(own)).drop_columns(["unit_", "home_"])
+
+
+def spaced(candidates: DataFrame, key: str, rank: Sequence[Column], spacing: int, top: int | None = None, width: int = WIDTH) -> DataFrame:
+    """Of each key's candidates (with idx), in order of rank, those at least ``spacing`` from all taken; ``top`` at most.
+
+    A key is cut into units of ``width`` spacings, which see the candidates just beyond their ends. In each round a unit
+    takes what no better open candidate is near to, and drops what is near to a taken one; what depends on
+    another unit stays open until that has decided. Almost all is decided in two rounds; a round is a written table.
+    """
+    spark = candidates.sparkSession
+    names = [f"r{i}_" for i in range(len(rank))]
+    rows = candidates.withColumns({n: r.cast("double") for n, r in zip(names, rank)}).withColumn("status_", F.lit(0))
+    rows = rows.where(F.col("idx").isNotNull())
+    schema = rows.schema
+    unit = lambda c: F.floor(c / (width * spacing)).cast("long")
+    while True:
+        units = rows.withColumn("home_", unit(F.col("idx")))
+        units = units.withColumn("unit_", F.explode(F.array_distinct(F.array(unit(F.col("idx") - spacing), F.col("home_"), unit(F.col("idx") + spacing)))))
+        path = scratch(spark, "spaced")
+        units.groupBy(key, "unit_").applyInArrow(lambda t: _settled(t, key, names, spacing), schema).write.parquet(path)
+        rows = spark.read.schema(schema).parquet(path)
+        if rows.where("status_ = 0").isEmpty():
+            break
+    taken = rows.where("status_ = 1")
+    if top is not None:
+        taken = taken.withColumn("n_", F.row_number().over(Window.partitionBy(key).orderBy(*names))).where(F.col("n_") <= top)
+    return taken.select(*candidates.columns)
 
 
 def detect_threshold(series: DataFrame, least: float, spacing: int = 10, top: int = 8) -> DataFrame:

@@ -27,8 +27,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """A JSON object a line; lines that aren't one have the text in _corrupt if the schema names it."""
-    return spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    """A JSON object a line, of the newest version where there are several; lines that aren't one have the text in _corrupt if the schema names it."""
+    return spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").json(current(spark, path))
 
 
 def json_records(spark: SparkSession, path: str) -> DataFrame:
@@ -81,31 +81,76 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"))
 
 
-def _put(spark: SparkSession, aside: str, path: str) -> None:
-    """Moves a finished output to its path. The old one is moved away first and deleted last, so one of both is always there."""
+def _replace(spark: SparkSession, aside: str, path: str) -> None:
+    """A finished file takes the place of the one at its path in one step: there is no moment without either."""
     jvm = spark._jvm
-    new, to, old = (jvm.org.apache.hadoop.fs.Path(x) for x in (aside, path, f"{aside}.old"))
-    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
-    had = fs.exists(to)
-    if had and not fs.rename(to, old):
-        raise OSError(f"can't move {path} away")
-    if not fs.rename(new, to):
-        if had:
-            fs.rename(old, to)
-        raise OSError(f"can't move {aside} to {path}")
-    if had:
-        fs.delete(old, True)
-
-
-def write_json_lines(records: DataFrame, path: str) -> int:
-    """Writes records beside path, then puts them in its place; returns their number."""
-    spark = records.sparkSession
-    aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
+    conf = spark._jsc.hadoopConfiguration()
+    new, to = (jvm.org.apache.hadoop.fs.Path(x) for x in (aside, path))
+    store = to.getFileSystem(conf)
+    if store.getUri().getScheme() == "file":
+        move = jvm.java.nio.file.StandardCopyOption
+        how = spark.sparkContext._gateway.new_array(jvm.java.nio.file.CopyOption, 2)
+        how[0], how[1] = move.ATOMIC_MOVE, move.REPLACE_EXISTING
+        at = lambda x: jvm.java.io.File(x.toUri().getPath()).toPath()
+        jvm.java.nio.file.Files.move(at(new), at(to), how)
+    else:
+        how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), conf).rename(new, to, how)
+
+
+#: Folder of manifests in a versioned output: files named by number, each with the name of a version's folder.
+MANIFESTS = "_manifests"
+
+
+def _manifests(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, version's folder) of an output's manifests, in order."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{MANIFESTS}")
+    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(top):
+        return []
+    names = [x.getPath().getName() for x in store.listStatus(top)]
+    return sorted((int(n), v) for n, _, v in (x.partition("-") for x in names) if n.isdigit() and v)
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """The folder of a versioned output's newest version; the path itself where there are no versions."""
+    found = _manifests(spark, path)
+    return f"{path.rstrip('/')}/{found[-1][1]}" if found else path
+
+
+def _publish(spark: SparkSession, path: str, version: str) -> None:
+    """Makes a version the newest by creating one empty file, which either is there or isn't; of two writers the later one wins."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    top = fs.Path(f"{path.rstrip('/')}/{MANIFESTS}")
+    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(top)
+    number = max((n for n, _ in _manifests(spark, path)), default=0) + 1
+    store.create(fs.Path(top, f"{number:012d}-{version}"), False).close()
+
+
+def _swept(spark: SparkSession, path: str, keep: int) -> None:
+    """Deletes versions before the last ``keep``; readers of the one before the newest may still be at work."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    top = fs.Path(path)
+    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    for number, version in _manifests(spark, path)[:-keep]:
+        store.delete(fs.Path(top, version), True)
+        store.delete(fs.Path(top, f"{MANIFESTS}/{number:012d}-{version}"), False)
+
+
+def write_json_lines(records: DataFrame, path: str, keep: int = 2) -> int:
+    """Writes records as a new version below path and publishes it when it is whole; returns their number.
+
+    Whoever reads by json_lines sees the old version or the new one, whole, whenever a writer stops. An unfinished version is never read.
+    """
     from pyspark.sql import Observation
 
-    seen = Observation("records")
-    records.observe(seen, F.count(F.lit(1)).alias("n")).write.json(aside)
-    _put(spark, aside, path)
+    spark, version, seen = records.sparkSession, f"v{uuid.uuid4().hex}", Observation("records")
+    records.observe(seen, F.count(F.lit(1)).alias("n")).write.json(f"{path.rstrip('/')}/{version}")
+    _publish(spark, path, version)
+    _swept(spark, path, keep)
     return seen.get["n"]
 
 
@@ -118,7 +163,7 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    _put(spark, aside, path)
+    _replace(spark, aside, path)
 
 
 def write_json(spark: SparkSession, value: object, path: str) -> None:

@@ -108,6 +108,73 @@ def test_first_values_of_a_hot_key(spark):
     assert got == {k: sorted(r[2] for r in rows if r[0] == k)[:5] for k in {r[0] for r in rows}}
 
 
+@pytest.mark.parametrize("width,shape", [(1, "random"), (2, "falling"), (1, "rising"), (512, "random"), (3, "equal")])
+def test_spaced_like_the_greedy_choice(spark, width, shape):
+    """Units of a few spacings, also where each choice depends on the one before along the whole series."""
+    import random
+
+    r = random.Random(width)
+    rank = {"random": lambda i: r.random(), "falling": lambda i: -i, "rising": lambda i: i, "equal": lambda i: 0}[shape]
+    rows = [(k, i // 2 if shape == "random" else i, float(rank(i)), f"x{i}") for k in ("a", "b") for i in range(-40, 60) if r.random() < 0.7]
+    df = spark.createDataFrame(rows, "k string, idx int, v double, note string")
+    want = set()
+    for k in "ab":
+        taken = []
+        for x in sorted((x for x in rows if x[0] == k), key=lambda x: (x[2], x[1], int(x[3][1:]))):
+            if all(abs(x[1] - t[1]) >= 5 for t in taken):
+                taken.append(x)
+        want |= {(i, *x) for i, x in enumerate(taken)}
+    number = F.substring("note", 2, 9).cast("int")
+    get = lambda top: {tuple(x) for x in D.spaced(df, "k", [F.col("v"), F.col("idx"), number], 5, top, width).collect()}
+    assert get(None) == {x[1:] for x in want} and get(3) == {x[1:] for x in want if x[0] < 3}
+    assert D.spaced(df.limit(0), "k", [F.col("v")], 5).count() == 0
+
+
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["_publish", "_swept", None])
+def test_json_lines_survive_a_killed_writer(spark, tmp_path, monkeypatch, step):
+    """Old rows whole until the new version is published, then new rows whole; never none and never some."""
+    from pairlake.sources import files
+
+    def killed(*_):
+        raise Killed
+
+    path = f"file://{tmp_path}/out"
+    read = lambda: sorted(r.id for r in files.json_lines(spark, path, "id long").collect())
+    for n in (5, 3):
+        files.write_json_lines(spark.range(n), path)
+    assert read() == [0, 1, 2]
+    early = files.json_lines(spark, path, "id long")
+    if step:
+        with monkeypatch.context() as m:
+            m.setattr(files, step, killed)
+            with pytest.raises(Killed):
+                files.write_json_lines(spark.range(7), path)
+    assert read() == (list(range(7)) if step == "_swept" else [0, 1, 2])
+    assert files.write_json_lines(spark.range(4), path) == 4 and read() == [0, 1, 2, 3]
+    if step != "_swept":
+        assert early.count() == 3  # the version before is still there for who began to read it
+    assert len(files._manifests(spark, path)) == 2
+
+
+def test_a_file_is_replaced_in_one_step(spark, tmp_path, monkeypatch):
+    from pairlake.sources import files
+
+    path = tmp_path / "x.json"
+    files.write_json(spark, {"b": 1, "a": "é"}, f"file://{path}")
+    before = path.read_text()
+    with monkeypatch.context() as m:
+        m.setattr(files, "_replace", lambda *_: (_ for _ in ()).throw(Killed()))
+        with pytest.raises(Killed):
+            files.write_json(spark, {"a": 2}, f"file://{path}")
+    assert path.read_text() == before and json.loads(before) == {"a": "é", "b": 1}
+    files.write_json(spark, {"a": 2}, f"file://{path}")
+    assert json.loads(path.read_text()) == {"a": 2}
+
+
 def test_singleton_stratum_has_no_arms(spark):
     assert E.arms(spark.createDataFrame([("a", "x", "t")], "series_id string, ds string, text string"), "ds", "series_id").count() == 0
 
@@ -209,7 +276,7 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in files.yields_xml(spark, str(tmp_path / "y.xml")).collect()] == [("2020-01-02", 1.5, 2.5)]
     out = str(tmp_path / "out")
     assert files.write_json_lines(spark.range(3), out) == 3 and files.write_json_lines(spark.range(2), out) == 2
-    assert spark.read.json(out).count() == 2
+    assert spark.read.json(files.current(spark, out)).count() == 2
     (tmp_path / "e.csv").write_text("#model_version:v1,score_date:2024-01-02T00:00:00\ncve,epss,percentile\nCVE-1,0.5,0.9\nCVE-2,0.1,0.2\n")
     targets = spark.createDataFrame([("CVE-1",)], "cve string")
     assert [tuple(r) for r in files.epss_csv(spark, str(tmp_path / "e.csv"), "2024-01-02", targets).collect()] == [("CVE-1", 50.0)]
@@ -296,6 +363,6 @@ def test_sink_keeps_an_output(spark, tmp_path):
     files.write_json_lines(spark.range(3), out)
     with pytest.raises(Exception, match="no"):
         files.write_json_lines(spark.range(5).select(F.raise_error(F.lit("no")).alias("x")), out)
-    assert spark.read.json(out).count() == 3
+    assert spark.read.json(files.current(spark, out)).count() == 3
     with pytest.raises(ValueError):
         files.cached_years(spark, str(tmp_path / "empty"), "a int") if (tmp_path / "empty").mkdir() is None else None
