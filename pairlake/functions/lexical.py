@@ -193,16 +193,22 @@ def year_value_errors(text: Column, labelled: dict[int, float], rel: float = 0.0
     return F.filter(pairs, lambda p: F.coalesce(~near(p["value"], own(p)), F.lit(False)) & F.exists(values, lambda v: near(p["value"], v)))
 
 
-def wikitext(text: Column, depth: int = 12) -> Column:
-    """Comments, references, templates and files (nested up to depth), links, tables, quotes and tags out."""
-    out = text
-    rules = [("(?s)<!--.*?-->", ""), ("<ref[^>]*/>", ""), ("(?is)<ref[^>]*>.*?</ref>", "")]
-    rules += [(r"\{\{[^{}]*\}\}", "")] * depth + [(r"(?i)\[\[(?:File|Image):[^\[\]]*\]\]", "")] * depth
-    rules += [(r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", "$1"), (r"\[\[([^\[\]]*)\]\]", "$1"), (r"\[https?://[^\s\]]+\s+([^\]]+)\]", "$1"), (r"\[https?://[^\s\]]+\]", "")]
-    rules += [(r"(?s)\{\|.*?\|\}", ""), ("'''", ""), ("''", ""), ("<[^>]+>", ""), (r"[ \t]+", " ")]
-    for pattern, by in rules:
-        out = F.regexp_replace(out, pattern, by)
-    return F.btrim(out, F.lit(" \n\t\r"))
+#: (pattern, what stands instead) in order; templates and files nest up to twelve deep.
+DEPTH = 12
+WIKITEXT = [
+    *[("(?s)<!--.*?-->", ""), ("<ref[^>]*/>", ""), ("(?is)<ref[^>]*>.*?</ref>", "")],
+    *[(r"\{\{[^{}]*\}\}", "")] * DEPTH,
+    *[(r"(?i)\[\[(?:File|Image):[^\[\]]*\]\]", "")] * DEPTH,
+    *[(r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", "$1"), (r"\[\[([^\[\]]*)\]\]", "$1"), (r"\[https?://[^\s\]]+\s+([^\]]+)\]", "$1"), (r"\[https?://[^\s\]]+\]", "")],
+    *[(r"(?s)\{\|.*?\|\}", ""), ("'''", ""), ("''", ""), ("<[^>]+>", ""), (r"[ \t]+", " ")],
+]
+
+
+def wikitext(text: Column) -> Column:
+    """Comments, references, templates and files (nested), links, tables, quotes and tags out."""
+    for pattern, by in WIKITEXT:
+        text = F.regexp_replace(text, pattern, by)
+    return F.btrim(text, F.lit(" \n\t\r"))
 
 
 def drivers(text: Column, n: int = 4, region: int = 16000) -> Column:

@@ -158,9 +158,16 @@ def mainshock_text(title: Column, magnitude: Column, place: Column, day: Column,
     return F.concat(title, F.lit(". The magnitude "), magnitude, F.lit(" earthquake struck near "), P.place(place), F.lit(" on "), day, F.lit(" at "), depth, F.lit(" km depth."), more)
 
 
+def decoded(text: Column) -> Column:
+    """text with the common character references decoded, an ampersand last."""
+    for name, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(c))
+    return text
+
+
 def statement(pages: DataFrame, html: str) -> DataFrame:
     """pages with paragraphs over 40 characters, the statement (from what follows "For ... release ... Share" to the roster) and its decision."""
-    bare = F.transform(F.regexp_extract_all(html, F.lit("(?s)<p[^>]*>(.*?)</p>"), F.lit(1)), lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, "<[^>]+>", ""), r"\s+", " ")))
+    bare = F.transform(F.regexp_extract_all(html, F.lit("(?s)<p[^>]*>(.*?)</p>"), F.lit(1)), lambda p: decoded(F.trim(F.regexp_replace(F.regexp_replace(p, "<[^>]+>", ""), r"\s+", " "))))
     pages = pages.withColumn("paragraphs", F.filter(bare, lambda p: F.length(p) > 40))
     head = r"For .*?release.*?\bShare\b\s*(.*)"
     place = lambda c, test: F.coalesce(F.get(F.filter(F.transform(c, lambda p, i: F.when(test(p), i)), lambda i: i.isNotNull()), F.lit(0)), F.size(c))

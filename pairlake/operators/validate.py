@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.series import finite
@@ -96,6 +98,21 @@ def pretraining_errors(task: Column, text: Column, channels: Column) -> Column:
     return codes((~F.coalesce(task == "world_knowledge", F.lit(False)), "task_type"), (F.coalesce(channels, F.lit(0)) <= 0, "timeseries_missing"), (tokens(F.coalesce(text, F.lit(""))) != channels, "placeholder_count"))
 
 
+def output_errors(records: dict[str, DataFrame], key: str) -> DataFrame:
+    """key, format, errors (all codes) of records by format, each in the schema of its format.
+
+    chatml: text, task_type, timeseries, ranges, num_spans. cpt: text, task_type, channels. ir: kind, text,
+    history, future. Records of any other format have the one error unknown_format.
+    """
+    gates = {
+        "chatml": chatml_errors,
+        "cpt": lambda: pretraining_errors(F.col("task_type"), F.col("text"), F.col("channels")),
+        "ir": lambda: example_errors(F.col("kind"), F.col("text"), F.col("history"), F.col("future")),
+    }
+    unknown = lambda: F.array(F.lit("unknown_format"))
+    return reduce(DataFrame.unionByName, (df.select(key, F.lit(name).alias("format"), gates.get(name, unknown)().alias("errors")) for name, df in records.items()))
+
+
 def forecast_errors(knowledge_time: bool = False) -> Column:
     """Forecast records (text, task_type, timeseries, ranges, kt) by the rules again: one context, one target, nothing else."""
     ts = F.col("timeseries")

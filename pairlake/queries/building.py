@@ -42,15 +42,18 @@ def prov_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORED = Q.SCORE.replace(f"WITH {V.TEXT}", f"{ITEM}, v_text AS (SELECT article_id AS id, {V.folded('title')} AS txt, strftime(day, '%Y-%m-%d') AS event_date FROM v_article)")
 
 
-@query(f"{SCORED}, l AS (SELECT day, max(article_id) AS id FROM v_article GROUP BY 1) SELECT i.series_id, s.label AS text_ts_match, s.score AS text_ts_match_score, 'review_required' AS license_status FROM v_item i LEFT JOIN l ON i.kt = l.day LEFT JOIN s ON s.id = l.id")
+@query(f"""{SCORED}, l AS (SELECT day, max(article_id) AS id FROM v_article GROUP BY 1) SELECT i.series_id,
+  md5('<|im_start|>user' || chr(10) || i.text || chr(10) || '(history=<ts></ts>)<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || '<ts></ts><|im_end|>' || chr(10)) AS text_md5, 'ts_forecast' AS task_type,
+  'context 10 10,target 15 10' AS spans, 0 AS n_ranges, s.label AS text_ts_match, s.score AS text_ts_match_score, 'review_required' AS license_status FROM v_item i LEFT JOIN l ON i.kt = l.day LEFT JOIN s ON s.id = l.id""")
 def emit_chatml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forecast records with the match score of what stands before the first marker, and their licence."""
+    """Forecast records: text, spans (role, length, start of the loss), ranges, the match score of what stands before the first marker, licence."""
     a = V.article(spark, sf_dir)
     latest = a.groupBy("day").agg(F.max("article_id").alias("latest")).withColumnRenamed("day", "kt")
     cause = P.before_any(F.col("title"), M.CAUSE_CUTS)
     scored = a.select("article_id", *(c.alias(k) for k, c in L.score(F.trim(cause), F.date_format("day", "yyyy-MM-dd")).items()))
-    i = items(spark, sf_dir).select("series_id", "kt").join(latest, "kt", "left").join(scored, F.col("latest") == F.col("article_id"), "left")
-    return i.select("series_id", F.col("label").alias("text_ts_match"), F.col("score").alias("text_ts_match_score"), F.lit("review_required").alias("license_status"))
+    r = P.forecast_record(items(spark, sf_dir)).join(latest, "kt", "left").join(scored, F.col("latest") == F.col("article_id"), "left")
+    spans = F.array_join(F.transform("timeseries", lambda s: F.concat_ws(" ", s["role"], s["len"].cast("string"), s["loss_start"].cast("string"))), ",")
+    return r.select("series_id", F.md5("text").alias("text_md5"), "task_type", spans.alias("spans"), F.size("ranges").alias("n_ranges"), F.col("label").alias("text_ts_match"), F.col("score").alias("text_ts_match_score"), F.lit("review_required").alias("license_status"))
 
 
 @query(f"{NUMBERED}, f AS (SELECT series_id, k, CASE k % 3 WHEN 0 THEN 'chatml' WHEN 1 THEN 'cpt' ELSE 'ir' END AS format, CASE WHEN k = 6 THEN 'ts_to_text' ELSE 'text_to_ts' END AS kind FROM v_n) SELECT series_id, format, kind, CASE WHEN format = 'cpt' AND kind = 'text_to_ts' THEN 'unsupported' ELSE 'emitted' END AS outcome FROM f")
@@ -202,20 +205,17 @@ def load_gen(spark: SparkSession, sf_dir: str) -> DataFrame:
 # gates
 
 
-@query(f"{NUMBERED} SELECT series_id, CASE k WHEN 1 THEN 'cpt' WHEN 2 THEN 'cpt' WHEN 3 THEN 'ir' WHEN 4 THEN 'other' ELSE 'chatml' END AS format, CASE k WHEN 1 THEN 'placeholder_count' WHEN 4 THEN 'unknown_format' WHEN 5 THEN 'text_missing' ELSE '' END AS errors FROM v_n")
+@query(f"""{NUMBERED} SELECT series_id, CASE WHEN k IN (1, 2) THEN 'cpt' WHEN k = 3 THEN 'ir' WHEN k = 4 THEN 'other' ELSE 'chatml' END AS format,
+  CASE k WHEN 1 THEN 'placeholder_count' WHEN 2 THEN 'task_type,timeseries_missing,placeholder_count' WHEN 3 THEN CASE WHEN day(origin) % 2 = 0 THEN 'future_invalid' ELSE '' END
+    WHEN 4 THEN 'unknown_format' WHEN 5 THEN 'ranges_not_empty' WHEN 6 THEN 'text_missing,ts_token_count' ELSE '' END AS errors FROM v_n""")
 def validate_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each format by its own gate; some records have a token too many, no text, or an unknown format."""
-    k = F.col("k")
-    fmt = F.when(k.isin(1, 2), "cpt").when(k == 3, "ir").when(k == 4, "other").otherwise("chatml")
-    n = numbered(spark, sf_dir).withColumn("format", fmt)
-    chat = P.forecast_record(n).join(n.select(F.col("series_id").alias("id"), "k", "format"), F.col("series_id") == F.col("id"))
-    chat = chat.withColumn("num_spans", F.lit(2)).withColumn("text", F.when(k == 5, "").otherwise(F.regexp_replace("text", "<ts></ts>(?=[^)<]*<\\|im_end)", "<ts></ts>")))
-    errors = F.filter(C.chatml_errors(), lambda e: e == "text_missing")
-    chat = chat.where("format = 'chatml'").select("series_id", "format", errors.alias("errors"))
-    cpt = n.where("format = 'cpt'").withColumn("text", P.pretraining_text(F.col("text"), F.when(k == 1, 2).otherwise(1)))
-    cpt = cpt.select("series_id", "format", C.pretraining_errors(F.lit("world_knowledge"), F.col("text"), F.lit(1)).alias("errors"))
-    rest = n.where("format in ('ir', 'other')").select("series_id", "format", F.when(F.col("format") == "other", F.array(F.lit("unknown_format"))).otherwise(C.example_errors(F.lit("text_to_ts"), F.col("text"), F.col("history"), F.col("future"))).alias("errors"))
-    return chat.unionByName(cpt).unionByName(rest).select("series_id", "format", F.array_join("errors", ",").alias("errors"))
+    """Records of three formats and of an unknown one, each by its own gate; all codes stay."""
+    n, k = numbered(spark, sf_dir), F.col("k")
+    cpt = n.where("k in (1, 2)").select("series_id", F.when(k == 2, "other").otherwise("world_knowledge").alias("task_type"), P.pretraining_text(F.col("text"), F.when(k == 1, 2).otherwise(1)).alias("text"), F.when(k == 1, 1).otherwise(0).alias("channels"))
+    future = F.when(F.dayofmonth("origin") % 2 == 0, F.slice("future", 1, 0)).otherwise(F.col("future"))
+    ir = n.where("k = 3").select("series_id", F.lit("text_to_ts").alias("kind"), "text", "history", future.alias("future"))
+    found = C.output_errors({"chatml": records(spark, sf_dir).where("k in (0, 5, 6)"), "cpt": cpt, "ir": ir, "other": n.where("k = 4")}, "series_id")
+    return found.select("series_id", "format", F.array_join("errors", ",").alias("errors"))
 
 
 @query(f"{NUMBERED} SELECT series_id, dataset, CASE WHEN k % 2 = 0 THEN 'chatml' ELSE 'cpt' END AS fmt, CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END AS n_series, CASE WHEN k % 2 = 0 THEN 25 ELSE 10 END AS points, CASE WHEN k % 2 = 0 THEN 'ts_forecast' ELSE 'world_knowledge' END AS task_type, kt AS knowledge_time FROM v_n")
@@ -316,23 +316,45 @@ def llm_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
 # text builders
 
 
-WIKI = "'{{{{a|{{{{b}}}}}}}} lead <!-- no --> [[File:x.png|thumb]] [[Target|' || replace(replace(source, '[', ''), ']', '') || ']] ''''''' || lang || ''''''' <ref name=a/> [https://x.org y] {{| t |}} <b>' || {0} || '</b>'"
+#: Wikitext round a document's own text: templates in templates, files, links, references, tables, quotes and tags.
+WIKI = ("{{a|{{b|", "source", "}}}} <!-- no --> ", "text", " [[File:x.png|thumb|[[y]]]] [[Target|", "source", "]] [[", "lang", "]] '''", "lang", "''' <ref name=a/> <ref>z</ref> [https://x.org ", "lang", "] {| t |} <b>", "source", "</b>")
+_RAW = " || ".join(x if x in ("source", "lang", "text") else "'{}'".format(x.replace("'", "''")) for x in WIKI)
+
+
+def _stripped(text: str) -> str:
+    for pattern, by in L.WIKITEXT:
+        text = "regexp_replace({}, '{}', '{}', 'g')".format(text, pattern.replace("'", "''"), by.replace("$", "\\"))
+    return f"trim({text}, ' ' || chr(10) || chr(9) || chr(13))"
 
 
-@query(f"SELECT doc_id, md5('lead ' || source || ' ' || lang || ' y ' || source) AS text_md5 FROM documents")
+@query(f"WITH w AS (SELECT doc_id, {_RAW} AS raw FROM (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source, coalesce(lang, '') AS lang FROM documents)), t AS (SELECT doc_id, {_stripped('raw')} AS plain FROM w) SELECT doc_id, length(plain) AS n_chars, md5(plain) AS text_md5 FROM t")
 def wikitext_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wikitext around each document's source and language, stripped to what a reader sees."""
-    lit = F.lit
-    raw = F.concat(lit("{{a|{{b}}}} lead <!-- no --> [[File:x.png|thumb]] [[Target|"), "source", lit("]] '''"), "lang", lit("''' <ref name=a/> [https://x.org y] {| t |} <b>"), "source", lit("</b>"))
-    return documents(spark, sf_dir).select("doc_id", F.md5(L.wikitext(raw)).alias("text_md5"))
+    """Each document's text in wikitext, stripped to what a reader sees."""
+    raw = F.concat(*(F.coalesce(F.col(x), F.lit("")) if x in ("source", "lang", "text") else F.lit(x) for x in WIKI))
+    return documents(spark, sf_dir).select("doc_id", L.wikitext(raw).alias("plain")).select("doc_id", F.length("plain").cast("long").alias("n_chars"), F.md5("plain").alias("text_md5"))
+
+
+STATED = ("<p class=d>For release at 2:00 p.m. EDT <b>Share</b> Information of meeting ", " suggests that &quot;growth&quot; &amp; prices were stable.</p>", "<p>The Committee met as planned. It decided to keep the target range for the federal funds rate at ", " to 99 percent. It will look on.</p>")
+ROSTER = ("<p>Voting for this action were the members of the board and many others.</p>", "<p>Board of Governors of the system, and an address of forty letters.</p>")
+_PARTS = "'{}' || page_id || '{}' || coalesce(html, '') || '{}' || page_id || '{}'".format(*STATED)
+_PAGE = f"CASE WHEN page_id % 4 = 0 THEN coalesce(html, '') ELSE {_PARTS} || CASE page_id % 4 WHEN 1 THEN '{ROSTER[0]}' WHEN 2 THEN '{ROSTER[1]}' ELSE '' END || coalesce(html, '') END"
 
 
-@query("""WITH p AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(coalesce(html, ''), '(?s)<p[^>]*>(.*?)</p>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g'))), lambda x: len(x) > 40) AS p FROM pages)
-SELECT page_id, len(p) AS n_paragraphs FROM p""")
+@query(f"""WITH h AS (SELECT page_id, {_PAGE} AS html FROM pages),
+p AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>', 1), lambda x: replace(replace(replace(replace(replace(replace(trim(regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&')), lambda x: len(x) > 40) AS p FROM h),
+s AS (SELECT *, coalesce(list_position(list_transform(p, lambda x: regexp_matches(x, 'For .*?release.*?\\bShare\\b')), true), 0) AS start FROM p),
+r AS (SELECT *, CASE WHEN start = 0 THEN [] ELSE p[start + 1:] END AS rest FROM s),
+e AS (SELECT *, coalesce(nullif(list_position(list_transform(rest, lambda x: starts_with(lower(x), 'voting for') OR starts_with(x, 'Board of Governors')), true), 0), len(rest) + 1) AS stop FROM r),
+b AS (SELECT *, CASE WHEN start = 0 THEN '' ELSE array_to_string(list_filter(list_concat([regexp_extract(p[start], 'For .*?release.*?\\bShare\\b\\s*(.*)', 1)], rest[1:stop - 1]), lambda x: x <> ''), ' ') END AS statement FROM e)
+SELECT page_id, len(p) AS n_paragraphs, length(statement) AS n_chars, md5(statement) AS statement_md5,
+  coalesce(list_filter(string_split(regexp_replace(statement, '([.])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: contains(lower(x), 'target range for the federal funds rate'))[1], '') AS decision FROM b""")
 def html_statement_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The paragraphs that a statement is looked for in; the statement itself and its decision are columns of the operator."""
-    s = M.statement(V.table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html")), "html")
-    return s.select("page_id", F.size("paragraphs").cast("long").alias("n_paragraphs"))
+    """Statements among the paragraphs of pages: three of four pages have one, ended by a roster, a footer or the page; and its decision."""
+    at, html, lit = F.col("page_id"), F.coalesce("html", F.lit("")), F.lit
+    end = F.when(at % 4 == 1, ROSTER[0]).when(at % 4 == 2, ROSTER[1]).otherwise("")
+    page = F.concat(lit(STATED[0]), at.cast("string"), lit(STATED[1]), html, lit(STATED[2]), at.cast("string"), lit(STATED[3]), end, html)
+    s = M.statement(V.table(spark, sf_dir, "pages").select("page_id", F.when(at % 4 == 0, html).otherwise(page).alias("html")), "html")
+    return s.select("page_id", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.length("statement").cast("long").alias("n_chars"), F.md5("statement").alias("statement_md5"), "decision")
 
 
 @query("""WITH s AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, '') || ' Total revenues increased 5 percent due to ' || source || '. total Revenues increased 5 percent due to ' || source || '. Net sales declined.', '(?i)(?:net sales|total net sales|total revenues?|revenues?|total revenue)\\b[^.]{0,40}?(?:increased|decreased|grew|rose|declined)\\b[^.]*?(?:due to|driven by|primarily|reflect|as a result|attributable to)[^.]*\\.'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS s FROM documents),

@@ -173,34 +173,40 @@ def kev_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, sf_dir: str) -> str:
-    """A folder of one record file and one ledger for each source."""
+    """A folder with a file of its records for each source, and a ledger of its short ones; the tasks write them."""
+    d = V.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
+    line = F.concat(F.lit('{"id": '), F.col("doc_id").cast("string"), F.lit(', "md5": "'), F.md5("text"), F.lit('"}'))
     top = X.scratch(spark, "found")
-    for r in V.table(spark, sf_dir, "documents").select("source").distinct().collect():  # sources are few
-        name = r["source"] or "none"
-        X.write_text(spark, '{"a": 1}\n', f"{top}/{name}.jsonl")
-        X.write_text(spark, '{"a": 1}\n', f"{top}/{name}.rejected.jsonl")
+    X.write_files(d, "source", "doc_id", line, top, ".jsonl")
+    X.write_files(d.where(F.length("text") < 500), "source", "doc_id", line, f"{top}/ledgers", ".rejected.jsonl")
     return top
 
 
-NAMES = "SELECT DISTINCT coalesce(source, 'none') || '.jsonl' AS file FROM documents"
+LINES = """WITH l AS (SELECT doc_id, coalesce(source, 'none') AS source, len(coalesce(text, '')) AS n, '{"id": ' || doc_id || ', "md5": "' || md5(coalesce(text, '')) || '"}' || chr(10) AS line FROM documents),
+f AS (SELECT source || '.jsonl' AS file, string_agg(line, '' ORDER BY doc_id) AS content FROM l GROUP BY 1 UNION ALL SELECT source || '.rejected.jsonl', string_agg(line, '' ORDER BY doc_id) FROM l WHERE n < 500 GROUP BY 1)"""
 
 
-@query(NAMES)
+def _name():
+    return F.element_at(F.split("file", "/"), -1).alias("file")
+
+
+@query(f"{LINES} SELECT file FROM f WHERE NOT ends_with(file, '.rejected.jsonl')")
 def discover_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.discover_files(spark, _files(spark, sf_dir)).select(F.element_at(F.split("file", "/"), -1).alias("file"))
+    return X.discover_files(spark, _files(spark, sf_dir)).select(_name())
 
 
-@query(f"{NAMES} UNION ALL SELECT DISTINCT coalesce(source, 'none') || '.rejected.jsonl' FROM documents")
+@query(f"{LINES} SELECT file FROM f")
 def find_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.find_files(spark, _files(spark, sf_dir)).select(F.element_at(F.split("file", "/"), -1).alias("file"))
+    return X.find_files(spark, _files(spark, sf_dir)).select(_name())
 
 
-@query("SELECT area AS name FROM (VALUES ('detection'), ('retrieval'), ('pairing'), ('lexical'), ('validation'), ('governing'), ('evaluation'), ('scoring'), ('building'), ('files'), ('probing')) t(area)")
+@query(f"WITH {V.REGISTRY}, n AS (SELECT source AS name, count(*) AS n FROM documents GROUP BY 1) SELECT n.name, n.n, coalesce(a.source, n.name) AS registered_as, coalesce(r.status, 'review_required') AS status FROM n LEFT JOIN v_alias a ON n.name = a.alias LEFT JOIN v_reg r ON coalesce(a.source, n.name) = r.source")
 def list_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The registered areas of queries."""
-    from . import AREAS
-
-    return spark.createDataFrame([(a.__name__.rpartition(".")[2],) for a in AREAS], "name string")
+    """The sources that documents come from, and what the registry says of them."""
+    reg, aliases = V.registry(spark)
+    n = V.table(spark, sf_dir, "documents").groupBy(F.col("source").alias("name")).agg(F.count("*").alias("n"))
+    n = n.join(aliases.toDF("alias", "of"), F.col("name") == F.col("alias"), "left").withColumn("registered_as", F.coalesce("of", "name"))
+    return n.join(reg.select("source", "status"), F.col("registered_as") == F.col("source"), "left").select("name", "n", "registered_as", F.coalesce("status", F.lit("review_required")).alias("status"))
 
 
 @query("SELECT doc_id, lang FROM documents")
@@ -236,9 +242,9 @@ def sink_html_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(path).where(F.startswith("value", F.lit("<tr><td>"))).select(cell(1).alias("source"), cell(2).cast("long").alias("n"))
 
 
-@query("SELECT DISTINCT coalesce(source, 'none') || '.jsonl' AS file, sha256('{\"a\": 1}' || chr(10)) AS sha256 FROM documents UNION ALL SELECT DISTINCT coalesce(source, 'none') || '.rejected.jsonl', sha256('{\"a\": 1}' || chr(10)) FROM documents")
+@query(f"{LINES} SELECT file, strlen(content) AS bytes, sha256(content) AS sha256 FROM f")
 def file_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.file_digests(spark, _files(spark, sf_dir)).select(F.element_at(F.split("file", "/"), -1).alias("file"), "sha256")
+    return X.file_digests(spark, _files(spark, sf_dir)).select(_name(), "bytes", "sha256")
 
 
 @query(f"{PRICE} SELECT series_id, dt AS date, round(price * 0.137931, 2) AS value FROM v_price")
@@ -266,15 +272,21 @@ def first_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.first_record(c.union(blank)).select(F.col("file").alias("conv_id"), F.get_json_object("record", "$.role").alias("role"))
 
 
-@query(f"WITH {V.REGISTRY} SELECT source AS name, 'status' AS error FROM v_reg WHERE status NOT IN ('approved', 'conditional', 'review_required', 'blocked') OR status IS NULL UNION ALL SELECT alias, 'alias' FROM v_alias WHERE source NOT IN (SELECT source FROM v_reg) UNION ALL SELECT 'odd', 'status' UNION ALL SELECT 'lost', 'alias'")
+REGISTERED = """WITH d AS (SELECT source, count(*) AS n, min(doc_id) AS least FROM documents WHERE source IS NOT NULL GROUP BY 1),
+r AS (SELECT source, ['approved', 'conditional', 'perhaps', NULL, 'blocked'][least % 5 + 1] AS status FROM d), a AS (SELECT DISTINCT lang || '-' || source AS alias, CASE WHEN lang = 'fr' THEN 'no-' || source ELSE source END AS source FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)"""
+
+
+@query(f"{REGISTERED} SELECT source AS name, 'status' AS error FROM r WHERE status IS NULL OR status NOT IN ('approved', 'conditional', 'review_required', 'blocked') UNION ALL SELECT alias, 'alias' FROM a WHERE source NOT IN (SELECT source FROM r)")
 def load_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is wrong with a registry read from its file, to which two faults were added."""
-    reg, aliases = V.registry(spark)
+    """What is wrong with a registry of the documents' sources and of their names by language, written and read from its files."""
+    d = V.table(spark, sf_dir, "documents").where(F.col("source").isNotNull())
+    status = F.array(*(F.lit(x) for x in ("approved", "conditional", "perhaps", None, "blocked")))
+    reg = d.groupBy("source").agg(F.min("doc_id").alias("least")).select("source", F.get(status, (F.col("least") % 5).cast("int")).alias("status"))
+    target = F.when(F.col("lang") == "fr", F.concat(F.lit("no-"), "source")).otherwise(F.col("source"))
+    aliases = d.where(F.col("lang").isNotNull()).select(F.concat_ws("-", "lang", "source").alias("alias"), target.alias("source")).distinct()
     path = X.scratch(spark, "registry")
-    odd = spark.createDataFrame([("odd", "perhaps")], "source string, status string")
-    lost = spark.createDataFrame([("lost", "nowhere")], "alias string, source string")
-    X.write_json_lines(reg.select("source", "status").union(odd), f"{path}/sources")
-    X.write_json_lines(aliases.union(lost), f"{path}/aliases")
+    X.write_json_lines(reg, f"{path}/sources")
+    X.write_json_lines(aliases, f"{path}/aliases")
     return X.registry_errors(X.json_lines(spark, f"{path}/sources", "source string, status string"), X.json_lines(spark, f"{path}/aliases", "alias string, source string"))
 
 

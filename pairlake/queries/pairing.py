@@ -246,9 +246,9 @@ def extractive_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", P.compressed(F.split("text", r"(?<=[.!?])\s+"), 40).alias("lead"))
 
 
-@query(f"{QUAKE} SELECT id, len(s) AS n FROM q")
+@query(f"{QUAKE} SELECT id, len(s) AS n, array_to_string(list_transform(s, lambda v: ['▁', '▂', '▃', '▄', '▅', '▆', '▇', '█'][floor((v - list_min(s)) / CASE WHEN list_max(s) = list_min(s) THEN 1.0::DOUBLE ELSE list_max(s) - list_min(s) END * 7.999::DOUBLE)::INT + 1]), '') AS line FROM q")
 def sink_sparkline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _quakes(spark, sf_dir).select("id", F.length(S.sparkline(F.col("s"))).cast("long").alias("n"))
+    return _quakes(spark, sf_dir).select("id", F.size("s").cast("long").alias("n"), S.sparkline(F.col("s")).alias("line"))
 
 
 @query(f"{ITEM} SELECT series_id, origin, kt, 'pair@1' AS schema_version, 'text_to_ts' AS kind, kt IS NOT NULL AS has_kt FROM v_item")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .robust import PIECE, store_of
+
 #: Endings of files that are ledgers, not records.
 LEDGERS = (".rejected.jsonl", ".unsupported.jsonl", ".filtered.jsonl")
 
@@ -77,8 +82,63 @@ def epss_csv(spark: SparkSession, path: str, day: str, targets: DataFrame) -> Da
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """file, sha256 of small files."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"))
+    """file, bytes, sha256 of the files below a path, read piece by piece where the tasks are; only their names are listed before."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], []]
+            for name in batch[0].to_pylist():
+                store, at = store_of(name)
+                h, n = hashlib.sha256(), 0
+                with store.open_input_stream(at) as f:
+                    while piece := f.read(PIECE):
+                        h.update(piece)
+                        n += len(piece)
+                out[0].append(n)
+                out[1].append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch[0], pa.array(out[0], pa.int64()), pa.array(out[1])], names=["file", "bytes", "sha256"])
+
+    return names.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file").mapInArrow(digest, "file string, bytes long, sha256 string")
+
+
+def write_files(rows: DataFrame, name: str, order: str, line: Column, folder: str, ending: str) -> DataFrame:
+    """Writes a file (its name and ending) for each name with its lines in order; returns file and lines of each, after writing.
+
+    The rows of a name are sorted within one task, which writes them as they come and moves the file in place when it is
+    whole, so a task that is run again does no harm. A name is a file, so its writer is one task.
+    """
+    spark = rows.sparkSession
+    slim = rows.select(F.col(name).alias("name"), F.col(order).alias("order"), line.alias("line"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = store_of(folder)
+        store.create_dir(top)
+        now, out, aside, n = None, None, "", 0
+        done: list[tuple[str, int]] = []
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                store.move(aside, f"{top}/{now}{ending}")
+                done.append((f"{now}{ending}", n))
+
+        for batch in batches:
+            names, lines = batch[0].to_pylist(), batch[2].to_pylist()
+            for x, text in zip(names, lines):
+                if x != now:
+                    close()
+                    now, n, aside = x, 0, f"{top}/.{x}{ending}.{uuid.uuid4().hex}"
+                    out = store.open_output_stream(aside)
+                out.write(text.encode() + b"\n")
+                n += 1
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["file", "lines"])
+
+    sorted_ = slim.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name").sortWithinPartitions("name", "order")
+    ledger = scratch(spark, "written")
+    sorted_.mapInArrow(write, "file string, lines long").write.parquet(ledger)
+    return spark.read.schema("file string, lines long").parquet(ledger)
 
 
 def _replace(spark: SparkSession, aside: str, path: str) -> None:
