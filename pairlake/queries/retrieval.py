@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import detect as D
 from ..operators import retrieve as R
 from ..plans import views as V
+from ..sources.files import scratch
 from .common import Registry, r6
 
 query = Registry()
@@ -102,6 +103,24 @@ def asof_revision_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.asof_backward(e, d, "day", ["domain"], ["article_id"], True).select("event_id", F.coalesce("right_article_id", F.lit(-1).cast("long")).alias("article_id"))
 
 
+@query(f"""WITH {EVENTS}, v_dom AS (SELECT domain, day, max(article_id) AS article_id FROM v_article GROUP BY ALL), e AS (SELECT event_id, day, 'src' || (idx % 20) AS domain FROM v_event)
+SELECT event_id, d.day AS report_day, d.article_id FROM e ASOF LEFT JOIN v_dom d ON e.domain = d.domain AND e.day > d.day""")
+def asof_revision_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The as-of lookup as a stream: events and articles in files without any order, then the end."""
+    from ..streaming import asof
+
+    e = events(spark, sf_dir).select(F.concat(F.lit("src"), (F.col("idx") % 20).cast("string")).alias("key"), F.col("day").cast("timestamp").alias("t"), F.lit(1).alias("kind"), F.xxhash64("event_id").alias("id"), "event_id")
+    a = V.article(spark, sf_dir).select(F.col("domain").alias("key"), F.col("day").cast("timestamp").alias("t"), F.lit(0).alias("kind"), F.col("article_id").alias("id"))
+    source, out, at = (scratch(spark, x) for x in ("stream", "answers", "progress"))
+    e.drop("event_id").unionByName(a).repartition(4, F.xxhash64("id")).write.parquet(source)
+    asof.over_files(spark, source, out, at, "20000 days", 2)
+    asof.end(spark, source)
+    asof.over_files(spark, source, out, at, "20000 days", 2)
+    got = spark.read.schema(asof.FOUND).parquet(out)
+    day = F.timestamp_millis("report_at").cast("date")
+    return e.select("event_id", "id").join(got, "id").select("event_id", day.alias("report_day"), F.col("report_id").alias("article_id"))
+
+
 def _relevance(c: str) -> str:
     words = f"array_to_string(regexp_extract_all(lower({c}), '[a-z][a-z+]{{2,}}'), ' ')"
     return " + ".join(f"contains({words}, '{t}')::INT" for t in TERMS)
