@@ -201,7 +201,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Attention | Constant:
     known = known.join(texts.select(F.col("doc_id").alias("of")).distinct(), "of", "left_semi")
     some = [known.where(F.col("y") == y).orderBy(F.xxhash64("of"), "of").limit(SAMPLE) for y in (0, 1)]
     sample = F.broadcast(some[0].union(some[1]).select("of", "y"))  # 2 * SAMPLE rows at most
-    rows = texts.join(sample, F.col("doc_id") == F.col("of")).dropDuplicates(["doc_id"]).select("doc_id", "y", "text")
+    rows = texts.join(sample, F.col("doc_id") == F.col("of")).withColumn("digest", F.sha2(F.coalesce("text", F.lit(b"")), 256))
+    first = rows.groupBy(F.col("doc_id").alias("first_of")).agg(F.min("digest").alias("first"))  # of a doc_id's texts the one with the smallest digest
+    rows = rows.join(first, (F.col("doc_id") == F.col("first_of")) & (F.col("digest") == F.col("first"))).dropDuplicates(["doc_id"]).select("doc_id", "y", "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, texts in _blocks(batches):
