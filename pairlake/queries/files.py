@@ -31,7 +31,7 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.price(spark, sf_dir).select("series_id", "dt", F.round(F.col("price") * 0.137931, 2).alias("price"), "idx")  # an odd share, so that no tie is rounded
 
 
-@query("SELECT doc_id, source, n_chars, NULL::VARCHAR AS corrupt FROM documents UNION ALL SELECT NULL, NULL, NULL, 'not json ' || doc_id FROM documents WHERE doc_id % 97 = 0")
+@query("SELECT doc_id, source, n_chars, NULL::VARCHAR AS corrupt FROM documents UNION ALL SELECT -1, NULL, -1, 'not json ' || doc_id FROM documents WHERE doc_id % 97 = 0")
 def scan_jsonl_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of files of two makes, objects on lines and over lines, among lines that aren't JSON; those come back too."""
     d = V.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
@@ -41,7 +41,7 @@ def scan_jsonl_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
         record = F.to_json(F.struct("doc_id", "source", "n_chars"), {"pretty": "true"} if odd else {})
         d.where(F.pmod("doc_id", F.lit(2)) == odd).select(F.concat_ws("\n", record, bad).alias("value")).write.option("compression", "none").text(f"{top}/{make}")
     r = F.from_json("record", "doc_id long, source string, n_chars long")
-    return X.json_records(spark, _renamed(spark, top)).select(r.alias("r"), "corrupt").select("r.*", "corrupt")
+    return X.json_records(spark, _renamed(spark, top)).select(r.alias("r"), "corrupt").select(F.coalesce("r.doc_id", F.lit(-1).cast("long")).alias("doc_id"), "r.source", F.coalesce("r.n_chars", F.lit(-1).cast("long")).alias("n_chars"), "corrupt")
 
 
 def _renamed(spark: SparkSession, top: str) -> str:

@@ -104,7 +104,7 @@ def asof_revision_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {EVENTS}, v_dom AS (SELECT domain, day, max(article_id) AS article_id FROM v_article GROUP BY ALL), e AS (SELECT event_id, day, 'src' || (idx % 20) AS domain FROM v_event)
-SELECT event_id, d.day AS report_day, d.article_id FROM e ASOF LEFT JOIN v_dom d ON e.domain = d.domain AND e.day > d.day""")
+SELECT event_id, d.day AS report_day, coalesce(d.article_id, -1) AS article_id FROM e ASOF LEFT JOIN v_dom d ON e.domain = d.domain AND e.day > d.day""")
 def asof_revision_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The as-of lookup as a stream: events and articles in files without any order, then the end."""
     from ..streaming import asof
@@ -118,7 +118,7 @@ def asof_revision_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     asof.over_files(spark, source, out, at, "20000 days", 2)
     got = spark.read.schema(asof.FOUND).parquet(out)
     day = F.timestamp_millis("report_at").cast("date")
-    return e.select("event_id", "id").join(got, "id").select("event_id", day.alias("report_day"), F.col("report_id").alias("article_id"))
+    return e.select("event_id", "id").join(got, "id").select("event_id", day.alias("report_day"), F.coalesce("report_id", F.lit(-1).cast("long")).alias("article_id"))
 
 
 def _relevance(c: str) -> str:
