@@ -9,8 +9,8 @@ same by the largest component, and by plain mean and covariance) choose a first
 group; each concentration step takes the three quarters that are nearest by Mahalanobis distance and
 estimates mean and covariance from them, until no determinant falls any more; of a group's starts the
 smallest determinant wins. The distance that parts the quarters comes from a histogram of distances by
-group (some hundred bins each), so no group is sorted or gathered, a group with a third of all rows is
-aggregated like any other, and all rows count. FACTOR makes the covariance of the nearest three quarters
+group (some hundred bins each, which carry their sums and sums of products), so no group is sorted or
+gathered, a step reads the rows once, a group with a third of all rows is aggregated like any other, and all rows count. FACTOR makes the covariance of the nearest three quarters
 of normal data that of all; a floor (FLOORS) is added to variances, as many clean texts have no symbol
 and no repeat at all, so that their spread says nothing. The length of words is measured from its group's
 median, so that it doesn't follow the size of a text. Every estimate is drawn to that of its language,
@@ -29,13 +29,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 WINDOW, LEAST_WORDS, REPEAT_PERCENT = 5, 10, 20
 #: Share of a group that an estimate rests on, most steps, least fall of a log determinant, texts that weigh as much as the pool.
 SHARE, STEPS, FALL, SHRINK = 0.75, 12, 1e-3, 60
-#: Groups whose estimates may go to every task; more are joined by key.
-BROADCAST = 50_000
+STARTS = 3
+#: Groups whose estimates may go to every task; of more only those with the share LARGE of the rows do, the others are joined by key.
+BROADCAST, LARGE = 50_000, 0.001
 #: Fixed values for five dimensions and a share of 0.75: the consistency factor of the covariance.
 FACTOR = 1.41
 #: Largest squared distance that is kept: the 0.999 quantile of chi-squared with five degrees of freedom.
@@ -44,6 +45,8 @@ CUTOFF = 20.515
 #: texts have no symbol and no repeat: the floor there is less than a symbol in 20 words or one repeated line adds.
 FLOORS = {"size": 0.05, "length": 0.05, "symbols": 0.15, "lines": 0.2, "repeats": 0.2}
 NAMES = list(FLOORS)
+PAIRS = [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
+FIELDS = [f"m_{a}" for a in NAMES] + [f"c_{i}_{j}" for i, j in PAIRS]
 
 WHITE = " \t\n\x0b\f\r"
 
@@ -98,81 +101,91 @@ def _vector() -> dict[str, Column]:
 
 
 def _factored(params: DataFrame) -> DataFrame:
-    """key, m_* and the Cholesky factor l_i_j of the covariance c_i_j with floors."""
-    out = params
-    for i, a in enumerate(NAMES):
-        for j, b in enumerate(NAMES[: i + 1]):
-            done = reduce(lambda s, k: s - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}"), range(j), F.col(f"c_{i}_{j}"))
-            if i == j:  # no less than a hundredth of the floor is left by what the others explain
-                out = out.withColumn(f"l_{i}_{i}", F.sqrt(F.greatest(done, F.lit(0.01 * FLOORS[a] ** 2))))
-            else:
-                out = out.withColumn(f"l_{i}_{j}", done / F.col(f"l_{j}_{j}"))
-    return out
-
-
-def _distance() -> Column:
-    """Squared Mahalanobis distance by forward substitution."""
-    y: list[Column] = []
-    for i, a in enumerate(NAMES):
-        rest = reduce(lambda s, k: s - F.col(f"l_{i}_{k}") * y[k], range(i), F.col(a) - F.col(f"m_{a}"))
-        y.append(rest / F.col(f"l_{i}_{i}"))
-    return reduce(lambda s, v: s + v * v, y[1:], y[0] * y[0])
-
-
-def _by_key(params: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(params) if n <= BROADCAST else params.hint("merge")
-
-
-def _estimated(rows: DataFrame, *keys: str) -> DataFrame:
-    """keys, n, m_*, c_i_j from the rows (keys and the statistics) of each group's share."""
-    means = [F.avg(a).alias(f"m_{a}") for a in NAMES]
-    covs = [F.covar_pop(a, b).alias(f"v_{i}_{j}") for i, a in enumerate(NAMES) for j, b in enumerate(NAMES[: i + 1])]
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), *means, *covs)
-    floor = lambda i, j: FLOORS[NAMES[i]] ** 2 if i == j else 0.0
-    cs = [(FACTOR * F.col(f"v_{i}_{j}") + floor(i, j)).alias(f"c_{i}_{j}") for i in range(5) for j in range(i + 1)]
-    return out.select(*keys, "n", *(f"m_{a}" for a in NAMES), *cs)
-
-
-def _log_det() -> Column:
-    return reduce(lambda s, i: s + 2 * F.log(F.col(f"l_{i}_{i}")), range(1, 5), 2 * F.log(F.col("l_0_0")))
-
-
-def _nearest(bins: DataFrame, n: int) -> DataFrame:
-    """The three quarters of each (key, start) with the smallest d2, by whole bins."""
-    bins = bins.withColumn("bin", F.floor(16 * F.log2(1 + 16 * F.col("d2"))))
-    counts = bins.groupBy("key", "start", "bin").count()
-    by = Window.partitionBy("key", "start")
-    last = counts.withColumns({"up": F.sum("count").over(by.orderBy("bin")), "total": F.sum("count").over(by)})
-    last = last.where(F.col("up") >= SHARE * F.col("total")).groupBy("key", "start").agg(F.min("bin").alias("last"))
-    return bins.join(_by_key(last, n), ["key", "start"]).where("bin <= last")  # n rows
+    """With the Cholesky factor l_i_j of the covariance c_i_j, the factor's inverse w_i_j, and det, the log determinant."""
+    out = []
+    for i, j in PAIRS:
+        done = " - ".join([f"c_{i}_{j}", *(f"l_{i}_{k} * l_{j}_{k}" for k in range(j))])
+        # no less than a hundredth of the floor is left by what the others explain
+        out.append(f"sqrt(greatest({done}, {0.01 * FLOORS[NAMES[i]] ** 2}D)) AS l_{i}_{i}" if i == j else f"({done}) / l_{j}_{j} AS l_{i}_{j}")
+    for i, j in PAIRS:
+        done = " + ".join(f"l_{i}_{k} * w_{k}_{j}" for k in range(j, i))
+        out.append(f"1 / l_{i}_{i} AS w_{i}_{i}" if i == j else f"-({done}) / l_{i}_{i} AS w_{i}_{j}")
+    return params.selectExpr("*", *out, "2 * (" + " + ".join(f"ln(l_{i}_{i})" for i in range(len(NAMES))) + ") AS det")
+
+
+def _distance(of: str = "") -> Column:
+    """Squared Mahalanobis distance; of: the struct in which means and inverse factors are."""
+    y = [" + ".join(f"{of}w_{i}_{j} * ({NAMES[j]} - {of}m_{NAMES[j]})" for j in range(i + 1)) for i in range(len(NAMES))]
+    return F.expr(" + ".join(f"pow({v}, 2)" for v in y))
+
+
+def _large(sizes: DataFrame) -> DataFrame | None:
+    """The keys of sizes (key, n) with the share LARGE of the rows or more, 1 / LARGE of them at most; None where all keys are few."""
+    groups, rows = sizes.agg(F.count("*"), F.sum("n")).first()
+    return None if groups <= BROADCAST else written(sizes.where(F.col("n") >= rows * LARGE).select("key"), "outliers")
+
+
+def _by_key(rows: DataFrame, params: DataFrame, large: DataFrame | None) -> DataFrame:
+    """rows with the params of their key. Of very many keys only the large ones go to every task, the others are joined by key."""
+    if large is None:
+        return rows.join(F.broadcast(params), "key")
+    large = F.broadcast(large)
+    hot = rows.join(F.broadcast(params.join(large, "key")), "key")
+    return hot.unionByName(rows.join(large, "key", "left_anti").join(params.hint("merge"), "key"))
+
+
+def _covered(cov: Callable[[int, int], Column]) -> list[Column]:
+    """c_i_j: the covariances with their factor and floors."""
+    return [(FACTOR * cov(i, j) + (FLOORS[NAMES[i]] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i, j in PAIRS]
+
+
+def _nearest(rows: DataFrame) -> DataFrame:
+    """key, its origin o_*, and for each start a struct of the estimate from the three quarters with the smallest distance.
+
+    rows: key, o_* (near the middle of the group), the statistics, and far, for each start a distance (d2) and the log
+    determinant that it comes from (before). Each bin of distances has its count, sums and sums of products from the
+    origin; the bins of the nearest quarters are added up, so one pass over the rows finds the quarters and their estimate.
+    """
+    origin = [f"o_{a}" for a in NAMES]
+    each = rows.select("key", *origin, *((F.col(a) - F.col(f"o_{a}")).alias(a) for a in NAMES), F.posexplode("far").alias("start", "far"))
+    each = each.select("*", F.floor(16 * F.log2(1 + 16 * F.col("far.d2"))).alias("bin"))
+    sums = {"n": "count(*)", **{f"s_{a}": f"sum({a})" for a in NAMES}, **{f"q_{i}_{j}": f"sum({NAMES[i]} * {NAMES[j]})" for i, j in PAIRS}}
+    same = [F.first(c).alias(c) for c in (*origin, "before")]
+    bins = each.withColumn("before", F.col("far.before")).groupBy("key", "start", "bin").agg(*(F.expr(c).alias(k) for k, c in sums.items()), *same)
+    by = Window.partitionBy("key", "start")  # a row for each bin
+    bins = bins.repartition("key").withColumns({"up": F.sum("n").over(by.orderBy("bin")), "total": F.sum("n").over(by)})
+    near = bins.where(F.col("up") - F.col("n") < SHARE * F.col("total")).groupBy("key", "start").agg(*(F.sum(k).alias(k) for k in sums), *same)
+    mean = {a: F.col(f"s_{a}") / F.col("n") for a in NAMES}
+    cov = lambda i, j: F.col(f"q_{i}_{j}") / F.col("n") - mean[NAMES[i]] * mean[NAMES[j]]
+    found = _factored(near.select("key", "start", *origin, "before", *((F.col(f"o_{a}") + mean[a]).alias(f"m_{a}") for a in NAMES), *_covered(cov)))
+    of = F.struct("det", "before", *FIELDS, *(f"w_{i}_{j}" for i, j in PAIRS))
+    return found.groupBy("key").agg(*(F.first(c).alias(c) for c in origin), *(F.max(F.when(F.col("start") == s, of)).alias(f"of_{s}") for s in range(STARTS)))
 
 
 def estimates(rows: DataFrame) -> DataFrame:
     """key, n, m_* and c_i_j: the robust mean and covariance of each key."""
-    medians = rows.groupBy("key").agg(F.count("*").alias("n"), *(F.percentile_approx(a, 0.5, 1000).alias(f"m_{a}") for a in NAMES))
-    medians = written(medians, "medians")
-    groups = medians.count()
-    away = rows.join(_by_key(medians, groups), "key").groupBy("key").agg(*(F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{a}")), 0.5, 1000).alias(f"d_{a}") for a in NAMES))
-    start = written(medians.join(away, "key"), "spreads")
-    near = rows.join(_by_key(start, groups), "key")
-    z = [((F.col(a) - F.col(f"m_{a}")) ** 2) / ((1.4826 * F.col(f"d_{a}")) ** 2 + FLOORS[a] ** 2) for a in NAMES]
-    plain = written(_estimated(rows, "key"), "outliers")
-    mahalanobis = rows.join(_by_key(_factored(plain), groups), "key").select("key", *NAMES, F.lit(2).alias("start"), _distance().alias("d2"))
-    first = near.select("key", *NAMES, F.lit(0).alias("start"), sum(z[1:], z[0]).alias("d2")).union(near.select("key", *NAMES, F.lit(1).alias("start"), F.greatest(*z).alias("d2"))).union(mahalanobis)
-    params = written(_factored(_estimated(_nearest(first, 3 * groups).select("key", "start", *NAMES), "key", "start")).withColumn("det", _log_det()), "outliers")
-    starts = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    medians = [F.percentile_approx(a, 0.5, 1000).alias(f"o_{a}") for a in NAMES]
+    plain = [F.avg(a).alias(f"m_{a}") for a in NAMES] + _covered(lambda i, j: F.covar_pop(NAMES[i], NAMES[j]))
+    first = written(rows.groupBy("key").agg(F.count("*").alias("n"), *medians, *plain), "medians")
+    large = _large(first)
+    origin = first.select("key", *(f"o_{a}" for a in NAMES))
+    away = _by_key(rows, origin, large).groupBy("key").agg(*(F.percentile_approx(F.abs(F.col(a) - F.col(f"o_{a}")), 0.5, 1000).alias(f"d_{a}") for a in NAMES))
+    start = written(_factored(first).join(away, "key"), "spreads")
+    z = [((F.col(a) - F.col(f"o_{a}")) ** 2) / ((1.4826 * F.col(f"d_{a}")) ** 2 + FLOORS[a] ** 2) for a in NAMES]
+    far = lambda *distances: F.array(*(F.struct(d.alias("d2"), b.cast("double").alias("before")) for d, b in distances))
+    none = F.lit(None)
+    params = written(_nearest(_by_key(rows, start, large).withColumn("far", far((sum(z[1:], z[0]), none), (F.greatest(*z), none), (_distance(), none)))), "outliers")
+    of = [F.col(f"of_{s}") for s in range(STARTS)]
+    far = far(*((_distance(f"of_{s}."), o["det"]) for s, o in enumerate(of)))
     for _ in range(STEPS):
-        placed = starts.join(_by_key(params, 3 * groups), ["key", "start"]).select("key", "start", *NAMES, _distance().alias("d2"))
-        new = _factored(_estimated(_nearest(placed, 3 * groups).select("key", "start", *NAMES), "key", "start")).withColumn("det", _log_det())
-        old = params.select("key", "start", F.col("det").alias("before"))
-        new = written(new.join(_by_key(old, 3 * groups), ["key", "start"]), "outliers")
-        fell = new.agg(F.max(F.col("before") - F.col("det"))).first()[0]
-        params = new.drop("before")
+        new = written(_nearest(_by_key(rows, params, large).withColumn("far", far)), "outliers")
+        fell = new.agg(F.max(F.greatest(*(o["before"] - o["det"] for o in of)))).first()[0]
+        dropped(params)
+        params = new
         if fell is None or fell <= FALL:
             break
-    fields = [f"m_{a}" for a in NAMES] + [f"c_{i}_{j}" for i in range(5) for j in range(i + 1)]
-    best = params.groupBy("key").agg(F.min_by(F.struct(*fields), F.struct("det", "start")).alias("b"))
-    return written(best.join(medians.select("key", "n"), "key").select("key", "n", "b.*"), "outliers")
+    best = params.select("key", F.array_min(F.array(*of)).alias("b"))
+    return written(best.join(first.select("key", "n"), "key").select("key", "n", *(f"b.{f}" for f in FIELDS)), "outliers")
 
 
 ALL = "all"
@@ -184,10 +197,9 @@ def _name(*columns: str) -> Column:
 
 def _drawn(own: DataFrame, pool: DataFrame) -> DataFrame:
     """own (key, above, n and an estimate) drawn to the estimate of the pool that is above it."""
-    fields = [f"m_{a}" for a in NAMES] + [f"c_{i}_{j}" for i in range(5) for j in range(i + 1)]
     w = F.col("n") / (F.col("n") + SHRINK)
-    pool = pool.select(F.col("key").alias("above"), *(F.col(f).alias(f"p_{f}") for f in fields))
-    mixed = [(w * F.col(f) + (1 - w) * F.col(f"p_{f}")).alias(f) for f in fields]
+    pool = pool.select(F.col("key").alias("above"), *(F.col(f).alias(f"p_{f}") for f in FIELDS))
+    mixed = [(w * F.col(f) + (1 - w) * F.col(f"p_{f}")).alias(f) for f in FIELDS]
     return own.join(pool, "above").select("key", "n", *mixed)
 
 
@@ -206,10 +218,11 @@ def judged(docs: DataFrame) -> DataFrame:
     """doc_id, the base statistics, base_failed, kept, distance (null where the base fails)."""
     rows = written(statistics(docs), "statistics")
     fine = rows.where(~F.col("base_failed")).withColumns({"log_length": F.log(F.col("word_chars") / F.col("n_words")), "key": _name("lang", "source"), "pool": _name("lang")})
-    usual = written(fine.groupBy("key").agg(F.percentile_approx("log_length", 0.5, 1000).alias("usual")), "usual")
-    fine = written(fine.join(_by_key(usual, usual.count()), "key").withColumns(_vector()), "vectors")
+    usual = written(fine.groupBy("key").agg(F.count("*").alias("n"), F.percentile_approx("log_length", 0.5, 1000).alias("usual")), "usual")
+    large = _large(usual)
+    fine = written(_by_key(fine, usual.drop("n"), large).withColumns(_vector()), "vectors")
     params = shrunk(fine)
-    far = fine.join(_by_key(_factored(params), params.count()), "key").withColumn("distance", _distance())
+    far = _by_key(fine, _factored(params).drop("n"), large).withColumn("distance", _distance())
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     passed = far.select(*columns, (F.col("distance") <= CUTOFF).alias("kept"), "distance")
     return passed.union(rows.where("base_failed").select(*columns, F.lit(False), F.lit(None).cast("double")))

@@ -465,6 +465,14 @@ def test_verdicts_like_numpy(spark, docs):
     assert (f.kept.to_numpy() == want).mean() > 0.99 and not got[got.base_failed].kept.any()
 
 
+def test_many_groups_are_joined_by_key(spark, docs, monkeypatch):
+    """Beyond the bound of the broadcast the verdicts stay; large keys, here the one of all, are still sent to every task."""
+    want = {r.doc_id: r.kept for r in quality_rules.judged(docs).collect()}
+    monkeypatch.setattr(quality_rules, "BROADCAST", 0)
+    monkeypatch.setattr(quality_rules, "LARGE", 0.2)
+    assert {r.doc_id: r.kept for r in quality_rules.judged(docs).collect()} == want
+
+
 def test_junk_among_clean_texts_is_rejected(spark):
     """A symbol in every second to fourth word of a text that is like its group otherwise, and repeats just within the base."""
     r = np.random.default_rng(5)
