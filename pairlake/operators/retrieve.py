@@ -107,6 +107,26 @@ def short_hash(parts: Column, n: int) -> Column:
     return F.substring(F.sha1(F.array_join(parts, "\n")), 1, n)
 
 
+def verdict_key(topic: Column, titles: Column) -> Column:
+    """The key of a cached answer about a topic and its titles (or a single text as an array of one)."""
+    return F.substring(F.sha1(F.concat(topic, F.lit("||"), F.array_join(titles, "\n"))), 1, 16)
+
+
+def semantic_ranked(cases: DataFrame, cache: DataFrame, topic: str) -> DataFrame:
+    """cases (topic and titles) with the cached answer, kept (numbers of titles from 1), and fail_open.
+
+    An answer has a number and a word for each title. All titles are kept where there is no answer or it keeps none, as
+    leaving out noise must not lose a case; nothing is ever asked. cache: key, answer, a row for each key.
+    """
+    said = cases.withColumn("key", verdict_key(F.col(topic), F.col("titles"))).join(cache, "key", "left").drop("key")
+    pattern, low = F.lit(r"(\d+)\s*[:.)]\s*(yes|no|relevant|irrelevant)"), F.lower(F.coalesce("answer", F.lit("")))
+    pairs = F.arrays_zip(F.regexp_extract_all(low, pattern, F.lit(1)).alias("i"), F.regexp_extract_all(low, pattern, F.lit(2)).alias("said"))
+    yes = F.transform(F.filter(pairs, lambda x: x["said"].isin("yes", "relevant")), lambda x: x["i"].try_cast("int"))
+    every = F.sequence(F.lit(1), F.size("titles"))
+    said = said.withColumn("kept", F.array_intersect(every, yes))
+    return said.withColumn("fail_open", F.size("kept") == 0).withColumn("kept", F.when(F.col("fail_open"), every).otherwise(F.col("kept")))
+
+
 def without_overwrite(have: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return have.unionByName(new.join(have, key, "left_anti"))
 

@@ -100,6 +100,12 @@ def item(spark: SparkSession, sf_dir: str, history: int = 10, future: int = 5) -
     return got.select(key.alias("series_id"), F.col("series_id").alias("dataset"), F.col("dt").alias("origin"), F.col("right_day").alias("kt"), "history", "future", F.coalesce("title", F.lit("")).alias("text"))
 
 
+def ragged(spark: SparkSession, sf_dir: str, history: int = 10, future: int = 5) -> DataFrame:
+    """Every point with as much history and future as there is: series_id, idx, history, future. In ITEM it is v_point."""
+    w = Window.partitionBy("series_id").orderBy("idx")
+    return price(spark, sf_dir).select("series_id", "idx", F.collect_list("price").over(w.rowsBetween(-history, -1)).alias("history"), F.collect_list("price").over(w.rowsBetween(0, future - 1)).alias("future"))
+
+
 ITEM = (
     PRICE
     + ", "

@@ -197,9 +197,11 @@ def load_arms_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("series_id", F.round(S.total(F.col("history")) * 0.137931, 3).alias("history"), F.round(S.total(F.col("future")) * 0.137931, 3).alias("future"))
 
 
-@query(f"{ITEM} SELECT dataset, count(*) AS n FROM v_item WHERE len(history) >= 10 AND len(future) >= 5 GROUP BY 1")
+@query(f"{ITEM} SELECT series_id, count(*) AS n, round(sum(list_sum(history[-8:]) - list_sum(future[:3])) / 1e6, 4) AS fall FROM v_point WHERE len(history) >= 8 AND len(future) >= 3 GROUP BY 1")
 def load_gen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.rectangular(items(spark, sf_dir), 10, 5).groupBy("dataset").agg(F.count("*").alias("n"))
+    """Windows of eight points and three to come, cut to them; shorter ones are left out."""
+    f = M.rectangular(V.ragged(spark, sf_dir), 8, 3)
+    return f.groupBy("series_id").agg(F.count("*").alias("n"), F.round(F.sum(S.total(F.col("history")) - S.total(F.col("future"))) / 1e6, 4).alias("fall"))
 
 
 # gates

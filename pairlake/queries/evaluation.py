@@ -25,9 +25,12 @@ def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.err(spark, sf_dir)
 
 
-@query(f"{ITEM} SELECT dataset, count(*) AS n FROM v_g WHERE len(history) >= 2 AND len(future) >= 1 GROUP BY 1")
+@query(f"{ITEM} SELECT series_id AS dataset, count(*) AS n, min(idx)::INT AS first_point, round(sum(list_sum(history)) / 1e6, 4) AS history FROM v_point WHERE series_id NOT IN ('FURNITURE') AND len(history) >= 2 AND len(future) >= 1 GROUP BY 1")
 def forecast_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir).where((F.size("history") >= 2) & (F.size("future") >= 1)).groupBy("dataset").agg(F.count("*").alias("n"))
+    """Windows of the listed datasets with two points of history and one to forecast."""
+    fine = V.ragged(spark, sf_dir).where((F.col("series_id") != "FURNITURE") & (F.size("history") >= 2) & (F.size("future") >= 1))
+    out = fine.groupBy(F.col("series_id").alias("dataset"))
+    return out.agg(F.count("*").alias("n"), F.min("idx").cast("int").alias("first_point"), F.round(F.sum(S.total(F.col("history"))) / 1e6, 4).alias("history"))
 
 
 @query(f"{ITEM} SELECT series_id, grp FROM v_g")
@@ -138,10 +141,12 @@ def cpt_floor_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mase(fine).groupBy("dataset").agg(F.count("*").alias("n"), F.count_if(F.col("last") < F.col("trend")).alias("last_wins"))
 
 
-@query(f"{ITEM}, c AS (SELECT dataset, list_concat(history, future) AS v, kt FROM v_g) SELECT dataset, count(*) FILTER (WHERE len(v) >= 12) AS kept, count(*) FILTER (WHERE len(v) < 12) AS skipped, round(avg(list_sum(v[-4:])) / 1e6, 6) AS held_out FROM c GROUP BY 1")
+@query(f"{ITEM}, c AS (SELECT series_id AS dataset, list_concat(coalesce(history, []), coalesce(future, [])) AS v FROM v_point) SELECT dataset, count(*) FILTER (WHERE len(v) >= 12) AS kept, count(*) FILTER (WHERE len(v) < 12) AS skipped, round(avg(list_sum(v[-4:])) FILTER (WHERE len(v) >= 12) / 1e6, 6) AS held_out FROM c GROUP BY 1")
 def cpt_adapt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = items(spark, sf_dir).withColumn("v", F.concat("history", "future"))
-    return c.groupBy("dataset").agg(F.count_if(F.size("v") >= 12).alias("kept"), F.count_if(F.size("v") < 12).alias("skipped"), r6(F.avg(S.total(F.slice("v", -4, 4))) / 1e6).alias("held_out"))
+    """The last four values are held out; series with under eight before them are skipped and counted."""
+    c = V.ragged(spark, sf_dir).select(F.col("series_id").alias("dataset"), F.concat("history", "future").alias("v"))
+    fits = F.size("v") >= 12
+    return c.groupBy("dataset").agg(F.count_if(fits).alias("kept"), F.count_if(~fits).alias("skipped"), r6(F.avg(F.when(fits, S.total(F.slice("v", -4, 4)))) / 1e6).alias("held_out"))
 
 
 @query(f"{ITEM} SELECT dataset, count(*) FILTER (WHERE kt IS NULL OR kt >= origin - 1) AS leaked, count(*) AS total FROM v_g GROUP BY 1")

@@ -21,9 +21,10 @@ def _lines(rows: DataFrame, name: str) -> str:
     return path
 
 
-def _csv(rows: DataFrame, name: str) -> str:
+def _csv(rows: DataFrame, name: str, *keys: str) -> str:
+    """The path of CSV files, in a folder for each key."""
     path = X.scratch(rows.sparkSession, name)
-    rows.write.option("header", "true").option("quoteAll", "true").option("escape", '"').csv(path)
+    rows.write.partitionBy(*keys).option("header", "true").option("quoteAll", "true").option("escape", '"').csv(path)
     return path
 
 
@@ -70,24 +71,26 @@ def scan_price_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.price_csv(spark, _csv(p.select(F.date_format("dt", "yyyy-MM-dd").alias("date"), value.alias("value")), "prices"))
 
 
-@query(f"{PRICE} SELECT series_id, strftime(dt, '%Y-%m-%d') AS date, round(price * 0.137931, 2) AS value FROM v_price WHERE series_id IN ('BUILDING', 'MACHINERY')")
+@query(f"{PRICE} SELECT series_id, strftime(dt, '%Y-%m-%d') AS date, round(price * 0.137931, 2) AS value FROM v_price")
 def scan_commodity_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file for each commodity."""
-    p = prices(spark, sf_dir).where("series_id in ('BUILDING', 'MACHINERY')").select("series_id", F.date_format("dt", "yyyy-MM-dd").alias("date"), F.col("price").cast("string").alias("value"))
-    out = [X.price_csv(spark, _csv(p.where(F.col("series_id") == s).select("date", "value"), "commodity")).withColumn("series_id", F.lit(s)) for s in ("BUILDING", "MACHINERY")]
-    return out[0].union(out[1]).select("series_id", "date", "value")
+    """A folder for each commodity."""
+    p = prices(spark, sf_dir).select("series_id", F.date_format("dt", "yyyy-MM-dd").alias("date"), F.col("price").cast("string").alias("value"))
+    return X.price_csv(spark, _csv(p, "commodity", "series_id"), "series_id")
 
 
-@query(f"{PRICE} SELECT dt AS date, round(price * 0.137931, 2) AS value FROM v_price WHERE series_id = 'FURNITURE'")
+@query(f"{PRICE} SELECT series_id, dt AS date, round(price * 0.137931, 2) AS value FROM v_price WHERE idx % 11 <> 4")
 def scan_date_value_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = prices(spark, sf_dir).where("series_id = 'FURNITURE'").select(F.date_format("dt", "yyyy-MM-dd").alias("day"), F.col("price").cast("string").alias("value"))
-    return X.dated_csv(spark, _csv(p, "values"), "day", "value").select("date", F.col("value").cast("double").alias("value"))
+    """Days in either layout; rows without a day are left out."""
+    day = F.when(F.col("idx") % 11 == 4, "n/a").when(F.col("idx") % 2 == 0, F.date_format("dt", "M/d/yyyy")).otherwise(F.date_format("dt", "yyyy-MM-dd"))
+    p = prices(spark, sf_dir).select("series_id", day.alias("day"), F.col("price").cast("string").alias("value"))
+    return X.dated_csv(spark, _csv(p, "values", "series_id"), "day", "series_id", "value").select("series_id", "date", F.col("value").cast("double").alias("value"))
 
 
-@query(f"{PRICE} SELECT dt AS date, round(price * 0.137931, 2) AS close FROM v_price WHERE series_id = 'AUTOMOBILE'")
+@query(f"{PRICE} SELECT series_id AS ticker, dt AS date, round(price * 0.137931, 2) AS close FROM v_price")
 def aapl_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = prices(spark, sf_dir).where("series_id = 'AUTOMOBILE'").select(F.date_format("dt", "yyyy-MM-dd").alias("date"), F.col("price").cast("string").alias("close"))
-    return X.dated_csv(spark, _csv(p, "close"), "date", "close").select("date", F.col("close").cast("double").alias("close"))
+    """Closing prices of a file for each ticker."""
+    p = prices(spark, sf_dir).select(F.col("series_id").alias("ticker"), F.date_format("dt", "yyyy-MM-dd").alias("date"), F.col("price").cast("string").alias("close"))
+    return X.dated_csv(spark, _csv(p, "close", "ticker"), "date", "ticker", "close").select("ticker", "date", F.col("close").cast("double").alias("close"))
 
 
 YIELDS = f"{PRICE}, y AS (SELECT dt AS date, max(round(price * 0.137931, 2)) FILTER (WHERE series_id = 'BUILDING') AS two_year, max(round(price * 0.137931, 2)) FILTER (WHERE series_id = 'MACHINERY') AS ten_year FROM v_price GROUP BY 1)"
@@ -128,19 +131,26 @@ def load_treasury_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("date", each.alias("e")).select("e.maturity", "date", "e.value")
 
 
-def _until(due: str) -> str:
-    return f"{PRICE}, r AS (SELECT series_id, dt AS date, round(price * 0.137931, 2) AS value FROM v_price WHERE dt <= DATE '{due}') SELECT * FROM r WHERE series_id IN (SELECT series_id FROM r GROUP BY 1 HAVING count(*) >= 30)"
+def _until(due: str, fine: str) -> str:
+    return f"{PRICE}, r AS (SELECT series_id, dt AS date, round(price * 0.137931, 2) AS value FROM v_price WHERE {fine} AND dt <= DATE '{due}') SELECT * FROM r WHERE series_id IN (SELECT series_id FROM r GROUP BY 1 HAVING count(*) >= 30)"
 
 
-@query(_until("1997-06-30"))
+@query(_until("1997-06-30", "idx % 5 <> 2"))
 def scan_fred_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Histories up to the due date, of 30 points or more."""
-    return X.until(prices(spark, sf_dir).select("series_id", F.col("dt").alias("date"), F.col("price").alias("value")), "1997-06-30")
+    """Histories up to the due date, of 30 points or more, from a file for each series; "." is no observation."""
+    p = prices(spark, sf_dir).select("series_id", F.date_format("dt", "yyyy-MM-dd").alias("date"), F.when(F.col("idx") % 5 == 2, ".").otherwise(F.col("price").cast("string")).alias("value"))
+    got = X.price_csv(spark, _csv(p, "fred", "series_id"), "series_id")
+    return X.until(got.withColumn("date", F.to_date("date")), "1997-06-30")
 
 
-@query(_until("1996-06-30"))
+@query(_until("1996-06-30", "idx % 9 <> 1"))
 def scan_yahoo_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.until(prices(spark, sf_dir).select("series_id", F.col("dt").alias("date"), F.col("price").alias("value")), "1996-06-30")
+    """The same from quotes by epoch seconds as JSON lines, a file for each ticker; a null close is no observation."""
+    close = F.when(F.col("idx") % 9 != 1, F.col("price"))
+    path = X.scratch(spark, "yahoo")
+    prices(spark, sf_dir).select("series_id", F.unix_date("dt").cast("long").alias("day"), close.alias("close")).select("series_id", (F.col("day") * 86400).alias("timestamp"), "close").write.partitionBy("series_id").json(path)
+    got = spark.read.schema("timestamp long, close double, series_id string").json(path).where("close is not null")
+    return X.until(got.select("series_id", F.date_from_unix_date((F.col("timestamp") / 86400).cast("int")).alias("date"), F.col("close").alias("value")), "1996-06-30")
 
 
 @query("SELECT c_name AS cve, round(c_acctbal / 100 * 100, 2) AS score FROM customer WHERE c_custkey % 3 = 0")

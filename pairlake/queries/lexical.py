@@ -202,11 +202,23 @@ def stated_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).select("id", F.array_join(L.all_of(bare, r"\d+\.?\d*"), ",").alias("numbers"))
 
 
-@query(f"{X}, v_verdict(id, leak) AS (VALUES (1, 'yes'), (6, 'no'), (12, 'YES')) SELECT id, regexp_matches(txt, '{SQ(L.PRICE_PROJECTION)}') OR coalesce(lower(leak) = 'yes', false) AS leak, leak IS NULL AS unknown FROM v_text LEFT JOIN v_verdict USING (id)")
+JUDGE = "the price of the series"
+JUDGED = f"""{X}, v_key AS (SELECT *, substr(sha1('{JUDGE}||' || raw), 1, 16) AS key FROM v_text),
+v_cache AS (SELECT key, min(CASE WHEN quality = 1 THEN 'No.' ELSE 'Yes' END) AS answer FROM v_key JOIN labels ON doc_id = id WHERE quality IS NOT NULL GROUP BY 1)"""
+
+
+@query(f"{JUDGED}, f AS (SELECT *, regexp_matches(txt, '{SQ(L.DIRECTION)}') AS flagged FROM v_key) SELECT id, flagged, flagged AND answer IS NULL AS unknown, flagged AND coalesce(contains(lower(answer), 'yes'), false) AS leak FROM f LEFT JOIN v_cache USING (key)")
 def semantic_leak_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = spark.createDataFrame([(1, "yes"), (6, "no"), (12, "YES")], "id long, answer string")
-    t = texts(spark, sf_dir).join(F.broadcast(v), "id", "left")
-    return t.select("id", (L.has(F.col("txt"), L.PRICE_PROJECTION) | F.coalesce(F.lower("answer") == "yes", F.lit(False))).alias("leak"), F.col("answer").isNull().alias("unknown"))
+    """Texts that a pattern flags and a cached answer confirms; without an answer no leak, but unknown. Others aren't looked up."""
+    key = R.verdict_key(F.lit(JUDGE), F.array("txt"))
+    t = texts(spark, sf_dir)
+    said = V.table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", F.when(F.col("quality") == 1, "No.").otherwise("Yes").alias("answer"))
+    cache = t.join(said, F.col("id") == F.col("doc_id")).groupBy(key.alias("key")).agg(F.min("answer").alias("answer"))
+    flagged = t.select("id", L.has(F.col("txt"), L.DIRECTION).alias("flagged"), key.alias("key"))
+    judged = flagged.where("flagged").join(cache, "key", "left")
+    leak = F.coalesce(F.contains(F.lower("answer"), F.lit("yes")), F.lit(False))
+    fine = flagged.where("not coalesce(flagged, false)").select("id", "flagged", F.lit(False).alias("unknown"), F.lit(False).alias("leak"))
+    return judged.select("id", "flagged", F.col("answer").isNull().alias("unknown"), leak.alias("leak")).union(fine)
 
 
 LEAD = "array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(txt), '[a-z][a-z''-]{2,}'), lambda w: NOT list_contains(['the', 'and', 'for', 'was', 'with'], w)))), ' ')"

@@ -160,22 +160,45 @@ def headlines_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("domain", R.short_hash(F.col("h"), 12).alias("key"))
 
 
-VERDICTS = "v_verdict(domain, answer) AS (VALUES ('src0', '1: yes 2. no 3) yes'), ('src1', '1. NO'), ('src2', 'nothing'))"
-
-
-@query(f"""WITH {V.ARTICLE}, {VERDICTS}, d AS (SELECT DISTINCT domain FROM v_article)
-SELECT domain, answer IS NULL AS fail_open, CASE WHEN answer IS NULL THEN NULL ELSE len(regexp_extract_all(lower(answer), '\\d+[:.)] yes')) END AS yes FROM d LEFT JOIN v_verdict USING (domain)""")
+#: Six titles of each domain and year, and a cache of answers about them: labelled articles are judged by their labels.
+CASES = f"""WITH {V.ARTICLE}, v_case AS (SELECT coalesce(domain, '') AS domain, year(day)::INT AS year, list(article_id ORDER BY article_id)[1:6] AS ids, list(title ORDER BY article_id)[1:6] AS titles FROM v_article GROUP BY ALL),
+v_line AS (SELECT domain, year, i, max(quality) AS quality FROM (SELECT domain, year, unnest(ids) AS id, unnest(range(1, len(ids) + 1)) AS i FROM v_case) JOIN labels ON doc_id = id WHERE quality IS NOT NULL GROUP BY ALL),
+v_answer AS (SELECT domain, year, string_agg(i || CASE WHEN quality <> 1 THEN ') Irrelevant' WHEN i % 2 = 0 THEN ': yes' ELSE '. Relevant' END, chr(10) ORDER BY i) AS answer FROM v_line GROUP BY ALL),
+v_keyed AS (SELECT *, substr(sha1(domain || '||' || array_to_string(titles, chr(10))), 1, 16) AS key FROM v_case),
+v_cache AS (SELECT key, min(answer) AS answer FROM v_keyed JOIN v_answer USING (domain, year) GROUP BY 1),
+v_said AS (SELECT k.*, answer, list_filter(range(1, len(titles) + 1), lambda i: regexp_matches(lower(coalesce(answer, '')), '(^|[^0-9])' || i || '\\s*[:.)]\\s*(yes|relevant)')) AS yes FROM v_keyed k LEFT JOIN v_cache USING (key)),
+v_kept AS (SELECT domain, year, titles, answer, len(yes) = 0 AS fail_open, CASE WHEN len(yes) = 0 THEN range(1, len(titles) + 1) ELSE yes END AS kept FROM v_said)"""
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(domain, year, titles), and the cache (key, answer)."""
+    a = V.article(spark, sf_dir).select("article_id", F.coalesce("domain", F.lit("")).alias("domain"), F.year("day").alias("year"))
+    first = R.first_of(a, ["domain", "year"], "article_id", 6).select("domain", "year", F.posexplode("first").alias("i", "id"))
+    titles = V.article(spark, sf_dir).select(F.col("article_id").alias("id"), "title")
+    said = V.table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))
+    n = F.col("i") + 1
+    line = F.concat(n.cast("string"), F.when(F.col("quality") != 1, ") Irrelevant").when(n % 2 == 0, ": yes").otherwise(". Relevant"))
+    rows = first.join(titles, "id").join(said, "id", "left").withColumn("line", F.when(F.col("quality").isNotNull(), line))
+    each = F.array_sort(F.collect_list(F.struct("i", "title", "line")))  # six at most
+    cases = rows.groupBy("domain", "year").agg(each.alias("e")).select("domain", "year", F.col("e.title").alias("titles"), F.array_compact("e.line").alias("lines"))
+    cache = cases.where(F.size("lines") > 0).groupBy(R.verdict_key(F.col("domain"), F.col("titles")).alias("key")).agg(F.min(F.array_join("lines", "\n")).alias("answer"))
+    return cases.select("domain", "year", "titles"), cache
+
+
+@query(f"{CASES} SELECT domain, year, len(titles)::INT AS n, answer IS NULL AS unknown, fail_open, array_to_string(kept, ',') AS kept FROM v_kept")
 def semantic_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = spark.createDataFrame([("src0", "1: yes 2. no 3) yes"), ("src1", "1. NO"), ("src2", "nothing")], "domain string, answer string")
-    yes = F.size(F.regexp_extract_all(F.lower("answer"), F.lit(r"\d+[:.)] yes"), F.lit(0))).cast("long")
-    return V.article(spark, sf_dir).select("domain").distinct().join(v, "domain", "left").select("domain", F.col("answer").isNull().alias("fail_open"), F.when(F.col("answer").isNotNull(), yes).alias("yes"))
+    """The titles that cached answers call relevant; all of them where there is no answer or none is."""
+    got = R.semantic_ranked(*_cases(spark, sf_dir), "domain")
+    return got.select("domain", "year", F.size("titles").alias("n"), F.col("answer").isNull().alias("unknown"), "fail_open", F.array_join("kept", ",").alias("kept"))
 
 
-@query(f"WITH {V.ARTICLE}, {VERDICTS}, h AS (SELECT domain, count(*) AS n FROM v_article GROUP BY 1) SELECT domain, CASE WHEN n <= 2 THEN 'raw' WHEN answer IS NULL THEN 'raw' ELSE 'cache' END AS used FROM h LEFT JOIN v_verdict USING (domain)")
+@query(f"{CASES} SELECT domain, year, CASE WHEN len(titles) <= 2 OR answer IS NULL THEN 'raw' ELSE 'cache' END AS used, md5(array_to_string(CASE WHEN len(titles) <= 2 THEN titles ELSE list_transform(kept, lambda i: titles[i]) END, chr(10))) AS titles_md5 FROM v_kept")
 def rank_titles_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = spark.createDataFrame([("src0", 1), ("src1", 1), ("src2", 1)], "domain string, cached int")
-    n = V.article(spark, sf_dir).groupBy("domain").agg(F.count("*").alias("n")).join(v, "domain", "left")
-    return n.select("domain", F.when((F.col("n") <= 2) | F.col("cached").isNull(), "raw").otherwise("cache").alias("used"))
+    """Two titles or fewer pass; of more those that the cache keeps."""
+    got = R.semantic_ranked(*_cases(spark, sf_dir), "domain")
+    few = F.size("titles") <= 2
+    titles = F.when(few, F.col("titles")).otherwise(F.transform("kept", lambda i: F.get("titles", i - 1)))
+    return got.select("domain", "year", F.when(few | F.col("answer").isNull(), "raw").otherwise("cache").alias("used"), F.md5(F.array_join(titles, "\n")).alias("titles_md5"))
 
 
 @query(f"WITH {MATCH} SELECT event_id, strftime(max(day)::TIMESTAMP, '%Y-%m-%dT%H:%M:%SZ') AS knowledge_time FROM one GROUP BY 1")

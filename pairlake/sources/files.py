@@ -56,11 +56,11 @@ def discover_files(spark: SparkSession, path: str) -> DataFrame:
     return files
 
 
-def price_csv(spark: SparkSession, path: str) -> DataFrame:
-    """date, value of rows whose first field starts with a year and whose second is a number, not "."."""
+def price_csv(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """date, value of rows whose first field starts with a year and whose second is a number, not "."; keys: folders such as series_id=x."""
     raw = spark.read.option("header", "true").csv(path, schema="date string, value string")
     kept = raw.where(F.col("date").rlike(r"^\d{4}") & ~F.trim("value").isin("", "."))
-    return kept.select("date", F.col("value").cast("double").alias("value"))
+    return kept.select(*keys, "date", F.col("value").cast("double").alias("value"))
 
 
 def yields_xml(spark: SparkSession, path: str) -> DataFrame:

@@ -366,3 +366,17 @@ def test_sink_keeps_an_output(spark, tmp_path):
     assert spark.read.json(files.current(spark, out)).count() == 3
     with pytest.raises(ValueError):
         files.cached_years(spark, str(tmp_path / "empty"), "a int") if (tmp_path / "empty").mkdir() is None else None
+
+
+def test_cached_answers_fail_open(spark):
+    """Numbers may follow in any order and mark; numbers without a title, no answer, no yes and no parse keep all or nothing more."""
+    from pairlake.operators import retrieve as R
+
+    answers = {"mixed": "2) yes\n1: no, 3 . Relevant 9: yes", "none": "1: no\n2: irrelevant 3. no", "odd": "I can't say", "huge": "99999999999999: yes 12: yes 1. yes", "absent": None, "null": None}
+    cases = spark.createDataFrame([(k, ["a", "b", None] if k == "null" else ["a", "b", "c"]) for k in answers], "topic string, titles array<string>")
+    cache = cases.where("topic not in ('absent', 'null')").select(R.verdict_key(F.col("topic"), F.col("titles")).alias("key"), "topic")
+    said = spark.createDataFrame([(k, v) for k, v in answers.items() if v], "topic string, answer string")
+    got = {r.topic: (r.kept, r.fail_open) for r in R.semantic_ranked(cases, cache.join(said, "topic").drop("topic"), "topic").collect()}
+    every = ([1, 2, 3], True)
+    assert got == {"mixed": ([2, 3], False), "none": every, "odd": every, "huge": ([1], False), "absent": every, "null": every}
+    assert R.semantic_ranked(cases.limit(0), cache.select("key", F.lit("").alias("answer")), "topic").count() == 0

@@ -32,8 +32,9 @@ def written_texts(spark, tmp_path_factory):
     rows = [(i, t, "en", f"src{i % 3}", len(t)) for i, t, _ in [*TEXTS, *odd]]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{top}/documents.parquet")
     spark.createDataFrame([(1, "cached")], "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
+    spark.createDataFrame([(r[0], r[0] % 2) for r in rows if r[0] % 11], "doc_id long, quality int").write.parquet(f"{top}/labels.parquet")
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{top}/{t}.parquet/*.parquet'")
     return top, c
 
@@ -48,6 +49,14 @@ def test_gates_on_written_texts(spark, written_texts, name):
     assert rows(got) == rows(want)
 
 
+def test_answers_confirm_what_patterns_flag(spark, written_texts):
+    """A leak needs both: some flagged text is confirmed, some is cleared, some has no answer; no other text is a leak."""
+    got = QUERIES["semantic_leak_gate"](spark, written_texts[0]).toPandas()
+    flagged = got[got.flagged]
+    assert flagged.leak.any() and flagged.unknown.any() and (~flagged.leak & ~flagged.unknown).any()
+    assert not got[~got.flagged].leak.any() and not (got.leak & got.unknown).any()
+
+
 def test_flagship_like_sql(spark, duck, sf):
     assert rows(flagship.pairs(spark, sf).toPandas()) == rows(duck.execute(flagship.sql()).df())
 
