@@ -128,8 +128,8 @@ def lead_relevance(lead: Column, event: Column, title: Column) -> Column:
 
 
 def completed(rows: DataFrame, key: str, cache: DataFrame) -> DataFrame:
-    """rows with answer from a cache (key, answer), null where it has none; nothing is ever called."""
-    cache = cache.select(F.col("key").alias("cache_key"), "answer").dropDuplicates(["cache_key"])
+    """rows with answer from a cache (key, answer), the smallest of several, null where it has none; nothing is ever called."""
+    cache = cache.groupBy(F.col("key").alias("cache_key")).agg(F.min("answer").alias("answer"))
     return rows.join(cache, rows[key] == cache["cache_key"], "left").drop("cache_key")
 
 

@@ -10,6 +10,7 @@ from ..functions import series as S
 from ..operators import emit as M
 from ..operators import pairs as P
 from ..operators import validate as C
+from ..operators.retrieve import verdict_key
 from ..plans import views as V
 from . import lexical as Q
 from .common import Registry, r6
@@ -308,11 +309,29 @@ def summarize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.md5(F.coalesce("answer", "text")).alias("text_md5"), F.when(F.col("answer").isNull(), "real").otherwise("derived_generated").alias("tag"))
 
 
-@query(f"{CACHED} SELECT doc_id, c.text IS NOT NULL AS cached FROM d LEFT JOIN c ON d.doc_id = c.item_id")
+ASKED = """WITH r AS (SELECT conv_id, turn, substr(sha1('chat||' || coalesce(text, '')), 1, 16) AS key FROM conversations WHERE role = 'user'),
+c AS (SELECT key, min(a.text) AS answer FROM r JOIN conversations a ON a.conv_id = r.conv_id AND a.turn = r.turn + 1 AND a.role = 'assistant' WHERE a.text IS NOT NULL GROUP BY 1)"""
+
+
+@query(f"{ASKED} SELECT conv_id, turn, key, answer IS NOT NULL AS cached, md5(answer) AS answer_md5 FROM r LEFT JOIN c USING (key)")
 def llm_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Completions come from a cache (key, answer) alone: what isn't there has none."""
-    cache = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), F.col("text").alias("answer"))
-    return M.completed(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", cache).select("doc_id", F.col("answer").isNotNull().alias("cached"))
+    """Completions of user turns come from a cache alone, here of the answers that conversations hold; a turn that none follows has none."""
+    t = V.table(spark, sf_dir, "conversations")
+    asked = t.where("role = 'user'").select("conv_id", "turn", verdict_key(F.lit("chat"), F.array(F.coalesce("text", F.lit("")))).alias("key"))
+    said = t.where("role = 'assistant' and text is not null").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    cache = asked.join(said, ["conv_id", "turn"]).select("key", "answer")
+    return M.completed(asked, "key", cache).select("conv_id", "turn", "key", F.col("answer").isNotNull().alias("cached"), F.md5("answer").alias("answer_md5"))
+
+
+@query("""WITH v AS (SELECT l_orderkey AS id, list(l_extendedprice ORDER BY l_linenumber, l_extendedprice) AS v FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY 1),
+f AS (SELECT id, list_distinct(list_transform(list_concat(v, [v[1], v[-1], list_min(v), list_max(v), v[-1] - v[1], abs(v[-1] - v[1])]), lambda x: round(x, 2))) AS f FROM v)
+SELECT id, len(f)::INT AS n, round(list_sum(f), 2) AS total, list_min(f) AS least, list_max(f) AS most FROM f""")
+def series_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers that a text about each order's prices may state."""
+    lines = V.table(spark, sf_dir, "lineitem").where("l_extendedprice is not null")
+    v = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_extendedprice"))).alias("v"))  # an order's lines
+    f = v.select("id", L.series_facts(F.col("v.l_extendedprice")).alias("f"))
+    return f.select("id", F.size("f").alias("n"), F.round(S.total(F.col("f")), 2).alias("total"), F.array_min("f").alias("least"), F.array_max("f").alias("most"))
 
 
 # text builders

@@ -29,10 +29,12 @@ def cutoff_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EVENTS} SELECT event_id, count(*) FILTER (WHERE a.day < e.day) AS kept, count(*) FILTER (WHERE a.day >= e.day) AS dropped FROM v_event e JOIN v_article a ON a.day BETWEEN e.day - 4 AND e.day + 2 GROUP BY 1")
 def apply_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles are counted by day before events meet them."""
     e = events(spark, sf_dir).withColumn("at", F.explode(F.sequence(F.date_sub("day", 4), F.date_add("day", 2)))).withColumnRenamed("day", "event_day")
-    a = V.article(spark, sf_dir)
+    a = V.article(spark, sf_dir).groupBy("day").agg(F.count("*").alias("n"))
     j = e.join(a, e["at"] == a["day"])
-    return j.groupBy("event_id").agg(F.count_if(F.col("day") < F.col("event_day")).alias("kept"), F.count_if(F.col("day") >= F.col("event_day")).alias("dropped"))
+    n = lambda fine: F.coalesce(F.sum(F.when(fine, F.col("n"))), F.lit(0)).cast("long")
+    return j.groupBy("event_id").agg(n(F.col("day") < F.col("event_day")).alias("kept"), n(F.col("day") >= F.col("event_day")).alias("dropped"))
 
 
 MATCH = f"""{EVENTS}, v_head AS (SELECT article_id, day, md5(lower(regexp_replace(title, '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+', '', 'g'))) AS nt, len(title) - len(replace(title, 'th', '')) AS score FROM v_article), m AS (
@@ -203,7 +205,7 @@ def rank_titles_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {MATCH} SELECT event_id, strftime(max(day)::TIMESTAMP, '%Y-%m-%dT%H:%M:%SZ') AS knowledge_time FROM one GROUP BY 1")
 def knowledge_time_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = R.interval_matches(events(spark, sf_dir), V.article(spark, sf_dir), 4)
+    m = R.interval_matches(events(spark, sf_dir), V.article(spark, sf_dir).select("day").distinct(), 4)
     return m.groupBy("event_id").agg(F.date_format(F.max("day").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("knowledge_time"))
 
 

@@ -380,3 +380,12 @@ def test_cached_answers_fail_open(spark):
     every = ([1, 2, 3], True)
     assert got == {"mixed": ([2, 3], False), "none": every, "odd": every, "huge": ([1], False), "absent": every, "null": every}
     assert R.semantic_ranked(cases.limit(0), cache.select("key", F.lit("").alias("answer")), "topic").count() == 0
+
+
+def test_one_answer_of_several(spark):
+    """A key with several cached answers has the smallest, rows with one key each get it, others none."""
+    from pairlake.operators import emit as M
+
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "id long, key string")
+    cache = spark.createDataFrame([("a", "y"), ("a", "x"), ("c", "z"), (None, "n")], "key string, answer string")
+    assert {r.id: r.answer for r in M.completed(rows, "key", cache).collect()} == {1: "x", 2: "x", 3: None, 4: None}
