@@ -266,9 +266,18 @@ def registry_errors(sources: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def snapshots_window(targets: DataFrame, snapshots: DataFrame, before: int = 21, after: int = 8, least: int = 10) -> DataFrame:
-    """id, added, n, values: of each target (id, added) the scores (id, day, score) of the days around it that are there, in order."""
-    days = targets.select("id", "added", F.explode(F.sequence(F.date_sub("added", before), F.date_add("added", after))).alias("day"))
-    got = days.join(snapshots, ["id", "day"]).groupBy("id", "added").agg(F.array_sort(F.collect_list(F.struct("day", "score"))).alias("s"))  # a window's days
+    """id, added, n, values: of each target (id, added) the scores (id, day, score) of the days around it that are there, in order.
+
+    Days are cut into spans as long as a window, so a target meets two spans of its id and is not made into a row for
+    each day; neither side is broadcast, as both grow with the input.
+    """
+    width = before + after + 1
+    span = lambda day: F.floor(F.unix_date(day) / width)
+    spans = F.sequence(span(F.date_sub("added", before)), span(F.date_add("added", after)))
+    windows = targets.select("id", "added", F.explode(spans).alias("span")).hint("merge")
+    days = snapshots.select("id", "day", "score", span(F.col("day")).alias("span"))
+    near = F.col("day").between(F.date_sub("added", before), F.date_add("added", after))
+    got = windows.join(days, ["id", "span"]).where(near).groupBy("id", "added").agg(F.array_sort(F.collect_list(F.struct("day", "score"))).alias("s"))  # a window's days
     return got.where(F.size("s") >= least).select("id", "added", F.size("s").alias("n"), F.transform("s", lambda x: x["score"]).alias("values"))
 
 

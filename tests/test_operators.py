@@ -284,6 +284,22 @@ def test_files(spark, tmp_path):
         files.epss_csv(spark, str(tmp_path / "e.csv"), "2024-01-03", targets)
 
 
+def test_windows_of_snapshots(spark):
+    """Edges of a window are in it, also across spans and before 1970; a target is never a row for each day, nor broadcast."""
+    import datetime
+
+    from pairlake.sources import files
+
+    day = lambda n: datetime.date(1970, 1, 1) + datetime.timedelta(n)
+    added = [(i, day(a)) for i in range(3) for a in (-40, -1, 0, 17, 29)] + [(3, None), (None, day(0))]
+    scores = [(i, day(d), float(d)) for i in (0, 2, 3) for d in range(-80, 80, i + 1)] + [(None, day(0), 1.0), (0, None, 2.0)]
+    targets, snapshots = spark.createDataFrame(added, "id long, added date"), spark.createDataFrame(scores, "id long, day date, score double")
+    got = files.snapshots_window(targets, snapshots, 21, 8, 10)
+    want = {(i, a): [s for j, d, s in scores if j == i and d and a - datetime.timedelta(21) <= d <= a + datetime.timedelta(8)] for i, a in added if a and i is not None}
+    assert {(r.id, r.added): r["values"] for r in got.collect()} == {k: v for k, v in want.items() if len(v) >= 10}
+    assert "Broadcast" not in got._jdf.queryExecution().toString()
+
+
 def test_stream_equals_batch(spark, sf, tmp_path):
     from pairlake.streaming import events as V
 
