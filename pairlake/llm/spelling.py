@@ -13,6 +13,9 @@ two (an exchange); no two such differences of letters below U+0100 are equal.
 4. Forms are followed to their end by pointer doubling; counts at least double with each step, so a
    chain has as many words at most as the largest count has bits.
 
+Words and their places are never broadcast: a table of words is small on disk, its places are ten times as many rows,
+and Spark takes their size from the table.
+
 Null text has no words, and neither has a text without letters. A row with a null doc_id has its words counted unchanged. Repeated
 rows count each time. Very long texts go through in slices that end between words. An empty table
 gives no rows. Other columns are not read.
@@ -141,7 +144,7 @@ def near(words: DataFrame) -> DataFrame:
     half = F.greatest(F.char_length("word"), F.char_length("other")).cast("int")
     half = F.shiftright(half, 1)
     once = ~F.col("last") | (F.col("word").substr(F.lit(1), half) != F.col("other").substr(F.lit(1), half))
-    meet = x.join(y, ["key", "spot"]).where((F.col("letter") != F.col("y_letter")) & (F.col("last") == F.col("y_last")) & (F.col("word") != F.col("other")))
+    meet = x.hint("merge").join(y, ["key", "spot"]).where((F.col("letter") != F.col("y_letter")) & (F.col("last") == F.col("y_last")) & (F.col("word") != F.col("other")))
     return meet.where(once & (F.levenshtein("word", "other", 1) == 1)).select("word", "n", "other", "m")
 
 
@@ -150,7 +153,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     now = written(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         further = now.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        new = written(now.join(further, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        new = written(now.hint("merge").join(further, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         dropped(now)
         if new.where("moved").isEmpty():
             return new.drop("moved")
@@ -162,9 +165,9 @@ def variants(docs: DataFrame, chars: int = CHARS, times: int = TIMES, ratio: int
     words = written(word_counts(docs, chars, times, every), "words")
     best = F.min(F.struct((-F.col("m")).alias("m"), "other"))
     found = near(words).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
-    found = words.join(found, "word", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long")))
+    found = words.hint("merge").join(found, "word", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long")))
     far = -F.col("best.m") >= ratio * F.col("n")
     found = found.select("word", "n", "n_near", F.when(far, F.col("best.other")).alias("form"), F.when(far, -F.col("best.m")).alias("form_n"))
     found = written(found, "forms")
     roots = _roots(found.where("form is not null"))
-    return found.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.hint("merge").join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

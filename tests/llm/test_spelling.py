@@ -109,3 +109,11 @@ def test_one_anagram_class(spark, n):
     assert got(df) == brute(rows, every=None)
     meet = collections.Counter((k, s) for w in words for k, s, *_ in spelling.places(w))
     assert sum(c * c for c in meet.values()) < 60 * len(words) * n < sum(c * c for c in collections.Counter(k for w in words for k, *_ in spelling.places(w)).values())
+
+
+def test_nothing_is_broadcast(spark):
+    """A small table of words has many places: joins of them are merges, whatever size Spark expects."""
+    df = spark.createDataFrame([(0, "abcdef abcdeg " * 5 + "abcdef " * 20)], "doc_id long, text string")
+    words = spelling.written(spelling.word_counts(df), "words")
+    for plan in (spelling.near(words), spelling.variants(df)):
+        assert "Broadcast" not in plan._jdf.queryExecution().toString()
