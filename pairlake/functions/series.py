@@ -14,6 +14,15 @@ def mean(values: Column) -> Column:
     return total(values) / F.size(values)
 
 
+def steady_mean(x: Column) -> Column:
+    """Mean of a group (aggregate) that the order in which rows meet doesn't change, so equal groups have equal means.
+
+    Values are summed as decimals of 18 places; where one doesn't fit (1e10 or more, NaN, infinite), it is the plain mean.
+    """
+    exact = x.try_cast("decimal(28,18)")
+    return F.when(F.count(exact) == F.count(x), F.try_divide(F.sum(exact).cast("double"), F.count(x))).otherwise(F.avg(x))
+
+
 def std(values: Column) -> Column:
     """Population standard deviation."""
     m = mean(values)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.series import steady_mean
+
 
 def brier(p: str, y: str = "resolved_to") -> Column:
     return F.pow(F.col(p) - F.col(y), 2)
@@ -31,9 +33,12 @@ def business_days(start: Column, end: Column) -> Column:
 
 
 def leaderboard(scored: DataFrame, least: int) -> DataFrame:
-    """model, n, b, f (FRED), y (Yahoo), rank, of models with ``least`` points. Ranks need one order: a row for each model."""
+    """model, n, b, f (FRED), y (Yahoo), rank, of models with ``least`` points. Ranks need one order: a row for each model.
+
+    Models of equal scores have equal means, whatever the order of their rows, so their names decide.
+    """
     b = F.pow(F.col("forecast") - F.col("resolved_to"), 2)
-    g = scored.groupBy("model").agg(F.count("*").alias("n"), F.avg(b).alias("b"), F.avg(F.when(F.col("domain") == "fred", b)).alias("f"), F.avg(F.when(F.col("domain") == "yahoo", b)).alias("y"))
+    g = scored.groupBy("model").agg(F.count("*").alias("n"), steady_mean(b).alias("b"), steady_mean(F.when(F.col("domain") == "fred", b)).alias("f"), steady_mean(F.when(F.col("domain") == "yahoo", b)).alias("y"))
     return g.where(F.col("n") >= least).withColumn("rank", F.row_number().over(Window.orderBy("b", "model")))
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import json
+import random
 import statistics
 
 import pytest
@@ -284,6 +285,20 @@ def test_files(spark, tmp_path):
         files.epss_csv(spark, str(tmp_path / "e.csv"), "2024-01-03", targets)
 
 
+def test_equal_models_rank_by_name(spark):
+    """Models of the same scores in other orders and places are level, and their names decide; NaN and null stay what they were."""
+    r = random.Random(4)
+    scores = [(r.choice(("fred", "yahoo")), r.randrange(11) / 100 * 10, float(r.randrange(2))) for _ in range(400)]
+    rows = [(f"m{m:02}", *s) for m in range(12) for s in r.sample(scores, len(scores))]
+    df = spark.createDataFrame(rows, "model string, domain string, forecast double, resolved_to double")
+    for parts in (1, 7):
+        got = B.leaderboard(df.repartition(parts), least=20).orderBy("rank").collect()
+        assert [x.model for x in got] == sorted(x.model for x in got) and len({(x.b, x.f, x.y) for x in got}) == 1
+    odd = spark.createDataFrame([(0, 1.5), (0, None), (1, float("nan")), (1, 1.0), (2, None), (3, 1e300), (3, 3e300), (4, float("inf"))], "k int, x double")
+    got = {x.k: x.m for x in odd.groupBy("k").agg(S.steady_mean(F.col("x")).alias("m")).collect()}
+    assert got[0] == 1.5 and got[1] != got[1] and got[2] is None and got[3] == 2e300 and got[4] == float("inf")
+
+
 def test_windows_of_snapshots(spark):
     """Edges of a window are in it, also across spans and before 1970; a target is never a row for each day, nor broadcast."""
     import datetime
