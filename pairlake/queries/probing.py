@@ -91,11 +91,14 @@ KEY = "substr(sha1(text || '|[' || array_to_string(list_transform(history, lambd
 @query(f"""{Z.ITEM}, c AS (SELECT series_id, history, {KEY} AS key, CASE day(origin) % 3 WHEN 1 THEN '1.5, 2.5 and 3' WHEN 2 THEN '9, 8, 7, 6, 5, 4' END AS answer FROM v_g),
 p AS (SELECT *, list_transform(regexp_extract_all(coalesce(answer, ''), '-?\\d+\\.?\\d*'), lambda x: x::DOUBLE)[1:5] AS n FROM c) SELECT series_id, key, len(n) AS parsed, round((coalesce(list_sum(n), 0) + (5 - len(n)) * history[10]) * 0.137931, 3) AS total FROM p""")
 def llmtime_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cached answers by key: numbers parsed, cut to the horizon, and filled up with the last value."""
+    """Cached answers by key and item: numbers parsed, cut to the horizon, and filled up with the last value.
+
+    Items of one key (equal texts and histories) keep their own answers.
+    """
     i = Z.items(spark, sf_dir).withColumn("key", M.cache_key(F.col("text"), F.col("history"), 5))
     day = F.dayofmonth("origin") % 3
-    cache = i.where(day > 0).select("key", F.when(day == 1, "1.5, 2.5 and 3").otherwise("9, 8, 7, 6, 5, 4").alias("answer")).dropDuplicates(["key"])
-    j = i.join(cache.withColumnRenamed("key", "cached"), F.col("key") == F.col("cached"), "left")
+    cache = i.where(day > 0).select(F.col("key").alias("cached"), F.col("series_id").alias("of"), F.when(day == 1, "1.5, 2.5 and 3").otherwise("9, 8, 7, 6, 5, 4").alias("answer"))
+    j = i.join(cache, (F.col("key") == F.col("cached")) & (F.col("series_id") == F.col("of")), "left")
     j = j.withColumn("n", M.parsed(F.col("answer"), 5))
     return j.select("series_id", "key", F.size("n").cast("long").alias("parsed"), F.round(S.total(M.filled(F.col("n"), F.col("history"), 5)) * 0.137931, 3).alias("total"))
 

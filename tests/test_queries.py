@@ -70,3 +70,23 @@ def test_same_as_sql(spark, duck, sf, name):
     got, want = QUERIES[name](spark, sf).toPandas(), duck.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_items_of_one_key_keep_their_answers(spark, tmp_path):
+    """Equal prices and no texts: all items of a segment share histories and keys, not answers."""
+    import datetime
+
+    import duckdb
+
+    days = [datetime.datetime(1996, 1, 1) + datetime.timedelta(i) for i in range(40)]
+    made = {
+        "orders": spark.createDataFrame([(i, i % 2, 100.25, d) for i, d in enumerate(days * 2)], "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp"),
+        "customer": spark.createDataFrame([(0, "A"), (1, "B")], "c_custkey long, c_mktsegment string"),
+        "documents": spark.createDataFrame([(1, None, "en", "src1")], "doc_id long, text string, lang string, source string"),
+    }
+    c = duckdb.connect()
+    for name, df in made.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got, want = QUERIES["llmtime_cached"](spark, str(tmp_path)).toPandas(), c.execute(ORACLES["llmtime_cached"]).df()
+    assert got.key.nunique() < len(got) and got.parsed.nunique() == 3 and rows(got) == rows(want)
