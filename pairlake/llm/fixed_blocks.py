@@ -5,15 +5,15 @@ doc_id. Words are compared unchanged; windows never cross documents and are judg
 
 0. Whole copies. A document whose text a smaller doc_id has is removed whole and not looked at again.
 1. Index. Every document is cut into non-overlapping blocks of half a window; each window holds one whole
-   block of its own document. The blocks' hashes are dealt out by ranges; each range keeps a Bloom
-   filter of all of them and one of those that two documents have.
-2. Probe. A second scan rolls over every window of a block's length. What hits another document's block
-   is marked, and with it that block: a repeated window holds a marked block in both of its documents.
-3. Extend. A third scan cuts the text around each marked block, as far as windows that hold it reach; of
+   block of its own document.
+2. Probe. One scan rolls over every window of a block's length, and deals the hashes out by ranges, those of blocks
+   apart. A block that another document has too, at any place, is marked: a repeated window holds a marked block in
+   both of its documents. Only marked blocks go into the Bloom filter that is sent to the tasks.
+3. Extend. A second scan cuts the text around each marked block, as far as windows that hold it reach; of
    several blocks in a window the least hash counts, so equal windows are cut alike. Equal cuttings are one
    content with its smallest doc_id, by a hash of 128 bits; only contents that share a block with a different one
    are looked into. There a hit grows by whole words to the left and right as long as some earlier content has the same
-   words, by equality of the grown window and not pair by pair: a block in very many contents makes no pairs.
+   words, by equality of the grown window (its hash of 128 bits) and not pair by pair: a block in very many contents makes no pairs.
 4. Occurrences join contents; a document's grown windows that touch or overlap are its maximal repeats.
 
 A false bit of a filter lets more through and never changes a result. A filter has 2^MOST_BITS bits at most.
@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, small, written
-from .jaccard import _words as word_hash
 from .marks import HELD, Bitmap, Repeats, id_bit, ids, parted
 from .substrings import _joined as joined
 from .substrings import _later as later_copies
@@ -45,10 +45,14 @@ from .substrings import _later as later_copies
 LENGTH = 13
 #: Bits of a filter as powers of two, bits for each hash (at least, below the most).
 BITS, MOST_BITS, PER_HASH = 18, 28, 12
+#: One block of so many is marked, about.
+REPEATED = 4
 #: Bytes of a slice of a text (about), rows and bytes that go out at once, contents that a task remembers, bytes of a word that is compared whole.
 SLICE, ROWS, BYTES, KNOWN, WORD = 1 << 20, 20_000, 2_000_000, 100_000, 64
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Odd multipliers.
+SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+BASE, MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
 TURNS = np.array([1, 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -67,28 +71,96 @@ def pieces(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
+@lru_cache(1)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE to the powers of 0, 1, ... by modulus 2^64, and their inverses."""
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.r_[np.uint64(1), np.full((1 << bits) - 1, x, np.uint64)]) for x in (BASE, pow(BASE, -1, 1 << 64)))
+
+
+def hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, hash) of each word, by sums of all bytes up to its ends: no word is looked at alone."""
+    b = np.frombuffer(text, np.uint8)
+    edge = np.flatnonzero(np.diff(np.r_[True, SPACES[b], True]))
+    start, end = edge[::2], edge[1::2]
+    power, inverse = _powers(max(18, len(b).bit_length()))
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], out=sums[1:])
+    h = (sums[end] - sums[start]) * inverse[start]
+    h = (h ^ (h >> np.uint64(32))) * MIX
+    return start, h ^ (h >> np.uint64(29))
+
+
+def rolled(x: np.ndarray, block: int) -> np.ndarray:
+    """Hashes of so many words on from each, of the words' hashes."""
+    have = 1
+    while have < block:  # hashes of 2, 4 ... words, the last two overlap
+        step = min(have, block - have)
+        x = joined(x, step)
+        have += step
+    return x ^ (x >> np.uint64(29))
+
+
 def stretches(text: bytes, length: int) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
     """(first word, words, hash of each block that begins there) of stretches that share no window and miss none."""
     at, rest = 0, []
     for words in pieces(text):
         rest += words
         if len(rest) >= length:
-            x = np.fromiter(map(word_hash.__getitem__, rest), np.uint64, len(rest))
-            have, block = 1, block_of(length)
-            while have < block:  # hashes of 2, 4 ... words, the last two overlap
-                step = min(have, block - have)
-                x = joined(x, step)
-                have += step
-            yield at, rest, x ^ (x >> np.uint64(29))
+            yield at, rest, rolled(hashed(b" ".join(map(bounded, rest)))[1], block_of(length))
             at += len(rest) - length + 1
             rest = rest[len(rest) - length + 1 :]
 
 
+def windows(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes] | None]]:
+    """(which text, which word, hash of the block that begins there, words) of texts that hold a window, many short ones at once.
+
+    A text's blocks come in order; those of a long text, or one of long words, come stretch by stretch, with the stretch's words.
+    """
+    block = block_of(length)
+
+    def together(lot: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes] | None]]:
+        own = [texts[i] for i in lot]
+        start, h = hashed(b" ".join(own))
+        edge = np.searchsorted(start, np.cumsum([0, *(len(x) + 1 for x in own)]))
+        n = np.diff(edge)
+        far = np.zeros(len(lot), bool)
+        if len(start):
+            size = np.diff(np.r_[start, sum(map(len, own)) + len(own)])  # with the space after it
+            far[np.repeat(np.arange(len(lot)), n)[size > WORD]] = True
+        for i in np.flatnonzero(far).tolist():
+            yield from apart(lot[i])
+        if len(h) < block:
+            return
+        of = np.repeat(np.arange(len(lot)), n)
+        good = np.repeat((n >= length) & ~far, n)
+        good = good[: len(h) - block + 1] & (of[block - 1 :] == of[: len(h) - block + 1])
+        at = np.arange(len(h)) - np.repeat(edge[:-1], n)
+        yield np.array(lot)[of[: len(good)][good]], at[: len(good)][good], rolled(h, block)[good], None
+
+    def apart(i: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes] | None]]:
+        for at, words, x in stretches(texts[i], length):
+            yield np.full(len(x), i), np.arange(at, at + len(x)), x, words
+
+    lot, size = [], 0
+    for i, text in enumerate(texts):
+        if len(text) > SLICE >> 3:
+            yield from apart(i)
+            continue
+        lot.append(i)
+        size += len(text) + 1
+        if size > SLICE >> 3:
+            yield from together(lot)
+            lot, size = [], 0
+    if lot:
+        yield from together(lot)
+
+
 class Filter:
     """Bloom filters of 64-bit hashes by ranges of them; a hash's 32 bits after the range's own give a bit for each of TURNS."""
 
-    def __init__(self, expected: int):
-        self.dealer = Repeats(expected)
+    def __init__(self, expected: int, dealt: int = 0):
+        self.dealer = Repeats(max(expected, dealt))
         size = int(np.clip(np.ceil(np.log2(max(1, expected) * PER_HASH)), BITS, MOST_BITS))
         self.bits, self.inner = self.dealer.bits, size - self.dealer.bits
 
@@ -103,14 +175,25 @@ class Filter:
             mark[self.place(rest, turn)] = True
         return np.packbits(mark).tobytes()
 
-    def meet(self, table: pa.Table, several: bool) -> pa.Table:
-        """A range's filters: of all its hashes (kind 0), and with several of those that came more than once (kind 1)."""
-        part = lambda name: [np.frombuffer(x.as_buffer(), np.uint32) for x in table[name]]
-        found = np.sort(np.concatenate(part("once")))
-        out = [self.packed(np.unique(found))]
-        if several:
-            out.append(self.packed(np.unique(np.concatenate([found[1:][found[1:] == found[:-1]], *part("more")]))))
-        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()] * len(out), pa.int32()), "kind": pa.array(range(len(out)), pa.int32()), "bits": pa.array(out, pa.binary())})
+    def deal(self, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[pa.Array]:
+        """(bucket, hashes of blocks, other hashes, hashes that several texts have) of (hash, text, whether it is a block)."""
+        x, of, own = map(np.concatenate, zip(*held))
+        order = np.argsort(x)
+        x, of, own = x[order], of[order], own[order]
+        first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+        several = np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first)
+        own, both = np.logical_or.reduceat(own, first), x[first] >> np.uint64(32 - self.bits)
+        ends = np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(32)
+        parts = [np.split(y.astype(np.uint32), np.searchsorted(y, ends)) for y in (both[own], both[~own], both[several])]
+        return [pa.array(range(1 << self.bits), pa.int32()), *(pa.array([y.tobytes() for y in p], pa.binary()) for p in parts)]
+
+    def meet(self, table: pa.Table) -> pa.Table:
+        """A range's filter: of the blocks that came more than once."""
+        own, others, more = (np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table[name]]) for name in ("own", "others", "more"))
+        every = np.sort(np.concatenate([own, others]))
+        twice = np.concatenate([every[1:][every[1:] == every[:-1]], more])
+        bits = self.packed(np.intersect1d(own, twice))
+        return pa.table({"bucket": table["bucket"][:1], "bits": pa.array([bits], pa.binary())})
 
     def has(self, words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """Which hashes may be in a filter."""
@@ -124,67 +207,44 @@ class Filter:
         return out
 
 
-def _filters(rows: DataFrame, hashes, filter: Filter, several: bool) -> list[np.ndarray]:
-    """The filters of what hashes makes of the rows (arrays of uint64, each without repeats): of all, and with several of what two arrays have."""
-    names = ["bucket", "once", "more"]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for x in hashes(batches):
-            held.append(x)
-            n += len(x)
-            if n >= HELD:
-                yield pa.RecordBatch.from_arrays(filter.dealer.deal(held), names=names)
-                held, n = [], 0
-        if n:
-            yield pa.RecordBatch.from_arrays(filter.dealer.deal(held), names=names)
-
-    met = rows.mapInArrow(scan, "bucket int, once binary, more binary").groupBy("bucket").applyInArrow(lambda table: filter.meet(table, several), "bucket int, kind int, bits binary")
-    met = written(met, "filters")
-    out = [np.zeros((1 << filter.bits, max(1, (1 << filter.inner) // 8)), np.uint8) for _ in range(1 + several)]
-    for r in met.toLocalIterator():  # of 2^MOST_BITS bits each at most
-        out[r["kind"]][r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
-    dropped(met)
-    return [x.ravel() for x in out]
-
-
 def _read(docs: DataFrame) -> DataFrame:
     """doc_id, text, row (a hash of the text, which tells rows of one doc_id apart), bit of doc_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.select("doc_id", "text", F.xxhash64("text").alias("row"), id_bit("doc_id").alias("bit"))
 
 
-def _own(batches: Iterator[pa.RecordBatch], kept: Bitmap) -> Iterator[tuple[int, bytes, int]]:
-    """(doc_id, text, row), without nulls and without what isn't in the bitmap of ids to look at."""
+def _own(batches: Iterator[pa.RecordBatch], kept: Bitmap) -> Iterator[tuple[list[int], list[bytes], list[int]]]:
+    """doc_ids, texts and rows of batches, without nulls and without what isn't in the bitmap of ids to look at."""
     for batch in small(batches):
-        batch = batch.filter(pa.array(kept.has(batch[3].to_numpy())))
-        for d, t, r in zip(batch[0].to_pylist(), batch[1], batch[2].to_pylist()):
-            if d is not None and t.is_valid:
-                yield d, t.as_py(), r
+        good = kept.has(batch[3].to_numpy()) & batch[0].is_valid().to_numpy(False) & batch[1].is_valid().to_numpy(False)
+        batch = batch.filter(pa.array(good))
+        yield batch[0].to_pylist(), batch[1].to_pylist(), batch[2].to_pylist()
 
 
 def _marked(docs: DataFrame, length: int, kept: Broadcast, filter: Filter) -> np.ndarray:
     """The filter of blocks of one document that another one has too, at any place."""
-    block, context = block_of(length), docs.sparkSession.sparkContext
-
-    def reference(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for _, text, _ in _own(batches, kept.value):
-            for _, _, x in stretches(text, length):
-                yield np.unique(x[::block])
+    block, names = block_of(length), ["bucket", "own", "others", "more"]
 
-    known, again = _filters(_read(docs), reference, filter, True)
-    index = context.broadcast(known)
-    del known
-
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for _, text, _ in _own(batches, kept.value):
-            for _, _, x in stretches(text, length):
-                own, rolled = x[::block], x[np.arange(len(x)) % block > 0]
-                yield np.setdiff1d(rolled[filter.has(index.value, rolled)], own)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, before = [], 0, 0
+        for _, texts, _ in _own(batches, kept.value):
+            for of, at, x, _ in windows(texts, length):
+                held.append((x, of + before, at % block == 0))
+                n += len(x)
+                if n >= HELD:
+                    yield pa.RecordBatch.from_arrays(filter.deal(held), names=names)
+                    held, n = [], 0
+            before += len(texts)
+        if n:
+            yield pa.RecordBatch.from_arrays(filter.deal(held), names=names)
 
-    again |= _filters(_read(docs), hits, filter, False)[0]
-    index.destroy()
-    return again
+    met = _read(docs).mapInArrow(scan, "bucket int, own binary, others binary, more binary").groupBy("bucket").applyInArrow(lambda table: filter.meet(table), "bucket int, bits binary")
+    met = written(met, "filters")
+    out = np.zeros((1 << filter.bits, max(1, (1 << filter.inner) // 8)), np.uint8)
+    for r in met.toLocalIterator():  # 2^MOST_BITS bits at most
+        out[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
+    dropped(met)
+    return out.ravel()
 
 
 def bounded(word: bytes) -> bytes:
@@ -221,25 +281,26 @@ def _cut(docs: DataFrame, length: int, shared: Broadcast, kept: Broadcast, filte
         least: dict[bytes, int] = {}  # the smallest doc_id that a content went out with
         rows: list[tuple] = []
         size = 0
-        for doc, text, row in _own(batches, kept.value):
-            for at, words, x in stretches(text, length):
+        for docs, texts, turns in _own(batches, kept.value):
+            for of, at, x, words in windows(texts, length):
                 marked = filter.has(shared.value, x)
-                if not marked.any():
-                    continue
-                words = list(map(bounded, words))
-                for s, n, anchor in cuttings(x, marked, length):
-                    content = b" ".join(words[s : s + n + length - 1])
-                    cid = xxhash.xxh3_128_digest(content)
-                    rows.append((None, cid, doc, row, at + s, n, None))
-                    if least.get(cid, doc + 1) > doc:
-                        if len(least) >= KNOWN:
-                            least.clear()
-                        least[cid] = doc
-                        rows.append((anchor, cid, doc, None, None, n, content))
-                        size += len(content)
-                    if len(rows) >= ROWS or size >= BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-                        rows, size = [], 0
+                here = np.unique(of[marked])
+                for i, lo, hi in zip(here.tolist(), np.searchsorted(of, here).tolist(), np.searchsorted(of, here, "right").tolist()):
+                    doc, row, first = docs[i], turns[i], int(at[lo])
+                    own = texts[i].split() if words is None else list(map(bounded, words))
+                    for s, n, anchor in cuttings(x[lo:hi], marked[lo:hi], length):
+                        content = b" ".join(own[s : s + n + length - 1])
+                        cid = xxhash.xxh3_128_digest(content)
+                        rows.append((None, cid, doc, row, first + s, n, None))
+                        if least.get(cid, doc + 1) > doc:
+                            if len(least) >= KNOWN:
+                                least.clear()
+                            least[cid] = doc
+                            rows.append((anchor, cid, doc, None, None, n, content))
+                            size += len(content)
+                        if len(rows) >= ROWS or size >= BYTES:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                            rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
@@ -255,9 +316,11 @@ def _decided(contents: DataFrame, length: int) -> DataFrame:
     others = written(others.groupBy("cid", "windows").agg(F.min("doc_id").alias("least"), F.max("content").alias("content")), "contents")
     words = F.split(F.col("content").cast("string"), " ", -1)
     grown = others.withColumn("words", words).select("cid", "least", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("at"), "words")
-    grown = grown.select("cid", "least", "at", F.array_join(F.slice("words", F.col("at") + 1, length), " ").alias("window"))
-    first = grown.groupBy("window").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first < last").select("window", "first")
-    bits = grown.join(first, "window").where("first < least").groupBy("cid").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
+    window = F.array_join(F.slice("words", F.col("at") + 1, length), " ")
+    one, other = (F.xxhash64(F.lit(seed), window).alias(name) for seed, name in ((1, "one"), (2, "other")))
+    grown = grown.select("cid", "least", "at", one, other)  # 128 bits, as contents have
+    first = grown.groupBy("one", "other").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first < last").select("one", "other", "first")
+    bits = grown.join(first, ["one", "other"]).where("first < least").groupBy("cid").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
     return alone.union(others.join(bits, "cid", "left").select("cid", "least", F.coalesce("mask", F.lit(0).cast("long"))))
 
 
@@ -272,7 +335,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").cast("long").alias("n")).where("doc_id is not null")
     total = every.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     kept = docs.sparkSession.sparkContext.broadcast(ids(every.join(later, "doc_id", "left_anti"), "doc_id", total["docs"]))
-    filter = Filter(total["n"] // (6 * block_of(length)))  # some six bytes a word
+    filter = Filter(total["n"] // (6 * block_of(length) * REPEATED), total["n"] // 6)  # some six bytes a word
     marks = docs.sparkSession.sparkContext.broadcast(_marked(docs, length, kept, filter))
     cut = written(_cut(docs, length, marks, kept, filter), "cuttings")
     marks.destroy()

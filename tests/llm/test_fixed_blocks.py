@@ -97,3 +97,30 @@ def test_filter_keeps_all():
         words[b] = np.frombuffer(filter.packed(np.frombuffer(o, np.uint32)), np.uint8)
     has = filter.has(words.ravel(), x)
     assert has[:50_000].all() and has[50_000:].mean() < 0.05
+
+
+def test_filter_holds_marked_blocks_only(spark, monkeypatch):
+    """Many times more blocks than the filter has bits: only those that two documents have take room in it."""
+    monkeypatch.setattr(fixed_blocks, "BITS", 12)
+    monkeypatch.setattr(fixed_blocks, "MOST_BITS", 12)
+    r = random.Random(5)
+    some = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    shared = some(40)
+    rows = [(i, " ".join(some(300) + shared[: 40 * (i % 100 == 0)] + some(300))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = spark.sparkContext.broadcast(fixed_blocks.ids(df, "doc_id"))
+    marks = fixed_blocks._marked(df, 13, kept, fixed_blocks.Filter(25_000))
+    assert 0 < np.unpackbits(marks).mean() < 0.1
+    assert got(df, 13) == brute(rows, 13)
+
+
+def test_hashes_of_many_texts_at_once():
+    """Texts together, long ones and long words in stretches: the same hashes at the same places, none across texts."""
+    r = random.Random(6)
+    texts = [b"", b" ", b"a", *(b"\n ".join(r.choice([b"a", b"b" * 70, b"c\xc3\xa9", b"d" * 64]) for _ in range(n)) for n in (5, 12, 13, 14, 40, 400)), b" x " * 60_000]
+    seen = {}
+    for of, at, x, _ in fixed_blocks.windows(texts, 13):
+        assert len(of) == len(at) == len(x)
+        seen |= dict(zip(zip(of.tolist(), at.tolist()), x.tolist()))
+    want = {(i, at + k): v for i, t in enumerate(texts) for at, _, x in fixed_blocks.stretches(t, 13) for k, v in enumerate(x.tolist())}
+    assert seen == want and {i for i, _ in seen} == {i for i, t in enumerate(texts) if len(t.split()) >= 13}
