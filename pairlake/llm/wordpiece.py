@@ -115,12 +115,13 @@ def _counts(name: str) -> _Counts:
 def n_tokens(text: Column | str, tokenizer: str = "byte_bpe_50k") -> Column:
     """The tokens of a text as a column."""
 
-    @F.pandas_udf("long")
-    def count(texts):
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
         get = _counts(tokenizer).__getitem__
-        return texts.map(lambda t: sum(map(get, (t or "").encode().split()))).astype("int64")
+        return pa.array([sum(map(get, (t.as_py() or b"").split())) for t in texts], pa.int64())
 
-    return count(text)
+    text = F.col(text) if isinstance(text, str) else text
+    return count(text.cast("binary"))
 
 
 def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k") -> DataFrame:

@@ -635,3 +635,14 @@ def test_pipeline(spark, sf):
     assert {d for d, n, gone, _, _ in seen if gone < n} <= set(ids("repeated_passages"))
     assert set(ids("mix")) <= set(ids("repeated_passages")) and max(collections.Counter(ids("mix")).values()) <= 2
     assert sum(r.length for r in out["pack"].collect()) == sum(packing.pieces(out["mix"]).select("length").toPandas().length)
+
+
+def test_token_counts_of_columns_and_names(spark):
+    """A column of counts takes bytes, no pandas strings, and gives what the operator counts: null, empty, blank and odd texts too."""
+    texts = [None, "", " \t\n", "a  bc\x0bd", "é中  x", "z" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r.doc_id: r.n_tokens for r in wordpiece.token_counts(df).collect()}
+    for column in ("text", F.col("text")):
+        counted = df.select("doc_id", wordpiece.n_tokens(column).alias("n"))
+        assert {r.doc_id: r.n for r in counted.collect()} == want and want[0] == want[1] == want[2] == 0
+        assert "cast(text" in counted._jdf.queryExecution().toString().lower()
