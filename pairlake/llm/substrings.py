@@ -353,18 +353,16 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     cut = spans(docs, length).withColumnsRenamed({"doc_id": "pairlake_of", "spans": "pairlake_spans"})
 
-    @F.pandas_udf("string")
-    def kept(text, gone):
-        import pandas as pd
-
+    @F.arrow_udf("string")
+    def kept(text: pa.Array, gone: pa.Array) -> pa.Array:
         out = []
         for t, g in zip(text, gone):
+            t, g = t.as_py(), g.as_py()
             if g is None or t is None:
                 out.append(t)
                 continue
             raw, at, parts = t.encode(), 0, []
             for s, e in g:
-                s, e = int(s), int(e)
                 while s < e and raw[s] & 0xC0 == 0x80:
                     s += 1
                 while e > s and e < len(raw) and raw[e] & 0xC0 == 0x80:
@@ -373,7 +371,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 at = e
             parts.append(raw[at:])
             out.append(b"".join(parts).decode())
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
+
+    kept = kept.asNondeterministic()  # else the filter below and the length cut each text once more
 
     columns = docs.columns
     sure, others = parted(docs, "doc_id", cut, "pairlake_of")

@@ -646,3 +646,9 @@ def test_token_counts_of_columns_and_names(spark):
         counted = df.select("doc_id", wordpiece.n_tokens(column).alias("n"))
         assert {r.doc_id: r.n for r in counted.collect()} == want and want[0] == want[1] == want[2] == 0
         assert "cast(text" in counted._jdf.queryExecution().toString().lower()
+
+
+def test_kept_texts_are_cut_once(odd):
+    """A filter and the length read the cut text, too."""
+    left = substrings.without_repeats(odd, 50)
+    assert left._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
