@@ -16,7 +16,7 @@ input.
    single windows instead, so no group follows the corpus. In each group of anchors, the contents of
    each shard get a Burrows-Wheeler transform (two-byte symbols, rotations of fragments), and the
    transforms are merged by interleave refinement: every round deals the interleave out by the symbols
-   that the transforms give in that order, which sorts all suffixes by two bytes more, without sorting
+   that the transforms give in that order, which sorts all suffixes by two symbols more, without sorting
    suffixes of different shards against each other. The round in which a bound between two suffixes
    appears is the length of their common prefix; between bounds of ``length`` or more lie the repeated
    intervals.
@@ -55,8 +55,11 @@ A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _joined(x: np.ndarray, step: int) -> np.ndarray:
-    y = (x[:-step] * A + x[step:]) * B
-    return y ^ (y >> np.uint64(31))
+    y = x[:-step] * A
+    y += x[step:]
+    y *= B
+    y ^= y >> np.uint64(31)
+    return y
 
 
 def gram(length: int) -> int:
@@ -122,13 +125,13 @@ def _marks(docs: DataFrame, length: int, kept: Broadcast, expected: int) -> byte
     return repeated(_read(docs).withColumn("bit", id_bit("doc_id")), hashes, expected)
 
 
-#: anchor is the first half of its hash, cid a hash of the content that stands beside it; place is start * 2^20 + windows of an occurrence.
+#: anchor is the first half of its hash, cid a hash of the content; place is start * 2^20 + windows.
 FRAGMENTS = "anchor int, cid long, doc_id long, place long, shard int, content binary"
-MOST = 1 << 20
+MOST, MOST_ID = 1 << 20, 1 << 63
 
 
 def _fragments(docs: DataFrame, length: int, marks: bytes, kept: Broadcast) -> DataFrame:
-    """Occurrences (content null) and contents (place null) of runs of windows with a marked anchor."""
+    """Occurrences of runs of windows with a marked anchor; the first of a content, in a task, has it (shard isn't null)."""
     shared = docs.sparkSession.sparkContext.broadcast(marks)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,28 +140,42 @@ def _fragments(docs: DataFrame, length: int, marks: bytes, kept: Broadcast) -> D
         names = [x.split()[0] for x in FRAGMENTS.split(", ")]
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         least: dict[int, int] = {}  # the smallest doc_id that a content went out with
-        rows: list[tuple] = []
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # anchor, doc_id and place
+        cids: list[int] = []
+        contents: list[bytes | None] = []
         size = 0
+
+        def batch() -> pa.RecordBatch:
+            anchor, doc, place = (np.concatenate(c) for c in zip(*parts))
+            content = pa.array(contents, pa.binary())
+            own = pa.array(np.full(len(cids), shard, np.int32), mask=content.is_null().to_numpy(zero_copy_only=False))
+            cid = (np.array(cids, np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((anchor, cid, doc, place, own, content), kinds)], names=names)
+
         for doc, text in _own(batches, kept.value):
             for at, x in _slices(text, length):
                 first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-                end = np.r_[first[1:], len(x)]
-                hit = marked(bitmap, x[first])
-                for s, e, a in zip((first[hit] + at).tolist(), (end[hit] + at).tolist(), (x[first][hit] >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()):
-                    content = text[s : e + length - 1]
-                    cid = xxhash.xxh3_64_intdigest(content) - (1 << 63)
-                    rows.append((a, cid, doc, s * MOST + e - s, None, None))
-                    if least.get(cid, doc + 1) > doc:
-                        if len(least) >= KNOWN:
-                            least.clear()
-                        least[cid] = doc
-                        rows.append((a, cid, doc, None, shard, content))
-                        size += len(content)
-                    if len(rows) >= ROWS or size >= BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-                        rows, size = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                hit = np.flatnonzero(marked(bitmap, x[first]))
+                start, end = first[hit], np.r_[first[1:], len(x)][hit]
+                for some in range(0, len(hit), ROWS):
+                    s, e = start[some : some + ROWS], end[some : some + ROWS]
+                    parts.append(((x[s] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(s), doc, np.int64), (s + at) * MOST + e - s))
+                    for content in [text[i:j] for i, j in zip((s + at).tolist(), (e + at + length - 1).tolist())]:
+                        cid = xxhash.xxh3_64_intdigest(content)
+                        cids.append(cid)
+                        if least.get(cid, MOST_ID) > doc:
+                            if len(least) >= KNOWN:
+                                least.clear()
+                            least[cid] = doc
+                            size += len(content)
+                            contents.append(content)
+                        else:
+                            contents.append(None)
+                    if len(cids) >= ROWS or size >= BYTES:
+                        yield batch()
+                        parts, cids, contents, size = [], [], [], 0
+        if cids:
+            yield batch()
 
     return _read(docs).withColumn("bit", id_bit("doc_id")).mapInArrow(scan, FRAGMENTS)
 
@@ -175,33 +192,42 @@ class Shard:
         size = size[self.of]
         turn = lambda k: begin + (self.at + k) % size
         symbol = text.astype(np.uint16) << np.uint16(8) | text[turn(1)]
-        rank, depth = symbol.astype(np.int64), 2
-        while depth < length + 2:
-            _, rank = np.unique(rank * (rank.max() + 1) + rank[turn(depth)], return_inverse=True)
-            depth *= 2
-        self.order = np.argsort(rank, kind="stable")
-        self.before = symbol[turn(-2)][self.order]
+        double = symbol.astype(np.uint32) << np.uint32(16) | symbol[turn(2)]
+        key, depth = double.astype(np.uint64) << np.uint64(32) | double[turn(4)], 8
+        while depth < length + 4:
+            _, rank = np.unique(key, return_inverse=True)
+            key, depth = rank * (rank.max(initial=0) + 1) + rank[turn(depth)], 2 * depth
+        self.order = np.argsort(key)
+        self.before, self.double = symbol[turn(-2)][self.order], double[turn(-4)][self.order]
 
 
-def merged(shards: list[Shard], length: int) -> tuple[np.ndarray, np.ndarray]:
+def merged(shards: list[Shard], length: int, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(interleave: whose suffix stands where; common: bytes that each suffix has in common with the one before it).
 
     The k-th entry of a shard in the interleave is the k-th suffix in that shard's own order. Common
-    prefixes count whole symbols and are not followed beyond ``length``.
+    prefixes count whole symbols and are not followed beyond ``length``. wide: two symbols are taken for
+    one, where their kinds are few enough.
     """
     who = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.order) for s in shards])
     before = np.concatenate([s.before for s in shards])
+    double, step = before, 2
+    if wide:
+        kinds, of = np.unique(np.concatenate([s.double for s in shards]), return_inverse=True)
+        if len(kinds) <= 1 << 16:  # what a radix sort takes
+            double, step = of.astype(np.uint16), 4
     common = np.full(len(who), length, np.int32)
     common[:1] = 0
-    block, blocks = np.zeros(len(who), np.int32), 1
-    for depth in range(0, length, 2):
+    block, blocks, depth = np.zeros(len(who), np.int32), 1, 0
+    while depth < length:
+        now = 2 if (length - depth) % step else step  # an odd symbol comes first
         symbol = np.empty(len(who), np.uint16)
-        symbol[np.argsort(who, kind="stable")] = before
+        symbol[np.argsort(who, kind="stable")] = double if now == step else before
         deal = np.argsort(symbol, kind="stable")
         who, symbol, block = who[deal], symbol[deal], block[deal]
         new = np.flatnonzero((symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])) + 1
         common[new] = np.minimum(common[new], depth)  # a bound stays once it is there
-        if len(new) + 1 == blocks:  # no block was parted, so none will be
+        depth += now
+        if len(new) + 1 == blocks and now == step:  # no block was parted, so none will be
             break
         blocks = len(new) + 1
         block = np.zeros(len(who), np.int32)
@@ -215,7 +241,7 @@ def earlier(contents: list[bytes], docs: np.ndarray, shard: np.ndarray, length:
     ids = np.unique(shard)
     own = [np.flatnonzero(shard == s) for s in ids]
     parts = [Shard([contents[i] for i in x], length) for x in own]
-    who, common = merged(parts, length)
+    who, common = merged(parts, length, wide=True)
     block = np.cumsum(common < length) - 1  # the repeated intervals
     least = np.full(int(block[-1]) + 1, np.iinfo(np.int64).max)
     found = []
@@ -293,7 +319,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     marks = _marks(docs, length, kept, total["n"] // PER_ANCHOR)
     fragments = written(_fragments(docs, length, marks, kept), "fragments")
     decided = _decided(fragments, length)
-    seen = fragments.where("shard is null").select("anchor", "cid", "doc_id", "place")
+    seen = fragments.select("anchor", "cid", "doc_id", "place")
     start, windows = F.shiftright("place", 20), F.col("place") % MOST
     whole = F.array(F.struct(F.lit(0).cast("long").alias("at"), windows.alias("windows")))
     runs = F.when(F.col("doc_id") > F.col("least"), whole).otherwise(F.col("runs"))

@@ -648,6 +648,22 @@ def test_token_counts_of_columns_and_names(spark):
         assert "cast(text" in counted._jdf.queryExecution().toString().lower()
 
 
+def test_fragments_come_once(spark, odd):
+    """An occurrence is one row, with its content or without."""
+    kept = spark.sparkContext.broadcast(substrings.ids(odd.where("doc_id is not null"), "doc_id"))
+    found = substrings._fragments(odd, 50, b"\xff" * (1 << 19), kept).toPandas()
+    assert len(found) and not found.place.isna().any() and not found.duplicated(["doc_id", "place"])[found.doc_id != 13].any()
+    assert found[found.content.notna()].cid.nunique() == found.cid.nunique() and (found.content.notna() == found.shard.notna()).all()
+
+
+def test_two_symbols_at_a_time_merge_alike():
+    contents = [bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(60, 90))) + b"the same end of forty bytes or of some more" for _ in range(30)]
+    for length in (50, 52):
+        parts = [substrings.Shard(contents[k::4], length) for k in range(4)]
+        (one, common), (two, wide) = substrings.merged(parts, length), substrings.merged(parts, length, wide=True)
+        assert (one == two).all() and ((common < length) == (wide < length)).all() and (common // 4 * 4 < common).any()
+
+
 def test_kept_texts_are_cut_once(odd):
     """A filter and the length read the cut text, too."""
     left = substrings.without_repeats(odd, 50)
