@@ -95,7 +95,7 @@ def mixed(docs: DataFrame, levels: Mapping[str, Column], tokens: Column, weights
     names = list(levels)
     n = F.coalesce(tokens.cast("long"), F.lit(0).cast("long"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(c.cast("string").alias(k) for k, c in levels.items()), n.alias("n"))
-    rows = written(rows.where("n > 0"), "tokens")
+    rows = written(rows, "tokens").where("n > 0")  # a filter before would count every text's tokens once more
     leaves = rows.groupBy(*names).agg(F.sum("n").alias("n"), F.count("*").alias("docs")).collect()  # a row for each source
     have = {tuple(r[k] for k in names): r["n"] for r in leaves}
     want = int(Fraction(str(total)) * sum(have.values())) if isinstance(total, float) else total

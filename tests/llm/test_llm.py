@@ -668,3 +668,19 @@ def test_kept_texts_are_cut_once(odd):
     """A filter and the length read the cut text, too."""
     left = substrings.without_repeats(odd, 50)
     assert left._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_mixing_counts_each_text_once(spark):
+    import pyarrow as pa
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.arrow_udf("long")
+    def tokens(texts: pa.Array) -> pa.Array:
+        seen.add(len(texts))
+        return pa.array([len(t.as_py() or "") for t in texts], pa.int64())
+
+    df = spark.createDataFrame([(i, "s", "x" * (i % 5)) for i in range(60)], "doc_id long, source string, text string")
+    got = mixing.mixed(df, {"source": F.col("source")}, tokens("text"), {}, 1.0).toPandas()
+    assert seen.value == 60
+    assert len(got) == 48 and got.tokens_taken.sum() == 120
